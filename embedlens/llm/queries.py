@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from embedlens.llm import line_dedup, packing, token_store
+from embedlens.llm import embed_dedup, license_scan, line_dedup, lm_score, ngram_join, packing, piece_codec, quality, token_store, toxicity
 from embedlens.llm.shared import read
 
 
@@ -16,13 +16,44 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read(spark, sf_dir, "documents"), emit="digest")
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.ngram_groups(read(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 def op3_token_store(spark, sf_dir):
     return token_store.token_store(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.with_score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op6_license_scan(spark, sf_dir):
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_store, op7_best_fit_packing)}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL}
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embed_dedup.embedding_groups(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op9_sentencepiece_codec(spark, sf_dir):
+    return piece_codec.round_trip(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op10_quality_rules(spark, sf_dir):
+    return quality.judged(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_token_store, op4_lm_scoring, op5_toxicity, op6_license_scan, op7_best_fit_packing, op8_embedding_near_dedup, op9_sentencepiece_codec, op10_quality_rules)
+}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL}

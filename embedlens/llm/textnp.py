@@ -68,14 +68,19 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks:
     begins[cut] = inside[cut]
     ends[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return Words(span_hash(_LOWER[data] if lower else data, start, end), start, end, np.searchsorted(start, offsets))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each ``data[start:end]``."""
+    n = len(data)
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, U)
-    value = (_LOWER[data] if lower else data).astype(U)
+    value = data.astype(U)
     value += U(1)
     value *= up[:n]
     np.cumsum(value, out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
-    return Words(h, start, end, np.searchsorted(start, offsets))
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
