@@ -40,8 +40,8 @@ def features(data: np.ndarray, offsets: np.ndarray, hash_bits: int) -> tuple[np.
     return np.concatenate(owner), np.concatenate(found) >> U(64 - hash_bits)
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias over presence features ``rows`` (indices below ``size``)."""
+def ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, positive: float, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias over presence features ``rows`` (indices below ``size``); a toxic row counts ``positive`` times."""
     z, n, bias_z, bias_n, bias = np.zeros(size), np.zeros(size), 0.0, 0.0, 0.0
 
     def weight(i):
@@ -54,7 +54,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float, beta: f
             i = rows[r]
             w = weight(i)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35)))
-            g = p - y[r]
+            g = (p - y[r]) * (positive if y[r] else 1.0)
             root = np.sqrt(n[i])
             after = np.sqrt(n[i] + g * g)
             z[i] += g - (after - root) / alpha * w
@@ -66,7 +66,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float, beta: f
     return weight(np.arange(size)), float(bias)
 
 
-def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_ROWS, hash_bits: int = 32, min_docs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.6, l2: float = 0.5, epochs: int = 6, seed: int = 7, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_ROWS, hash_bits: int = 32, min_docs: int = 2, alpha: float = 5.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 10, positive: float = 3.0, seed: int = 7, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature ids, their weights, the bias. ``train`` is a condition on doc_id."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(train)
     chosen = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -95,7 +95,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int =
         if len(set(y.tolist())) < 2:
             w, bias = np.zeros(keep.sum()), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         else:
-            w, bias = ftrl(data, y, int(keep.sum()), alpha, beta, l1, l2, epochs, seed)
+            w, bias = ftrl(data, y, int(keep.sum()), alpha, beta, l1, l2, epochs, positive, seed)
         ids = ids[keep]
         top = np.sort(np.argsort(-np.abs(w), kind="stable")[:max_weights])
         top = top[w[top] != 0]
