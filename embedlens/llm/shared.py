@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (4 << 20) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
