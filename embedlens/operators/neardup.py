@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.functions.columns import hash60
+from embedlens.operators.sampling import global_rank
+from embedlens.sources.shared import written
 
 BITS = 60
 
@@ -41,19 +41,6 @@ def hamming_pairs(hashes: DataFrame, key: str, t: int = 6, bits: int = BITS) ->
     return values2.join(p, "x").join(q, "y").where("p <> q and (x <> y or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="embedlens-")
-    return f"{found.rstrip('/')}/embedlens/leaders"
-
-
 def leader_clusters(hashes: DataFrame, key: str, t: int = 6, max_rounds: int = 1000) -> DataFrame:
     """(key, rep, cluster_id): ids ascending join the first-created representative within t, else become one; no chaining.
 
@@ -61,24 +48,20 @@ def leader_clusters(hashes: DataFrame, key: str, t: int = 6, max_rounds: int = 1
     id's fate, so the graph is over distinct hashes. A round decides every node whose smaller neighbours are all decided; each round is
     written to the shared folder.
     """
-    folder = shared_folder(hashes.sparkSession)
     nodes = hashes.groupBy("hash").agg(F.min(key).alias("id"))
-    edges = _written(hamming_pairs(nodes.select("hash", F.col("id").alias(key)), key, t).select(F.col("a").alias("small"), F.col("b").alias("large")), folder)
-    state = _written(nodes.select("id", F.lit(None).cast("boolean").alias("rep")), folder)
+    edges = written(hamming_pairs(nodes.select("hash", F.col("id").alias(key)), key, t).select(F.col("a").alias("small"), F.col("b").alias("large")), "leaders")
+    state = written(nodes.select("id", F.lit(None).cast("boolean").alias("rep")), "leaders")
     for _ in range(max_rounds):
         near = edges.join(state.withColumnRenamed("id", "small"), "small").groupBy("large").agg(F.bool_or(F.coalesce("rep", F.lit(False))).alias("covered"), F.bool_or(F.col("rep").isNull()).alias("waiting"))
         new = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.coalesce("covered", F.lit(False)), F.lit(False)).when(~F.coalesce("waiting", F.lit(False)), F.lit(True))
-        state = _written(state.join(near, state["id"] == near["large"], "left").select("id", new.alias("rep")), folder)
+        state = written(state.join(near, state["id"] == near["large"], "left").select("id", new.alias("rep")), "leaders")
         if state.where("rep is null").isEmpty():
             break
     else:
         raise RuntimeError("leader_clusters: rounds ran out")
     reps = state.where("rep").select("id")
     member = edges.join(reps.withColumnRenamed("id", "small"), "small").groupBy(F.col("large").alias("id")).agg(F.min("small").alias("rep"))
-    assigned = state.select("id").join(member, "id", "left").select("id", F.coalesce("rep", "id").alias("rep")).where("true")
-    assigned = assigned.join(reps.select(F.col("id").alias("r")), F.col("id") == F.col("r"), "left").select("id", F.when(F.col("r").isNotNull(), F.col("id")).otherwise(F.col("rep")).alias("rep"))
-    from embedlens.operators.sampling import global_rank
-
+    assigned = state.withColumnRenamed("rep", "own").join(member, "id", "left").select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("rep")).alias("rep"))
     numbered = global_rank(reps, F.col("id"), name="n").select(F.col("id").alias("rep"), (F.col("n") - 1).alias("cluster_id"))
     by_hash = nodes.join(assigned, "id").join(numbered, "rep").select("hash", "rep", "cluster_id")
     return hashes.join(by_hash, "hash").select(key, "rep", "cluster_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedlens.functions.columns import hash60
+from embedlens.sources.shared import written
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -13,8 +14,8 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 
     ``order`` must decide every tie.
     """
-    # two uses of one exchange in one plan: partition numbers agree, and the exchange is reused
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written once: range bounds are sampled anew in each execution, and both uses must see the same partitions
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

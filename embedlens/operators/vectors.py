@@ -14,7 +14,7 @@ BROADCAST_NUMBERS = 8_000_000
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array(col.tolist(), np.float64).reshape(len(col), -1)
+    return np.array(col.tolist(), np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
 def _best(q_ids, q, g_ids, g, k: int, exclude_self: bool) -> pd.DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from embedlens.functions import columns as C
 from embedlens.functions.encode import hash_encode as _hash_encode
-from embedlens.operators import neardup, patches, sampling, tiling
+from embedlens.operators import patches, sampling, tiling
 from embedlens.plans import bindings as B
 from embedlens.plans.registry import query
 from embedlens.sources import manifest as M
+from embedlens.sources.shared import shared_folder
 
 DOC = "doc AS (SELECT doc_id AS idx, doc_id::VARCHAR AS docid, source AS title, lang, text, n_chars FROM documents)"
 MANIFEST_COLUMNS = "idx, docid, title, text_path, image_path, image_sha256"
@@ -22,7 +21,7 @@ def docs(spark, sf_dir):
 
 
 def folder(spark, name: str) -> str:
-    return f"{neardup.shared_folder(spark)}-{name}/{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark, name)
 
 
 def manifest(spark, sf_dir):

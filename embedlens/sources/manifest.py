@@ -30,7 +30,7 @@ def blob_scan(spark: SparkSession, path: str, suffix: str = "*.png") -> DataFram
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
     """(idx, text) of sidecar text files, one row a file."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.[^.]+$", 1).cast("long").alias("idx"), F.col("value").alias("text"))
 
 
