@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from embedlens.llm.shared import Scratch
@@ -29,8 +29,9 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 1
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         least = _least(down)
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.stash(small, "star")
-        state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation()
+        after = scratch.stash(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "star")
+        state = (seen.get["n"], seen.get["h"])
         if edges_now is not edges:
             scratch.drop(edges_now)
         edges_now = after

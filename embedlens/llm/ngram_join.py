@@ -12,9 +12,10 @@ A document's tokens are its distinct word shingles (64-bit hashes). Two sets x,
    a signature: the one whose prefix ends first misses at most e of its own prefix tokens, and all others lie in both prefixes
    (partitioned k-wise signatures: Wang et al., 2016). Sub-classes depend on a size bracket (powers of 1/0.8); a set also sends
    signatures for the bracket below, so sets of neighbouring brackets meet.
-3. Equal sets are one class from here on. Buckets of at most ``SMALL`` sets give all pairs. In larger ones, rounds of 1, 2, 4, ... pivots
-   meet all sets of the bucket not yet in their component, until a bucket is one component or every set was a pivot: linear for groups
-   of near copies, and still exact for the rest.
+3. Equal sets are one class from here on. Buckets of at most ``SMALL`` sets give all pairs; in larger ones each set meets one pivot, the
+   set with the fewest tokens of its own (of near copies that is mostly the original), so rows stay linear in a bucket's size. Buckets
+   that then hold one component are settled. The others make clusters of sets that share such a bucket; in each cluster all sets outside
+   its largest component are compared with all its sets, in blocks against blocks inside tasks, which send on spanning links only.
 4. Candidates are verified on their whole sets; links make connected components.
 
 No text leaves its task; packed sets are kept for documents with signatures only.
@@ -41,9 +42,11 @@ from embedlens.llm.shared import Scratch, over_texts, power_of_two, shuffle_part
 
 U = np.uint64
 #: Buckets of at most so many sets give all their pairs at once.
-SMALL = 12
-#: Bits of each Bloom filter over all ranges: the bound of what is broadcast (2 x 16 MB).
-FILTER_BITS = 1 << 27
+SMALL = 4
+#: Sets in a block of a large cluster.
+BLOCK = 64
+#: Bits of each Bloom filter over all ranges: the bound of what is broadcast (2 x 8 MB).
+FILTER_BITS = 1 << 26
 PROBES = 4
 #: Brackets below this size index frequent tokens singly.
 FEW = 20
@@ -178,17 +181,18 @@ def _sets(shingle: int, percent: int, shared, frequent, bucket_bits: int, block_
         sizes = np.array([len(s) for s in sets], np.int64)
         cls = _classes(np.concatenate(sets), shared.value, frequent.value, bucket_bits, block_bits)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        h1, h2, sigs, packed = [], [], [], []
+        h1, h2, sigs, packed, own = [], [], [], [], []
         for i, s in enumerate(sets):
             if not len(s):
-                h1.append(None), h2.append(None), sigs.append(None), packed.append(None)
+                h1.append(None), h2.append(None), sigs.append(None), packed.append(None), own.append(0)
                 continue
             d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
             found = signatures(s, cls[at[i] : at[i + 1]], percent)
             h1.append(int(d[0])), h2.append(int(d[1]))
             sigs.append(found.view(np.int64) if len(found) else None)
             packed.append(s.tobytes() if len(found) else None)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["doc_id", "n", "h1", "h2", "sigs", "tokens"])
+            own.append(int(np.count_nonzero(cls[at[i] : at[i + 1]] == 0)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(own, pa.int64())], names=["doc_id", "n", "h1", "h2", "sigs", "tokens", "own"])
 
     return over_texts(run)
 
@@ -214,45 +218,99 @@ def _near(percent: int):
     return (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
 
 
-def jaccard_links(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
-    """(node, component) over representatives; ``sets`` is the written table of ``_sets`` with a ``rep`` column, of reps only."""
-    postings = sets.where("sigs is not null").select("doc_id", "n", F.explode("sigs").alias("sig")).distinct()
-    sized = postings.groupBy("sig").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1")
-    postings = scratch.stash(postings.join(sized, "sig"), "postings")
+def _compare_blocks(percent: int):
+    """Over rows sorted by (g, side): each block of left sets against a block of right sets; links that span what is linked."""
+
+    def links(rows: list) -> list[tuple[int, int]]:
+        left, right = ([r for r in rows if r[0] == s] for s in (0, 1))
+        if not left or not right:
+            return []
+        sets = [np.frombuffer(r[3], U) for r in (*left, *right)]
+        sizes = np.array([len(x) for x in sets])
+        a, b = sizes[: len(left), None], sizes[None, len(left) :]
+        maybe = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])[None, :])
+        if not maybe.any():
+            return []
+        flat, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner, both = np.repeat(np.arange(len(sets)), sizes), np.zeros(maybe.shape)
+        shared = np.flatnonzero(count > 1)
+        place = np.full(len(flat), -1)
+        place[shared] = np.arange(len(shared))
+        column = place[inverse]
+        for at in range(0, len(shared), 1 << 15):  # a bounded number of tokens at a time
+            now = np.flatnonzero((column >= at) & (column < at + (1 << 15)))
+            m = np.zeros((len(sets), min(1 << 15, len(shared) - at)), np.float32)
+            m[owner[now], column[now] - at] = 1
+            both += m[: len(left)] @ m[len(left) :].T
+        near = maybe & (100 * both >= percent * (a + b - both))
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(near)):
+            x, y = find(left[i][2]), find(right[j][2])  # their components
+            if x != y:
+                parent[x] = y
+                out.append((left[i][2], right[j][2]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, found = None, [], []
+        for batch in batches:
+            for g, side, doc, component, tokens in zip(*(batch.column(c).to_pylist() for c in ("g", "side", "doc_id", "component", "tokens"))):
+                if g != last:
+                    found += links(rows)
+                    last, rows = g, []
+                rows.append((side, doc, component, tokens))
+        found += links(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def jaccard_components(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(node, component) of all sets with links; ``sets`` is a written table of distinct sets (doc_id, n, own, sigs, tokens)."""
+    postings = sets.select("doc_id", "n", "own", F.explode("sigs").alias("sig")).distinct()
+    sized = postings.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("own", "doc_id", "n")).alias("pivot")).where("m > 1")
+    postings = scratch.stash(postings.join(sized, "sig").select("sig", "doc_id", "n", "m", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.n").alias("n_pivot")), "postings")
     small, large = postings.where(F.col("m") <= SMALL), postings.where(F.col("m") > SMALL)
     side = lambda s: small.select("sig", F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"))
-    pairs = side("a").join(side("b"), "sig").where("a < b").where(_near(percent))
-    stars = large.where("doc_id <> least").select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("least").alias("a"), "sig")
-    head = large.where("doc_id = least").select("sig", F.col("n").alias("n_a"))
-    stars = stars.join(head, "sig").where(_near(percent))
-    packed = sets.where("tokens is not null").select("doc_id", "tokens")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        candidates = candidates.select("a", "b").distinct()
-        with_b = candidates.join(packed.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t")), "b")
-        both = with_b.join(packed.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
-        return scratch.stash(both.select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long"), "links")
-
-    links = verified(pairs.select("a", "b").union(stars.select("a", "b")))
+    pairs = side("a").join(side("b"), "sig").where("a < b").where(_near(percent)).select("a", "b")
+    stars = large.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("n_pivot").alias("n_b")).where(_near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    packed = sets.select("doc_id", "tokens")
+    candidates = pairs.union(stars).distinct()
+    with_b = candidates.join(packed.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t")), "b")
+    both = with_b.join(packed.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
+    links = scratch.stash(both.select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long"), "links")
     components = scratch.stash(connected_components(links, scratch), "components")
-    state = large.select("sig", "doc_id", "n", (F.col("doc_id") == F.col("least")).alias("used"))
-    turn = 1
-    while True:
-        labelled = state.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_ = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if(~F.col("used")).alias("free")).where("lo <> hi and free > 1")
-        now = scratch.stash(labelled.join(open_.select("sig"), "sig", "left_semi"), "open")
-        if now.isEmpty():
-            return components
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << turn))
-        pivots = now.where(~F.col("used")).groupBy("sig", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "n", "component"), "doc_id").alias("p")).select("sig", F.col("p.doc_id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.component").alias("c_a"))
-        meet = now.where(~F.col("used")).select("sig", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b")).join(pivots, "sig")
-        fresh = verified(meet.where("a <> b and c_a <> c_b").where(_near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            components = scratch.stash(connected_components(links, scratch), "components")
-        picked = pivots.select("sig", F.col("a").alias("doc_id"), F.lit(True).alias("picked"))
-        state = scratch.stash(now.join(picked, ["sig", "doc_id"], "left").select("sig", "doc_id", "n", (F.col("used") | F.coalesce("picked", F.lit(False))).alias("used")), "state")
-        turn += 1
+
+    labelled = large.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
+    unsettled = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    rest = scratch.stash(labelled.join(unsettled, "sig", "left_semi").select("doc_id", "pivot", "component").distinct(), "rest")
+    if rest.isEmpty():
+        return components
+    clusters = connected_components(rest.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), scratch)
+    members = rest.select("doc_id", "component").distinct().join(clusters.toDF("doc_id", "cluster"), "doc_id")
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).select("cluster", F.col("top.component").alias("main"), F.col("all"), (F.col("all") - F.col("top.n")).alias("others"))
+    cut = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)))
+    last = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)) - 1
+    members = scratch.stash(members.join(main, "cluster"), "members")
+    left = members.where("component <> main").select("cluster", "doc_id", "component", cut("others", 1).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), last("all"))).alias("y"), F.lit(0).alias("side"))
+    right = members.select("cluster", "doc_id", "component", F.explode(F.sequence(F.lit(0).cast("long"), last("others"))).alias("x"), cut("all", 2).alias("y"), F.lit(1).alias("side"))
+    rows = left.unionByName(right).select(F.xxhash64("cluster", "x", "y").alias("g"), "side", "doc_id", "component").join(packed, "doc_id")
+    more = rows.repartition("g").sortWithinPartitions("g", "side").select("g", "side", "doc_id", "component", "tokens").mapInArrow(_compare_blocks(percent), "a long, b long")
+    more = scratch.stash(more, "more")
+    if more.isEmpty():
+        return components
+    joined = connected_components(more, scratch).toDF("component", "whole")  # over components
+    relabelled = components.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    single = joined.join(components.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+    return scratch.stash(relabelled.unionByName(single), "components")
 
 
 def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -269,12 +327,12 @@ def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> D
         for i, raw in enumerate((row.shared, row.frequent)):
             both[i, row.bucket * (block_bits // 8) : (row.bucket + 1) * (block_bits // 8)] = np.frombuffer(raw, np.uint8)
     shared, frequent = (spark.sparkContext.broadcast(x) for x in both)
-    sets = scratch.stash(source.mapInArrow(_sets(shingle, percent, shared, frequent, bucket_bits, block_bits), "doc_id long, n long, h1 long, h2 long, sigs array<long>, tokens binary"), "sets")
+    sets = scratch.stash(source.mapInArrow(_sets(shingle, percent, shared, frequent, bucket_bits, block_bits), "doc_id long, n long, h1 long, h2 long, sigs array<long>, tokens binary, own long"), "sets")
     reps = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.stash(reps, "reps")
     chosen = sets.where("sigs is not null").join(reps, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["doc_id", "h1", "h2"])
-    chosen = scratch.stash(chosen.select("doc_id", "n", "sigs", "tokens"), "chosen")
-    components = jaccard_links(chosen, scratch, percent)
+    chosen = scratch.stash(chosen.select("doc_id", "n", "sigs", "tokens", "own"), "chosen")
+    components = jaccard_components(chosen, scratch, percent)
     # a doc_id with several sets can be linked through each of them
     labels = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")

@@ -88,9 +88,9 @@ def test_ngram_groups(documents, rows, empty):
     assert sorted(ids) == sorted({c for (_, _, c) in groups(rows)})
 
 
-@pytest.mark.parametrize("small, few", [(2, 20), (12, 4), (1, 1000)])
-def test_ngram_groups_with_large_buckets(spark, monkeypatch, small, few):
-    """Chains, families that just miss each other, and common passages, with rounds of pivots and combinations forced."""
+@pytest.mark.parametrize("small, few, block", [(2, 20, 64), (4, 4, 5), (1, 1000, 3)])
+def test_ngram_groups_with_large_buckets(spark, monkeypatch, small, few, block):
+    """Chains, families that just miss each other, and common passages, with pivots, blocks and combinations forced."""
     rng = np.random.default_rng(small)
     vocabulary = [f"w{i}" for i in range(60)]
     rows, n = [], 0
@@ -107,6 +107,7 @@ def test_ngram_groups_with_large_buckets(spark, monkeypatch, small, few):
         n += 1
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = many(ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == groups(rows)
 
