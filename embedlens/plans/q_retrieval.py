@@ -39,10 +39,10 @@ def pairwise_cosine(spark, sf_dir):
 NEAR = f"near AS (SELECT q, id, sim, rank FROM (SELECT a.crop_id AS q, b.crop_id AS id, round({DOT}(a.v, b.v), 9) AS sim, row_number() OVER (PARTITION BY a.crop_id ORDER BY round({DOT}(a.v, b.v), 9) DESC, b.crop_id) AS rank FROM vec a, vec b WHERE a.crop_id <> b.crop_id) WHERE rank <= 20)"
 
 
-@query(B.with_ctes("vec", "").rstrip() + f", {NEAR} SELECT q, id, round(sim, 6) AS sim, rank FROM near WHERE rank <= 10")
+@query(B.with_ctes("vec", "").rstrip() + f", {NEAR} SELECT q, id, sim, rank FROM near WHERE rank <= 10")
 def topk_neighbours(spark, sf_dir):
     items = B.crops(spark, sf_dir).select(F.col("crop_id").alias("id"), "v")
-    return vectors.topk(items, items, 10).select("q", "id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+    return vectors.topk(items, items, 10).select("q", "id", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 @query(recall_sql("vec", "SELECT min(n.rank) FILTER (WHERE b.page_id = a.page_id) AS rank FROM vec a LEFT JOIN near n ON n.q = a.crop_id LEFT JOIN vec b ON b.crop_id = n.id WHERE a.page_id IN (SELECT page_id FROM vec GROUP BY 1 HAVING count(*) > 1) GROUP BY a.crop_id", more=f", {NEAR}"))
