@@ -48,6 +48,8 @@ BLOCK = 64
 #: Bits of each Bloom filter over all ranges: the bound of what is broadcast (2 x 8 MB).
 FILTER_BITS = 1 << 26
 PROBES = 4
+#: Bytes of text in one numpy pass.
+SLICE = 2 << 20
 #: Brackets below this size index frequent tokens singly.
 FEW = 20
 _GROWTH = 1.25 ** np.arange(120)
@@ -81,7 +83,7 @@ def _count_tokens(shingle: int, bucket_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 w = textnp.words(*text_buffer(part.column("text")))
                 sets = textnp.shingle_sets(w, shingle)
                 h, n = np.unique(np.concatenate(sets) >> U(64 - bucket_bits - 40), return_counts=True)
@@ -194,7 +196,7 @@ def _sets(shingle: int, percent: int, shared, frequent, bucket_bits: int, block_
             own.append(int(np.count_nonzero(cls[at[i] : at[i + 1]] == 0)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(own, pa.int64())], names=["doc_id", "n", "h1", "h2", "sigs", "tokens", "own"])
 
-    return over_texts(run)
+    return over_texts(run, limit=SLICE)
 
 
 def _verify(percent: int):
