@@ -66,6 +66,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float, beta: f
     return weight(np.arange(size)), float(bias)
 
 
+#: Features are 32 bits at most, as the task that fits the model holds them all.
 def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_ROWS, hash_bits: int = 32, min_docs: int = 2, alpha: float = 5.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 10, positive: float = 3.0, seed: int = 7, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature ids, their weights, the bias. ``train`` is a condition on doc_id."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(train)
@@ -79,7 +80,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int =
         owner, found = owner[order], found[order]
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-        owner, found = owner[new], found[new].astype(np.int64)
+        owner, found = owner[new], found[new].astype(np.uint32).view(np.int32)
         at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         return pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found))], names=["toxic", "doc_id", "features"])
 
@@ -87,8 +88,15 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int =
         table = table.sort_by("doc_id")
         y = table.column("toxic").to_numpy().astype(float)
         column = table.column("features").combine_chunks()
-        flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-        ids, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+        flat, at = column.flatten().to_numpy().view(np.uint32), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        # most features occur once: a table of 2**24 counts sorts out those that can't be in min_docs rows, exact counts follow
+        low, rough = flat & np.uint32((1 << 24) - 1), np.zeros(1 << 24, np.uint32)
+        np.add.at(rough, low, np.uint32(1))
+        maybe = rough[low] >= min_docs
+        del low, rough
+        at = np.concatenate([np.zeros(1, np.int32), np.cumsum(maybe, dtype=np.int32)])[at]
+        ids, inverse, df = np.unique(flat[maybe], return_inverse=True, return_counts=True)
+        del flat, maybe
         keep = df >= min_docs
         place = np.where(keep, np.cumsum(keep) - 1, -1)[inverse]
         data = [(p := place[a:b])[p >= 0] for a, b in zip(at[:-1], at[1:])]
@@ -99,9 +107,9 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int =
         ids = ids[keep]
         top = np.sort(np.argsort(-np.abs(w), kind="stable")[:max_weights])
         top = top[w[top] != 0]
-        return pa.table({"ids": pa.array([ids[top].tobytes()], pa.binary()), "weights": pa.array([w[top].tobytes()], pa.binary()), "bias": pa.array([bias])})
+        return pa.table({"ids": pa.array([ids[top].astype(np.int64).tobytes()], pa.binary()), "weights": pa.array([w[top].tobytes()], pa.binary()), "bias": pa.array([bias])})
 
-    found = rows.mapInArrow(over_texts(sets), "toxic int, doc_id long, features array<long>").groupBy(F.lit("all").alias("g")).applyInArrow(train_one, "ids binary, weights binary, bias double").collect()
+    found = rows.mapInArrow(over_texts(sets), "toxic int, doc_id long, features array<int>").groupBy(F.lit("all").alias("g")).applyInArrow(train_one, "ids binary, weights binary, bias double").collect()
     if not found:
         return np.zeros(0, U), np.zeros(0), 0.0
     return np.frombuffer(bytes(found[0].ids), np.int64).astype(U), np.frombuffer(bytes(found[0].weights)), found[0].bias
