@@ -5,12 +5,15 @@
    ``BLOCK`` are cut at random, anew in each tree. A block's cosines are one matrix product; each node keeps its ``K`` best.
 3. Refinement (Dong et al., 2011): around each node its neighbours, and those that name it (sampled where they are many), are compared
    with each other; lists take in what is better. Rounds end when few lists change.
-4. A list is saturated when all of it is over the threshold, so more may be. The components of the links so far that hold a saturated
+4. Ties: every block of 2 and 3 also sends a spanning forest of its own links >= threshold, which no list's length cuts, so that what a
+   block has seen linked is in one component, however full the lists are.
+5. A list is saturated when all its ``K`` are over the threshold, so more may be. The components of lists and ties that hold a saturated
    node have their lists enlarged to the component, in blocks against blocks: each node counts its links there, no pairs are sent.
-5. Audit: the nodes whose id is divisible by 50 are compared with all nodes of their label, in blocks; while the share of their links
-   found is below ``TARGET``, more trees and rounds follow, at most ``MORE`` times.
+6. Audit: the nodes whose id is divisible by 50 are compared with all nodes of their label, in blocks, and their links counted at last
+   (after 5) with those. While the share found of a label is below ``TARGET``, more trees and rounds follow, at most ``MORE`` times;
+   labels still below it are counted whole, all blocks against all.
 
-Every cosine is of double precision. Links found have cosine >= threshold; recall is what the audit says (see ``audit``).
+Every cosine is of double precision. Links found have cosine >= threshold; recall is what the audit says (see ``_audit``).
 
 Defined cases: null vectors, zero vectors, vectors with null or non-finite parts, and rows with a null label get 0 links and are their
 own component. Vectors of different lengths don't link. Rows that share a vec_id are different vectors under one name: a row's links
@@ -36,7 +39,7 @@ LEAF = 128
 BLOCK = 384
 ROUNDS = 2
 TARGET, MORE = 0.95, 2
-LINKS = "u long, v long, sim double"
+LINKS = "u long, v long, sim double, tie boolean"
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +106,25 @@ def _groups(f, out_names: list[str]):
     return run
 
 
-def _best(table: pa.Table, keep: int):
-    """Each node's best ``keep`` others within a group."""
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(child, parent) of a spanning forest of a symmetric boolean matrix."""
+    child, parent = [], []
+    left = near.any(1)
+    while left.any():
+        front = np.array([left.argmax()])
+        left[front] = False
+        while len(front):
+            reached = near[front] & left
+            new = np.flatnonzero(reached.any(0))
+            child.append(new)
+            parent.append(front[reached[:, new].argmax(0)])
+            left[new] = False
+            front = new
+    return (np.concatenate(child), np.concatenate(parent)) if child else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _best(table: pa.Table, keep: int, threshold: float):
+    """Each node's best ``keep`` others within a group, and the group's ties."""
     ids = table.column("id").to_numpy()
     if len(ids) < 2:
         return None
@@ -117,7 +137,10 @@ def _best(table: pa.Table, keep: int):
     u, sim = np.repeat(ids, k), np.take_along_axis(s, at, 1).reshape(-1)
     v = ids[at].reshape(-1)
     good = sim > -2
-    return u[good], v[good], sim[good]
+    near = s >= threshold
+    child, parent = _forest(near | near.T)
+    tie = np.repeat([False, True], [int(good.sum()), len(child)])
+    return np.concatenate([u[good], ids[child]]), np.concatenate([v[good], ids[parent]]), np.concatenate([sim[good], np.maximum(s[child, parent], s[parent, child])]), tie
 
 
 def _grouped(rows: DataFrame, f, names: list[str], schema: str) -> DataFrame:
@@ -126,13 +149,14 @@ def _grouped(rows: DataFrame, f, names: list[str], schema: str) -> DataFrame:
 
 
 def _top(links: DataFrame, keep: int) -> DataFrame:
-    """Best ``keep`` of each u, as arrays: (u, best array<struct<far, v>>)."""
-    found = links.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return found.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "v"))), 1, keep).alias("best"))
+    """Best ``keep`` of each u, and its ties beyond them, as arrays: (u, best and ties array<struct<far, v, tie>>)."""
+    found = links.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
+    found = found.groupBy("u").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "v", "tie"))).alias("all"))
+    return found.select("u", F.slice("all", 1, keep).alias("best"), F.filter("all", lambda x, i: (i >= keep) & x["tie"]).alias("ties"))
 
 
-def _flat(lists: DataFrame) -> DataFrame:
-    return lists.select("u", F.explode("best").alias("b")).select("u", F.col("b.v").alias("v"), (-F.col("b.far")).alias("sim"))
+def _flat(lists: DataFrame, ties: bool = False) -> DataFrame:
+    return lists.select("u", F.explode(F.concat("best", "ties") if ties else F.col("best")).alias("b")).select("u", F.col("b.v").alias("v"), (-F.col("b.far")).alias("sim"), F.col("b.tie").alias("tie"))
 
 
 def _leaves(nodes: DataFrame, sizes: DataFrame, trees: range) -> DataFrame:
@@ -162,7 +186,7 @@ def _leaves(nodes: DataFrame, sizes: DataFrame, trees: range) -> DataFrame:
     return cut.join(nodes.select("id", "unit"), "id").select("g", "id", "unit")
 
 
-def _refine(lists: DataFrame, nodes: DataFrame, keep: int, turn: int) -> DataFrame:
+def _refine(lists: DataFrame, nodes: DataFrame, keep: int, turn: int, threshold: float) -> DataFrame:
     """Links found around each node among its neighbours and a sample of those that name it."""
     forward = _flat(lists).select(F.col("u").alias("g"), F.col("v").alias("id"))
     named = forward.groupBy(F.col("id").alias("name")).agg(F.count("*").alias("n"))
@@ -170,11 +194,12 @@ def _refine(lists: DataFrame, nodes: DataFrame, keep: int, turn: int) -> DataFra
     around = forward.union(back).union(lists.select(F.col("u").alias("g"), F.col("u").alias("id"))).distinct()
     # in the mean 2 * keep + 1 rows a group; what a sample gives beyond that is small
     rows = around.join(nodes.select("id", "unit"), "id").select("g", "id", "unit")
-    return _grouped(rows, lambda t: _best(t, 4), ["u", "v", "sim"], LINKS)
+    return _grouped(rows, lambda t: _best(t, 4, threshold), ["u", "v", "sim", "tie"], LINKS)
 
 
-def _blocks(left: DataFrame, right: DataFrame, threshold: float, schema: str) -> DataFrame:
-    """left(part, id, unit, w), right(part, id, unit, w) in blocks of a part: (id, rows, nodes) linked to each left row.
+def _blocks(left: DataFrame, right: DataFrame, threshold: float, ties: bool = False) -> DataFrame:
+    """left(part, id, unit, w), right(part, id, unit, w) in blocks of a part: (id, rows, nodes) linked to each left row; with ``ties``
+    also ``other``: its row is a link of a block's spanning forest where that is another node's id, and has no counts.
 
     Right rows are dealt to blocks; each left block meets each right block of its part in one group.
     """
@@ -194,40 +219,81 @@ def _blocks(left: DataFrame, right: DataFrame, threshold: float, schema: str) ->
         x = _matrix(t.column("unit").combine_chunks())
         near = (x[side == 0] @ x[side == 1].T) >= threshold
         near &= ids[side == 0][:, None] != ids[side == 1][None, :]
-        return ids[side == 0], near.astype(np.int64) @ w[side == 1], near.sum(1)
+        a, b = ids[side == 0], ids[side == 1]
+        counts = near.astype(np.int64) @ w[side == 1], near.sum(1)
+        if not ties:
+            return a, *counts
+        whole = np.zeros((len(ids), len(ids)), bool)
+        whole[: len(a), len(a) :], whole[len(a) :, : len(a)] = near, near.T
+        child, parent = _forest(whole)
+        sides, none = np.concatenate([a, b]), np.zeros(len(child), np.int64)
+        return np.concatenate([a, sides[child]]), np.concatenate([counts[0], none]), np.concatenate([counts[1], none]), np.concatenate([a, sides[parent]])
+
+    names = ["id", "rows", "nodes", *["other"][: int(ties)]]
+    return _grouped(both, compare, names, ", ".join(f"{c} long" for c in names))
+
+
+def _descended(lists: DataFrame | None, nodes: DataFrame, sizes: DataFrame, scratch: Scratch, threshold: float, keep: int, trees: range, rounds: int = ROUNDS) -> DataFrame:
+    """Lists of NN-descent out of the given trees and the lists before."""
+    first = _grouped(_leaves(nodes, sizes, trees), lambda t: _best(t, keep, threshold), ["u", "v", "sim", "tie"], LINKS)
+    lists = scratch.stash(_top(first if lists is None else first.union(_flat(lists, ties=True)), keep), "lists")
+    state = F.sum(F.xxhash64("u", F.transform("best", lambda b: b["v"])).cast("decimal(38,0)"))
+    before = lists.agg(state).first()[0]
+    for turn in range(rounds):
+        lists = scratch.stash(_top(_flat(lists, ties=True).union(_refine(lists, nodes, keep, turn, threshold)), keep), "lists")
+        after = lists.agg(state).first()[0]
+        if after == before:
+            break
+        before = after
+    return lists
 
-    return _grouped(both, compare, ["id", "rows", "nodes"], schema)
 
+def _counted(lists: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float, keep: int) -> tuple[DataFrame, DataFrame]:
+    """Links of each node (id, links: rows, nodes), and (node, component)."""
+    links = scratch.stash(_flat(lists, ties=True).where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+    components = scratch.stash(connected_components(links, scratch), "components")
+    full = lists.where((F.size("best") >= keep) & (-F.element_at("best", -1)["far"] >= threshold)).select(F.col("u").alias("node"))
+    dense = components.join(full, "node", "left_semi").select("component").distinct()
+    members = components.join(dense, "component", "left_semi").join(nodes.withColumnRenamed("id", "node"), "node")
+    members = scratch.stash(members.select(F.col("component").alias("part"), F.col("node").alias("id"), "unit", F.col("copies").alias("w")), "members")
+    enlarged = _blocks(members, members, threshold).groupBy("id").agg(F.sum("rows").alias("links"), F.sum("nodes").alias("others"))
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
+    sparse = both.join(members.select("id"), "id", "left_anti").join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("links"), F.count("*").alias("others"))
+    return scratch.stash(sparse.union(enlarged), "counts"), components
 
-def neighbour_graph(nodes: DataFrame, scratch: Scratch, threshold: float, keep: int = K, trees: int = TREES, rounds: int = ROUNDS):
-    """Lists of NN-descent and the audit's (found, all) links of the queries; ``nodes`` has (space, id, unit, copies)."""
-    sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
-    lists, done = None, 0
-    for attempt in range(1 + MORE):
-        first = _grouped(_leaves(nodes, sizes, range(done, done + trees)), lambda t: _best(t, keep), ["u", "v", "sim"], LINKS)
-        done += trees
-        lists = scratch.stash(_top(first if lists is None else first.union(_flat(lists)), keep), "lists")
-        before = lists.agg(F.sum(F.xxhash64("u", "best").cast("decimal(38,0)"))).first()[0]
-        for turn in range(rounds):
-            lists = scratch.stash(_top(_flat(lists).union(_refine(lists, nodes, keep, turn)), keep), "lists")
-            after = lists.agg(F.sum(F.xxhash64("u", "best").cast("decimal(38,0)"))).first()[0]
-            if after == before:
-                break
-            before = after
-        found, all_ = audit(lists, nodes, threshold)
-        if found >= TARGET * all_:
-            break
-    return lists, (found, all_)
+
+def _audit(counts: DataFrame, true: DataFrame) -> list:
+    """(label, found, all): links counted, and all there are, of the queries in ``true``."""
+    both = true.join(counts.select("id", "others"), "id", "left")
+    return both.groupBy("label").agg(F.sum(F.least(F.coalesce("others", F.lit(0)), "true")).alias("found"), F.sum("true").alias("all")).collect()  # a row a label
 
 
-def audit(lists: DataFrame, nodes: DataFrame, threshold: float) -> tuple[int, int]:
-    """Links in the lists, and all there are, of the nodes whose id is divisible by 50; saturated lists count as whole."""
+def link_counts(nodes: DataFrame, scratch: Scratch, threshold: float, keep: int = K, trees: int = TREES, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links of each node and the components, audited; ``nodes`` has (space, id, unit, copies, label)."""
+    sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
     all_rows = nodes.select(F.col("space").alias("part"), "id", "unit", F.col("copies").alias("w"))
-    true = _blocks(all_rows.where("id % 50 = 0"), all_rows, threshold, "id long, rows long, nodes long").groupBy("id").agg(F.sum("nodes").alias("true"))
-    mine = lists.select("u", F.size("best").alias("size"), F.size(F.filter("best", lambda b: -b["far"] >= threshold)).alias("mine"))
-    both = true.join(mine, F.col("id") == F.col("u"), "left")
-    row = both.agg(F.coalesce(F.sum(F.when((F.col("mine") == F.col("size")) & (F.col("size") > 0), F.col("true")).otherwise(F.least(F.coalesce("mine", F.lit(0)), "true"))), F.lit(0)).alias("found"), F.coalesce(F.sum("true"), F.lit(0)).alias("all")).first()
-    return int(row["found"]), int(row["all"])
+    true = _blocks(all_rows.where("id % 50 = 0"), all_rows, threshold).groupBy("id").agg(F.sum("nodes").alias("true"))
+    true = scratch.stash(true.join(nodes.select("id", "label"), "id"), "true")
+    lists = None
+    for attempt in range(1 + MORE):
+        lists = _descended(lists, nodes, sizes, scratch, threshold, keep, range(attempt * trees, (attempt + 1) * trees))
+        counts, components = _counted(lists, nodes, scratch, threshold, keep)
+        audited = _audit(counts, true)
+        short = [r["label"] for r in audited if r["found"] < TARGET * r["all"]]
+        if not short:
+            break
+    if short:
+        mine = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame([(x,) for x in short], "label long")), "label", "left_semi")
+        mine = mine.select(F.col("space").alias("part"), "id", "unit", F.col("copies").alias("w"))
+        blocks = scratch.stash(_blocks(mine, mine, threshold, ties=True), "exact")
+        exact = blocks.groupBy("id").agg(F.sum("rows").alias("links"), F.sum("nodes").alias("others"))
+        counts = scratch.stash(counts.join(mine.select("id"), "id", "left_anti").union(exact), "counts")
+        links = blocks.where("other <> id").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        components = scratch.stash(connected_components(links.union(components.select("node", "component")), scratch), "components")
+        audited = _audit(counts, true)
+    if report is not None:
+        report["found"], report["all"], report["exact_labels"] = sum(r["found"] for r in audited), sum(r["all"] for r in audited), len(short)
+    return counts, components
 
 
 def embedding_groups(embeddings: DataFrame, threshold: float = 0.98, keep: int = K, report: dict | None = None) -> DataFrame:
@@ -239,19 +305,8 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.98, keep: int =
     nodes = rows.where("key is not null").groupBy("label", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
     # a node's number must not repeat, which a shared vec_id could: it is the rank-free hash of what defines it
     nodes = scratch.stash(nodes.select(F.xxhash64("label", F.length("unit")).alias("space"), F.when(F.col("least").isNull(), F.xxhash64("label", "key")).otherwise(F.col("least")).alias("id"), "unit", "copies", "label", "key", "least"), "nodes")
-    lists, found = neighbour_graph(nodes, scratch, threshold, keep)
-    if report is not None:
-        report["found"], report["all"] = found
-    links = scratch.stash(_flat(lists).where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
-    components = scratch.stash(connected_components(links, scratch), "components")
-    full = lists.where((F.size("best") >= keep) & (-F.element_at("best", -1)["far"] >= threshold)).select(F.col("u").alias("node"))
-    dense = components.join(full, "node", "left_semi").select("component").distinct()
-    members = components.join(dense, "component", "left_semi").join(nodes.withColumnRenamed("id", "node"), "node")
-    members = scratch.stash(members.select(F.col("component").alias("part"), F.col("node").alias("id"), "unit", F.col("copies").alias("w")), "members")
-    enlarged = _blocks(members, members, threshold, "id long, rows long, nodes long").groupBy("id").agg(F.sum("rows").alias("links"))
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-    sparse = both.join(members.select("id"), "id", "left_anti").join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("links"))
-    counted = nodes.join(sparse.union(enlarged), "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
+    counts, components = link_counts(nodes, scratch, threshold, keep, report=report)
+    counted = nodes.join(counts.select("id", "links"), "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
     # a component's number is its smallest node's, so its smallest vec_id, as a node's number is its smallest vec_id
     counted = counted.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     out = rows.join(counted, ["label", "key"], "left")

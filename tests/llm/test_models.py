@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from embedlens.llm import embed_dedup, lm_score, quality, toxicity
 from embedlens.llm.components import connected_components
@@ -116,6 +117,35 @@ def test_embedding_groups(spark):
     assert embed_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_embedding_subclusters_that_fill_the_lists(spark):
+    """Each node's list is full of its own subcluster; the links between the subclusters count all the same."""
+    rng = np.random.default_rng(3)
+    dim = 64
+    a, turn = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    b = 0.985 * a + math.sqrt(1 - 0.985**2) * turn
+    near = lambda x: (x + math.sqrt(1 / 0.9995**2 - 1) / math.sqrt(dim) * rng.standard_normal(dim)).tolist()
+    rows = [(i, near(a if i < 20 else b), 4) for i in range(40)] + [(100 + i, rng.standard_normal(dim).tolist(), 4) for i in range(200)]
+    want = brute_links(rows, 0.98)
+    assert any(i < 20 <= j < 40 for i, links in enumerate(want) for j in links), "no links between the subclusters"
+    report = {}
+    got = {r.vec_id: r for r in embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), report=report).collect()}
+    assert {r[0]: len(x) for r, x in zip(rows, want)} == {k: r.n_links for k, r in got.items()}
+    assert {got[i].component_id for i in range(40)} == {0} and report["found"] == report["all"]
+
+
+def test_embedding_audit_continues_exactly(spark, monkeypatch):
+    """Leaves of one row find nothing: the audit says so, and the label is counted whole."""
+    monkeypatch.setattr(embed_dedup, "_leaves", lambda nodes, sizes, trees: nodes.select(F.col("id").alias("g"), "id", "unit"))
+    rng = np.random.default_rng(4)
+    hub = rng.standard_normal(16)
+    rows = [(i, (hub + 0.05 * rng.standard_normal(16) if i < 60 else rng.standard_normal(16)).tolist(), 2) for i in range(120)]
+    want = brute_links(rows, 0.98)
+    report = {}
+    got = {r.vec_id: r for r in embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), report=report).collect()}
+    assert {r[0]: len(x) for r, x in zip(rows, want)} == {k: r.n_links for k, r in got.items()}
+    assert report["exact_labels"] == 1 and report["found"] == report["all"] > 0
+
+
 def test_embedding_rows_that_share_an_id(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
     got = Counter(map(tuple, embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).select("vec_id", "n_links").collect()))
