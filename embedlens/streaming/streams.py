@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -74,3 +75,19 @@ def running_best_stream(stream: DataFrame, run: str, step: str, value: str) -> D
 def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
     """First row of each key; keys are forgotten after ``delay`` of event time."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def lateness(files: DataFrame, time: str) -> float:
+    """Seconds by which a row's time can be behind what came before it, when ``files`` are streamed as Spark's file source takes them: by
+    modification time, in any order where that is equal."""
+    meta = F.col("_metadata")
+    spans = files.groupBy(meta["file_path"].alias("file"), meta["file_modification_time"].alias("at")).agg(F.min(F.unix_micros(time)).alias("low"), F.max(F.unix_micros(time)).alias("high"))
+    spans = sorted((r["at"], r["low"], r["high"]) for r in spans.collect() if r["low"] is not None)  # a row a file
+    late, before = 0, []
+    for _, same in groupby(spans, lambda r: r[0]):
+        same = list(same)
+        highs = before + [high for _, _, high in same if len(same) > 1]
+        if highs:
+            late = max(late, max(highs) - min(low for _, low, _ in same))
+        before = [max(before + [high for _, _, high in same])]
+    return late / 1e6

@@ -1,8 +1,10 @@
 """Operators on small fixtures: brute force, analytic bounds, invariants and edge cases."""
 
 import math
+import os
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from embedlens.functions import columns as C
 from embedlens.functions.encode import encode_with, named
 from embedlens.operators import contrastive, moments, neardup, patches, retrieval, runs, sampling, tiling, vectors
+from embedlens.plans import q_streams
 from embedlens.sources import manifest as M
 from embedlens.streaming import streams as S
 
@@ -443,3 +446,23 @@ def test_upsert_can_be_replayed(spark, tmp_path):
         last = S.upsert(stream, str(tmp_path / "out"), str(tmp_path / ck), "k", "o")
         results.append({r.k: r.v for r in spark.read.parquet(last).collect()})
     assert results[0] == results[1] == {0: "0-5", 1: "1-5", 2: "2-5"}
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_dedup_whatever_the_order_of_files(spark, monkeypatch, reverse):
+    """The files' modification times are set, against the order of their rows' times too: no event is dropped as late."""
+    want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    given, make = [], S.file_stream
+
+    def touched(spark, path, schema, files=1):
+        paths = sorted(Path(path.removeprefix("file:")).glob("*.parquet"), reverse=reverse)
+        for i, p in enumerate(paths):
+            os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
+        return make(spark, path, schema, files)
+
+    kept = S.deduplicated
+    monkeypatch.setattr(S, "file_stream", touched)
+    monkeypatch.setattr(S, "deduplicated", lambda stream, key, time, delay: given.append(delay) or kept(stream, key, time, delay))
+    got = q_streams.stream_dedup(spark, "/root/testdata/sf0.001")
+    assert got.count() == want == got.select("event_id").distinct().count()
+    assert (given == ["3600 seconds"]) is not reverse
