@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,11 +12,16 @@ from embedlens.plans.registry import query
 from embedlens.streaming import streams as S
 
 
+def streamed(df, spark, name: str, path: str):
+    """``df`` written to ``path``, the stream over its files in two batches or more, and a checkpoint."""
+    df.write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return S.file_stream(spark, path, df.schema, files=max(2, math.ceil(files / 2))), folder(spark, f"{name}-checkpoint")
+
+
 def landed(df, spark, name: str, *order: str, files: int = 4):
     """A folder of files, in order of their rows, and the stream over it."""
-    path = folder(spark, name)
-    (df.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else df.repartition(files)).write.parquet(path)
-    return S.file_stream(spark, path, df.schema, files=2), folder(spark, f"{name}-checkpoint")
+    return streamed(df.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else df.repartition(files), spark, name, folder(spark, name))
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents")
@@ -40,14 +44,15 @@ def stream_upsert(spark, sf_dir):
 def stream_metrics(spark, sf_dir):
     m = B.metrics(spark, sf_dir).select("run_id", "step", "value")
     stream, checkpoint = landed(m, spark, "metrics")
-    return S.to_table(S.rolled_up(stream, "run_id", "step", "value"), f"m{uuid.uuid4().hex[:10]}", checkpoint)
+    return S.snapshot(S.rolled_up(stream, "run_id", "step", "value"), folder(spark, "rolled-up"), checkpoint)
 
 
 @query(B.with_ctes("log", "SELECT run_id, step, value FROM (SELECT run_id, step, value, max(value) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM log WHERE event_type = 'purchase' AND value IS NOT NULL) WHERE value > coalesce(b, -1)"))
 def stream_best(spark, sf_dir):
     m = B.metrics(spark, sf_dir).where("event_type = 'purchase'").select("run_id", "step", "value")
-    stream, checkpoint = landed(m, spark, "best", "step", files=1)
-    return S.to_table(S.running_best_stream(stream, "run_id", "step", "value"), f"b{uuid.uuid4().hex[:10]}", checkpoint, "append")
+    # a run is in one file, so in one batch
+    stream, checkpoint = streamed(m.repartition("run_id").sortWithinPartitions("run_id", "step"), spark, "best", folder(spark, "best"))
+    return S.to_files(S.running_best_stream(stream, "run_id", "step", "value"), folder(spark, "improvements"), checkpoint)
 
 
 @query("SELECT event_id, user_id, value FROM events")
@@ -55,8 +60,7 @@ def stream_dedup(spark, sf_dir):
     """All events land twice; each is kept once. The watermark allows for the order in which the files have really landed."""
     e = B.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
     path = folder(spark, "dedup")
-    e.union(e).repartitionByRange(4, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
-    stream, checkpoint = S.file_stream(spark, path, e.schema, files=2), folder(spark, "dedup-checkpoint")
+    stream, checkpoint = streamed(e.union(e).repartitionByRange(4, "ts", "event_id").sortWithinPartitions("ts", "event_id"), spark, "dedup", path)
     late = S.lateness(spark.read.schema(e.schema).parquet(path), "ts")
     delay = f"{max(3600, math.ceil(late) + 1)} seconds"
-    return S.to_table(S.deduplicated(stream, "event_id", "ts", delay), f"d{uuid.uuid4().hex[:10]}", checkpoint, "append").select("event_id", "user_id", "value")
+    return S.to_files(S.deduplicated(stream, "event_id", "ts", delay), folder(spark, "deduplicated"), checkpoint).select("event_id", "user_id", "value")

@@ -23,48 +23,60 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> str:
     """Last write wins by ``key`` and ``order``. Each batch writes snapshot ``path/v<batch>`` from the one before, so that a replayed
     batch writes the same files again. Returns the last snapshot's path."""
     spark = stream.sparkSession
     schema = stream.schema
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-
-    def versions() -> list[int]:
-        p = fs_path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def write(batch: DataFrame, number: int) -> None:
-        before = [v for v in versions() if v < number]
+        before = [v for v in _versions(spark, path) if v < number]
         both = batch if not before else batch.unionByName(spark.read.schema(schema).parquet(f"{path}/v{before[-1]}"))
         latest_by_key(both, key, F.col(order)).select(*schema.names).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return f"{path}/v{versions()[-1]}"
+    return f"{path}/v{_versions(spark, path)[-1]}"
 
 
 def rolled_up(stream: DataFrame, run: str, step: str, value: str) -> DataFrame:
     return stream.groupBy(run).agg(F.count("*").alias("rows"), F.max(step).alias("last_step"), F.max_by(value, step).alias("last_value"), F.round(F.sum(value), 2).alias("total_value"))
 
 
-def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Appends the stream's rows to Parquet files under ``path`` up to its end, and reads them; no row passes through the driver."""
+    ingest(stream, path, checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def snapshot(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The whole result after the last batch; each batch writes snapshot ``path/v<batch>``, which a replayed batch writes again."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    found = _versions(spark, path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/v{found[-1]}") if found else spark.createDataFrame([], stream.schema)
 
 
 def running_best_stream(stream: DataFrame, run: str, step: str, value: str) -> DataFrame:
-    """(run, step, value) whenever a value beats all that its run has had; one double of state for each run. Files must come in
-    order of steps."""
+    """(run, step, value) whenever a value beats all that its run has had; one double of state for each run. A run's batches must come
+    in order of steps; within a batch its rows may come in any order."""
 
     def f(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         best = state.get[0] if state.exists else -1.0
         rows = []
-        for frame in frames:
-            for s, v in frame.sort_values(step)[[step, value]].itertuples(index=False):
-                if pd.notna(v) and v > best:
-                    best = float(v)
-                    rows.append((key[0], s, best))
+        for s, v in pd.concat([x[[step, value]] for x in frames]).sort_values(step).itertuples(index=False):
+            if pd.notna(v) and v > best:
+                best = float(v)
+                rows.append((key[0], s, best))
         state.update((best,))
         yield pd.DataFrame(rows, columns=[run, step, value])
 

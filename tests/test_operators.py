@@ -466,3 +466,20 @@ def test_dedup_whatever_the_order_of_files(spark, monkeypatch, reverse):
     got = q_streams.stream_dedup(spark, "/root/testdata/sf0.001")
     assert got.count() == want == got.select("event_id").distinct().count()
     assert (given == ["3600 seconds"]) is not reverse
+
+
+def test_streams_write_files_and_not_to_the_driver(spark):
+    """No result is a table of the memory sink; a run's rows are dealt to many files, not one."""
+    before = {t.name for t in spark.catalog.listTables()}
+    for f in (q_streams.stream_dedup, q_streams.stream_best, q_streams.stream_metrics):
+        assert f(spark, "/root/testdata/sf0.001").inputFiles()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_running_best_takes_a_batch_in_any_order(spark, tmp_path):
+    """A run of 25,000 rows comes to its state in several Arrow batches, from the last step to the first."""
+    source = str(tmp_path / "in")
+    spark.range(25_000).select(F.lit(1).cast("long").alias("run_id"), (25_000 - F.col("id")).alias("step"), (25_000 - F.col("id")).cast("double").alias("value")).coalesce(1).write.parquet(source)
+    stream = S.file_stream(spark, source, spark.read.parquet(source).schema)
+    got = S.to_files(S.running_best_stream(stream, "run_id", "step", "value"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert got.count() == 25_000
