@@ -301,14 +301,20 @@ def tile_text_all(spark, sf_dir):
     return tiling.tile_text(docs(spark, sf_dir), "doc_id", "text", 500, min_ratio=0.0).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
 
 
+def page_rasters(spark, sf_dir):
+    """Images 64 pixels wide drawn from the pages' bytes: as many rows as hold them all, the last one filled up with zeros."""
+    p = B.table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("b"))
+    width = 64
+    p = p.withColumn("height", F.greatest(F.lit(1), F.ceil(F.octet_length("b") / (width * 3))).cast("int"))
+    data = F.rpad("b", F.col("height") * width * 3, F.lit(b"\0"))
+    image = F.struct(F.col("page_id").cast("string").alias("origin"), "height", F.lit(width).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
+    return p.select(image.alias("image"))
+
+
 @query()
 def tile_images(spark, sf_dir):
-    """Page rasters drawn from the pages' bytes, as rows of Spark's image type."""
-    p = B.table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("b"))
-    side = F.lit(64)
-    data = F.substring(F.expr("cast(repeat(cast(b as string), 12) as binary)"), 1, 64 * 64 * 3)
-    image = F.struct(F.col("page_id").cast("string").alias("origin"), side.alias("height"), side.alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
-    tiles = tiling.tile_images(p.where(F.octet_length("b") * 12 >= 64 * 64 * 3).select(image.alias("image")), size=40, target=16)
+    """Tiles of every page's raster, rows of Spark's image type."""
+    tiles = tiling.tile_images(page_rasters(spark, sf_dir), size=40, target=16)
     return tiles.select("origin", "x", "y", F.octet_length("pixels").alias("bytes"))
 
 

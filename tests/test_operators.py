@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from embedlens.functions import columns as C
 from embedlens.functions.encode import encode_with, named
 from embedlens.operators import contrastive, moments, neardup, patches, retrieval, runs, sampling, tiling, vectors
-from embedlens.plans import q_streams
+from embedlens.plans import q_corpus, q_streams
 from embedlens.sources import manifest as M
 from embedlens.streaming import streams as S
 
@@ -421,6 +421,26 @@ def test_alignment_without_partner_is_zero(spark):
     assert got == {"a": (0.5, "b"), "c": (0.0, None)}
 
 
+def test_page_tiles_hold_every_page_whole(spark, tmp_path):
+    """Rasters and tiles against numpy: pages of any length, none left out and none cut."""
+    pages = [(r.page_id, bytes(r.html, "utf-8") if isinstance(r.html, str) else bytes(r.html)) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()]
+    pages += [(10**6, b""), (10**6 + 1, None), (10**6 + 2, b"x"), (10**6 + 3, b"ab" * 96), (10**6 + 4, b"y" * 193), (10**6 + 5, bytes(range(32, 127)) * 700)]
+    spark.createDataFrame(pages, "page_id long, html binary").write.parquet(str(tmp_path / "pages.parquet"))
+    want, rasters = set(), {}
+    for page, b in pages:
+        b = b or b""
+        h = max(1, -(-len(b) // 192))
+        data = rasters[str(page)] = b + bytes(h * 192 - len(b))
+        a = np.frombuffer(data, np.uint8).reshape(h, 64, 3)
+        ys = [0] if h <= 40 else sorted({*range(0, h - 40, 40), h - 40})
+        inked = [(x, y) for y in ys for x in (0, 24) if (a[y : y + 40, x : x + 40].mean(2) < 240).mean() >= 0.05]
+        assert inked, "text is ink"
+        want |= {(str(page), x, y, 768) for x, y in inked}
+    assert {r.origin: bytes(r.data) for r in q_corpus.page_rasters(spark, str(tmp_path)).select("image.*").collect()} == rasters
+    got = [tuple(r) for r in q_corpus.tile_images(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # --- streams
 
 
