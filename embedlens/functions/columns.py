@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once for a row, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def l2_normalize(v: Column) -> Column:
-    """v / max(|v|, 1e-12)."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(EPS)))
+    """v / max(|v|, 1e-12); the norm is taken once a vector."""
+    return bound(v, lambda w: bound(F.greatest(norm(w), F.lit(EPS)), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def dims(v: Column, start: int, n: int) -> Column:

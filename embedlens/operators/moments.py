@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.operators.vectors import _matrix, topk
+from embedlens.sources.shared import written
 
 
 @dataclass
@@ -115,16 +116,65 @@ def mutual_knn(a: DataFrame, b: DataFrame, k: int, key: str = "crop_id") -> Data
     return common.crossJoin(n).select(F.lit(k).cast("long").alias("k"), "n", F.round(F.col("common") / (F.col("n") * k), 6).alias("overlap"))
 
 
-def alignment_grid(views: dict[str, DataFrame], k: int = 10) -> DataFrame:
-    """(enc_a, enc_b, metric, value) of all pairs of encoders."""
+def alignment_grid(views: dict[str, DataFrame], k: int = 10, key: str = "crop_id") -> DataFrame:
+    """(enc_a, enc_b, metric, value) of all pairs of encoders, over the items that all of them have.
+
+    The normalised views are joined and written once. Each encoder's neighbours are found once; the CKA of all pairs comes from one pass
+    of moments over the encoders side by side, and one more with the sums.
+    """
     spark = next(iter(views.values())).sparkSession
-    names, rows, out = sorted(views), [], None
+    names, both = sorted(views), None
+    for name in names:
+        one = unit(views[name]).select(key, F.col("v").alias(name))
+        both = one if both is None else both.join(one, key)
+    both = written(both, "views")
+    near = {a: written(topk(v := both.select(F.col(key).alias("id"), F.col(a).alias("v")), v, k).select("q", "id"), "near") for a in names}
+    n = both.count()
+    values = {(a, b): round(v, 6) if v is not None else None for (a, b), v in cka_all(both, names).items()}
+    rows = [(a, b, "cka", values[a, b]) for i, a in enumerate(names) for b in names[i + 1 :]]
+    out = spark.createDataFrame(rows, "enc_a string, enc_b string, metric string, value double")
+    for a, b, _, _ in rows:
+        common = near[a].join(near[b], ["q", "id"]).groupBy().agg(F.round(F.count("*") / F.lit(float(max(n, 1) * k)), 6).alias("value"))
+        out = out.unionByName(common.select(F.lit(a).alias("enc_a"), F.lit(b).alias("enc_b"), F.lit(f"knn_{k}").alias("metric"), "value"))
+    return out
+
+
+def cka_all(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
+    """Debiased CKA of every pair of the vector columns ``names``: two scans, whatever the number of columns."""
+    sizes = df.select(*[F.size(c).alias(c) for c in names]).first()
+    if sizes is None:
+        return {(a, b): None for a in names for b in names}
+    m = moments(df.select(F.concat(*names).alias("x"), F.array(F.lit(0.0)).alias("z")))
+    at = np.cumsum([0, *(sizes[c] for c in names)])
+    span = {c: slice(at[i], at[i + 1]) for i, c in enumerate(names)}
+    shared = df.sparkSession.sparkContext.broadcast([m.sx[span[c]] for c in names])
+    e = len(names)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2 * e + 1, 2 * e + 1))
+        for f in frames:
+            if len(f):
+                parts = [_matrix(f[c]) for c in names]
+                a = [(x * x).sum(1) for x in parts]
+                y = np.stack([np.ones(len(f)), *a, *(x @ s - q for x, s, q in zip(parts, shared.value, a))], 1)
+                total += y.T @ y
+        yield pd.DataFrame({"i": np.repeat(np.arange(2 * e + 1), 2 * e + 1), "j": np.tile(np.arange(2 * e + 1), 2 * e + 1), "x": total.reshape(-1)})
+
+    s = np.zeros((2 * e + 1, 2 * e + 1))
+    for r in df.select(*names).mapInPandas(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():  # (2 e + 1)**2
+        s[r.i, r.j] = r.x
+
+    def hsic(i: int, j: int) -> float | None:
+        a, b = span[names[i]], span[names[j]]
+        return _unbiased(m.n, m.xx[a, b], s[1 + i, 1 + j], m.sx[a], m.sx[b], s[0, 1 + i], s[0, 1 + j], s[1 + e + i, 1 + e + j])
+
+    own = [hsic(i, i) for i in range(e)]
+    out = {}
     for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            rows.append((a, b, "cka", round(cka(paired(unit(views[a]), unit(views[b]))), 6)))
-            knn = mutual_knn(unit(views[a]), unit(views[b]), k).select(F.lit(a).alias("enc_a"), F.lit(b).alias("enc_b"), F.lit(f"knn_{k}").alias("metric"), F.col("overlap").alias("value"))
-            out = knn if out is None else out.unionByName(knn)
-    return out.unionByName(spark.createDataFrame(rows, "enc_a string, enc_b string, metric string, value double"))
+        for j, b in enumerate(names):
+            ok = own[i] is not None and own[i] * own[j] > 0
+            out[a, b] = hsic(i, j) / float(np.sqrt(own[i] * own[j])) if ok else None
+    return out
 
 
 def unit(df: DataFrame) -> DataFrame:

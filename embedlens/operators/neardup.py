@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedlens.functions.columns import hash60
 from embedlens.operators.sampling import global_rank
 from embedlens.sources.shared import written
 
@@ -13,32 +19,54 @@ BITS = 60
 
 
 def simhash(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """(key, hash): 60-bit simhash of distinct lower-cased word n-grams; bits on ties are 0. Texts with fewer words have one n-gram."""
+    """(key, hash): 60-bit simhash of distinct lower-cased word n-grams; bits on ties are 0. Texts with fewer words have one n-gram.
+
+    A row's votes are counted in its own task: nothing is shuffled. An n-gram's hash is the 60-bit md5 prefix of ``sim:<n-gram>``.
+    """
     words = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \\t\\n\\r\\x0b\\f]+", " ")), " "), lambda w: w != "")
-    grams = F.when(F.size("w") < n, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1))), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    features = df.select(key, words.alias("w")).select(key, F.explode(F.array_distinct(grams)).alias("g")).select(key, hash60("sim", F.col("g")).alias("h"))
-    votes = features.groupBy(key).agg(*[F.sum(F.shiftright("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}") for b in range(BITS)])
-    packed = F.lit(0).cast("long")
-    for b in range(BITS):
-        packed = packed + F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
-    return votes.select(key, packed.alias("hash"))
+    powers = np.int64(1) << np.arange(BITS, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            for i, found in enumerate(batch.column("w")):
+                w = found.as_py()
+                grams = {" ".join(w[j : j + n]) for j in range(max(1, len(w) - n + 1))}
+                digests = b"".join([hashlib.md5(b"sim:" + g.encode()).digest()[:8] for g in grams])
+                bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)[:, :BITS]
+                out[i] = powers[::-1][2 * bits.sum(0, dtype=np.int64) > len(grams)].sum()
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out)], names=[key, "hash"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, words.alias("w")).mapInArrow(run, f"{key} {kind}, hash long")
+
+
+def _blocks(n: int, t: int, bits: int) -> int:
+    """Blocks to cut hashes into: of ``m`` blocks some ``m - t`` agree in two hashes within t. Few blocks make long candidate lists, many
+    make many keys; the best is where rows and expected candidates are fewest."""
+    cost = lambda m: comb(m, t) * (n + n * n / 2 ** (1 + bits * (m - t) / m))
+    return min(range(t + 1, t + 5), key=cost)
 
 
 def hamming_pairs(hashes: DataFrame, key: str, t: int = 6, bits: int = BITS) -> DataFrame:
     """(a, b, distance): all pairs a < b within distance t.
 
-    Equal hashes are one value first, so a frequent hash is no hot band; t + 1 bands must agree in one (pigeonhole), then are verified.
+    Equal hashes are one value first, so a frequent hash is no hot key. Hashes are cut into m blocks; two within t agree in m - t of them
+    (pigeonhole), so they meet under the mask of those blocks, and are verified. ``m`` follows the number of distinct hashes, so that keys
+    get longer (up to 24 bits) as there are more of them.
     """
     values = hashes.select("hash").distinct()
-    edges = [round(i * bits / (t + 1)) for i in range(t + 2)]
-    bands = F.array(*[F.shiftright("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])])
-    banded = values.select("hash", F.posexplode(bands).alias("band", "value"))
-    left, right = banded.withColumnRenamed("hash", "x"), banded.withColumnRenamed("hash", "y")
-    near = left.join(right, ["band", "value"]).where("x < y").select("x", "y").distinct().withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long")).where(F.col("distance") <= t)
-    same = hashes.select(F.col("hash").alias("x"), F.col("hash").alias("y"), F.lit(0).cast("long").alias("distance")).distinct()
-    values2 = near.unionByName(same)
+    m = _blocks(values.count(), t, bits)
+    edges = [round(i * bits / m) for i in range(m + 1)]
+    cells = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    masks = [sum(cells[i] for i in c) for c in combinations(range(m), m - t)]
+    keyed = values.select("hash", F.posexplode(F.array(*[F.col("hash").bitwiseAND(F.lit(x)) for x in masks])).alias("mask", "value"))
+    left, right = keyed.withColumnRenamed("hash", "x"), keyed.withColumnRenamed("hash", "y")
+    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long")
+    near = left.join(right, ["mask", "value"]).where("x < y").where(distance <= t).select("x", "y").distinct().withColumn("distance", distance)
+    same = hashes.groupBy(F.col("hash").alias("x")).agg(F.count("*").alias("n")).where("n > 1").select("x", F.col("x").alias("y"), F.lit(0).cast("long").alias("distance"))
     p, q = hashes.select(F.col("hash").alias("x"), F.col(key).alias("p")), hashes.select(F.col("hash").alias("y"), F.col(key).alias("q"))
-    return values2.join(p, "x").join(q, "y").where("p <> q and (x <> y or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+    return near.unionByName(same).join(p, "x").join(q, "y").where("p <> q and (x <> y or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
 def leader_clusters(hashes: DataFrame, key: str, t: int = 6, max_rounds: int = 1000) -> DataFrame:
@@ -46,9 +74,11 @@ def leader_clusters(hashes: DataFrame, key: str, t: int = 6, max_rounds: int = 1
 
     Representatives are the lexicographically first maximal independent set of the distance graph. Equal hashes take their smallest
     id's fate, so the graph is over distinct hashes. A round decides every node whose smaller neighbours are all decided; each round is
-    written to the shared folder.
+    written to the shared folder. Rounds are as many as the longest chain of ids that wait for each other, each at least 1 apart; beyond
+    ``max_rounds`` it raises.
     """
-    nodes = hashes.groupBy("hash").agg(F.min(key).alias("id"))
+    hashes = written(hashes.select(key, "hash"), "leaders")  # read four times below
+    nodes = written(hashes.groupBy("hash").agg(F.min(key).alias("id")), "leaders")
     edges = written(hamming_pairs(nodes.select("hash", F.col("id").alias(key)), key, t).select(F.col("a").alias("small"), F.col("b").alias("large")), "leaders")
     state = written(nodes.select("id", F.lit(None).cast("boolean").alias("rep")), "leaders")
     for _ in range(max_rounds):

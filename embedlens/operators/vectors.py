@@ -22,9 +22,15 @@ def _best(q_ids, q, g_ids, g, k: int, exclude_self: bool) -> pd.DataFrame:
     s = np.round(q @ g.T, 9)
     if exclude_self:
         s[q_ids[:, None] == g_ids[None, :]] = -np.inf
-    order = np.lexsort((np.broadcast_to(g_ids, s.shape), -s), axis=1)[:, :k]
-    out = pd.DataFrame({"q": np.repeat(q_ids, order.shape[1]), "id": g_ids[order].reshape(-1), "sim": np.take_along_axis(s, order, 1).reshape(-1)})
-    return out[out["sim"] > -np.inf]
+    k = min(k, s.shape[1])
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k else np.zeros(len(s))
+    row, at = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # the k best of each row and what ties with the last
+    sim = s[row, at]
+    order = np.lexsort((g_ids[at], -sim, row))
+    row, at, sim = row[order], at[order], sim[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    best = place < k
+    return pd.DataFrame({"q": q_ids[row[best]], "id": g_ids[at[best]], "sim": sim[best]})
 
 
 def topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = True, limit: int = BROADCAST_NUMBERS) -> DataFrame:
@@ -53,22 +59,25 @@ def topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = Tr
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def blocked(left: DataFrame, right: DataFrame, f, schema: str, block: int = BLOCK) -> DataFrame:
-    """``f(left ids, left matrix, right ids, right matrix)`` for every pair of blocks."""
+def blocked(left: DataFrame, right: DataFrame, f, schema: str, block: int = BLOCK, group: bool = False) -> DataFrame:
+    """``f(left ids, left matrix, right ids, right matrix)`` for every pair of blocks; with ``group`` the rows' long column ``g``
+    follows each side's ids."""
+    more = ["g"] if group else []
 
     def dealt(df: DataFrame, salt: int) -> tuple[DataFrame, int]:
         n = max(1, -(-df.count() // block))
-        return df.select("id", "v", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int").alias("b")), n
+        return df.select("id", "v", *more, F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int").alias("b")), n
 
     (a, na), (b, nb) = dealt(left, 1), dealt(right, 2)
-    a = a.select("id", "v", F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("y"), F.lit(0).alias("side"))
-    b = b.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"))
+    a = a.select("id", "v", *more, F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("y"), F.lit(0).alias("side"))
+    b = b.select("id", "v", *more, F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         p, q = frame[frame["side"] == 0].sort_values("id"), frame[frame["side"] == 1].sort_values("id")
         if p.empty or q.empty:
             return pd.DataFrame()
-        return f(p["id"].to_numpy(), _matrix(p["v"]), q["id"].to_numpy(), _matrix(q["v"]))
+        side = lambda x: (x["id"].to_numpy(), *(x[c].to_numpy() for c in more), _matrix(x["v"]))
+        return f(*side(p), *side(q))
 
     return a.unionByName(b).groupBy("x", "y").applyInPandas(run, schema)
 
@@ -82,3 +91,24 @@ def pairwise_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": ai[x], "b": bi[y], "sim": s[x, y]})
 
     return blocked(left, right, run, "a long, b long, sim double", block=512)
+
+
+def pairwise_by_group(items: DataFrame) -> DataFrame:
+    """(g_a, g_b, pairs, mean, top) over all pairs of different items (id, g, v), by their groups. A pair of blocks sends one row for
+    each pair of groups in it, never its pairs of items."""
+
+    def run(ai, ag, a, bi, bg, b):
+        left, ga = np.unique(ag, return_inverse=True)
+        right, gb = np.unique(bg, return_inverse=True)
+        order_a, order_b = np.argsort(ga, kind="stable"), np.argsort(gb, kind="stable")
+        s, same = (a @ b.T)[order_a][:, order_b], (ai[:, None] == bi[None, :])[order_a][:, order_b]
+        cut_a, cut_b = np.searchsorted(ga[order_a], np.arange(len(left))), np.searchsorted(gb[order_b], np.arange(len(right)))
+        fold = lambda m, f: f.reduceat(f.reduceat(m, cut_a, axis=0), cut_b, axis=1)
+        n = fold((~same).astype(np.int64), np.add)
+        total, top = fold(np.where(same, 0.0, s), np.add), fold(np.where(same, -np.inf, s), np.maximum)
+        x, y = np.nonzero(n)
+        return pd.DataFrame({"g_a": left[x], "g_b": right[y], "n": n[x, y], "total": total[x, y], "top": top[x, y]})
+
+    cells = blocked(items, items, run, "g_a long, g_b long, n long, total double, top double", group=True)
+    out = cells.groupBy("g_a", "g_b").agg(F.sum("n").alias("pairs"), F.sum("total").alias("total"), F.max("top").alias("top"))
+    return out.select("g_a", "g_b", "pairs", (F.col("total") / F.col("pairs")).alias("mean"), "top")

@@ -40,14 +40,17 @@ def triplets(spark, sf_dir: str) -> DataFrame:
     """(anchor, role, member): for every crop 3 positives of its page and 4 negatives of others, lowest hash first."""
     c = crops(spark, sf_dir).select("crop_id", "page_id").withColumn("h", C.hash60("trip", F.col("crop_id")))
     ranked = c.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("h", "crop_id"))).where("r <= 4")
-    anchors = c.select(F.col("crop_id").alias("anchor"), F.col("page_id").alias("page"))
-    pos = anchors.join(ranked, F.col("page") == F.col("page_id")).where("anchor <> crop_id")
-    pos = pos.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy("h", "crop_id"))).where("k <= 3")
-    pages = c.select(F.col("page_id").alias("page")).distinct()
-    neg = pages.join(F.broadcast(ranked), F.col("page") != F.col("page_id"))  # a few rows for each page
-    neg = neg.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("h", "crop_id"))).where("k <= 4")
-    neg = anchors.join(neg.select("page", "crop_id"), "page")
-    return pos.select("anchor", F.lit("pos").alias("role"), F.col("crop_id").alias("member")).union(neg.select("anchor", F.lit("neg"), "crop_id"))
+    anchors = c.select(F.col("crop_id").alias("anchor"), "page_id")
+    few = ranked.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("r", "crop_id"))).alias("few"))  # four a page at most
+    mates = F.slice(F.filter(F.transform("few", lambda x: x["crop_id"]), lambda x: x != F.col("anchor")), 1, 3)
+    pos = anchors.join(few, "page_id").select("anchor", F.explode(mates).alias("member"))
+    # a page has four of these at most, so the eight smallest of all hold the four smallest of others for any page
+    least = [F.struct(F.lit(r.page_id).cast("long").alias("page"), F.lit(r.crop_id).cast("long").alias("crop")) for r in ranked.where("page_id is not null").orderBy("h", "crop_id").limit(8).collect()]
+    if not least:
+        return pos.select("anchor", F.lit("pos").alias("role"), "member")
+    others = F.slice(F.transform(F.filter(F.array(*least), lambda x: x["page"] != F.col("page_id")), lambda x: x["crop"]), 1, 4)
+    neg = anchors.select("anchor", F.explode(others).alias("member"))
+    return pos.select("anchor", F.lit("pos").alias("role"), "member").union(neg.select("anchor", F.lit("neg"), "member"))
 
 
 def metrics(spark, sf_dir: str) -> DataFrame:

@@ -29,11 +29,8 @@ def l2_normalize(spark, sf_dir):
 @query(B.with_ctes("vec", f"SELECT a.page_id AS page_a, b.page_id AS page_b, count(*) AS pairs, round(avg({DOT}(a.v, b.v)), 6) AS mean, round(max({DOT}(a.v, b.v)), 6) AS top FROM vec a, vec b WHERE a.crop_id <> b.crop_id GROUP BY 1, 2"))
 def pairwise_cosine(spark, sf_dir):
     """All pairs, rolled up by their pages."""
-    c = B.crops(spark, sf_dir)
-    items, page = c.select(F.col("crop_id").alias("id"), "v"), c.select("crop_id", "page_id")
-    pairs = vectors.pairwise_cosine(items, items)
-    pairs = pairs.join(page.toDF("a", "page_a"), "a").join(page.toDF("b", "page_b"), "b")
-    return pairs.groupBy("page_a", "page_b").agg(F.count("*").alias("pairs"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.max("sim"), 6).alias("top"))
+    c = B.crops(spark, sf_dir).select(F.col("crop_id").alias("id"), F.col("page_id").alias("g"), "v")
+    return vectors.pairwise_by_group(c).select(F.col("g_a").alias("page_a"), F.col("g_b").alias("page_b"), "pairs", F.round("mean", 6).alias("mean"), F.round("top", 6).alias("top"))
 
 
 NEAR = f"near AS (SELECT q, id, sim, rank FROM (SELECT a.crop_id AS q, b.crop_id AS id, round({DOT}(a.v, b.v), 9) AS sim, row_number() OVER (PARTITION BY a.crop_id ORDER BY round({DOT}(a.v, b.v), 9) DESC, b.crop_id) AS rank FROM vec a, vec b WHERE a.crop_id <> b.crop_id) WHERE rank <= 20)"

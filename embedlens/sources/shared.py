@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; where that is unset (tests) under one of our own. It goes when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="embedlens-"))
     path = f"{root.rstrip('/')}/embedlens/{name}-{uuid.uuid4().hex[:12]}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

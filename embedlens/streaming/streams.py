@@ -72,13 +72,11 @@ def running_best_stream(stream: DataFrame, run: str, step: str, value: str) -> D
 
     def f(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         best = state.get[0] if state.exists else -1.0
-        rows = []
-        for s, v in pd.concat([x[[step, value]] for x in frames]).sort_values(step).itertuples(index=False):
-            if pd.notna(v) and v > best:
-                best = float(v)
-                rows.append((key[0], s, best))
-        state.update((best,))
-        yield pd.DataFrame(rows, columns=[run, step, value])
+        rows = pd.concat([x[[step, value]] for x in frames]).sort_values(step, kind="stable")
+        top = rows[value].astype(float).fillna(float("-inf")).cummax().clip(lower=best)
+        better = rows[top > top.shift(fill_value=best)]
+        state.update((float(top.iloc[-1]) if len(top) else best,))
+        yield pd.DataFrame({run: [key[0]] * len(better), step: better[step], value: better[value].astype(float)})
 
     kinds = dict(stream.dtypes)
     return stream.groupBy(run).applyInPandasWithState(f, f"{run} {kinds[run]}, {step} {kinds[step]}, {value} double", "best double", "append", "NoTimeout")
