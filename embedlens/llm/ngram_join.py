@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from embedlens.llm import textnp
 from embedlens.llm.components import connected_components
-from embedlens.llm.shared import Scratch, over_texts, power_of_two, shuffle_partitions, slices, text_buffer
+from embedlens.llm.shared import Scratch, fresh, over_texts, power_of_two, shuffle_partitions, slices, text_buffer
 
 U = np.uint64
 #: Buckets of at most so many sets give all their pairs at once.
@@ -343,8 +343,10 @@ def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> D
 
 def one_of_each_group(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents`` whose doc_id is the smallest of its group; of rows that share a doc_id one stays."""
-    groups = ngram_groups(documents, shingle, percent).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_group"), F.count("*").alias("_rows"))
-    special = groups.where("doc_id <> _group or _rows > 1").select(F.col("doc_id").alias("_id"), (F.col("doc_id") != F.col("_group")).alias("_gone"))
-    marked = documents.join(special, documents["doc_id"] == special["_id"], "left")
-    plain = marked.where("_id is null").drop("_id", "_gone")
-    return plain.unionByName(marked.where("not _gone").drop("_id", "_gone").dropDuplicates(["doc_id"]))
+    names = documents.columns
+    id_, group, rows, gone = fresh(names, "id", "group", "rows", "gone")
+    groups = ngram_groups(documents, shingle, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.min("component_id").alias(group), F.count("*").alias(rows))
+    special = groups.where((F.col(id_) != F.col(group)) | (F.col(rows) > 1)).select(id_, (F.col(id_) != F.col(group)).alias(gone))
+    marked = documents.join(special, documents["doc_id"] == special[id_], "left")
+    plain = marked.where(F.col(id_).isNull()).select(*names)
+    return plain.unionByName(marked.where(~F.col(gone)).select(*names).dropDuplicates(["doc_id"]))

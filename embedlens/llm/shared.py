@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a slice of its own.
-SLICE_BYTES = (4 << 20) - 1
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="embedlens-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -107,6 +109,18 @@ def doc_crc(c: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that clash with none in ``taken``; Spark compares names without case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
