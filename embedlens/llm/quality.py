@@ -1,37 +1,49 @@
 """Quality rules: base counts, and character n-gram perplexity under modified Kneser-Ney models of each language.
 
-1. Spark counts documents by language (the ``MAX_LANGS`` largest have models, the rest share one), characters by language (the
-   ``ALPHABET`` - 1 most frequent have a class, the rest share class 0; a run of white space is one space), and class trigrams by
-   language, all over all whole texts.
-2. The counts, at most ALPHABET**3 for a language, make a modified Kneser-Ney model (Chen and Goodman, 1998): sorted arrays of packed
-   n-gram hashes with probabilities and back-off weights. Its size is bounded by these parameters, so it is broadcast.
-3. Every text gets the mean log10 probability of its characters; log10 perplexity is its negative. Of the texts that pass the base
-   rules each language has a histogram (steps of 0.001), from which its band is: median -/+ ``spread`` times the distance from the
-   median to the outer quartiles, widened for short texts in proportion to 1/sqrt(characters). Outside its band a document is rejected.
+1. Spark counts the code point trigrams of every language, over all whole texts (a run of white space is one space). A gram packs into
+   63 bits, so all characters of all languages are told apart. Tasks merge their own counts; Spark sums them.
+2. Counts become a modified Kneser-Ney model (Chen and Goodman, 1998) in Spark: continuation counts, discounts, back-off weights and
+   interpolated probabilities are groupings and joins of the gram tables by language. An entry's key is the 64-bit hash of language, kind
+   and gram; a model is sorted arrays of such hashes with their values, and is searched.
+3. A model of at most ``MODEL_ENTRIES`` entries is broadcast. Beyond that, texts are dealt by language and salt, each group preceded by its
+   language's entries, so that a task holds one language's arrays.
+4. A text's log10 perplexity is the negative mean log10 probability of its characters. Of the texts that pass the base rules each language
+   has a histogram (steps of 0.001), from which its band is: median -/+ ``spread`` times the distance from the median to the outer
+   quartiles, widened for short texts in proportion to 1/sqrt(characters). Outside its band a document is rejected.
 
 Defined cases: null text has no words and fails the base rules. A null lang is a language of its own. A language without texts that
 pass has no band and rejects nothing. Equal rows and rows that share a doc_id are judged each by itself; an empty table gives no rows.
+Columns of any other names are left alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from embedlens.llm import textnp
-from embedlens.llm.shared import Scratch, over_texts, slices, text_buffer
+from embedlens.llm.shared import Scratch, fresh, slices, text_buffer
 
 U = np.uint64
-MAX_LANGS = 16
-ALPHABET = 64
 SYMBOLS = b"#*$%&|<>"
 #: Width of a band in distances from the median to the quartile on that side, and what short texts get besides.
 SPREAD, SHORT = 5.0, 0.5
 STEP = 0.001
+#: Entries (12 bytes each) of a model that is broadcast.
+MODEL_ENTRIES = 4 << 20
+#: Texts of one language that share a copy of its entries where the model is not broadcast.
+GROUP_TEXTS = 100_000
+SLICE = 1 << 20
+#: A code point's bits, and kinds of entries: probabilities of each order, back-off weights of contexts of two and one, unseen characters.
+BITS = 21
+TRIGRAM, BIGRAM, UNIGRAM, BACK2, BACK1, UNSEEN = range(6)
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang_key long, chars long, log_perplexity double"
 _models: dict = {}
 
 
@@ -66,200 +78,281 @@ def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
 
 
 def characters(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, white space runs as one space and a space around each text; and which text each is of."""
+    """Code points of all texts, white space runs as one space; and which text each is of."""
     data, offsets = text_buffer(col)
-    raw = data.tobytes()
-    points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32).copy()
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(textnp.code_points(data)[offsets]))
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(textnp.code_points(data)[offsets]))
     points[(points >= 9) & (points <= 13)] = 32
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32) | (doc[1:] != doc[:-1])
     return points[keep], doc[keep]
 
 
-class Alphabets:
-    """Language and character classes; picklable and small."""
-
-    def __init__(self, langs: list[str], letters: dict[int, list[int]]):
-        self.langs = {x: i for i, x in enumerate(langs)}
-        self.letters = {i: np.array(sorted(v), np.uint32) for i, v in letters.items()}
-        self.n = len(langs) + 1
-
-    def lang(self, col: pa.Array) -> np.ndarray:
-        return np.array([self.langs.get(x if x is not None else "\x00null", self.n - 1) for x in col.to_pylist()], np.int64)
-
-    def trigrams(self, texts: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Packed (lang, a, b, c) of every character after the first, and its text. The two before a text's start are spaces."""
-        points, doc = characters(texts)
-        lang = langs[doc]
-        cls = np.zeros(len(points), np.int64)
-        for i in np.unique(lang):
-            mine = np.flatnonzero(lang == i)
-            letters = self.letters.get(int(i), np.zeros(0, np.uint32))
-            if len(letters):
-                at = np.minimum(np.searchsorted(letters, points[mine]), len(letters) - 1)
-                cls[mine] = np.where(letters[at] == points[mine], at + 1, 0)
-        space = np.array([int(np.searchsorted(v, 32)) + 1 if (v := self.letters.get(i, np.zeros(0, np.uint32))).size and 32 in v else 0 for i in range(self.n)])
-        one, two = space[lang], space[lang]
-        same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-        one[1:] = np.where(same1, cls[:-1], one[1:])
-        two[2:] = np.where(same2, cls[:-2], two[2:])
-        return ((lang * ALPHABET + two) * ALPHABET + one) * ALPHABET + cls, doc
-
-
-def _kneser_ney(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Dense counts [a, b, c] to modified Kneser-Ney: (own part, back-off weight) of orders 3 and 2, and order 1's probabilities."""
-
-    def discounts(c):
-        n = [np.count_nonzero(c == i) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        d = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 for i in (1, 2, 3)]
-        return [min(max(x, 0.05), i) for i, x in enumerate(d, 1)]
-
-    def own(c):
-        d = discounts(c)
-        total = c.sum(-1, keepdims=True)
-        cut = np.select([c == 0, c == 1, c == 2], [0, d[0], d[1]], d[2])
-        safe = np.maximum(total, 1)
-        return np.maximum(c - cut, 0) / safe, np.where(total[..., 0] > 0, cut.sum(-1) / safe[..., 0], 1.0)
-
-    c2 = (counts > 0).sum(0).astype(float)
-    c1 = (c2 > 0).sum(0).astype(float)
-    p3, g3 = own(counts.astype(float))
-    p2, g2 = own(c2)
-    p1, g1 = own(c1)
-    return p3, g3, p2, g2, p1 + g1 / len(c1)
+def _distinct(two: np.ndarray, one: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed distinct trigrams, the place of each trigram among them, and their counts."""
+    seen = np.flatnonzero(np.bincount(now, minlength=33))
+    seen = np.union1d(seen, [32])
+    k = len(seen)
+    if k**3 <= 1 << 24:  # few characters: counted in a table instead of sorted
+        small = np.zeros(int(seen[-1]) + 1, np.int32)
+        small[seen] = np.arange(k)
+        code = (small[two] * k + small[one]) * k + small[now]
+        count = np.bincount(code, minlength=k**3)
+        found = np.flatnonzero(count)
+        place = np.zeros(k**3, np.int32)
+        place[found] = np.arange(len(found))
+        a, b, c = (seen[x].astype(np.int64) for x in (found // (k * k), found // k % k, found % k))
+        return (a << 2 * BITS) | (b << BITS) | c, place[code], count[found]
+    packed = (two.astype(np.int64) << 2 * BITS) | (one.astype(np.int64) << BITS) | now
+    return np.unique(packed, return_inverse=True, return_counts=True)
+
+
+def trigrams(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows sorted by lang_key, for each language: (lang_key, distinct trigrams, their counts, each trigram's place among them, its
+    text). The two characters before a text's start are spaces."""
+    points, doc = characters(part.column("text"))
+    lang = part.column("lang_key").to_numpy()
+    one, two = np.full(len(points), 32, np.uint32), np.full(len(points), 32, np.uint32)
+    same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+    one[1:][same1] = points[:-1][same1]
+    two[2:][same2] = points[:-2][same2]
+    starts = np.flatnonzero(np.concatenate([[True], lang[1:] != lang[:-1]]))
+    at = np.searchsorted(doc, [*starts, len(lang)])
+    for i, a, b in zip(starts, at[:-1], at[1:]):
+        if a < b:
+            grams, place, count = _distinct(two[a:b], one[a:b], points[a:b])
+            yield int(lang[i]), grams, count, place, doc[a:b]
+
+
+def _sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, limit=SLICE):
+            yield part.take(pa.array(np.argsort(part.column("lang_key").to_numpy(), kind="stable")))
+
+
+def _count(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(lang_key, gram, n): a task's counts, sent whenever there are more than ``limit`` distinct ones."""
+    held: dict[int, list] = {}
+
+    def merged() -> int:
+        for lang, found in held.items():
+            grams, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            held[lang] = [(grams, np.bincount(place, np.concatenate([n for _, n in found])).astype(np.int64))]
+        return sum(len(found[0][0]) for found in held.values())
+
+    def send() -> Iterator[pa.RecordBatch]:
+        merged()
+        for lang, [(grams, n)] in held.items():
+            for a in range(0, len(grams), 100_000):
+                part = grams[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), lang)), pa.array(part), pa.array(n[a : a + 100_000])], names=["lang_key", "gram", "n"])
+        held.clear()
+
+    size = 0
+    for part in _sorted_slices(batches):
+        for lang, grams, n, _, _ in trigrams(part):
+            held.setdefault(lang, []).append((grams, n))
+            size += len(grams)
+        if size > limit:
+            size = merged()
+            if size > limit // 2:
+                yield from send()
+                size = 0
+    yield from send()
+
+
+def _order(counts: DataFrame, context: Column) -> tuple[DataFrame, DataFrame]:
+    """Of (lang_key, gram, n): (lang_key, gram, context, own) with the discounted share, and (lang_key, context, back)."""
+    c = counts.withColumn("context", context)
+    n = [F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]
+    found = c.groupBy("lang_key").agg(*[x.alias(f"n{i}") for i, x in enumerate(n, 1)])
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+    discount = lambda i: F.least(F.lit(float(i)), F.greatest(F.lit(0.05), F.when(F.col(f"n{i}") > 0, i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(F.lit(0.5))))
+    discounts = found.select("lang_key", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    c = c.join(discounts, "lang_key").withColumn("cut", cut)
+    totals = c.groupBy("lang_key", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
+    own = c.join(totals, ["lang_key", "context"]).select("lang_key", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"))
+    return own, totals.select("lang_key", "context", "back")
+
+
+def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lang_key, kind, gram, value): the entries of all models, values in log10; ``counts`` has (lang_key, gram, n) of trigrams."""
+    gram, low = F.col("gram"), lambda x, k: x.bitwiseAND(F.lit((1 << k * BITS) - 1))
+    bigrams = scratch.stash(counts.groupBy("lang_key", low(gram, 2).alias("gram")).agg(F.count("*").alias("n")), "bigrams")
+    unigrams = bigrams.groupBy("lang_key", low(gram, 1).alias("gram")).agg(F.count("*").alias("n"))
+    own1, back0 = _order(unigrams, F.lit(0).cast("long"))
+    kinds = unigrams.groupBy("lang_key").agg((F.count("*") + 1).alias("kinds"))
+    floor = back0.join(kinds, "lang_key").select("lang_key", (F.col("back") / F.col("kinds")).alias("floor"))  # what an unseen character has
+    p1 = scratch.stash(own1.join(floor, "lang_key").select("lang_key", "gram", (F.col("own") + F.col("floor")).alias("p")), "p1")
+    own2, back1 = _order(bigrams, F.shiftrightunsigned(gram, BITS))
+    back1 = scratch.stash(back1, "back1")
+    rest = p1.select("lang_key", F.col("gram").alias("last"), F.col("p").alias("rest"))
+    p2 = own2.withColumn("last", low(gram, 1)).join(back1, ["lang_key", "context"]).join(rest, ["lang_key", "last"]).select("lang_key", "gram", (F.col("own") + F.col("back") * F.col("rest")).alias("p"))
+    p2 = scratch.stash(p2, "p2")
+    own3, back2 = _order(counts, F.shiftrightunsigned(gram, BITS))
+    back2 = scratch.stash(back2, "back2")
+    rest = p2.select("lang_key", F.col("gram").alias("last"), F.col("p").alias("rest"))
+    p3 = own3.withColumn("last", low(gram, 2)).join(back2, ["lang_key", "context"]).join(rest, ["lang_key", "last"]).select("lang_key", "gram", (F.col("own") + F.col("back") * F.col("rest")).alias("p"))
+    parts = [(TRIGRAM, p3, "gram", "p"), (BIGRAM, p2, "gram", "p"), (UNIGRAM, p1, "gram", "p"), (BACK2, back2, "context", "back"), (BACK1, back1, "context", "back"), (UNSEEN, floor.withColumn("gram", F.lit(0).cast("long")), "gram", "floor")]
+    out = None
+    for kind, df, key, value in parts:
+        one = df.select("lang_key", F.lit(kind).alias("kind"), F.col(key).alias("gram"), F.log10(value).cast("float").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return scratch.stash(out, "model")
+
+
+def entry_hash(lang: np.ndarray | int, kind: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
+    salt = textnp.mix(np.atleast_1d(np.asarray(lang, np.int64)).view(U) + np.asarray(kind).astype(U) * U(0x9E3779B97F4A7C15))
+    return textnp.mix(textnp.mix(np.asarray(gram, np.int64).view(U)) + salt)
 
 
 class Model:
-    """Sorted hash arrays: packed trigrams with their own part, contexts with back-off weights, and lower orders."""
-
-    def __init__(self, n_langs: int, codes: np.ndarray, counts: np.ndarray):
-        cube = ALPHABET**3
-        self.n = n_langs
-        keys3, own3, keys2, own2, back3, back2, first = [], [], [], [], [], [], []
-        for lang in range(n_langs):
-            mine = codes // cube == lang
-            dense = np.zeros(cube)
-            dense[codes[mine] % cube] = counts[mine]
-            p3, g3, p2, g2, p1 = _kneser_ney(dense.reshape(ALPHABET, ALPHABET, ALPHABET))
-            for keys, own, p, base in ((keys3, own3, p3, lang * cube), (keys2, own2, p2, lang * ALPHABET**2)):
-                at = np.flatnonzero(p)
-                keys.append(at + base)
-                own.append(p.reshape(-1)[at])
-            back3.append(g3.reshape(-1)), back2.append(g2), first.append(p1)
-        self.keys3, self.own3, self.keys2, self.own2 = (np.concatenate(x) for x in (keys3, own3, keys2, own2))
-        self.back3, self.back2, self.first = np.stack(back3), np.stack(back2), np.stack(first)
-
-    def table(self) -> np.ndarray:
-        """log10 probability of every packed trigram, looked up in the sorted arrays; made once in a worker."""
-        size = ALPHABET**3
-        p2 = np.zeros(self.n * ALPHABET**2)
-        p2[self.keys2] = self.own2
-        p2 = p2.reshape(self.n, ALPHABET, ALPHABET) + self.back2[:, :, None] * self.first[:, None, :]
-        p3 = np.zeros(self.n * size)
-        p3[self.keys3] = self.own3
-        p3 = p3.reshape(self.n, ALPHABET, ALPHABET, ALPHABET) + self.back3.reshape(self.n, ALPHABET, ALPHABET, 1) * p2[:, None]
-        return np.log10(np.maximum(p3, 1e-12)).astype(np.float32).reshape(-1)
-
-
-def fit_model(documents: DataFrame) -> tuple[Alphabets, Model]:
-    source = documents.select("lang", "text").where("text is not null")
-    langs = source.groupBy(F.coalesce("lang", F.lit("\x00null")).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    shared = Alphabets([r.lang for r in langs], {})
-
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                points, doc = characters(part.column("text"))
-                key, n = np.unique((shared.lang(part.column("lang"))[doc] << 32) | points, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array(key & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["lang", "letter", "n"])
-
-    found = source.mapInArrow(letters, "lang int, letter long, n long").groupBy("lang", "letter").agg(F.sum("n").alias("n"))
-    top = found.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "letter"))), 1, ALPHABET - 1).alias("top"))
-    shared = Alphabets([r.lang for r in langs], {r.lang: [x.letter for x in r.top] for r in top.collect()})
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shared.n * ALPHABET**3, np.int64)  # a task's counts, of bounded size
+    """Sorted hash arrays of entries."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], values[order].astype(np.float32)
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Model:
+        lang, kind, gram, value = (table.column(c).to_numpy() for c in ("lang_key", "kind", "gram", "value"))
+        return cls(entry_hash(lang, kind, gram), value)
+
+    def look(self, lang: int, kind: int, gram: np.ndarray, missing: float | np.ndarray) -> np.ndarray:
+        h = entry_hash(lang, kind, gram)
+        if not len(self.hashes):
+            return np.full(len(h), missing, np.float64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.values[at].astype(np.float64), missing)
+
+    def log10(self, lang: int, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each packed trigram's last character after its first two."""
+        out = self.look(lang, TRIGRAM, grams, np.nan)
+        miss = np.flatnonzero(np.isnan(out))
+        if len(miss):
+            g = grams[miss]
+            two = self.look(lang, BIGRAM, g & ((1 << 2 * BITS) - 1), np.nan)
+            no = np.flatnonzero(np.isnan(two))
+            if len(no):
+                unseen = self.look(lang, UNSEEN, np.zeros(1, np.int64), -12.0)[0]
+                last = g[no] & ((1 << BITS) - 1)
+                two[no] = self.look(lang, BACK1, (g[no] >> BITS) & ((1 << BITS) - 1), 0.0) + self.look(lang, UNIGRAM, last, unseen)
+            out[miss] = two + self.look(lang, BACK2, g >> BITS, 0.0)
+        return out
+
+
+def judge(part: pa.RecordBatch, model: Model) -> dict[str, np.ndarray]:
+    """The columns of ``COUNTS`` of rows that are sorted by lang_key."""
+    out = base_counts(part.column("text"))
+    n, total = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
+    for lang, grams, _, place, doc in trigrams(part):
+        n += np.bincount(doc, minlength=part.num_rows)
+        total -= np.bincount(doc, model.log10(lang, grams)[place], minlength=part.num_rows)
+    return out | {"base_failed": base_failed(out["n_words"], out["n_repeat_words"]), "lang_key": part.column("lang_key").to_numpy(), "chars": n, "log_perplexity": total / np.maximum(n, 1)}
+
+
+def _with_language(documents: DataFrame, name: str) -> DataFrame:
+    lang = F.col("lang").cast("string")
+    return documents.withColumn(name, F.when(lang.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(lang)))
+
+
+def fit_model(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """The entries of ``kneser_ney`` over all texts."""
+    source = _with_language(documents.select("lang", "text").where("text is not null"), "lang_key").select("lang_key", "text")
+    counts = source.mapInArrow(_count, "lang_key long, gram long, n long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
+    return kneser_ney(scratch.stash(counts, "counts"), scratch)
+
+
+def scored(documents: DataFrame, scratch: Scratch, limit: int = MODEL_ENTRIES, group_texts: int = GROUP_TEXTS) -> tuple[DataFrame, str]:
+    """The input's rows with a struct column of ``COUNTS``, and that column's name."""
+    entries = fit_model(documents, scratch)
+    names = documents.columns
+    result, lang_key, salt, table = fresh([*names, "text", "lang_key"], "judged", "lang", "salt", "entries")
+    schema = T.StructType([*documents.schema.fields, T.StructField(result, T._parse_datatype_string(COUNTS))])
+
+    def judged_rows(part: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+        lang = part.column(part.schema.get_field_index(lang_key))
+        found = judge(pa.RecordBatch.from_arrays([part.column("text"), lang], names=["text", "lang_key"]), model)
+        struct = pa.StructArray.from_arrays([pa.array(v) for v in found.values()], names=list(found))
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), struct], names=[*names, result])
+
+    def by_language(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, limit=SLICE):
+            yield part.take(pa.array(np.argsort(part.column(part.schema.get_field_index(lang_key)).to_numpy(), kind="stable")))
+
+    source = _with_language(documents, lang_key)
+    if entries.count() <= limit:
+        key, shared = uuid.uuid4().hex, documents.sparkSession.sparkContext.broadcast(Model.of(entries.toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in by_language(batch):
+                    yield judged_rows(part, shared.value)
+
+        return source.mapInArrow(run, schema), result
+
+    sizes = source.groupBy(lang_key).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group_texts)).cast("long").alias(salt))
+    packed = entries.groupBy("lang_key", F.pmod(F.xxhash64("gram"), F.lit(64)).alias("cut")).agg(F.collect_list(F.struct("kind", "gram", "value")).alias(table))
+    packed = packed.join(sizes.select(F.col(lang_key).alias("lang_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(salt) - 1)).alias(salt)), "lang_key")
+    packed = packed.select(F.col("lang_key").alias(lang_key), salt, table)
+    texts = source.join(F.broadcast(sizes.withColumnRenamed(salt, salt + "n")) if sizes.count() <= 100_000 else sizes.withColumnRenamed(salt, salt + "n"), lang_key)
+    texts = texts.withColumn(salt, F.pmod(F.xxhash64("text", F.rand(7)), F.col(salt + "n"))).drop(salt + "n")
+    both = texts.unionByName(packed, allowMissingColumns=True).repartition(lang_key, salt).sortWithinPartitions(lang_key, salt, F.col(table).isNull())
+
+    def run_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each (language, salt) brings its entries first, then its texts."""
+        model, held, now = None, [], None
         for batch in batches:
-            for part in slices(batch):
-                codes, _ = shared.trigrams(part.column("text"), shared.lang(part.column("lang")))
-                total += np.bincount(codes, minlength=len(total))
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], names=["code", "n"])
-
-    counts = source.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(counts["code"].to_numpy(), kind="stable")
-    return shared, Model(shared.n, counts["code"].to_numpy()[order], counts["n"].to_numpy()[order])
-
-
-def _score(key: str, alphabets: Alphabets, model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language number, characters and log10 perplexity of each text."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = model.table()
-    lang = alphabets.lang(part.column("lang"))
-    codes, doc = alphabets.trigrams(part.column("text"), lang)
-    n = np.bincount(doc, minlength=part.num_rows)
-    return lang, n, -np.bincount(doc, _models[key][codes], minlength=part.num_rows) / np.maximum(n, 1)
-
-
-def bands(histogram: list, spread: float) -> dict[int, tuple[float, float, float]]:
-    """(low, high, quartile distance) of each language from rows (lang, bin, n)."""
-    out = {}
-    for lang in {r.lang for r in histogram}:
-        rows = sorted((r.bin, r.n) for r in histogram if r.lang == lang)
-        bins, n = np.array([r[0] for r in rows]), np.cumsum([r[1] for r in rows])
-        q1, q2, q3 = (bins[np.searchsorted(n, q * n[-1])] * STEP for q in (0.25, 0.5, 0.75))
-        low, high = max(q2 - q1, 3 * STEP), max(q3 - q2, 3 * STEP)
-        out[lang] = (q2 - spread * low, q2 + spread * high, low + high)
-    return out
-
-
-def judged(documents: DataFrame, spread: float = SPREAD, short: float = SHORT, keep_rows: bool = False) -> DataFrame:
+            lang, cut = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (lang_key, salt))
+            entries_ = batch.column(batch.schema.get_field_index(table))
+            kind = np.asarray(entries_.is_valid())
+            change = np.flatnonzero((lang[1:] != lang[:-1]) | (cut[1:] != cut[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *change], [*change, len(lang)]):
+                if a == b:
+                    continue
+                if (lang[a], cut[a]) != now:
+                    now, held, model = (lang[a], cut[a]), [], None
+                if kind[a]:
+                    flat = entries_.slice(a, b - a).flatten()
+                    k, g, v = flat.flatten()
+                    held.append((entry_hash(int(lang[a]), k.to_numpy(), g.to_numpy()), v.to_numpy()))
+                    continue
+                if model is None:
+                    model, held = Model(*(np.concatenate(x) for x in zip(*held))) if held else Model(np.zeros(0, U), np.zeros(0)), []
+                for part in by_language(batch.slice(a, b - a)):
+                    yield judged_rows(part, model)
+
+    return both.mapInArrow(run_dealt, schema), result
+
+
+def bands(passed: DataFrame, spread: float) -> DataFrame:
+    """(lang_key, low, high) of rows (lang_key, log_perplexity), from a histogram of at most 12 / STEP bins a language."""
+    bins = passed.groupBy("lang_key", F.round(F.least("log_perplexity", F.lit(12.0)) / STEP).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang_key").orderBy("bin"))
+    bins = bins.select("lang_key", "bin", upto.alias("upto"), F.sum("n").over(Window.partitionBy("lang_key")).alias("all"))
+    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * STEP
+    q = bins.groupBy("lang_key").agg(*[quartile(x).alias(c) for x, c in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    width = lambda a, b: spread * F.greatest(F.col(a) - F.col(b), F.lit(3 * STEP))
+    return q.select("lang_key", (F.col("q2") - width("q2", "q1")).alias("low"), (F.col("q2") + width("q3", "q2")).alias("high"))
+
+
+def judged(documents: DataFrame, spread: float = SPREAD, short: float = SHORT, keep_rows: bool = False, limit: int = MODEL_ENTRIES) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, log_perplexity; with
-    ``keep_rows`` the input's rows that are kept instead."""
-    import uuid
-
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "quality")
-    alphabets, model = fit_model(documents)
-    key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast((alphabets, model))
-
-    def row(part: pa.RecordBatch) -> dict:
-        counts = base_counts(part.column("text"))
-        lang, n, ppl = _score(key, *shared.value, part)
-        return counts | {"base_failed": base_failed(counts["n_words"], counts["n_repeat_words"]), "lang_no": lang, "chars": n, "log_perplexity": ppl}
-
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang_no int, chars long, log_perplexity double"
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        r = row(part)
-        r["lang_no"] = r["lang_no"].astype(np.int32)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *map(pa.array, r.values())], names=["doc_id", "lang", *r])
-
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    scored = scratch.stash(source.mapInArrow(over_texts(run), schema), "scored")
-    passed = scored.where("not base_failed and chars >= 100")
-    histogram = passed.groupBy(F.col("lang_no").alias("lang"), F.round(F.least(F.col("log_perplexity"), F.lit(12.0)) / STEP).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()  # at most 12 / STEP rows a language
-    band = bands(histogram, spread)
-
-    def verdict(lang_no, chars, ppl):
-        low, high, quartiles = (np.array([band.get(i, (-np.inf, np.inf, 0.0))[k] for i in range(alphabets.n)]) for k in range(3))
-        more = short / np.sqrt(np.maximum(chars, 1))
-        return (ppl >= low[lang_no] - more) & (ppl <= high[lang_no] + more)
-
+    ``keep_rows`` the input's rows that are kept instead. ``limit``: see ``MODEL_ENTRIES``."""
+    scratch = Scratch(documents.sparkSession, "quality")
+    names = documents.columns
+    source = documents if keep_rows else documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows, result = scored(source, scratch, limit)
+    rows = scratch.stash(rows if keep_rows else rows.drop("text"), "scored")  # texts go along only where rows are asked for
+    r = F.col(result)
+    band = scratch.stash(bands(rows.select(f"{result}.*").where("not base_failed").select("lang_key", "log_perplexity"), spread), "bands")
+    low, high, key = fresh([*rows.columns], "low", "high", "key")
+    band = band.select(F.col("lang_key").alias(key), F.col("low").alias(low), F.col("high").alias(high))
+    both = rows.join(F.broadcast(band) if band.count() <= 100_000 else band, r["lang_key"] == F.col(key), "left")  # a row a language
+    more = F.lit(short) / F.sqrt(F.greatest(r["chars"], F.lit(1)))
+    inside = (r["log_perplexity"] >= F.coalesce(low, F.lit(float("-inf"))) - more) & (r["log_perplexity"] <= F.coalesce(high, F.lit(float("inf"))) + more)
+    kept = ~r["base_failed"] & inside
     if keep_rows:
-        names = documents.columns
-
-        def clean(part: pa.RecordBatch) -> pa.RecordBatch:
-            r = row(part)
-            return part.filter(pa.array(verdict(r["lang_no"], r["chars"], r["log_perplexity"]) & ~r["base_failed"])).select(names)
-
-        return documents.mapInArrow(over_texts(clean), documents.schema)
-    whens = F.lit(True)
-    for i, (low, high, _) in band.items():
-        more = F.lit(short) / F.sqrt(F.greatest(F.col("chars"), F.lit(1)))
-        whens = F.when(F.col("lang_no") == i, (F.col("log_perplexity") >= F.lit(low) - more) & (F.col("log_perplexity") <= F.lit(high) + more)).otherwise(whens)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & whens).alias("kept"), "lang", "log_perplexity")
+        return both.where(kept).select(*names)
+    return both.select("doc_id", *[r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"), "lang", r["log_perplexity"].alias("log_perplexity"))

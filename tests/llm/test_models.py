@@ -73,12 +73,78 @@ def test_quality_verdicts(spark, documents, rows, empty):
     assert Counter(r.doc_id for r in kept.collect()) == both
 
 
-def test_kneser_ney_is_normalised():
+def plain_kneser_ney(texts):
+    """Modified Kneser-Ney over characters by its definition: p(c | a, b) as a function."""
+    runs = ["  " + re.sub("[ \t\n\x0b\x0c\r]+", " ", t) for t in texts]
+    c3 = Counter(r[i : i + 3] for r in runs for i in range(len(r) - 2))
+    c2 = Counter(g[1:] for g in c3)
+    c1 = Counter(g[1:] for g in c2)
+
+    def order(counts, context):
+        n = [sum(1 for x in counts.values() if x == i) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5, 0.05), i) for i in (1, 2, 3)]
+        total, cut = Counter(), Counter()
+        for g, x in counts.items():
+            total[context(g)] += x
+            cut[context(g)] += d[min(x, 3) - 1]
+        return {g: (x - d[min(x, 3) - 1]) / total[context(g)] for g, x in counts.items()}, {h: cut[h] / total[h] for h in total}
+
+    own3, back3 = order(c3, lambda g: g[:2])
+    own2, back2 = order(c2, lambda g: g[:1])
+    own1, back1 = order(c1, lambda g: "")
+
+    def p(g):
+        p1 = own1.get(g[2], 0) + back1[""] / (len(c1) + 1)
+        p2 = own2.get(g[1:], 0) + back2.get(g[1], 1) * p1
+        return own3.get(g, 0) + back3.get(g[:2], 1) * p2
+
+    return runs, p
+
+
+def plain_bands(scores, spread=5.0, step=0.001):
+    bins = sorted(round(min(x, 12.0) / step) for x in scores)
+    q1, q2, q3 = (next(b for i, b in enumerate(bins, 1) if i >= q * len(bins)) * step for q in (0.25, 0.5, 0.75))
+    return q2 - spread * max(q2 - q1, 3 * step), q2 + spread * max(q3 - q2, 3 * step)
+
+
+@pytest.mark.parametrize("limit", [quality.MODEL_ENTRIES, 0])
+def test_quality_is_kneser_ney(spark, documents, rows, limit, monkeypatch):
+    """Scores and verdicts of all rows against plain Python, with models broadcast and with models dealt by language."""
+    monkeypatch.setattr(quality, "GROUP_TEXTS", 50)
+    by_lang, want, judged = {}, {}, Counter()
+    for doc, text, lang, *_ in rows:
+        by_lang.setdefault(lang, []).append(text)
+    failed = quality.base_counts(__import__("pyarrow").array([r[1] for r in rows]))
+    failed = quality.base_failed(failed["n_words"], failed["n_repeat_words"])
+    score = {}
+    for lang, texts in by_lang.items():
+        runs, p = plain_kneser_ney([t for t in texts if t is not None])
+        for t, r in zip((t for t in texts if t is not None), runs):
+            score[lang, t] = (len(r) - 2, -sum(math.log10(p(r[i : i + 3])) for i in range(len(r) - 2)) / max(len(r) - 2, 1))
+        score[lang, None] = (0, 0.0)
+    for lang in by_lang:
+        passed = [score[lang, t][1] for (_, t, x, *_), bad in zip(rows, failed) if x == lang and not bad]
+        want[lang] = plain_bands(passed) if passed else (-math.inf, math.inf)
+    for (doc, text, lang, *_), bad in zip(rows, failed):
+        n, x = score[lang, text]
+        more = 0.5 / math.sqrt(max(n, 1))
+        judged[doc, lang, round(x, 4), bool(not bad and want[lang][0] - more <= x <= want[lang][1] + more)] += 1
+    got = quality.judged(documents, limit=limit).collect()
+    assert Counter((r.doc_id, r.lang, round(r.log_perplexity, 4), r.kept) for r in got) == judged
+
+
+def test_kneser_ney_is_normalised(spark):
     rng = np.random.default_rng(4)
-    counts = rng.poisson(0.05, (quality.ALPHABET,) * 3)
-    at = np.flatnonzero(counts.reshape(-1))
-    table = quality.Model(1, at, counts.reshape(-1)[at]).table().reshape((quality.ALPHABET,) * 3)
-    assert np.allclose((10.0 ** table.astype(float)).sum(-1), 1, atol=1e-4)
+    letters = np.arange(97, 103)
+    grams = {tuple(rng.choice(letters, 3)): int(rng.integers(1, 6)) for _ in range(60)}
+    pack = lambda a, b, c: (int(a) << 42) | (int(b) << 21) | int(c)
+    counts = spark.createDataFrame([(5, pack(*g), n) for g, n in grams.items()], "lang_key long, gram long, n long")
+    model = quality.Model.of(quality.kneser_ney(counts, Scratch(spark, "t")).toArrow())
+    seen = sorted({g[2] for g in grams})
+    for a, b in [*[(g[0], g[1]) for g in list(grams)[:10]], (33, 97), (34, 35)]:
+        p = 10 ** model.log10(5, np.array([pack(a, b, c) for c in [*seen, 36]]))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
 def brute_links(rows, threshold):
