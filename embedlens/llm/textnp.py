@@ -1,6 +1,9 @@
 """Words and word hashes of many texts at once, in numpy over the UTF-8 bytes.
 
 A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``. Hashes are 64 bits: a polynomial over the bytes, then a mixer.
+
+Bytes are worked on in passes of about ``PASS``, cut at white space, so what a pass needs besides the words is bounded however long a text
+is; a single word longer than that is hashed in parts. Empty data has no words.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
+PASS = 1 << 19
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -55,37 +59,65 @@ class Words:
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks: bool = False) -> Words:
     """``cut_marks`` also cuts between an ASCII letter or digit and an ASCII mark that follows it."""
-    n = len(data)
-    inside = ~_SPACE[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    if cut_marks:
-        marks = _ALNUM[data[:-1]] & _MARK[data[1:]]
-        begins[1:] |= marks
-        ends[:-1] |= marks
-    cut = offsets[(offsets > 0) & (offsets < n)]
-    begins[cut] = inside[cut]
-    ends[cut - 1] = inside[cut - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(span_hash(_LOWER[data] if lower else data, start, end), start, end, np.searchsorted(start, offsets))
+    found, a = [], 0
+    while a < len(data):
+        b = _space_after(data, a + PASS)
+        piece, inner = data[a:b], offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b)] - a
+        inside = ~_SPACE[piece]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        if cut_marks:
+            marks = _ALNUM[piece[:-1]] & _MARK[piece[1:]]
+            begins[1:] |= marks
+            ends[:-1] |= marks
+        begins[inner] = inside[inner]
+        ends[inner - 1] = inside[inner - 1]
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        found.append((span_hash(_LOWER[piece] if lower else piece, start, end), start + a, end + a))
+        a = b
+    h, start, end = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return Words(h, start, end, np.searchsorted(start, offsets))
+
+
+def _space_after(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on with white space, or the end."""
+    while at < len(data):
+        space = _SPACE[data[at : at + 4096]]
+        if space.any():
+            return at + int(space.argmax())
+        at += 4096
+    return len(data)
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each ``data[start:end]``."""
-    n = len(data)
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, U)
-    value = data.astype(U)
-    value += U(1)
-    value *= up[:n]
-    np.cumsum(value, out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    """Hash of each ``data[start:end]``; spans ascend."""
+    up, down = _power_tables(2 * PASS + 1)
+    out, i = np.zeros(len(start), U), 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + 2 * PASS, "right"))
+        if j <= i:  # a span longer than a pass
+            total, size = 0, int(end[i] - start[i])
+            for at in range(0, size, 2 * PASS):
+                part = data[start[i] + at : min(end[i], start[i] + at + 2 * PASS)].astype(U) + U(1)
+                total += pow(BASE, at, 1 << 64) * int((part * up[: len(part)]).sum(dtype=U))
+            out[i] = U((total + size) & (1 << 64) - 1)
+            i += 1
+            continue
+        first, a, b = start[i], start[i:j] - start[i], end[i:j] - start[i]
+        value = data[first : first + int(b[-1])].astype(U)
+        value += U(1)
+        value *= up[: len(value)]
+        sums = np.zeros(len(value) + 1, U)
+        np.cumsum(value, out=sums[1:])
+        out[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(U)
+        i = j
+    return mix(out)
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
     """Code points before each byte, with the total last."""
-    out = np.zeros(len(data) + 1, np.int64)
+    out = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
 

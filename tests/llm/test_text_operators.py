@@ -44,11 +44,27 @@ def test_line_dedup(documents, rows, empty):
     assert line_dedup.line_dedup(empty, emit="digest").count() == 0
 
 
-def test_line_dedup_runs_over_partition_edges(spark):
+@pytest.mark.parametrize("run_rows, limit", [(200_000, 64 << 20), (3, 0)])
+def test_line_dedup_runs_over_partition_edges(spark, monkeypatch, run_rows, limit):
+    """One line in all documents, some twice, and rows that share an id: with long runs, and with bitmaps that are joined."""
+    monkeypatch.setattr(line_dedup, "RUN_ROWS", run_rows)
+    line, other = "a line of more than forty code points that all documents hold", "another line of more than forty code points, in four of them"
+    rows = [(i, f"{line}\n{i}\n{line}" if i % 3 else f"{i}\n{line}") for i in range(400)]
+    rows += [(7, f"x\n{line}"), (None, line), (None, f"y\n{line}\n{other}"), *[(i, other) for i in (500, 501, 502)], (399, line), (7, f"x\n{line}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = Counter((i, t.count("\n") + 1, 0 if i == 399 else t.split("\n").count(line)) for i, t in rows)
+    got = line_dedup.line_dedup(docs, emit="digest", limit=limit)
+    assert Counter(tuple(r)[:3] for r in got.collect()) == want
+    assert Counter(tuple(r)[:3] for r in line_dedup.line_dedup(docs).collect()) == want
+
+
+@pytest.mark.parametrize("emit", ["text", "digest"])
+def test_line_dedup_among_clashing_names(spark, emit):
     line = "a line of more than forty code points that all documents hold"
-    docs = spark.createDataFrame([(i, f"{line}\n{i}") for i in range(400)], "doc_id long, text string")
-    got = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(docs, emit="digest").collect()}
-    assert got == {i: int(i < 399) for i in range(400)}
+    clash = "doc_id long, text string, _doc int, _DOC_ int, _rid int, _keep int, _n_lines string, keep int, gone int, rid int"
+    docs = spark.createDataFrame([(i, f"{line}\n{i}", *[i] * 4, "x", 1, 2, 3) for i in range(6)], clash)
+    got = line_dedup.line_dedup(docs, emit=emit)
+    assert got.count() == 6 and (emit == "digest" or got.columns == docs.columns)
 
 
 def shingles(text):
