@@ -1,18 +1,20 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation in numpy.
 
-Words are known by 64-bit hash. Spark counts every word of the training documents (sorted hashes packed by hash range, summed in each
-range). The model's classes are the ``CLASSES`` - 2 most frequent words, one class for all other words, and the end. The prediction for
-a place is C1 q(w-1) + C2 q(w-2); a class's score is its product with the class's target vector, plus a bias (Mnih and Hinton, 2007).
-
-Training passes over all training documents in every round: each task starts from the same parameters, takes its slices' distinct
-(context, target) triples weighted by their counts in mini-batches with noise shared in a batch, and the tasks' parameters are averaged
-by their tokens, in two steps of about sqrt(tasks) each. Biases start at the classes' log frequencies.
-
-With two context words the score is a sum of two matrix products, A1[w-1] + A2[w-2] + b, and its normaliser over all contexts is one more
-product, exp(A1 + b) exp(A2)^T, so probabilities are normalised exactly. A word of the class "other" gets that class's probability times
-its smoothed share (c + 0.1) of it; all unseen words together count once, as in the base score.
-
-Counts of at most ``HOT_WORDS`` most frequent words are broadcast; the rarer words of a document are joined to their counts.
+1. Words are known by 64-bit hash. Tasks merge their counts of the training documents' words, Spark sums them.
+2. Every counted word is in a class with vectors: about ``8 * V**(1/3)`` most frequent words in one of their own, all others in the class
+   of their ending (hash of the last three bytes), of which there are as many; the end of a text is one more, and unseen words, which
+   count once as in the base score, are the last. Classes thus grow with the vocabulary, and the context of rare words is learnt through
+   their endings; as a context, an unseen word is of its ending's class too.
+3. The prediction for a place is C1 q(w-1) + C2 q(w-2); a class's score is its product with the class's target vector, plus a bias (Mnih
+   and Hinton, 2007). In every round each task starts from the same parameters and passes over its slices' distinct (context, target)
+   triples, weighted by their counts, in mini-batches with shared noise. The tasks' parameters are averaged by their tokens, in shards and
+   in levels of ``FAN`` tasks, so no group grows with the input. Biases start at the classes' log shares, which is the base score.
+4. With two context words the score is a sum of two matrix products, A1[w-1] + A2[w-2] + b, and its normaliser over all contexts is one
+   more product, exp(A1 + b) exp(A2)^T: probabilities of classes are normalised exactly. A word has its class's probability times its
+   smoothed share (c + 0.1) of the class.
+
+Counts of at most ``HOT_WORDS`` most frequent words are broadcast; where there are more, the rarer words of a document are joined to
+theirs.
 
 Defined cases: null or empty text is one end token. Null doc_id counts as the empty text in the fold rule. Each row is scored by itself,
 also where doc_ids repeat. Without training documents N and V are 0, and all scores are 0 (one type has all the mass). An empty table
@@ -30,102 +32,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.llm import textnp
-from embedlens.llm.shared import Scratch, doc_crc, power_of_two, shuffle_partitions, slices, text_buffer
+from embedlens.llm.shared import Scratch, doc_crc, slices, text_buffer
 
 U = np.uint64
-CLASSES = 1024
 DIM = 48
 HOT_WORDS = 1 << 20
 ROUNDS = 2
 BATCH, NOISE, RATE = 4096, 128, 0.15
+#: Bytes of text of which a task takes the distinct triples at a time.
+SLICE = 4 << 20
+#: Tasks that are averaged at once, and pieces that parameters are averaged in.
+FAN, SHARDS = 16, 8
 _tables: dict = {}
 
 
-def _range_counts(bits: int):
-    """(bucket, hashes, counts) of each slice's distinct words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                h, n = np.unique(textnp.words(*text_buffer(part.column("text"))).hash, return_counts=True)
-                bucket = (h >> U(64 - bits)).astype(np.int32)
-                found, first = np.unique(bucket, return_index=True)
-                ends = [*first[1:].tolist(), len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([h[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(first, ends)], pa.binary())], names=["bucket", "hashes", "counts"])
-
-    return run
-
-
-def _sum_range(table: pa.Table) -> pa.Table:
-    h = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("hashes").to_pylist()])
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return pa.table({"h": h[first], "c": np.add.reduceat(n, first) if len(h) else n})
+def _words(part: pa.RecordBatch) -> tuple[textnp.Words, np.ndarray]:
+    """The words, and for each the 31-bit hash of its ending."""
+    data, offsets = text_buffer(part.column("text"))
+    w = textnp.words(data, offsets)
+    return w, (textnp.span_hash(textnp._LOWER[data], np.maximum(w.start, w.end - 3), w.end) >> U(33)).astype(np.int32)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(h, ending, c): a task's counts, sent whenever there are more than ``limit`` distinct words."""
+    held: list = []
+
+    def merged() -> int:
+        h, e, n = (np.concatenate(x) for x in zip(*held))
+        keys, first, place = np.unique(h, return_index=True, return_inverse=True)
+        held[:] = [(keys, e[first], np.bincount(place, n).astype(np.int64))]
+        return len(keys)
+
+    def send() -> Iterator[pa.RecordBatch]:
+        if held:
+            merged()
+            h, e, n = held.pop()
+            for a in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (h.view(np.int64), e, n)], names=["h", "ending", "c"])
+
+    size = 0
+    for batch in batches:
+        for part in slices(batch):
+            w, ending = _words(part)
+            keys, first, n = np.unique(w.hash, return_index=True, return_counts=True)
+            held.append((keys, ending[first], n))
+            size += len(keys)
+            if size > limit:
+                size = merged()
+                if size > limit // 2:
+                    yield from send()
+                    size = 0
+    yield from send()
 
 
 class Vocabulary:
-    """Broadcast part of the counts: sorted hashes, counts, classes; N, V, and the mass outside the frequent classes."""
+    """Broadcast part of the counts: sorted hashes with counts and classes; N, V; masses of classes.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, docs: int):
+    Classes are the words of their own, the endings, the end, unseen words. ``complete``: words that are not among the hashes are unseen.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, own: np.ndarray, own_endings: np.ndarray, endings: int, ending_mass: np.ndarray, ending_words: np.ndarray, docs: int, complete: bool):
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.n, self.v, self.docs = hashes[order], counts[order], n, v, docs
-        top = np.lexsort((self.hashes, -self.counts))[: CLASSES - 2]
-        self.cls = np.full(len(hashes), CLASSES - 2, np.int32)
-        self.cls[top] = np.arange(len(top))
-        self.frequency = np.zeros(CLASSES)
-        self.frequency[: len(top)] = self.counts[top]
-        self.frequency[CLASSES - 1] = docs
-        other = n - self.frequency.sum()
-        self.frequency[CLASSES - 2] = other
-        self.z = n + 0.1 * (v + 1)
-        self.z_other = other + 0.1 * (v - len(top) - (docs > 0) + 1)
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and counts; count -1 where the word is not among the broadcast ones."""
-        keys, inverse = np.unique(h, return_inverse=True)
+        self.hashes, self.counts, self.complete, self.docs = hashes[order], counts[order], complete, docs
+        self.own, self.endings = len(own), endings
+        self.size = len(own) + endings + 2
+        self.end, self.unseen = self.size - 2, self.size - 1
+        self.n, self.v = int(ending_mass.sum()) + docs, int(ending_words.sum()) + (docs > 0)
+        self.cls = np.full(len(hashes), -1, np.int32)
+        at = np.searchsorted(self.hashes, own)
+        self.cls[at] = np.arange(len(own))
+        mass = ending_mass - np.bincount(own_endings, self.counts[at], endings) if len(own) else ending_mass
+        kinds = ending_words - np.bincount(own_endings, minlength=endings)
+        tail = mass + 0.1 * kinds
+        self.mass = np.concatenate([self.counts[at] + 0.1, tail, [docs + 0.1 * (docs > 0)], [0.1]])
+        self.log_mass = np.log10(np.maximum(tail, 1e-300))
+        self.z = self.n + 0.1 * (self.v + 1)
+
+    def look(self, h: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and counts; count -1 where the word is not among the broadcast ones, if they are not all."""
+        tail = self.own + (ending % self.endings).astype(np.int32)
         if not len(self.hashes):
-            return np.full(len(h), CLASSES - 2, np.int32), np.full(len(h), -1)
+            return tail, np.full(len(h), 0 if self.complete else -1)
+        keys, inverse = np.unique(h, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
         hit = self.hashes[at] == keys
-        return np.where(hit, self.cls[at], CLASSES - 2)[inverse], np.where(hit, self.counts[at], -1)[inverse]
+        cls = np.where(hit, self.cls[at], -1)[inverse]
+        return np.where(cls < 0, tail, cls), np.where(hit, self.counts[at], 0 if self.complete else -1)[inverse]
 
 
 def tokens(part: pa.RecordBatch, vocabulary: Vocabulary):
     """Of a slice: hashes with an end (0) after each text, classes, counts, and the first token of each text."""
-    w = textnp.words(*text_buffer(part.column("text")))
+    w, ending = _words(part)
     n = len(w.first) - 1
-    cls, count = vocabulary.look(w.hash)
+    cls, count = vocabulary.look(w.hash, ending)
     at = np.arange(len(w.hash)) + w.doc()
     total = len(w.hash) + n
-    h, c, k = np.zeros(total, U), np.full(total, CLASSES - 1, np.int64), np.full(total, vocabulary.docs, np.int64)
+    h, c, k = np.zeros(total, U), np.full(total, vocabulary.end, np.int64), np.full(total, vocabulary.docs, np.int64)
     h[at], c[at], k[at] = w.hash, cls, count
-    first = w.first + np.arange(n + 1)
-    return h, c, k, first
+    return h, c, k, w.first + np.arange(n + 1)
 
 
-def contexts(c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(c: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the two tokens before each; before a text stand ends."""
-    one = np.concatenate([[CLASSES - 1], c[:-1]])
-    two = np.concatenate([[CLASSES - 1] * 2, c[:-2]])[: len(c)]
+    one = np.concatenate([[end], c[:-1]])
+    two = np.concatenate([[end] * 2, c[:-2]])[: len(c)]
     starts = first[:-1]
-    one[starts] = CLASSES - 1
-    two[starts] = CLASSES - 1
+    one[starts] = end
+    two[starts] = end
     second = starts + 1
-    second = second[second < first[1:]]
-    two[second] = CLASSES - 1
+    two[second[second < first[1:]]] = end
     return one, two
 
 
 class LogBilinear:
-    """``q1``, ``q2``: context vectors with their matrices C1, C2 multiplied in; ``r``: targets; ``b``: biases."""
+    """``q1``, ``q2``: context vectors with their matrices C1, C2 multiplied in; ``r``: targets; ``b``: biases; one row for each class."""
 
-    def __init__(self, frequency: np.ndarray, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.p = [(rng.standard_normal((CLASSES, DIM)) * s).astype(np.float32) for s in (0.01, 0.01, 0.1)]
-        share = (frequency + 0.1) / (frequency + 0.1).sum()
-        self.p.append(np.log(share).astype(np.float32))
+    def __init__(self, mass: np.ndarray, seed: int = 11):
+        rng, self.size = np.random.default_rng(seed), len(mass)
+        self.p = [(rng.standard_normal((self.size, DIM)) * s).astype(np.float32) for s in (0.01, 0.01, 0.1)]
+        self.share = np.maximum(mass, 1e-6) / np.maximum(mass, 1e-6).sum()
+        self.p.append(np.log(self.share).astype(np.float32))
 
     @property
     def parameters(self) -> np.ndarray:
@@ -146,109 +172,136 @@ class LogBilinear:
         z = np.log(np.exp(a1 - m1).astype(np.float64) @ np.exp(a2 - m2).astype(np.float64).T) + m1 + m2.T
         return a1, a2, z.astype(np.float32)
 
-    def train(self, code: np.ndarray, weight: np.ndarray, noise_share: np.ndarray, state: list, rng) -> None:
-        """One pass over (w-2, w-1, w) triples, packed base CLASSES, with their counts; AdaGrad steps."""
+    def train(self, code: np.ndarray, weight: np.ndarray, state: list, rng) -> None:
+        """One pass over (w-2, w-1, w) triples, packed base ``size``, with their counts; AdaGrad steps."""
         q1, q2, r, b = self.p
-        cumulative = np.cumsum(noise_share)
-        log_noise = np.log(NOISE * noise_share)
+        cumulative, k = np.cumsum(self.share), self.size
+        log_noise = np.log(NOISE * self.share).astype(np.float32)
         order = rng.permutation(len(code))
         for a in range(0, len(order), BATCH):
             pick = order[a : a + BATCH]
-            w, c1, c2 = code[pick] % CLASSES, code[pick] // CLASSES % CLASSES, code[pick] // CLASSES**2
+            w, c1, c2 = code[pick] % k, code[pick] // k % k, code[pick] // k**2
             m = weight[pick].astype(np.float32)
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), CLASSES - 1)
+            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), k - 1)
             context = q1[c1] + q2[c2]
             rw, rn = r[w], r[noise]
             s = (context * rw).sum(1) + b[w] - log_noise[w]
             t = context @ rn.T + (b[noise] - log_noise[noise])[None, :]
-            gs = (m / (1 + np.exp(s))).astype(np.float32)  # weight * (1 - sigmoid)
-            gt = (-m[:, None] / (1 + np.exp(-t))).astype(np.float32)
+            gs = m / (1 + np.exp(np.clip(s, -60, 60)))  # weight * (1 - sigmoid)
+            gt = -m[:, None] / (1 + np.exp(np.clip(-t, -60, 60)))
             g_context = gs[:, None] * rw + gt @ rn
-            g_r = np.zeros_like(r)
-            hot = np.zeros((CLASSES, DIM), np.float32)
             scale = np.float32(1 / m.sum())
             for c, q, h in ((c1, q1, state[0]), (c2, q2, state[1])):
-                g = _scatter(c, g_context) * scale
+                g = _scatter(c, g_context, k) * scale
                 h += g * g
                 q += RATE * g / np.sqrt(h + 1e-8)
-            g_r = _scatter(w, gs[:, None] * context)
-            hot = gt.T @ context
-            np.add.at(g_r, noise, hot)
+            g_r = _scatter(w, gs[:, None] * context, k)
+            np.add.at(g_r, noise, gt.T @ context)
             g_r *= scale
             state[2] += g_r * g_r
             r += RATE * g_r / np.sqrt(state[2] + 1e-8)
-            g_b = (np.bincount(w, gs, CLASSES) + np.bincount(noise, gt.sum(0), CLASSES)).astype(np.float32) * scale
+            g_b = (np.bincount(w, gs, k) + np.bincount(noise, gt.sum(0), k)).astype(np.float32) * scale
             state[3] += g_b * g_b
             b += 0.2 * RATE * g_b / np.sqrt(state[3] + 1e-8)
 
 
-def _scatter(at: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Rows of ``g`` summed by ``at``."""
+def _scatter(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``g`` summed by ``at``, which is below ``size``."""
     order = np.argsort(at, kind="stable")
     keys = at[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    out = np.zeros((CLASSES, g.shape[1]), np.float32)
+    out = np.zeros((size, g.shape[1]), np.float32)
     out[keys[first]] = np.add.reduceat(g[order], first, axis=0)
     return out
 
 
-def _fit(source: DataFrame, vocabulary: Vocabulary, broadcast, rounds: int) -> LogBilinear:
-    model = LogBilinear(vocabulary.frequency)
-    share = (vocabulary.frequency + 0.1) / (vocabulary.frequency + 0.1).sum()
-    spark = source.sparkSession
-    groups = max(1, int(np.sqrt(shuffle_partitions(spark))))
+def _mean(table: pa.Table) -> pa.Table:
+    """One shard of a group's parameters, weighted."""
+    weight, total = table.column("weight").to_numpy(), 0.0
+    for w, p in zip(weight, table.column("parameters")):
+        total = total + w * np.frombuffer(p.as_buffer(), np.float32).astype(np.float64)
+    return pa.table({"part": table.column("group")[:1], "shard": table.column("shard")[:1], "weight": [float(weight.sum())], "parameters": pa.array([(total / weight.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def averaged(parts: DataFrame, fan: int = FAN) -> DataFrame:
+    """(part, shard, weight, parameters) of all parts, down to one part: ``fan`` parts a level."""
+    top = parts.agg(F.max("part")).first()[0] or 0
+    while top > 0:
+        parts = parts.withColumn("group", F.floor(F.col("part") / fan).cast("int")).groupBy("group", "shard").applyInArrow(_mean, "part int, shard int, weight double, parameters binary")
+        top //= fan
+    return parts
+
+
+def fit(source: DataFrame, vocabulary: Vocabulary, broadcast, scratch: Scratch, rounds: int) -> LogBilinear:
+    """The model of the rows of ``source(text)``."""
+    model, spark = LogBilinear(vocabulary.mass), source.sparkSession
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(model.parameters)
 
         def task(batches: Iterator[pa.RecordBatch], turn=turn, start=start) -> Iterator[pa.RecordBatch]:
-            part_no = TaskContext.get().partitionId()
-            mine = LogBilinear(share)
+            part_no, v = TaskContext.get().partitionId(), broadcast.value
+            mine = LogBilinear(v.mass)
             mine.parameters = start.value
             state = [np.zeros_like(x) for x in mine.p]
             rng, seen = np.random.default_rng([turn, part_no]), 0
             for batch in batches:
-                for part in slices(batch):
-                    _, c, _, first = tokens(part, broadcast.value)
-                    one, two = contexts(c, first)
-                    code, weight = np.unique((two * CLASSES + one) * CLASSES + c, return_counts=True)
-                    mine.train(code, weight, share, state, rng)
+                for part in slices(batch, limit=SLICE):
+                    _, c, _, first = tokens(part, v)
+                    one, two = contexts(c, first, v.end)
+                    code, weight = np.unique((two * v.size + one) * v.size + c, return_counts=True)
+                    mine.train(code, weight, state, rng)
                     seen += len(c)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([part_no % groups], pa.int32()), pa.array([float(seen)]), pa.array([mine.parameters.astype(np.float32).tobytes()], pa.binary())], names=["g", "weight", "parameters"])
+                shards = np.array_split(mine.parameters.astype(np.float32), SHARDS)
+                yield pa.RecordBatch.from_arrays([pa.array([part_no] * SHARDS, pa.int32()), pa.array(range(SHARDS), pa.int32()), pa.array([float(seen)] * SHARDS), pa.array([x.tobytes() for x in shards], pa.binary())], names=["part", "shard", "weight", "parameters"])
 
-        def mean(table: pa.Table) -> pa.Table:
-            weight = table.column("weight").to_numpy()
-            total = sum(w * np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) for w, p in zip(weight, table.column("parameters"))) / weight.sum()
-            return pa.table({"g": pa.array([0], pa.int32()), "weight": [float(weight.sum())], "parameters": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        schema = "g int, weight double, parameters binary"
-        found = source.where("not held_out").select("text").mapInArrow(task, schema).groupBy("g").applyInArrow(mean, schema).groupBy("g").applyInArrow(mean, schema).collect()
+        parts = scratch.stash(source.mapInArrow(task, "part int, shard int, weight double, parameters binary"), "parameters")
+        found = sorted(averaged(parts).collect(), key=lambda r: r.shard)  # one set of parameters
         if not found:
             break
-        model.parameters = np.frombuffer(bytes(found[0].parameters), np.float32)
+        model.parameters = np.concatenate([np.frombuffer(bytes(r.parameters), np.float32) for r in found])
+        scratch.drop(parts)
     return model
 
 
-def score(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "lm")
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (doc_crc("doc_id") % 10 == 0).alias("held_out"))
-    bits = power_of_two(max(16, 2 * shuffle_partitions(spark))).bit_length() - 1
-    packed = source.where("not held_out").select("text").mapInArrow(_range_counts(bits), "bucket int, hashes binary, counts binary")
-    counts = scratch.stash(packed.groupBy("bucket").applyInArrow(_sum_range, "h long, c long"), "counts")
-    docs = source.where("not held_out").count()
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+def count_words(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, ending, c) of every word of ``source(text)``."""
+    rows = source.mapInArrow(_word_counts, "h long, ending int, c long")
+    return scratch.stash(rows.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")), "counts")
+
+
+def vocabulary_of(counts: DataFrame, docs: int) -> tuple[Vocabulary, int]:
+    """The vocabulary, and the least count of a word that is broadcast."""
     # the least count at which the words fit HOT_WORDS: from at most 65,536 rows
-    least, room = 1 << 16, HOT_WORDS
-    for c, n in sorted(((r.c, r.n) for r in counts.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True):
+    least, room, complete = 1 << 16, HOT_WORDS, True
+    sizes = [(r.c, r.n) for r in counts.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("n")).collect()]
+    for c, n in sorted(sizes, reverse=True):
         if n > room:
+            complete = False
             break
         least, room = c, room - n
-    hot = counts.where(F.col("c") >= least).toArrow()
-    vocabulary = Vocabulary(hot["h"].to_numpy().view(U), hot["c"].to_numpy(), int(total.n) + docs, int(total.v) + (docs > 0), docs)
+    half = max(16, int(np.ceil(8 * sum(n for _, n in sizes) ** (1 / 3))))
+    mass, kinds = np.zeros(half, np.int64), np.zeros(half, np.int64)
+    for r in counts.groupBy((F.col("ending") % half).alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # half rows
+        mass[r.e], kinds[r.e] = r.c, r.n
+    hot = counts.where(F.col("c") >= least).select("h", "ending", "c").toArrow()
+    h, ending, c = (hot[x].to_numpy() for x in ("h", "ending", "c"))
+    own = np.lexsort((h, -c))[:half]
+    return Vocabulary(h.view(U), c, h[own].view(U), ending[own] % half, half, mass, kinds, docs, complete), least
+
+
+def score(documents: DataFrame, rounds: int = ROUNDS, report: dict | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``report`` gets the vocabulary and the model."""
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "lm")
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (doc_crc("doc_id") % 10 == 0).alias("held_out"))
+    training = source.where("not held_out").select("text")
+    counts = count_words(training, scratch)
+    vocabulary, least = vocabulary_of(counts, training.count())
     shared = spark.sparkContext.broadcast(vocabulary)
-    model = _fit(source, vocabulary, shared, rounds)
+    model = fit(training, vocabulary, shared, scratch, rounds)
+    if report is not None:
+        report.update(vocabulary=vocabulary, model=model)
     parameters = spark.sparkContext.broadcast(model.parameters)
     key = scratch.root
 
@@ -256,7 +309,7 @@ def score(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         v = shared.value
         if key not in _tables:
             _tables.clear()
-            m = LogBilinear(v.frequency)
+            m = LogBilinear(v.mass)
             m.parameters = parameters.value
             _tables[key] = m.tables()
         a1, a2, z = _tables[key]
@@ -264,32 +317,42 @@ def score(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, c, k, first = tokens(part, v)
-                one, two = contexts(c, first)
+                one, two = contexts(c, first, v.end)
                 n = part.num_rows
                 doc = np.repeat(np.arange(n), np.diff(first))
                 sum_by = lambda x: np.bincount(doc, x, n)
-                lm = sum_by((a1[one, c] + a2[two, c] - z[one, two]).astype(np.float64)) / np.log(10) if v.n else np.zeros(n)
-                hot_ = k >= 0
-                log_c = np.where(hot_, np.log10(np.maximum(k, 0) + 0.1), 0.0)
-                other = c == CLASSES - 2
+                hot = k >= 0
+                log_c = np.where(hot, np.log10(np.maximum(k, 0) + 0.1), 0.0)
+                tail = (c >= v.own) & (c < v.end)
+                log_p = lambda c: (a1[one, c] + a2[two, c] - z[one, two]).astype(np.float64) / np.log(10)
+                known = log_p(c) + np.where(tail, log_c - v.log_mass[np.where(tail, c - v.own, 0)], 0.0)  # of rare words without log_c
+                unseen = log_p(np.full(len(c), v.unseen))
+                lm = np.where(k == 0, unseen, known)
                 rows = uid + np.arange(n)
                 uid += n
-                rare = np.flatnonzero(~hot_)
-                pair = np.unique(np.stack([doc[rare].astype(U), h[rare]]), axis=1, return_counts=True) if len(rare) else (np.zeros((2, 0), U), np.zeros(0, np.int64))
-                m = len(pair[1])
-                pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])
+                rare = np.flatnonzero(~hot)
+                at, place, tf = np.unique(np.stack([doc[rare].astype(U), h[rare]]), axis=1, return_inverse=True, return_counts=True) if len(rare) else (np.zeros((2, 0), U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                m = len(tf)
+                both = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind) if y is None else pa.array(y, kind)])
+                word_sum = lambda x: np.bincount(place, x[rare], m)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([rows, rows[pair[0][0].astype(np.int64)]])),
+                    pa.array(np.concatenate([rows, rows[at[0].astype(np.int64)]])),
                     pa.concat_arrays([part.column("doc_id"), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([part.column("held_out"), pa.nulls(m, pa.bool_())]),
-                    pad(np.diff(first), pa.int64()), pad(sum_by(hot_ & (k > 0)).astype(np.int64), pa.int64()),
-                    pad(sum_by(log_c), pa.float64()), pad(lm + sum_by(np.where(other & hot_, log_c, 0)) - sum_by(other) * np.log10(max(v.z_other, 1e-300)), pa.float64()),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pair[0][1].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(pair[1].astype(np.int64))]),
-                ], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "h", "tf"])
-
-    rows = scratch.stash(source.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, h long, tf long"), "rows")
-    rare = rows.where("h is not null").select("uid", "h", "tf")
-    found = rare.join(counts.where(F.col("c") < least), "h", "left").groupBy("uid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("s"))
+                    both(np.diff(first), None, pa.int64()), both(sum_by(hot & (k > 0)).astype(np.int64), None, pa.int64()), both(sum_by(log_c), None, pa.float64()),
+                    both(sum_by(np.where(hot, lm, 0.0)) if v.n else np.zeros(n), word_sum(known), pa.float64()),
+                    both(np.zeros(n), word_sum(unseen), pa.float64()),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(at[1].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf.astype(np.int64))]),
+                ], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "unseen", "h", "tf"])
+
+    rows = source.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, unseen double, h long, tf long")
+    z, n = float(np.log10(vocabulary.z)), F.lit(vocabulary.n).cast("long").alias("train_tokens")
+    if vocabulary.complete:  # no word's count is left to join
+        return rows.select("doc_id", "held_out", "n_tokens", "n_known", n, (F.col("base") - F.col("n_tokens") * z).alias("base_score"), F.col("lm").alias("score"))
+    rows = scratch.stash(rows, "rows")
+    words = rows.where("h is not null").select("uid", "h", "tf", "lm", "unseen").join(counts.where(F.col("c") < least).select("h", "c"), "h", "left")
+    known, log_c = F.col("c").isNotNull(), F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))
+    found = words.groupBy("uid").agg(F.sum(F.when(known, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(log_c).alias("more_base"), F.sum(F.when(known, F.col("lm") + log_c).otherwise(F.col("unseen"))).alias("more_lm"))
     out = rows.where("h is null").join(found, "uid", "left")
-    s, z = F.coalesce("s", F.lit(0.0)), float(np.log10(vocabulary.z))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"), (F.col("base") + s - F.col("n_tokens") * z).alias("base_score"), (F.lit(0.0) if not vocabulary.n else F.col("lm") + s).alias("score"))
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), n, (plus("base", "more_base") - F.col("n_tokens") * z).alias("base_score"), plus("lm", "more_lm").alias("score"))

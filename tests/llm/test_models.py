@@ -3,7 +3,7 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -34,15 +34,74 @@ def test_lm_base_columns(documents, rows, empty):
     assert lm_score.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 40])
+def test_lm_score_is_the_model(documents, rows, hot, monkeypatch):
+    """Every row's score by the definition, in plain Python, with all counts broadcast and with rare words joined."""
+    monkeypatch.setattr(lm_score, "HOT_WORDS", hot)
+    words = lambda text: WORD.findall((text or "").translate(AZ))
+    held = lambda doc: zlib.crc32(b"" if doc is None else str(doc).encode()) % 10 == 0
+    report = {}
+    got = lm_score.score(documents, report=report).collect()
+    v, (q1, q2, r, b) = report["vocabulary"], [x.astype(float) for x in report["model"].p]
+    assert v.complete == (hot > 40)
+    c = Counter(t for doc, text, *_ in rows if not held(doc) for t in words(text))
+    hash_of = lambda x: int(lm_score.textnp.words(np.frombuffer(x, np.uint8), np.array([0, len(x)])).hash[0])
+    own = {int(h): int(k) for h, k in zip(v.hashes, v.cls) if k >= 0}
+    cls = {}
+    for w in {w for _, text, *_ in rows for w in words(text)}:
+        x = w.encode()
+        tail = x[-3:]
+        ending = int(lm_score.textnp.span_hash(np.frombuffer(tail, np.uint8), np.array([0]), np.array([len(tail)]))[0]) >> 33
+        cls[w] = own.get(hash_of(x), v.own + ending % v.endings)
+    mass = Counter()
+    for w, n in c.items():
+        mass[cls[w]] += n + 0.1
+    assert len(own) == v.own and sum(mass.values()) == pytest.approx(v.n - v.docs + 0.1 * (v.v - 1))
+    logs, end = {}, v.end
+
+    def log_class(two, one):
+        if (two, one) not in logs:
+            x = (q1[one] + q2[two]) @ r.T + b
+            logs[two, one] = x - x.max() - math.log(np.exp(x - x.max()).sum())
+        return logs[two, one]
+
+    want = defaultdict(list)
+    for doc, text, *_ in rows:
+        two = one = end
+        total = 0.0
+        for w in [*words(text), None]:
+            k = end if w is None else cls[w]
+            total += log_class(two, one)[k if w is None or c[w] else v.unseen] / math.log(10)
+            if w is not None and c[w] and k >= v.own:
+                total += math.log10((c[w] + 0.1) / mass[k])
+            two, one = one, k
+        want[doc].append(total / (len(words(text)) + 1))
+    mine = {}
+    for x in got:
+        mine.setdefault(x.doc_id, []).append(x.score / x.n_tokens)
+    assert mine.keys() == want.keys()
+    for doc, scores in want.items():
+        assert sorted(mine[doc]) == pytest.approx(sorted(scores), abs=1e-3)
+
+
 def test_log_bilinear_is_normalised():
     rng = np.random.default_rng(0)
-    m = lm_score.LogBilinear(rng.random(lm_score.CLASSES) * 100)
+    m = lm_score.LogBilinear(rng.random(300) * 100)
     m.p[0] += rng.standard_normal(m.p[0].shape).astype(np.float32)
     a1, a2, z = m.tables()
-    for i, j in rng.integers(0, lm_score.CLASSES, (20, 2)):
+    for i, j in rng.integers(0, 300, (20, 2)):
         assert np.exp((a1[i] + a2[j] - z[i, j]).astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_parameters_are_averaged_in_levels(spark):
+    rng = np.random.default_rng(2)
+    parts = [(p, s, float(p % 5 + 1), rng.random(3).astype(np.float32)) for p in (0, 3, 4, 17, 70) for s in range(2)]
+    df = spark.createDataFrame([(p, s, w, x.tobytes()) for p, s, w, x in parts], "part int, shard int, weight double, parameters binary")
+    for r in lm_score.averaged(df, fan=4).collect():
+        mine = [(w, x) for _, s, w, x in parts if s == r.shard]
+        assert np.allclose(np.frombuffer(bytes(r.parameters), np.float32), sum(w * x for w, x in mine) / sum(w for w, _ in mine), atol=1e-6)
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.with_score(docs, labels).join(labels, "doc_id").where("held_out").collect()
