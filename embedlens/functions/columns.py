@@ -48,6 +48,11 @@ def blank_leading(v: Column, fraction: float) -> Column:
     return l2_normalize(F.transform(v, lambda x, i: F.when(i < cut, F.lit(0.0)).otherwise(x)))
 
 
+def drop_leading(text: Column, fraction: float) -> Column:
+    """The text without its leading round(n * fraction) characters."""
+    return F.substring(text, F.round(F.length(text) * F.lit(fraction)).cast("int") + 1, F.length(text))
+
+
 def hash60(seed: str, *parts: Column) -> Column:
     """60-bit md5 prefix of ``seed:part:part...`` as a long; the same in any SQL engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")

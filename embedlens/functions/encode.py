@@ -39,7 +39,34 @@ def hash_encode(df: DataFrame, id_col: str, text: str, dim: int = 64, n: int = 3
     return cells.join(size, id_col).select(id_col, "dim", (F.col("s") / F.col("size")).alias("value"))
 
 
-SALIENCY = {"summary": "cosine of the summary vector and the patch", "mean": "cosine of the mean token and the patch"}
+def _letters() -> Callable[[list], np.ndarray]:
+    """Counts of the letters a to z, in any case."""
+
+    def encode(items: list) -> np.ndarray:
+        out = np.zeros((len(items), 26))
+        for i, text in enumerate(items):
+            raw = np.frombuffer((text or "").lower().encode(), np.uint8)
+            out[i] = np.bincount(raw[(raw >= 97) & (raw <= 122)] - 97, minlength=26)
+        return out
+
+    return encode
+
+
+def _word_lengths() -> Callable[[list], np.ndarray]:
+    """Counts of words of 1 to 15 characters, and of longer ones."""
+
+    def encode(items: list) -> np.ndarray:
+        return np.array([np.bincount([min(len(w), 16) - 1 for w in (text or "").split()], minlength=16) for text in items], float).reshape(-1, 16)
+
+    return encode
+
+
+#: Encoders that ``encode_with`` takes by name; a user adds their own: a function that loads a model once a task and returns ``encode``.
+ENCODERS: dict[str, Callable[[], Callable[[list], np.ndarray]]] = {"letters": _letters, "word_lengths": _word_lengths}
+
+
+def encode_by_name(df: DataFrame, id_col: str, item_col: str, name: str, batch: int = 64) -> DataFrame:
+    return encode_with(df, id_col, item_col, named(ENCODERS, name), batch)
 
 
 def named(registry: dict, name: str):

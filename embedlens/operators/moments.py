@@ -229,6 +229,16 @@ def delta_pca(df: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray]:
     return vectors[:, order], values[order] / max(values.sum(), 1e-300)
 
 
+def delta_scores(df: DataFrame, key: str, rank: int | None = None) -> DataFrame:
+    """(key, r, z): each row's centred difference x - z on the first principal directions, as rows; the directions are broadcast."""
+    m = moments(df.select(F.zip_with("x", "z", lambda a, b: a - b).alias("x"), F.array(F.lit(0.0)).alias("z")))
+    values, vectors = np.linalg.eigh(m.centred()[0])
+    directions = vectors[:, np.argsort(-values)[: rank or len(values)]]
+    delta = df.select(key, F.zip_with("x", "z", lambda a, b: a - b).alias("v"))
+    found = apply_matrix(delta, directions, before=m.mean_x, normalise=False)
+    return found.select(key, F.posexplode("v").alias("r", "z"))
+
+
 def delta_erasers(df: DataFrame, ranks: list[int], ridge: float = 1e-6) -> dict[int, Eraser]:
     """Erasers of the first ``rank`` directions of the differences x - z, all ranks from one set of moments."""
     m = moments(df.select("x", F.zip_with("x", "z", lambda a, b: a - b).alias("z")))

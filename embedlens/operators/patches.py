@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedlens.functions import columns as C
+from embedlens.functions.encode import named
 from embedlens.operators.contrastive import log_sum_exp
 
 
@@ -70,6 +71,28 @@ def patch_saliency(patches: DataFrame, summary: DataFrame) -> DataFrame:
     return j.select("item", "patch", (C.dot(F.col("f"), F.col("g")) / F.greatest(C.norm(F.col("f")) * C.norm(F.col("g")), F.lit(C.EPS))).alias("saliency"))
 
 
+def _first_token(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("item").agg(F.min_by("f", "patch").alias("g"))
+
+
+def _mean_token(tokens: DataFrame) -> DataFrame:
+    cells = tokens.select("item", F.posexplode("f").alias("i", "x")).groupBy("item", "i").agg(F.sum("x").alias("x"))
+    return cells.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("g"))
+
+
+def _strongest_token(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("item").agg(F.max_by("f", F.struct(F.round(C.norm(F.col("f")), 9), -F.col("patch"))).alias("g"))
+
+
+#: Saliency by name: what summary vector patches are compared with. A user adds their own: tokens (item, patch, f) to (item, g).
+SALIENCY = {"first": _first_token, "mean": _mean_token, "strongest": _strongest_token}
+
+
+def saliency_by_name(tokens: DataFrame, name: str) -> DataFrame:
+    """(item, patch, saliency) of tokens (item, patch, f); an unknown name raises with the known ones."""
+    return patch_saliency(tokens, named(SALIENCY, name)(tokens))
+
+
 def region_mean(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     """(item, box, value): area-weighted mean of the min-max normalised unit cells under a box; 0 if nothing lies under it.
 

@@ -61,6 +61,19 @@ def sim_sanity(crops: DataFrame) -> DataFrame:
     return both.select(F.round(a, 6).alias("same_mean"), F.round(b, 6).alias("diff_mean"), F.round(F.coalesce(a - b, F.lit(0.0)), 6).alias("gap"))
 
 
+def monotonic(found: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(monotonic): whether recall never falls as k grows; ``found`` is a few rows (k, ..., recall)."""
+    ordered = F.array_sort(F.collect_list(F.struct("k", "recall")))
+    steps = F.transform("r", lambda x, i: (i == 0) | (x["recall"] + tolerance >= F.get("r", i - 1)["recall"]))
+    return found.groupBy().agg(ordered.alias("r")).select(F.forall(steps, lambda x: x).alias("monotonic"))
+
+
+def item_report(crops: DataFrame, ks=KS) -> DataFrame:
+    """One row for an item-level evaluation: crops, pages, similarity means, their gap, and whether recall is monotonic in k."""
+    sizes = crops.groupBy().agg(F.count("*").alias("crops"), F.count_distinct("page_id").alias("pages"))
+    return sizes.crossJoin(sim_sanity(crops)).crossJoin(monotonic(recall_items(crops, ks)))  # one row each
+
+
 def loo_scores(crops: DataFrame) -> DataFrame:
     """(crop_id, page_id, own, better, others, pages, n): of each item the leave-one-out similarity to its own group, how many other
     groups come before it, the sum of similarities to other groups, and sizes.
@@ -145,6 +158,17 @@ def triplet_recall(triplets: DataFrame, queries: DataFrame, pool: DataFrame, ks=
     return recalls(per, ks).crossJoin(per.groupBy().agg(F.round(mean("pos"), 6).alias("pos_mean"), F.round(mean("neg"), 6).alias("neg_mean")))
 
 
+def triplet_report(triplets: DataFrame, queries: DataFrame, pool: DataFrame, ks=(1, 5)) -> DataFrame:
+    """One row for a triplet evaluation: anchors, valid and skipped triplets, members before the existence filter, similarity means, their
+    gap (0 if one is undefined), and whether recall is monotonic in k."""
+    asked = triplets.groupBy().agg(F.count_distinct("anchor").alias("anchors"), F.count("*").alias("pool"))
+    found = written(triplet_recall(triplets, queries, pool, ks), "triplets")
+    one = found.groupBy().agg(F.max("total").alias("valid"), F.max("pos_mean").alias("pos_mean"), F.max("neg_mean").alias("neg_mean"))
+    both = asked.crossJoin(one).crossJoin(monotonic(found))  # one row each
+    gap = F.round(F.coalesce(F.col("pos_mean") - F.col("neg_mean"), F.lit(0.0)), 6)
+    return both.select("anchors", "pool", "valid", (F.col("anchors") - F.col("valid")).alias("skipped"), "pos_mean", "neg_mean", gap.alias("gap"), "monotonic")
+
+
 def triplet_recall_delta(triplets: DataFrame, original: DataFrame, perturbed: DataFrame, ks=(1, 5)) -> DataFrame:
     a = triplet_recall(triplets, original, original, ks).select("k", F.col("recall").alias("original"))
     b = triplet_recall(triplets, perturbed, perturbed, ks).select("k", F.col("recall").alias("perturbed"))

@@ -84,8 +84,21 @@ def tile_images(images: DataFrame, size: int = 490, target: int = 224, overlap:
     return flat.mapInPandas(run, "origin string, x int, y int, pixels binary")
 
 
+def blank_images(images: DataFrame, fraction: float, white: int = 255) -> DataFrame:
+    """``image`` rows whose leading round(height * fraction) rows of pixels are white."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            blank = [int(np.floor(h * fraction + 0.5)) * w * c for h, w, c in zip(frame["height"], frame["width"], frame["nChannels"])]
+            yield frame.assign(data=[bytes([white]) * n + data[n:] for n, data in zip(blank, frame["data"])])
+
+    flat = images.select("image.*")
+    return flat.mapInPandas(run, flat.schema).select(F.struct(*flat.columns).alias("image"))
+
+
 def image_hash(images: DataFrame) -> DataFrame:
-    """(origin, hash): a 64-bit perceptual hash: low 8x8 of a 32x32 DCT against its median. The DCT is numpy's matrix product."""
+    """(origin, hash): a 64-bit perceptual hash: low 8x8 of a 32x32 DCT against its median. The DCT is numpy's matrix product. Images that
+    can't be read (no data, or not as much as their sides say) have a null hash."""
     k = np.arange(32)
     basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64)
 
@@ -93,11 +106,14 @@ def image_hash(images: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for origin, h, w, c, data in frame.itertuples(index=False):
+                if data is None or not h or len(data) != h * w * c:
+                    rows.append((origin, None))
+                    continue
                 grey = np.frombuffer(data, np.uint8).reshape(h, w, c)[:, :, :3].mean(2, keepdims=True)
                 low = (basis @ bilinear(grey, 32)[:, :, 0].astype(float) @ basis.T)[:8, :8].reshape(-1)
                 bits = (low > np.median(low)).astype(np.uint64)
                 rows.append((origin, int((bits << np.arange(64, dtype=np.uint64)).sum().astype(np.int64))))
-            yield pd.DataFrame(rows, columns=["origin", "hash"])
+            yield pd.DataFrame({"origin": [r[0] for r in rows], "hash": pd.array([r[1] for r in rows], "Int64")})
 
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "origin string, hash long")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embedlens.functions import columns as C
+from embedlens.functions.encode import encode_by_name
 from embedlens.functions.encode import hash_encode as _hash_encode
 from embedlens.operators import patches, sampling, tiling
 from embedlens.plans import bindings as B
@@ -311,13 +312,49 @@ def page_rasters(spark, sf_dir):
     return p.select(image.alias("image"))
 
 
-@query()
+RASTER = "ra AS (SELECT page_id, 64 AS w, greatest(1, ceil(strlen(coalesce(html, '')) / 192.0))::BIGINT AS h FROM pages)"
+_TILES = "CASE WHEN {s} <= 40 THEN [0] ELSE list_distinct(list_concat(range(0, ({s} - 40 + 1)::BIGINT, 40), [({s} - 40)::BIGINT])) END"
+
+
+# a page's bytes are UTF-8, so hardly any pixel is near white and every tile has ink enough
+@query(f"WITH {RASTER} SELECT page_id::VARCHAR AS origin, x::INTEGER AS x, unnest({_TILES.format(s='h')})::INTEGER AS y, 768 AS bytes FROM (SELECT page_id, h, unnest({_TILES.format(s='w')}) AS x FROM ra)")
 def tile_images(spark, sf_dir):
     """Tiles of every page's raster, rows of Spark's image type."""
     tiles = tiling.tile_images(page_rasters(spark, sf_dir), size=40, target=16)
     return tiles.select("origin", "x", "y", F.octet_length("pixels").alias("bytes"))
 
 
+@query(f"WITH {RASTER} SELECT page_id::VARCHAR AS origin, ((w - least(w, h)) // 2)::INTEGER AS x, ((h - least(w, h)) // 2)::INTEGER AS y, 432 AS bytes FROM ra")
+def centre_squares(spark, sf_dir):
+    """The largest centred square of every page's raster, resized."""
+    return tiling.tile_images(page_rasters(spark, sf_dir), target=12, centre_only=True).select("origin", "x", "y", F.octet_length("pixels").alias("bytes"))
+
+
+# no byte of UTF-8 is 255, so the white bytes are those of the blanked rows
+@query(f"WITH {RASTER} SELECT page_id::VARCHAR AS origin, h::INTEGER AS height, (round(h * 0.15::DOUBLE) * 192)::BIGINT AS white FROM ra")
+def blank_images(spark, sf_dir):
+    """Rasters with the leading 15 % of their rows white."""
+    blank = tiling.blank_images(page_rasters(spark, sf_dir), 0.15)
+    white = (F.length(F.hex("image.data")) - F.length(F.replace(F.hex("image.data"), F.lit("FF"), F.lit("")))) / 2
+    return blank.select("image.origin", "image.height", white.cast("long").alias("white"))
+
+
+@query("SELECT doc_id, length(rest) AS n, md5(rest) AS digest FROM (SELECT doc_id, substring(text, round(length(text) * 0.15::DOUBLE)::BIGINT + 1) AS rest FROM documents WHERE text IS NOT NULL)")
+def blank_title(spark, sf_dir):
+    """Texts without their leading 15 % of characters."""
+    d = docs(spark, sf_dir).where("text is not null").select("doc_id", C.drop_leading(F.col("text"), 0.15).alias("rest"))
+    return d.select("doc_id", F.length("rest").cast("long").alias("n"), F.md5(F.col("rest").cast("binary")).alias("digest"))
+
+
+@query("SELECT count(*) FILTER (WHERE page_id % 10 <> 3) AS hashed, count(*) FILTER (WHERE page_id % 10 = 3) AS failed FROM pages")
+def image_hash(spark, sf_dir):
+    """Perceptual hashes of all rasters; a tenth are cut short, as broken files are, and count as failed."""
+    r = page_rasters(spark, sf_dir).select("image.*")
+    data = F.when(F.col("origin").cast("long") % 10 == 3, F.substring("data", 2, 1 << 30)).otherwise(F.col("data"))
+    images = r.withColumn("data", data).select(F.struct(*r.columns).alias("image"))
+    return tiling.image_hash(images).groupBy().agg(F.count("hash").alias("hashed"), F.count_if(F.col("hash").isNull()).alias("failed"))
+
+
 @query(B.with_ctes("vec", ", m AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) GROUP BY i) SELECT crop_id, round(sum(z), 6) AS total, round(max(z), 6) AS top FROM (SELECT crop_id, (x - mu) / sd AS z FROM (SELECT crop_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) JOIN m USING (i)) GROUP BY crop_id").replace("\n,", ","))
 def channel_normalize(spark, sf_dir):
     c = B.crops(spark, sf_dir)
@@ -335,3 +372,60 @@ s AS (SELECT item_id, h % 64 AS dim, sum(CASE WHEN (h // 64) % 2 = 0 THEN c ELSE
 SELECT item_id, dim, round(s / sqrt(sum(s * s) OVER (PARTITION BY item_id)), 6) AS value FROM s WHERE s <> 0""")
 def hash_encode(spark, sf_dir):
     return _hash_encode(B.table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
+
+
+@query("""
+WITH c AS (SELECT item_id, l AS dim, length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), chr(97 + l::INTEGER), '')) AS n FROM benchmark, range(0, 26) r(l))
+SELECT item_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id))::DOUBLE, 6) AS value FROM c WHERE n > 0""")
+def named_encode(spark, sf_dir):
+    """An encoder chosen by name, run in batches: letter counts, L2-normalised."""
+    v = encode_by_name(B.table(spark, sf_dir, "benchmark"), "item_id", "text", "letters")
+    return v.select("item_id", F.posexplode("embedding").alias("dim", "value")).where("value > 0").select("item_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+FILE = 100  # documents in a file
+
+
+def doc_files(spark, sf_dir, name: str, *columns):
+    """The documents as files of ``FILE`` ids each."""
+    d = docs(spark, sf_dir).select(F.lpad(F.floor(F.col("doc_id") / FILE).cast("string"), 9, "0").alias("file"), *columns)
+    path = folder(spark, name)
+    return d.repartition("file").sortWithinPartitions("file", "doc_id"), path
+
+
+@query(f"SELECT doc_id // {FILE} AS idx, strlen(t) AS length, sha256(t) AS digest FROM (SELECT doc_id // {FILE} * {FILE} AS doc_id, string_agg(md5(text) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)")
+def file_blobs(spark, sf_dir):
+    """Files of lines, read as blobs by path and again as whole texts; both must agree."""
+    d, path = doc_files(spark, sf_dir, "blobs", "doc_id", F.md5(F.col("text").cast("binary")).alias("value"))
+    d.select("file", "value").write.partitionBy("file").text(path)
+    number = F.regexp_extract("path", r"file=0*(\d+)/", 1).cast("long").alias("idx")
+    blobs = M.blob_scan(spark, path, "*.txt").select(number, F.col("length").cast("long").alias("length"), F.sha2("content", 256).alias("digest"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("file").cast("long").alias("idx"), F.sha2(F.col("value").cast("binary"), 256).alias("again"))
+    return blobs.join(texts, "idx").where("digest = again").drop("again")
+
+
+@query(f"SELECT file, rows, (sum(rows) OVER (ORDER BY file) - rows)::BIGINT AS start, (sum(rows) OVER (ORDER BY file))::BIGINT AS stop FROM (SELECT doc_id // {FILE} AS file, count(*) AS rows FROM documents GROUP BY 1)")
+def file_inventory(spark, sf_dir):
+    """Rows and offsets of every file."""
+    d, path = doc_files(spark, sf_dir, "inventory", "doc_id")
+    d.write.partitionBy("file").parquet(path)
+    found = M.file_inventory(spark.read.parquet(path))
+    return found.withColumn("file", F.regexp_extract("file", r"file=0*(\d+)/", 1).cast("long"))
+
+
+@query(f"SELECT doc_id, lang FROM documents WHERE doc_id // {FILE} IN (SELECT DISTINCT doc_id // {FILE} AS f FROM documents ORDER BY f LIMIT 3 OFFSET 2)")
+def file_range(spark, sf_dir):
+    """The range is the feature: files number 2, 3 and 4."""
+    d, path = doc_files(spark, sf_dir, "files", "doc_id", "lang")
+    d.write.partitionBy("file").parquet(path)
+    return M.file_range(spark.read.parquet(path), 2, 5).select("doc_id", "lang")
+
+
+@query("SELECT coalesce(lang, 'none') AS shard, count(*) AS rows FROM documents GROUP BY 1")
+def archive_shards(spark, sf_dir):
+    """Shards merged into a new version, then moved to the archive, where they are counted."""
+    path, archive = folder(spark, "shards"), folder(spark, "archive")
+    docs(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("none")).alias("shard")).write.partitionBy("shard").parquet(path)
+    M.manifest_write(spark.read.parquet(path), folder(spark, "corpus"), "v2")
+    M.archive_shards(spark, path, archive)
+    return spark.read.parquet(archive).groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count("*").alias("rows"))

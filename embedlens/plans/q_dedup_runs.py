@@ -96,6 +96,20 @@ def spearman(spark, sf_dir):
     return rhos(spark, sf_dir)
 
 
+# Student's t in closed form for whole degrees of freedom v: theta = atan(t / sqrt(v)), and a finite sum in cos(theta)**2
+P_VALUE = """
+th AS (SELECT user_id, event_type, n, rho, n - 2 AS v, atan(abs(rho) / sqrt(1 - rho * rho)) AS a, 1 - rho * rho AS c2 FROM rho WHERE abs(rho) < 1 AND n >= 3),
+pv AS (SELECT user_id, event_type, n, CASE
+  WHEN v % 2 = 0 THEN 1 - sin(a) * list_sum(list_transform(range(0, v // 2), lambda j: pow(c2, j) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2 * i - 1) / (2.0::DOUBLE * i))), 1)))
+  WHEN v = 1 THEN 1 - 2 * a / pi()
+  ELSE 1 - 2 / pi() * (a + sin(a) * cos(a) * list_sum(list_transform(range(0, (v - 1) // 2), lambda j: pow(c2, j) * coalesce(list_product(list_transform(range(1, j + 1), lambda i: 2 * i / (2.0::DOUBLE * i + 1))), 1)))) END AS p FROM th)"""
+
+
+@query("WITH" + RHO + "," + P_VALUE + " SELECT r.user_id, r.event_type, r.n, r.rho, round(CASE WHEN r.n >= 3 AND abs(r.rho) >= 1 THEN 0 ELSE pv.p END, 6) + 0.0::DOUBLE AS p FROM rho r LEFT JOIN pv ON r.user_id = pv.user_id AND r.event_type = pv.event_type AND r.n = pv.n")
+def spearman_p(spark, sf_dir):
+    return runs.with_p(rhos(spark, sf_dir)).withColumn("p", F.round("p", 6) + F.lit(0.0))
+
+
 @query("WITH" + RHO + " SELECT event_type, round(avg(rho), 6) AS mean, round(median(rho), 6) AS median, round(stddev_pop(rho), 6) AS std, count(*) AS n FROM rho WHERE rho IS NOT NULL GROUP BY event_type")
 def rho_summary(spark, sf_dir):
     return runs.rho_summary(rhos(spark, sf_dir), "event_type")

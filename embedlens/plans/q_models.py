@@ -12,6 +12,7 @@ from embedlens.plans import bindings as B
 from embedlens.plans.q_corpus import STRIP, WORDS
 from embedlens.plans.q_retrieval import DOT, paired_sql
 from embedlens.plans.registry import query
+from embedlens.sources.shared import written
 
 
 def view_pair(spark, sf_dir):
@@ -125,14 +126,25 @@ def erase_residual(spark, sf_dir):
 
 @query()
 def erase_sweep(spark, sf_dir):
-    """Leave-one-out recall before, masked, and erased at growing rank."""
+    """Leave-one-out recall before, masked, and erased at growing rank, with the change from before."""
     c, out = B.crops(spark, sf_dir), None
     erasers = G.delta_erasers(masked_pair(spark, sf_dir), [1, 4, 8])
     views = [("before", 0, c), ("masked", 0, B.masked(spark, sf_dir))] + [("erased", r, e.apply(c)) for r, e in erasers.items()]
     for name, rank, df in views:
         one = retrieval.recall_loo_groups(df).select(F.lit(name).alias("view"), F.lit(rank).cast("long").alias("rank"), "k", "hits", "total", "recall")
         out = one if out is None else out.unionByName(one)
-    return out
+    out = written(out, "sweep")
+    first = out.where("view = 'before'").select("k", F.col("recall").alias("first"))
+    return out.join(first, "k").select("view", "rank", "k", "hits", "total", "recall", F.round(F.col("recall") - F.col("first"), 6).alias("delta"))
+
+
+@query(B.with_ctes("vec vec2", "WITH_SCORES").replace("WITH_SCORES", """SELECT a.crop_id, round(sum((a.x - b.x - m.mu) * (a.x - b.x - m.mu)), 6) AS energy FROM
+(SELECT crop_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) a JOIN (SELECT crop_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec2) b ON a.crop_id = b.crop_id AND a.i = b.i
+JOIN (SELECT c.i, avg(c.x - d.x) AS mu FROM (SELECT crop_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) c JOIN (SELECT crop_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec2) d ON c.crop_id = d.crop_id AND c.i = d.i GROUP BY c.i) m ON a.i = m.i GROUP BY a.crop_id"""))
+def delta_scores(spark, sf_dir):
+    """Scores of what masking takes away on all principal directions; a row's squares sum to its centred squared length."""
+    pair = B.crops(spark, sf_dir).select("crop_id", F.col("v").alias("x")).join(B.masked(spark, sf_dir).select("crop_id", F.col("v").alias("z")), "crop_id")
+    return G.delta_scores(pair, "crop_id").groupBy("crop_id").agg(F.round(F.sum(F.col("z") * F.col("z")), 6).alias("energy"))
 
 
 @query(B.with_ctes("vec vec2", "SELECT count(*) FILTER (WHERE a.crop_id IS NULL) AS only_b, count(*) FILTER (WHERE b.crop_id IS NULL) AS only_a, count(*) FILTER (WHERE a.page_id <> b.page_id) AS group_mismatch, count(*) FILTER (WHERE len(a.v) <> len(b.v)) AS dim_mismatch, count(*) AS ids FROM vec a FULL JOIN vec2 b ON a.crop_id = b.crop_id"))
@@ -290,3 +302,20 @@ def matched_vocab(spark, sf_dir):
     c = B.table(spark, sf_dir, "conversations")
     side = lambda r: c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))), lambda x: x["text"]), " ").alias("text"))
     return patches.matched_vocab(side("user"), side("assistant"), "conv_id")
+
+
+_BY_NAME = B.with_ctes("vec tok", "").rstrip() + f""", s AS (
+  SELECT 'first' AS name, crop_id, t AS g FROM tok WHERE token_id = 0
+  UNION ALL SELECT 'mean', crop_id, list(x ORDER BY i) FROM (SELECT crop_id, i, sum(x) AS x FROM (SELECT crop_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM tok) GROUP BY crop_id, i) GROUP BY crop_id
+  UNION ALL SELECT 'strongest', crop_id, t FROM (SELECT crop_id, t, row_number() OVER (PARTITION BY crop_id ORDER BY round(sqrt({DOT}(t, t)), 9) DESC, token_id) AS r FROM tok) WHERE r = 1)
+SELECT name, t.crop_id AS item, t.token_id AS patch, round({DOT}(t.t, s.g) / greatest(sqrt({DOT}(t.t, t.t)) * sqrt({DOT}(s.g, s.g)), 1e-12::DOUBLE), 6) AS saliency FROM tok t JOIN s ON t.crop_id = s.crop_id"""
+
+
+@query(_BY_NAME)
+def saliency_by_name(spark, sf_dir):
+    """Every registered saliency over all patches."""
+    out = None
+    for name in sorted(patches.SALIENCY):
+        one = patches.saliency_by_name(features(spark, sf_dir), name).select(F.lit(name).alias("name"), "item", "patch", F.round("saliency", 6).alias("saliency"))
+        out = one if out is None else out.unionByName(one)
+    return out

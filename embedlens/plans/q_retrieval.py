@@ -55,6 +55,13 @@ def sim_sanity(spark, sf_dir):
     return retrieval.sim_sanity(B.crops(spark, sf_dir))
 
 
+@query(recall_sql("vec", "SELECT min(n.rank) FILTER (WHERE b.page_id = a.page_id) AS rank FROM vec a LEFT JOIN near n ON n.q = a.crop_id LEFT JOIN vec b ON b.crop_id = n.id WHERE a.page_id IN (SELECT page_id FROM vec GROUP BY 1 HAVING count(*) > 1) GROUP BY a.crop_id", more=f", {NEAR}").replace(" SELECT k, count(*)", ", k AS (SELECT k, count(*)") + f"""),
+steps AS (SELECT recall, lag(recall) OVER (ORDER BY k) AS before FROM k)
+SELECT (SELECT count(*) FROM vec) AS crops, (SELECT count(DISTINCT page_id) FROM vec) AS pages, round(a, 6) AS same_mean, round(b, 6) AS diff_mean, round(coalesce(a - b, 0), 6) AS gap, (SELECT bool_and(before IS NULL OR recall + 1e-6::DOUBLE >= before) FROM steps) AS monotonic FROM ({SANITY.format(t='vec')})""")
+def item_report(spark, sf_dir):
+    return retrieval.item_report(B.crops(spark, sf_dir))
+
+
 SUMS = "sums AS (SELECT page_id, list(s ORDER BY i) AS s, any_value(n) AS n FROM (SELECT page_id, i, sum(x) AS s, count(*) AS n FROM (SELECT page_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) GROUP BY page_id, i) GROUP BY page_id)"
 GALLERY = f"{SUMS}, gal AS (SELECT page_id, n, s, {B.unit('s')} AS g FROM sums)"
 
@@ -101,6 +108,16 @@ def triplet_recall(spark, sf_dir):
     return retrieval.triplet_recall(B.triplets(spark, sf_dir), c, c)
 
 
+@query(triplet_sql("vec trip", "there", "there").replace(",\nscored AS", ",\nthere AS (SELECT * FROM vec WHERE v[1] >= -0.1::DOUBLE),\nscored AS", 1).replace("\nSELECT k, count(*)", ",\nfound AS (SELECT k, count(*)") + """),
+steps AS (SELECT recall, lag(recall) OVER (ORDER BY k) AS before FROM found),
+asked AS (SELECT count(DISTINCT anchor) AS anchors, count(*) AS pool FROM trip)
+SELECT anchors, pool, max(total) AS valid, anchors - max(total) AS skipped, max(pos_mean) AS pos_mean, max(neg_mean) AS neg_mean, round(coalesce(max(pos_mean) - max(neg_mean), 0), 6) AS gap, (SELECT bool_and(before IS NULL OR recall + 1e-6::DOUBLE >= before) FROM steps) AS monotonic FROM found, asked GROUP BY anchors, pool""")
+def triplet_report(spark, sf_dir):
+    """A triplet evaluation where some members don't exist: anchors, pool, skipped ones, means."""
+    there = B.crops(spark, sf_dir).where(F.col("v")[0] >= -0.1)
+    return retrieval.triplet_report(B.triplets(spark, sf_dir), there, there)
+
+
 @query(triplet_sql("vec trip", "vec", "vec", micro=True))
 def triplet_recall_micro(spark, sf_dir):
     c = B.crops(spark, sf_dir)

@@ -47,6 +47,22 @@ def shard_offsets(df: DataFrame, shard: str) -> DataFrame:
     return n.select(shard, "rows", (stop - F.col("rows")).alias("start"), stop.alias("stop"))
 
 
+def file_inventory(files: DataFrame) -> DataFrame:
+    """(file, rows, start, stop) of every file of a read table, in order of their paths; one row a file meets in one task."""
+    return shard_offsets(files.select(F.col("_metadata.file_path").alias("file")), "file")
+
+
+def file_range(files: DataFrame, start: int, stop: int) -> DataFrame:
+    """The rows of files number start to stop - 1, in order of their paths. Two paths come to the driver; the filter on the path keeps
+    the other files from being read."""
+    paths = files.select(F.col("_metadata.file_path").alias("file")).distinct()
+    numbered = global_rank(paths, F.col("file"), name="number").where(F.col("number").between(start + 1, stop))
+    ends = numbered.agg(F.min("file").alias("low"), F.max("file").alias("high")).first()
+    if ends.low is None:
+        return files.limit(0)
+    return files.where(F.col("_metadata.file_path").between(ends.low, ends.high))
+
+
 def row_range(df: DataFrame, idx: str, start: int, stop: int) -> DataFrame:
     return df.where((F.col(idx) >= start) & (F.col(idx) < stop))
 
@@ -116,6 +132,21 @@ def manifest_write(df: DataFrame, path: str, version: str) -> str:
     return rows
 
 
+def archive_shards(spark: SparkSession, path: str, archive: str) -> list[str]:
+    """Moves merged shards (the entries of a folder) into an archive folder; what is there already is left, so a repeat goes on where it
+    stopped. Returns the names moved."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm_path(archive))
+    moved = []
+    for entry in fs.listStatus(jvm_path(path)):  # a name a shard
+        name = entry.getPath().getName()
+        target = jvm_path(f"{archive}/{name}")
+        if not name.startswith(("_", ".")) and not fs.exists(target) and fs.rename(entry.getPath(), target):
+            moved.append(name)
+    return sorted(moved)
+
+
 def descriptor_cache(df: DataFrame, path: str) -> DataFrame:
     """Writes descriptors once; later analyses read the files."""
     df.write.mode("overwrite").parquet(path)

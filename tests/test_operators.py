@@ -406,7 +406,9 @@ def test_spearman_ties_and_constants(spark):
     rank = lambda v: [sorted(v).index(a) + (v.count(a) - 1) / 2 for a in v]
     want = np.corrcoef(rank([1, 2, 2, 3, 5]), rank([2, 1, 1, 4, 4]))[0, 1]
     assert got == {1: pytest.approx(want, abs=1e-6), 2: None}
-    assert runs.spearman_p(0.83, 6) == pytest.approx(0.0408, abs=5e-4) and runs.spearman_p(0.0, 10) == pytest.approx(1)
+    rhos = spark.createDataFrame([(0.83, 6), (0.0, 10), (1.0, 5), (-1.0, 4), (0.5, 2), (None, 9), (0.999, 40), (0.02, 5000)], "rho double, n long")
+    p = [r.p for r in runs.with_p(rhos).collect()]
+    assert p[0] == pytest.approx(0.0408, abs=5e-4) and p[1] == pytest.approx(1) and p[2:6] == [0, 0, None, None] and 0 <= p[6] < 1e-12 and p[7] == pytest.approx(0.1573, abs=1e-3)
 
 
 def test_running_best_is_strict(spark):
