@@ -17,7 +17,8 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 1
     """(node, component) of all nodes in ``links(a, b)``; component is the smallest node reachable.
 
     A hub's neighbours are never gathered: minima are aggregated before the shuffle and joined back, where a skewed key can be
-    split. Links to oneself keep a node as its own component; null ends are left out; no links give no rows.
+    split. Links to oneself keep a node as its own component; null ends are left out; no links give no rows. The result is a written
+    table.
     """
     edges = scratch.stash(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null").distinct(), "edges")
     nodes = edges.select("u").union(edges.select("v")).distinct()
@@ -40,4 +41,7 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 1
         before = state
     else:
         raise RuntimeError("connected_components: no fixed point")
-    return nodes.join(edges_now.groupBy("u").agg(F.min("v").alias("v")), "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+    found = nodes.join(edges_now.groupBy("u").agg(F.min("v").alias("v")), "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+    found = scratch.stash(found, "components")
+    scratch.drop(edges, *([edges_now] if edges_now is not edges else []))
+    return found

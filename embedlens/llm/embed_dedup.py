@@ -9,15 +9,16 @@
    block has seen linked is in one component, however full the lists are.
 5. A list is saturated when all its ``K`` are over the threshold, so more may be. The components of lists and ties that hold a saturated
    node have their lists enlarged to the component, in blocks against blocks: each node counts its links there, no pairs are sent.
-6. Audit: the nodes whose id is divisible by 50 are compared with all nodes of their label, in blocks, and their links counted at last
+6. Audit: the nodes that hold a vec_id divisible by 50 are compared with all nodes of their label, in blocks, and their links counted at last
    (after 5) with those. While the share found of a label is below ``TARGET``, more trees and rounds follow, at most ``MORE`` times;
    labels still below it are counted whole, all blocks against all.
 
 Every cosine is of double precision. Links found have cosine >= threshold; recall is what the audit says (see ``_audit``).
 
 Defined cases: null vectors, zero vectors, vectors with null or non-finite parts, and rows with a null label get 0 links and are their
-own component. Vectors of different lengths don't link. Rows that share a vec_id are different vectors under one name: a row's links
-count rows. A null vec_id stays out of components. An empty table gives no rows.
+own component. Vectors of different lengths don't link. Rows that share a vec_id are different vectors under one name: nodes are known
+by label and vector, never by vec_id, a row's links count rows, and its component's id is the smallest vec_id that its own vector
+reaches. A row with a null vec_id has its component's id too (null without one), and is not kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,19 +47,24 @@ LINKS = "u long, v long, sim double, tie boolean"
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds a 128-bit key and the double-precision unit vector (null: links with nothing)."""
     for batch in batches:
-        keys, units = [], []
-        for label, v in zip(batch.column("label"), batch.column("embedding").to_pylist()):
-            x = np.array(v, np.float64) if v and label.is_valid and None not in v else np.zeros(0)
-            norm = float(np.sqrt((x * x).sum())) if len(x) and np.isfinite(x).all() else 0.0
-            if norm > 0 and not np.isfinite(norm):
-                x = x / np.abs(x).max()
-                norm = float(np.sqrt((x * x).sum()))
-            if norm == 0 and len(x) and np.isfinite(x).all() and np.abs(x).max() > 0:
-                x = x / np.abs(x).max()
-                norm = float(np.sqrt((x * x).sum()))
-            ok = norm > 0
-            keys.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
-            units.append((x / norm).tobytes() if ok else None)
+        n, column = batch.num_rows, batch.column("embedding")
+        keys, units = [None] * n, [None] * n
+        size = pa.compute.fill_null(column.value_lengths(), 0).to_numpy()
+        flat = pa.compute.fill_null(column.flatten(), float("nan")).to_numpy()
+        first, labelled = np.cumsum(size) - size, np.asarray(batch.column("label").is_valid())
+        for d in np.unique(size[size > 0]):
+            mine = np.flatnonzero((size == d) & labelled)
+            x = flat[first[mine][:, None] + np.arange(d)[None, :]]
+            top = np.abs(x).max(1, initial=0)
+            good = np.isfinite(x).all(1) & (top > 0)
+            mine, x, top = mine[good], x[good], top[good]
+            with np.errstate(over="ignore"):
+                square = (x * x).sum(1)
+            odd = (square == 0) | ~np.isfinite(square)  # squares out of range
+            x[odd] /= top[odd][:, None]
+            norm = np.sqrt((x * x).sum(1))
+            for i, row, u in zip(mine.tolist(), x, x / norm[:, None]):
+                keys[i], units[i] = xxhash.xxh3_128_digest(row.tobytes()), u.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "label", "key", "unit"])
 
 
@@ -240,7 +247,8 @@ def _descended(lists: DataFrame | None, nodes: DataFrame, sizes: DataFrame, scra
     state = F.sum(F.xxhash64("u", F.transform("best", lambda b: b["v"])).cast("decimal(38,0)"))
     before = lists.agg(state).first()[0]
     for turn in range(rounds):
-        lists = scratch.stash(_top(_flat(lists, ties=True).union(_refine(lists, nodes, keep, turn, threshold)), keep), "lists")
+        lists, old = scratch.stash(_top(_flat(lists, ties=True).union(_refine(lists, nodes, keep, turn, threshold)), keep), "lists"), lists
+        scratch.drop(old)
         after = lists.agg(state).first()[0]
         if after == before:
             break
@@ -251,7 +259,7 @@ def _descended(lists: DataFrame | None, nodes: DataFrame, sizes: DataFrame, scra
 def _counted(lists: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: float, keep: int) -> tuple[DataFrame, DataFrame]:
     """Links of each node (id, links: rows, nodes), and (node, component)."""
     links = scratch.stash(_flat(lists, ties=True).where(F.col("sim") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
-    components = scratch.stash(connected_components(links, scratch), "components")
+    components = connected_components(links, scratch)
     full = lists.where((F.size("best") >= keep) & (-F.element_at("best", -1)["far"] >= threshold)).select(F.col("u").alias("node"))
     dense = components.join(full, "node", "left_semi").select("component").distinct()
     members = components.join(dense, "component", "left_semi").join(nodes.withColumnRenamed("id", "node"), "node")
@@ -259,7 +267,9 @@ def _counted(lists: DataFrame, nodes: DataFrame, scratch: Scratch, threshold: fl
     enlarged = _blocks(members, members, threshold).groupBy("id").agg(F.sum("rows").alias("links"), F.sum("nodes").alias("others"))
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
     sparse = both.join(members.select("id"), "id", "left_anti").join(nodes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("links"), F.count("*").alias("others"))
-    return scratch.stash(sparse.union(enlarged), "counts"), components
+    counts = scratch.stash(sparse.union(enlarged), "counts")
+    scratch.drop(links, members)
+    return counts, components
 
 
 def _audit(counts: DataFrame, true: DataFrame) -> list:
@@ -269,10 +279,11 @@ def _audit(counts: DataFrame, true: DataFrame) -> list:
 
 
 def link_counts(nodes: DataFrame, scratch: Scratch, threshold: float, keep: int = K, trees: int = TREES, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links of each node and the components, audited; ``nodes`` has (space, id, unit, copies, label)."""
+    """Links of each node and the components, audited; ``nodes`` has (space, id, unit, copies, label, asked)."""
     sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
     all_rows = nodes.select(F.col("space").alias("part"), "id", "unit", F.col("copies").alias("w"))
-    true = _blocks(all_rows.where("id % 50 = 0"), all_rows, threshold).groupBy("id").agg(F.sum("nodes").alias("true"))
+    asked = nodes.where("asked").select(F.col("space").alias("part"), "id", "unit", F.col("copies").alias("w"))
+    true = _blocks(asked, all_rows, threshold).groupBy("id").agg(F.sum("nodes").alias("true"))
     true = scratch.stash(true.join(nodes.select("id", "label"), "id"), "true")
     lists = None
     for attempt in range(1 + MORE):
@@ -289,7 +300,7 @@ def link_counts(nodes: DataFrame, scratch: Scratch, threshold: float, keep: int
         exact = blocks.groupBy("id").agg(F.sum("rows").alias("links"), F.sum("nodes").alias("others"))
         counts = scratch.stash(counts.join(mine.select("id"), "id", "left_anti").union(exact), "counts")
         links = blocks.where("other <> id").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        components = scratch.stash(connected_components(links.union(components.select("node", "component")), scratch), "components")
+        components = connected_components(links.union(components.select("node", "component")), scratch)
         audited = _audit(counts, true)
     if report is not None:
         report["found"], report["all"], report["exact_labels"] = sum(r["found"] for r in audited), sum(r["all"] for r in audited), len(short)
@@ -302,12 +313,14 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.98, keep: int =
     scratch = Scratch(spark, "vectors")
     source = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = scratch.stash(source.mapInArrow(_usable, "vec_id long, label long, key binary, unit binary"), "rows")
-    nodes = rows.where("key is not null").groupBy("label", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
-    # a node's number must not repeat, which a shared vec_id could: it is the rank-free hash of what defines it
-    nodes = scratch.stash(nodes.select(F.xxhash64("label", F.length("unit")).alias("space"), F.when(F.col("least").isNull(), F.xxhash64("label", "key")).otherwise(F.col("least")).alias("id"), "unit", "copies", "label", "key", "least"), "nodes")
+    nodes = rows.where("key is not null").groupBy("label", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.bool_or(F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))).alias("asked"), F.first("unit").alias("unit"))
+    nodes = scratch.stash(nodes.select(F.xxhash64("label", F.length("unit")).alias("space"), F.xxhash64("label", "key").alias("id"), "unit", "copies", "label", "key", "least", "asked"), "nodes")
     counts, components = link_counts(nodes, scratch, threshold, keep, report=report)
-    counted = nodes.join(counts.select("id", "links"), "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-    # a component's number is its smallest node's, so its smallest vec_id, as a node's number is its smallest vec_id
-    counted = counted.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(counted, ["label", "key"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    counted = nodes.select("label", "key", "id", "copies", "least").join(counts.select("id", "links"), "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
+    counted = scratch.stash(counted.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"), "least"), "counted")
+    names = counted.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = counted.join(names, "component").select("label", "key", "n_links", "component_id", F.lit(True).alias("linkable"))
+    out = rows.select("vec_id", "label", "key").join(found, ["label", "key"], "left")
+    component = F.when(F.col("linkable"), F.col("component_id")).otherwise(F.col("vec_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -183,15 +183,16 @@ def _stream(min_docs: int, run_rows: int):
     return run
 
 
-def dropped_lines(lines: DataFrame, scratch: Scratch, min_docs: int = 5) -> DataFrame:
-    """(doc_id, rid, pos): the positions that a document loses; ``lines`` has a row for each long enough line."""
+def dropped_lines(lines: DataFrame, scratch: Scratch, min_docs: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, pos): the positions that a document loses, and the written runs they come from; ``lines`` has a row for each long
+    enough line."""
     order = [F.asc("h1"), F.asc("h2"), F.desc_nulls_last("doc_id"), F.asc("rid")]
     runs = lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos").mapInArrow(_stream(min_docs, RUN_ROWS), RUNS)
     runs = scratch.stash(runs, "runs")
     ends = F.count_distinct(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))))
     total = runs.where("edge = 2").groupBy("h1", "h2").agg((F.sum("docs") + ends).alias("all_docs"), F.max("doc_id").alias("kept_in")).where(F.col("all_docs") >= min_docs)
     edge = runs.where("edge = 1").join(total, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("kept_in")))
-    return runs.where("edge = 0").select("doc_id", "rid", "pos").union(edge.select("doc_id", "rid", "pos"))
+    return runs.where("edge = 0").select("doc_id", "rid", "pos").union(edge.select("doc_id", "rid", "pos")), runs
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +211,15 @@ def bitmaps(documents: DataFrame, scratch: Scratch, min_chars: int = 40, min_doc
     """(doc_id, rid, n_lines, n_dropped, keep) of every row: compressed bitmaps, most significant bit first."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "text")
     lines = scratch.stash(source.mapInArrow(_lines(min_chars), LINES), "lines")
-    gone = dropped_lines(lines.where("h1 is not null"), scratch, min_docs).groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("gone"))
+    gone, runs = dropped_lines(lines.where("h1 is not null"), scratch, min_docs)
+    gone = gone.groupBy("doc_id", "rid").agg(F.collect_list("pos").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("rid").alias("gone_rid"), "gone")
     docs = lines.where("h1 is null").select("doc_id", "rid", F.col("pos").cast("long").alias("n_lines"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]) & (docs["rid"] == gone["gone_rid"]), "left")
     found = joined.select("doc_id", "rid", "n_lines", "gone").mapInArrow(_bitmaps, "doc_id long, rid long, n_lines long, n_dropped long, keep binary")
-    return scratch.stash(found, "bitmaps")
+    found = scratch.stash(found, "bitmaps")
+    scratch.drop(lines, runs)
+    return found
 
 
 def apply_bitmap(text: str | None, n: int, bitmap: bytes) -> str:

@@ -324,9 +324,9 @@ def score(documents: DataFrame, rounds: int = ROUNDS, report: dict | None = None
                 hot = k >= 0
                 log_c = np.where(hot, np.log10(np.maximum(k, 0) + 0.1), 0.0)
                 tail = (c >= v.own) & (c < v.end)
-                log_p = lambda c: (a1[one, c] + a2[two, c] - z[one, two]).astype(np.float64) / np.log(10)
-                known = log_p(c) + np.where(tail, log_c - v.log_mass[np.where(tail, c - v.own, 0)], 0.0)  # of rare words without log_c
-                unseen = log_p(np.full(len(c), v.unseen))
+                known = (a1[one, c] + a2[two, c] - z[one, two]).astype(np.float64) / np.log(10) + np.where(tail, log_c - v.log_mass[np.where(tail, c - v.own, 0)], 0.0)  # of rare words without log_c
+                unseen, maybe = np.zeros(len(c)), np.flatnonzero(k <= 0)
+                unseen[maybe] = (a1[one[maybe], v.unseen] + a2[two[maybe], v.unseen] - z[one[maybe], two[maybe]]).astype(np.float64) / np.log(10)
                 lm = np.where(k == 0, unseen, known)
                 rows = uid + np.arange(n)
                 uid += n

@@ -10,18 +10,19 @@ A document's tokens are its distinct word shingles (64-bit hashes). Two sets x,
    tokens that x may miss, its prefix is extended until removing any e of its tokens leaves a signature: a rare token is one by
    itself; of frequent tokens any two of one sub-class are one (a sub-class of c gives c - 1 towards e + 1). Two linked sets then share
    a signature: the one whose prefix ends first misses at most e of its own prefix tokens, and all others lie in both prefixes
-   (partitioned k-wise signatures: Wang et al., 2016). Sub-classes depend on a size bracket (powers of 1/0.8); a set also sends
+   (partitioned k-wise signatures: Wang et al., 2016). Sub-classes depend on a size bracket (powers of 100 / percent); a set also sends
    signatures for the bracket below, so sets of neighbouring brackets meet.
 3. Equal sets are one class from here on. Buckets of at most ``SMALL`` sets give all pairs; in larger ones each set meets one pivot, the
    set with the fewest tokens of its own (of near copies that is mostly the original), so rows stay linear in a bucket's size. Buckets
    that then hold one component are settled. The others make clusters of sets that share such a bucket; in each cluster all sets outside
-   its largest component are compared with all its sets, in blocks against blocks inside tasks, which send on spanning links only.
+   its largest component are compared with all its sets of neighbouring size brackets, in blocks against blocks inside tasks, which send
+   on spanning links only.
 4. Candidates are verified on their whole sets; links make connected components.
 
 No text leaves its task; packed sets are kept for documents with signatures only.
 
 Defined cases: null, empty or blank text has no set, links with nothing, and is its own component; with fewer words than a shingle the
-whole sequence is the one token. Rows that share a doc_id count as one document that has all its rows' links; each gives a row. A null
+whole sequence is the one token. ``percent`` is 20 to 100; below, sub-classes could not hold enough tokens, so it raises. Rows that share a doc_id count as one document that has all its rows' links; each gives a row. A null
 doc_id links with nothing and has a null component unless an equal set has an id. An empty table gives no rows; other columns are
 left out.
 """
@@ -29,6 +30,7 @@ left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,24 @@ U = np.uint64
 SMALL = 4
 #: Sets in a block of a large cluster.
 BLOCK = 64
-#: Bits of each Bloom filter over all ranges: the bound of what is broadcast (2 x 8 MB).
-FILTER_BITS = 1 << 26
+#: Bits of each Bloom filter over all ranges at most: the bound of what is broadcast (2 x 32 MB). Up to it they follow the tokens' count.
+FILTER_BITS = 1 << 28
 PROBES = 4
 #: Bytes of text in one numpy pass.
 SLICE = 2 << 20
+#: Ids of documents that go or share an id are broadcast up to this number (about 64 MB).
+BROADCAST_ROWS = 1_000_000
 #: Brackets below this size index frequent tokens singly.
 FEW = 20
-_GROWTH = 1.25 ** np.arange(120)
+
+
+@cache
+def _brackets(percent: int) -> np.ndarray:
+    """Lower bounds of size brackets; sets whose sizes allow a link are in the same or in neighbouring ones."""
+    if not 20 <= percent <= 100:
+        raise ValueError("percent must be 20 to 100")
+    growth = max(100 / percent, 1.02)
+    return growth ** np.arange(int(np.ceil(np.log(1e12) / np.log(growth))))
 
 
 def _bucket_bits(spark) -> int:
@@ -101,6 +113,37 @@ def _count_tokens(shingle: int, bucket_bits: int):
     return run
 
 
+def _repeated(table: pa.Table) -> pa.Table:
+    """One hash range's tokens in two documents or more: packed sorted keys and their document frequencies.
+
+    Every row's keys are sorted, so the range is worked off in parts of its hashes, and only a part of it is unpacked at a time.
+    """
+    rows = [[np.frombuffer(x, np.uint8).reshape(-1, 5) for x in table.column(c).to_pylist()] for c in ("ones", "many")]
+    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+    parts = power_of_two(max(1, sum(len(x) for kind in rows for x in kind) // 500_000))
+    heads = [[x[:, 4] for x in kind] for kind in rows]  # the keys' highest bytes
+    keys, dfs = [], []
+    for p in range(min(parts, 256)):
+        low, high = p * 256 // min(parts, 256), (p + 1) * 256 // min(parts, 256)
+        found, df = [], []
+        for kind, head in zip(rows, heads):
+            for i, (x, y) in enumerate(zip(kind, head)):
+                a, b = np.searchsorted(y, low), np.searchsorted(y, high) if high < 256 else len(y)
+                if a < b:
+                    found.append(_unpack40(x[a:b].tobytes()))
+                    df.append(np.ones(b - a, np.int64) if kind is rows[0] else counts[i][a:b].astype(np.int64))
+        if not found:
+            continue
+        found, df = np.concatenate(found), np.concatenate(df)
+        order = np.argsort(found, kind="stable")
+        found, df = found[order], df[order]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        df, found = np.add.reduceat(df, first), found[first]
+        keys.append(_pack40(found[df > 1]))
+        dfs.append(df[df > 1].astype("<u4").tobytes())
+    return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([b"".join(keys)], pa.binary()), "df": pa.array([b"".join(dfs)], pa.binary())})
+
+
 def _filters(block_bits: int):
     """One hash range's filter blocks."""
 
@@ -110,21 +153,13 @@ def _filters(block_bits: int):
             bits[row] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def run(table: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for ones, many, c in zip(*(table.column(x).to_pylist() for x in ("ones", "many", "counts"))):
-            keys += [_unpack40(ones), _unpack40(many)]
-            counts += [np.ones(len(ones) // 5, np.uint32), np.frombuffer(c, "<u4")]
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        df = np.add.reduceat(counts.astype(np.int64), first)
-        keys = keys[first]
-        frequent = 3
-        while np.count_nonzero(df >= frequent) > block_bits // 8:
-            frequent = power_of_two(frequent + 1)
-        return pa.table({"bucket": table.column("bucket")[:1], "shared": pa.array([block(keys[df >= 2])], pa.binary()), "frequent": pa.array([block(keys[df >= frequent])], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, keys, df in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "df"))):
+                keys, df, frequent = _unpack40(keys), np.frombuffer(df, "<u4"), 3
+                while np.count_nonzero(df >= frequent) > block_bits // 8:
+                    frequent = power_of_two(frequent + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block(keys)], pa.binary()), pa.array([block(keys[df >= frequent])], pa.binary())], names=["bucket", "shared", "frequent"])
 
     return run
 
@@ -153,13 +188,14 @@ def signatures(tokens: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
     if need <= len(rare):
         return rare[:need]
     out, frequent, need = [rare], tokens[cls == 2], need - len(rare)
-    bracket = int(np.searchsorted(_GROWTH, n, "right")) - 1
+    brackets = _brackets(percent)
+    bracket = int(np.searchsorted(brackets, n, "right")) - 1
     for j in {bracket, max(bracket - 1, 0)}:
         tag = U((2 * j + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-        if _GROWTH[j] < FEW:
+        if brackets[j] < FEW:
             out.append(textnp.mix(frequent[:need] ^ tag))
             continue
-        sub = (textnp.mix(frequent) % U(max(1, int(_GROWTH[j] / 10)))).astype(np.int64)
+        sub = (textnp.mix(frequent) % U(max(1, int(brackets[j] / 10)))).astype(np.int64)
         order = np.argsort(sub, kind="stable")
         begin = np.concatenate([[True], sub[order][1:] != sub[order][:-1]])
         at = np.arange(len(sub))
@@ -288,56 +324,72 @@ def jaccard_components(sets: DataFrame, scratch: Scratch, percent: int) -> DataF
     with_b = candidates.join(packed.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t")), "b")
     both = with_b.join(packed.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
     links = scratch.stash(both.select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long"), "links")
-    components = scratch.stash(connected_components(links, scratch), "components")
+    components = connected_components(links, scratch)
+    scratch.drop(links)
 
     labelled = large.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component"))
     unsettled = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
     rest = scratch.stash(labelled.join(unsettled, "sig", "left_semi").select("doc_id", "pivot", "component").distinct(), "rest")
+    scratch.drop(postings)
     if rest.isEmpty():
         return components
     clusters = connected_components(rest.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), scratch)
     members = rest.select("doc_id", "component").distinct().join(clusters.toDF("doc_id", "cluster"), "doc_id")
     sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).select("cluster", F.col("top.component").alias("main"), F.col("all"), (F.col("all") - F.col("top.n")).alias("others"))
-    cut = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)))
-    last = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)) - 1
-    members = scratch.stash(members.join(main, "cluster"), "members")
-    left = members.where("component <> main").select("cluster", "doc_id", "component", cut("others", 1).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), last("all"))).alias("y"), F.lit(0).alias("side"))
-    right = members.select("cluster", "doc_id", "component", F.explode(F.sequence(F.lit(0).cast("long"), last("others"))).alias("x"), cut("all", 2).alias("y"), F.lit(1).alias("side"))
-    rows = left.unionByName(right).select(F.xxhash64("cluster", "x", "y").alias("g"), "side", "doc_id", "component").join(packed, "doc_id")
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("top")).select("cluster", F.col("top.component").alias("main"))
+    bracket = F.floor(F.log(F.col("n").cast("double")) / float(np.log(max(100 / percent, 1.02))) + 1e-9).cast("int")  # neighbours as in _brackets
+    members = members.join(sets.select("doc_id", bracket.alias("bracket")), "doc_id").join(main, "cluster")
+    members = scratch.stash(members.select("cluster", "doc_id", "component", "bracket", (F.col("component") != F.col("main")).alias("other")), "members")
+    others = members.where("other").select("cluster", "doc_id", "component", F.explode(F.array(*[F.col("bracket") + i for i in (-1, 0, 1)])).alias("bracket"))
+    blocks = lambda df, name: df.groupBy("cluster", "bracket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("long").alias(name))
+    grid = blocks(others, "xs").join(blocks(members, "ys"), ["cluster", "bracket"])
+    cut = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = others.join(grid, ["cluster", "bracket"]).select("cluster", "bracket", "doc_id", "component", cut("xs", 1).alias("x"), upto("ys").alias("y"), F.lit(0).alias("side"))
+    right = members.join(grid, ["cluster", "bracket"]).select("cluster", "bracket", "doc_id", "component", upto("xs").alias("x"), cut("ys", 2).alias("y"), F.lit(1).alias("side"))
+    rows = left.unionByName(right).select(F.xxhash64("cluster", "bracket", "x", "y").alias("g"), "side", "doc_id", "component").join(packed, "doc_id")
     more = rows.repartition("g").sortWithinPartitions("g", "side").select("g", "side", "doc_id", "component", "tokens").mapInArrow(_compare_blocks(percent), "a long, b long")
     more = scratch.stash(more, "more")
+    scratch.drop(members, rest, clusters)
     if more.isEmpty():
         return components
     joined = connected_components(more, scratch).toDF("component", "whole")  # over components
     relabelled = components.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     single = joined.join(components.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
-    return scratch.stash(relabelled.unionByName(single), "components")
+    whole = scratch.stash(relabelled.unionByName(single), "components")
+    scratch.drop(more, components)
+    return whole
 
 
 def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = documents.sparkSession
+    _brackets(percent)  # raises here rather than in a task
     scratch = Scratch(spark, "ngrams")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bucket_bits = _bucket_bits(spark)
-    block_bits = FILTER_BITS >> bucket_bits
     counted = source.mapInArrow(_count_tokens(shingle, bucket_bits), "bucket int, ones binary, many binary, counts binary")
-    blocks = counted.groupBy("bucket").applyInArrow(_filters(block_bits), "bucket int, shared binary, frequent binary")
-    both = np.zeros((2, FILTER_BITS // 8), np.uint8)
-    for row in blocks.toLocalIterator():  # FILTER_BITS bits twice, whatever the input
+    repeated = scratch.stash(counted.groupBy("bucket").applyInArrow(_repeated, "bucket int, keys binary, df binary"), "repeated")
+    most = repeated.agg(F.max(F.length("df") / 4)).first()[0] or 0
+    block_bits = min(FILTER_BITS >> bucket_bits, max(1 << 12, power_of_two(int(most) * 16)))
+    both = np.zeros((2, (block_bits << bucket_bits) // 8), np.uint8)
+    for row in repeated.mapInArrow(_filters(block_bits), "bucket int, shared binary, frequent binary").toLocalIterator():  # FILTER_BITS bits twice at most
         for i, raw in enumerate((row.shared, row.frequent)):
             both[i, row.bucket * (block_bits // 8) : (row.bucket + 1) * (block_bits // 8)] = np.frombuffer(raw, np.uint8)
+    scratch.drop(repeated)
     shared, frequent = (spark.sparkContext.broadcast(x) for x in both)
     sets = scratch.stash(source.mapInArrow(_sets(shingle, percent, shared, frequent, bucket_bits, block_bits), "doc_id long, n long, h1 long, h2 long, sigs array<long>, tokens binary, own long"), "sets")
     reps = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.stash(reps, "reps")
     chosen = sets.where("sigs is not null").join(reps, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["doc_id", "h1", "h2"])
     chosen = scratch.stash(chosen.select("doc_id", "n", "sigs", "tokens", "own"), "chosen")
+    ids = scratch.stash(sets.select("doc_id", "n", "h1", "h2"), "ids")
+    scratch.drop(sets)
     components = jaccard_components(chosen, scratch, percent)
+    scratch.drop(chosen)
     # a doc_id with several sets can be linked through each of them
     labels = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "h1", "h2").join(labels, ["h1", "h2"], "left")
+    out = ids.join(labels, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -346,7 +398,9 @@ def one_of_each_group(documents: DataFrame, shingle: int = 5, percent: int = 80)
     names = documents.columns
     id_, group, rows, gone = fresh(names, "id", "group", "rows", "gone")
     groups = ngram_groups(documents, shingle, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.min("component_id").alias(group), F.count("*").alias(rows))
-    special = groups.where((F.col(id_) != F.col(group)) | (F.col(rows) > 1)).select(id_, (F.col(id_) != F.col(group)).alias(gone))
-    marked = documents.join(special, documents["doc_id"] == special[id_], "left")
+    scratch = Scratch(documents.sparkSession, "groups")
+    special = scratch.stash(groups.where((F.col(id_) != F.col(group)) | (F.col(rows) > 1)).select(id_, (F.col(id_) != F.col(group)).alias(gone)), "special")
+    small = special.count() <= BROADCAST_ROWS  # then no text is shuffled
+    marked = documents.join(F.broadcast(special) if small else special, documents["doc_id"] == special[id_], "left")
     plain = marked.where(F.col(id_).isNull()).select(*names)
     return plain.unionByName(marked.where(~F.col(gone)).select(*names).dropDuplicates(["doc_id"]))

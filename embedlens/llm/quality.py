@@ -199,7 +199,9 @@ def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
     for kind, df, key, value in parts:
         one = df.select("lang_key", F.lit(kind).alias("kind"), F.col(key).alias("gram"), F.log10(value).cast("float").alias("value"))
         out = one if out is None else out.unionByName(one)
-    return scratch.stash(out, "model")
+    model = scratch.stash(out, "model")
+    scratch.drop(bigrams, p1, p2, back1, back2)
+    return model
 
 
 def entry_hash(lang: np.ndarray | int, kind: np.ndarray | int, gram: np.ndarray) -> np.ndarray:
@@ -261,7 +263,10 @@ def fit_model(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """The entries of ``kneser_ney`` over all texts."""
     source = _with_language(documents.select("lang", "text").where("text is not null"), "lang_key").select("lang_key", "text")
     counts = source.mapInArrow(_count, "lang_key long, gram long, n long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
-    return kneser_ney(scratch.stash(counts, "counts"), scratch)
+    counts = scratch.stash(counts, "counts")
+    model = kneser_ney(counts, scratch)
+    scratch.drop(counts)
+    return model
 
 
 def scored(documents: DataFrame, scratch: Scratch, limit: int = MODEL_ENTRIES, group_texts: int = GROUP_TEXTS) -> tuple[DataFrame, str]:

@@ -50,9 +50,10 @@ class Scratch:
         out._embedlens_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes a table that nothing reads any more."""
-        self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._embedlens_path), True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing reads any more: what was made of them is written."""
+        for df in tables:
+            self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._embedlens_path), True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -271,10 +271,22 @@ def test_embedding_audit_continues_exactly(spark, monkeypatch):
     assert report["exact_labels"] == 1 and report["found"] == report["all"] > 0
 
 
-def test_embedding_rows_that_share_an_id(spark):
-    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
-    got = Counter(map(tuple, embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).select("vec_id", "n_links").collect()))
-    assert got == {(1, 1): 2, (2, 1): 1, (None, 1): 1}
+A, B = [1.0, 0.0], [0.0, 1.0]
+NEAR_A, NEAR_B = [1.0, 0.05], [0.05, 1.0]
+
+
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([(1, A, 0), (1, B, 0), (2, B, 0), (None, A, 0)], [(1, 1, 1, True)] * 2 + [(2, 1, 1, False), (None, 1, 1, False)]),
+        ([(1, A, 0), (1, A, 1), (2, NEAR_A, 0), (3, NEAR_A, 1)], [(1, 1, 1, True)] * 2 + [(2, 1, 1, False), (3, 1, 1, False)]),
+        ([(1, A, 0), (1, B, 0), (2, NEAR_A, 0), (3, NEAR_B, 0)], [(1, 1, 1, True)] * 2 + [(2, 1, 1, False), (3, 1, 1, False)]),
+        ([(None, A, 0), (None, NEAR_A, 0), (None, None, 0), (5, [3e-200, 4e-200], 0), (6, [3e200, 4e200], 0)], [(None, 1, None, False)] * 2 + [(None, 0, None, False), (5, 1, 5, True), (6, 1, 5, False)]),
+    ],
+)
+def test_embedding_rows_that_share_an_id(spark, rows, want):
+    got = embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
 
 
 def test_components(spark):

@@ -74,7 +74,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)])
 
 
-def groups(rows):
+def groups(rows, percent=80):
     """Brute force: all pairs, then components."""
     sets = [(doc, shingles(text)) for doc, text, *_ in rows]
     parent = {}
@@ -88,7 +88,7 @@ def groups(rows):
     with_id = [(d, s) for d, s in sets if d is not None and s]
     for i, (a, s) in enumerate(with_id):
         for b, t in with_id[:i]:
-            if 100 * min(len(s), len(t)) >= 80 * max(len(s), len(t)) and 100 * len(s & t) >= 80 * len(s | t):
+            if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and 100 * len(s & t) >= percent * len(s | t):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return Counter((d, len(s), find(d)) for d, s in sets if d is not None)
@@ -124,26 +124,30 @@ def test_ngram_groups_with_large_buckets(spark, monkeypatch, small, few, block):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    got = many(ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got == groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 50)[: 2 if small == 4 else 1]:
+        assert many(ngram_join.ngram_groups(df, percent=percent)) == groups(rows, percent)
+    with pytest.raises(ValueError):
+        ngram_join.ngram_groups(df, percent=10).count()
 
 
-def test_signatures_meet():
+@pytest.mark.parametrize("percent", [80, 30, 50, 67, 95, 100])
+def test_signatures_meet(percent):
     """Any two sets over the limit share a signature, whatever the classes."""
-    rng = np.random.default_rng(3)
+    rng, share = np.random.default_rng(3), percent / 100
     for trial in range(400):
         n = int(rng.integers(1, 400))
         universe = np.unique(rng.integers(0, 2**63, 2 * n + 4).astype(np.uint64))
         cls = dict(zip(universe.tolist(), rng.choice(3, len(universe), p=[0.05, 0.15, 0.8] if trial % 2 else [0.0, 0.5, 0.5])))
         x = np.sort(rng.choice(universe, n, replace=False))
-        drop = rng.random(len(x)) < rng.random() * 0.2
-        y = np.union1d(x[~drop], rng.choice(universe, int(rng.integers(0, n // 8 + 1)), replace=False))
+        drop = rng.random(len(x)) < rng.random() * (1 - share)
+        y = np.union1d(x[~drop], rng.choice(universe, int(rng.integers(0, int(n * (1 / share - 1) / 2) + 2)), replace=False))
         both = len(np.intersect1d(x, y))
-        if not len(y) or 100 * both < 80 * (len(x) + len(y) - both):
+        if not len(y) or 100 * both < percent * (len(x) + len(y) - both):
             continue
         for t in np.intersect1d(x, y).tolist():  # a token of both sets is in two documents
             cls[t] = max(cls[t], 1)
-        sigs = [ngram_join.signatures(s, np.array([cls[t] for t in s.tolist()]), 80) for s in (x, y)]
+        sigs = [ngram_join.signatures(s, np.array([cls[t] for t in s.tolist()]), percent) for s in (x, y)]
         assert len(x) == len(y) == both or len(np.intersect1d(*sigs)), (n, both)
 
 
