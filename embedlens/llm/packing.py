@@ -7,12 +7,14 @@ the largest weighted dot product of what it asks and what is left, or the smalle
 al., 2011). A pattern is repeated as often as the counts allow. Spark then deals pieces out to the plan: by rank among the pieces
 of their length, with ranks from counts for each partition and length, so no length's pieces ever meet in one task.
 
-Defined cases: null text is empty (one piece, the end id). A text longer than ``max_tokens`` is cut into full pieces and a rest.
+Defined cases: null text is empty (one piece, the end id). A text longer than a sequence holds (``max_tokens``, or the root of
+``max_cost`` where that is less) is cut into full pieces and a rest.
 Repeated doc_ids and null doc_ids are packed like any others. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -100,8 +102,11 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
     piece lengths) default to values that never bind."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
+    longest = min(max_tokens, math.isqrt(max_cost)) if max_cost else max_tokens
+    if longest < 1 or (max_docs is not None and max_docs < 1):
+        raise ValueError("a sequence must hold a piece")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = scratch.stash(source.mapInArrow(_pieces(tokenizer, end_id, max_tokens), PIECES), "pieces")
+    pieces = scratch.stash(source.mapInArrow(_pieces(tokenizer, end_id, longest), PIECES), "pieces")
     cells = scratch.stash(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "cells")
     # at most max_tokens rows come to the driver
     counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}

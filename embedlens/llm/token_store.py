@@ -1,18 +1,18 @@
 """Token ids in compressed files: a wavelet matrix per shard.
 
-Documents are range-partitioned and sorted by doc_id, encoded, and cut into shards of whole documents. A shard's file holds the
-document ids and lengths, and one bit-plane for each bit of an id, most significant first: plane k has bit k of the ids as ordered by
-the planes before it (zeros first, stably). Rank directories give access, counting and occurrence lookup in a number of steps that
-depends on the planes only (Claude, Navarro, Ordonez, 2015). Files are the rows of a written table (``payload``), so they lie in any
-store that Spark writes to; ``export_shards`` also writes them as single files.
-
-Defined cases: a null text is empty and gets the end id alone. Equal doc_ids come in the order of their texts, null doc_ids first. An
-empty table gives no shard. Other columns are left out.
+Documents are range-partitioned and sorted by doc_id and a hash of their texts, encoded, and cut into shards of whole documents. A shard's
+file holds the document ids and lengths, and one bit-plane for each bit of an id, most significant first: plane k has bit k of the ids as
+ordered by the planes before it (zeros first, stably). Each plane has a rank directory: ones before every ``BLOCK`` bits. Access and
+counting take one block a plane; select takes one block a plane besides a binary search of its directory (Claude, Navarro, Ordonez, 2015).
+Planes are compressed in chunks, and only the chunks that a lookup touches are unpacked. Files are the rows of a written table
+(``payload``), so they lie in any store that Spark writes to.
+
+Defined cases: a null text is empty and gets the end id alone. Equal doc_ids come in the order of their texts' hashes, null doc_ids first.
+An empty table gives no shard. Other columns are left out.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,24 +27,78 @@ from pyspark.sql import functions as F
 from embedlens.llm.shared import Scratch, shuffle_partitions, slices, text_buffer
 from embedlens.llm.tokens import encoder
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 BLOCK = 512  # bits between two entries of a rank directory
+WIDTH = BLOCK // 8
+CHUNK = 128  # blocks that are compressed together
 SHARD_TOKENS = 1 << 20
 FILES = "part int, shard int, n_docs long, n_tokens long, payload binary"
 
 
+class Plane:
+    """One bit-plane as rows of ``WIDTH`` bytes with its rank directory; from an array, or from compressed parts that are unpacked when
+    they are touched."""
+
+    def __init__(self, rows: np.ndarray | None = None, parts: list | None = None):
+        self.chunks = {0: rows} if rows is not None else {}
+        self.size = max(1, len(rows)) if rows is not None else CHUNK
+        self.parts = parts
+        ones = np.bitwise_count(rows).sum(1, dtype=np.int64) if rows is not None else None
+        self._ranks = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32) if rows is not None else None
+
+    @property
+    def ranks(self) -> np.ndarray:
+        if self._ranks is None:
+            self._ranks = np.frombuffer(zstandard.decompress(self.parts[0]), np.uint32)
+        return self._ranks
+
+    def _chunk(self, i: int) -> np.ndarray:
+        if i not in self.chunks:
+            self.chunks[i] = np.frombuffer(zstandard.decompress(self.parts[1 + i]), np.uint8).reshape(-1, WIDTH)
+        return self.chunks[i]
+
+    def bits(self, block: np.ndarray) -> np.ndarray:
+        """The bits of the given blocks, a row each."""
+        out = np.zeros((len(block), WIDTH), np.uint8)
+        chunk = block // self.size
+        for i in np.unique(chunk):
+            mine = chunk == i
+            out[mine] = self._chunk(int(i))[block[mine] - i * self.size]
+        return np.unpackbits(out, axis=1)
+
+    def all(self, n: int) -> np.ndarray:
+        if self.parts is not None and len(self.parts) > 1:
+            whole = np.concatenate([self._chunk(i) for i in range(len(self.parts) - 1)])
+        else:
+            whole = self.chunks.get(0, np.zeros((0, WIDTH), np.uint8))
+        return np.unpackbits(whole.reshape(-1), count=n).astype(bool)
+
+    def rank1(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        block = np.minimum(at // BLOCK, max(len(self.ranks) - 2, 0))
+        if len(self.ranks) < 2:
+            return np.zeros(len(at), np.int64)
+        before = np.arange(BLOCK)[None, :] < (at - block * BLOCK)[:, None]
+        return self.ranks[block].astype(np.int64) + (self.bits(block).astype(bool) & before).sum(1)
+
+    def select(self, bit: int, i: np.ndarray) -> np.ndarray:
+        """The place of occurrence ``i`` (from 0) of ``bit``: a binary search of the directory, then one block."""
+        ones = self.ranks.astype(np.int64)
+        before = ones if bit else np.arange(len(ones)) * BLOCK - ones
+        block = np.searchsorted(before, i, "right") - 1
+        seen = np.cumsum(self.bits(block) == bit, axis=1)
+        return block * BLOCK + (seen > (i - before[block])[:, None]).argmax(1)
+
+    def packed(self) -> list[bytes]:
+        pack, rows = zstandard.ZstdCompressor(level=1).compress, self.chunks[0]
+        return [pack(self.ranks.tobytes()), *(pack(rows[a : a + CHUNK].tobytes()) for a in range(0, len(rows), CHUNK))]
+
+
 class WaveletMatrix:
     """Access, rank, select and counts over a sequence of ids, from bit-planes."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray] | None = None):
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.ranks = ranks or [self._directory(p) for p in planes]
-
-    @staticmethod
-    def _directory(plane: np.ndarray) -> np.ndarray:
-        """Ones before each block."""
-        ones = np.bitwise_count(plane).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-        return np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -53,37 +107,30 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             bit = ((now >> k) & 1).astype(bool)
             packed = np.packbits(bit)
-            planes.append(np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)]))
+            planes.append(Plane(np.concatenate([packed, np.zeros(-len(packed) % WIDTH, np.uint8)]).reshape(-1, WIDTH)))
             now = np.concatenate([now[~bit], now[bit]])
             zeros.append(n - int(np.count_nonzero(bit)))
         return cls(n, planes, zeros)
 
-    def _rank1(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Ones of plane k before each place."""
-        at = np.asarray(at, np.int64)
-        block = at // BLOCK
-        bytes_ = self.planes[k].reshape(-1, BLOCK // 8) if len(self.planes[k]) else np.zeros((1, BLOCK // 8), np.uint8)
-        row = bytes_[np.minimum(block, len(bytes_) - 1)]
-        inside = np.unpackbits(row, axis=1)
-        before = np.arange(BLOCK)[None, :] < (at - block * BLOCK)[:, None]
-        return self.ranks[k][block].astype(np.int64) + (inside.astype(bool) & before).sum(1)
-
     def access(self, at) -> np.ndarray:
         """The ids at the given places."""
         at, out = np.atleast_1d(np.asarray(at, np.int64)), 0
-        for k in range(len(self.planes)):
-            bit = (self.planes[k][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            ones = self._rank1(k, at)
-            out = out * 2 + bit.astype(np.int64)
-            at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
+        for plane, zeros in zip(self.planes, self.zeros):
+            ones, more = plane.rank1(at), plane.rank1(at + 1)
+            bit = more - ones
+            out = out * 2 + bit
+            at = np.where(bit == 1, zeros + ones, at - ones)
         return out
 
+    def _bit(self, symbol: int, k: int) -> int:
+        return symbol >> (len(self.planes) - 1 - k) & 1
+
     def _range(self, symbol: int, stop: int) -> tuple[int, int]:
         """Where ``symbol`` among the first ``stop`` ids lies in the last order."""
         a, b = 0, stop
-        for k in range(len(self.planes)):
-            ra, rb = (int(x) for x in self._rank1(k, np.array([a, b])))
-            if symbol >> (len(self.planes) - 1 - k) & 1:
+        for k, plane in enumerate(self.planes):
+            ra, rb = (int(x) for x in plane.rank1(np.array([a, b])))
+            if self._bit(symbol, k):
                 a, b = self.zeros[k] + ra, self.zeros[k] + rb
             else:
                 a, b = a - ra, b - rb
@@ -97,33 +144,31 @@ class WaveletMatrix:
     def count(self, symbol: int) -> int:
         return self.rank(symbol, self.n)
 
+    def _up(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """From places in the last order to places in the sequence."""
+        for k in range(len(self.planes) - 1, -1, -1):
+            one = self._bit(symbol, k)
+            at = self.planes[k].select(one, at - self.zeros[k] * one)
+        return at
+
     def select(self, symbol: int, i: int) -> int:
         """The place of occurrence ``i`` (from 0) of ``symbol``."""
         a, b = self._range(symbol, self.n)
         if not 0 <= i < b - a:
             raise IndexError(i)
-        at = a + i
-        for k in range(len(self.planes) - 1, -1, -1):
-            bits = np.unpackbits(self.planes[k], count=self.n)
-            one = symbol >> (len(self.planes) - 1 - k) & 1
-            at = int(np.flatnonzero(bits == one)[at - self.zeros[k] if one else at])
-        return at
+        return int(self._up(symbol, np.array([a + i]))[0])
 
     def occurrences(self, symbol: int) -> np.ndarray:
-        """All places of ``symbol``, from the planes alone."""
+        """All places of ``symbol``, ascending."""
         a, b = self._range(symbol, self.n)
-        at = np.arange(a, b)
-        for k in range(len(self.planes) - 1, -1, -1):
-            bits = np.unpackbits(self.planes[k], count=self.n)
-            one = symbol >> (len(self.planes) - 1 - k) & 1
-            at = np.flatnonzero(bits == one)[at - self.zeros[k] if one else at]
-        return at
+        parts = [self._up(symbol, np.arange(x, min(b, x + 4096))) for x in range(a, b, 4096)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     def decode(self) -> np.ndarray:
         """All ids in their order, plane by plane from the last."""
         now = np.zeros(self.n, np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[k], count=self.n).astype(bool)
+            bit = self.planes[k].all(self.n)
             up = np.empty_like(now)
             up[~bit] = now[: self.zeros[k]]
             up[bit] = now[self.zeros[k] :] | np.uint32(1 << (len(self.planes) - 1 - k))
@@ -132,35 +177,37 @@ class WaveletMatrix:
 
 
 def write_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    """One file: header, documents, planes with their rank directories; each part zstandard-compressed."""
+    """One file: header, sizes of parts, documents, then each plane's rank directory and chunks; parts are zstandard-compressed."""
     m = WaveletMatrix.build(ids, bits)
     pack = zstandard.ZstdCompressor(level=1).compress
     null = np.fromiter((d is None for d in doc_ids), bool, len(doc_ids))
     numbers = np.fromiter((d or 0 for d in doc_ids), np.int64, len(doc_ids))
     parts = [pack(np.packbits(null).tobytes()), pack(numbers.tobytes()), pack(np.asarray(lengths, np.uint32).tobytes())]
-    for plane, ranks in zip(m.planes, m.ranks):
-        parts += [pack(plane.tobytes()), pack(ranks.tobytes())]
-    head = struct.pack("<4sBQQ", MAGIC, bits, len(doc_ids), m.n) + struct.pack(f"<{bits}Q", *m.zeros) + struct.pack(f"<{len(parts)}Q", *map(len, parts))
+    for plane in m.planes:
+        parts += plane.packed()
+    head = struct.pack("<4sBQQQ", MAGIC, bits, len(doc_ids), m.n, len(parts)) + struct.pack(f"<{bits}Q", *m.zeros) + struct.pack(f"<{len(parts)}Q", *map(len, parts))
     return head + b"".join(parts)
 
 
 def read_shard(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    magic, bits, n_docs, n = struct.unpack_from("<4sBQQ", payload)
+    """Documents, their lengths, and the matrix, whose planes are unpacked as they are touched."""
+    magic, bits, n_docs, n, n_parts = struct.unpack_from("<4sBQQQ", payload)
     if magic != MAGIC:
         raise ValueError("not a shard file")
-    at = struct.calcsize("<4sBQQ")
+    at = struct.calcsize("<4sBQQQ")
     zeros = list(struct.unpack_from(f"<{bits}Q", payload, at))
     at += 8 * bits
-    sizes = struct.unpack_from(f"<{3 + 2 * bits}Q", payload, at)
-    at += 8 * len(sizes)
-    unpack, parts = zstandard.ZstdDecompressor().decompress, []
+    sizes = struct.unpack_from(f"<{n_parts}Q", payload, at)
+    at += 8 * n_parts
+    whole, parts = memoryview(payload), []
     for size in sizes:
-        parts.append(unpack(payload[at : at + size]))
+        parts.append(whole[at : at + size])
         at += size
-    null = np.unpackbits(np.frombuffer(parts[0], np.uint8), count=n_docs).astype(bool)
-    docs = [None if x else d for d, x in zip(np.frombuffer(parts[1], np.int64).tolist(), null)]
-    lengths = np.frombuffer(parts[2], np.uint32)
-    return docs, lengths, WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3::2]], zeros, [np.frombuffer(p, np.uint32) for p in parts[4::2]])
+    unpack = zstandard.ZstdDecompressor().decompress
+    null = np.unpackbits(np.frombuffer(unpack(parts[0]), np.uint8), count=n_docs).astype(bool)
+    docs = [None if x else d for d, x in zip(np.frombuffer(unpack(parts[1]), np.int64).tolist(), null)]
+    lengths, each = np.frombuffer(unpack(parts[2]), np.uint32), (n_parts - 3) // bits
+    return docs, lengths, WaveletMatrix(n, [Plane(parts=parts[3 + k * each : 3 + (k + 1) * each]) for k in range(bits)], zeros)
 
 
 def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int, bits: int = 16, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -188,10 +235,10 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int, bi
         if held:
             yield row()
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     n = shuffle_partitions(documents.sparkSession)
-    ordered = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, FILES).write.option("compression", "uncompressed").parquet(path)
+    ordered = source.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")  # a frequent id is dealt by its texts
+    ordered.select("doc_id", "text").mapInArrow(run, FILES).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_store(spark, path: str) -> DataFrame:
@@ -216,22 +263,6 @@ def read_store(spark, path: str) -> DataFrame:
     return rows.join(base, ["part", "shard"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def export_shards(spark, path: str, folder: str) -> None:
-    """Each shard as ``<part>-<shard>.wmx`` in a folder that all executors can write to."""
-
-    def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            for part, shard, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "payload"))):
-                name = f"{folder}/{part:06d}-{shard:06d}.wmx"
-                with open(f"{name}.tmp", "wb") as f:
-                    f.write(payload)
-                os.replace(f"{name}.tmp", name)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
-
-    spark.read.schema(FILES).parquet(path).select("part", "shard", "payload").mapInArrow(run, "n long").agg(F.sum("n")).collect()
-
-
 def token_store(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "tokens")
     path = f"{scratch.root}/shards"

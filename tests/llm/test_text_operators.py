@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from embedlens.llm import license_scan, line_dedup, ngram_join, packing, piece_codec, quality, textnp, token_store
 from embedlens.llm.tokens import UnitEncoder
@@ -170,7 +171,8 @@ def test_token_store(spark, documents, rows, empty):
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want, start = [], 0
-    for doc, text, *_ in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
+    hash_of = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), seed=42)).astype(np.int64))
+    for doc, text, *_ in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hash_of(r[1]))):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -181,7 +183,7 @@ def test_token_store(spark, documents, rows, empty):
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 7, 511, 512, 5000):
+    for n in (0, 1, 7, 511, 512, 5000, 600_000):
         ids = (rng.zipf(1.4, n) % 50257).astype(np.uint32)
         docs, lengths, m = token_store.read_shard(token_store.write_shard([None, 4], np.array([n, 0]), ids, 16))
         assert docs == [None, 4] and lengths.tolist() == [n, 0] and (m.decode() == ids).all()
@@ -192,8 +194,11 @@ def test_wavelet_matrix():
                 places = np.flatnonzero(ids == symbol)
                 assert m.count(symbol) == len(places) and (m.occurrences(symbol) == places).all()
                 assert m.rank(symbol, n // 2) == (places < n // 2).sum()
-                for i in range(min(3, len(places))):
+                for i in {0, len(places) // 2, len(places) - 1} if len(places) else ():
                     assert m.select(symbol, i) == places[i]
+    docs, lengths, m = token_store.read_shard(token_store.write_shard([4], np.array([n]), ids, 16))
+    m.access(n // 2), m.select(int(ids[n // 2]), 0)
+    assert all(len(p.chunks) <= 6 < len(p.parts) - 1 for p in m.planes), "a lookup unpacks few chunks"
 
 
 def test_packing(documents, rows, empty):
@@ -222,6 +227,27 @@ def test_packing(documents, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("max_docs, max_cost, rule", [(3, None, "dot"), (None, 40_000, "norm"), (4, 250_000, "dot")])
+def test_packing_under_every_capacity(documents, rows, max_docs, max_cost, rule):
+    """Document counts and attention cost bind: pieces are cut to fit, every capacity holds, no token is lost."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lengths = Counter((r.doc_id, r.piece, r.start) for r in packing.pack(documents, path).collect())
+    got = packing.pack(documents, path, max_tokens=1000, max_docs=max_docs, max_cost=max_cost, rule=rule).collect()
+    longest, bins = min(1000, int((max_cost or 10**6) ** 0.5)), defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert max(r.length for r in got) == longest and lengths
+    assert sum(r.length for r in got) == sum(r.length for r in packing.pack(documents, path).collect())
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1000 and len(pieces) <= (max_docs or 1000) and sum(n * n for _, n in pieces) <= (max_cost or 10**6)
+    with pytest.raises(ValueError):
+        packing.pack(documents, path, max_docs=0)
+
+
 @pytest.mark.parametrize("rule", ["dot", "norm"])
 @pytest.mark.parametrize("max_docs, max_cost", [(None, None), (5, None), (None, 40_000), (7, 60_000)])
 def test_plan_keeps_every_capacity(rule, max_docs, max_cost):
