@@ -316,7 +316,25 @@ def test_words_and_windows():
     assert w.hash[0] == textnp.words(np.frombuffer(b"aB", np.uint8), np.array([0, 2])).hash[0]
 
 
-def test_license_forms(spark):
-    docs = spark.createDataFrame([(1, "Licenced under the APACHE licence version 2.0"), (2, "Copyright 2020 A. Person\nLicensed under the MIT License"), (3, "x\nAll rights reserved!\n all RIGHTS reserved"), (4, None), (5, ""), (6, "(c) me")], "doc_id long, text string")
+def test_license_forms(spark, empty):
+    mit = next(t for i, t in license_scan.KNOWN if i == "MIT" and "\n\n" in t)
+    wrapped = "\n".join("// " + line for p in mit.split("\n\n") for line in [*re.findall(r".{1,60}(?: |$)", p), ""])
+    texts = [
+        ("Licenced under the APACHE licence version 2.0", "Apache-2.0", 1, "Apache-2.0", 1, "Apache-2.0"),
+        ("Copyright 2020 A. Person\nLicensed under the MIT License", "MIT", 1, "MIT", 1, "MIT"),
+        ("x\nAll rights reserved!\n all RIGHTS reserved", None, 2, "all-rights-reserved", 0, ""),
+        (None, None, 0, "", 0, ""),
+        ("", None, 0, "", 0, ""),
+        ("(c) me", None, 0, "", 0, ""),
+        ("Copyright 2020 X. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1, "Apache-2.0", 1, "Apache-2.0"),
+        ("int x;\n\n// Copyright 2001 Me\n//\n" + wrapped + "\n\nint main();\n", None, 0, "", 1, "MIT"),
+        (mit.replace(" ", "  \n"), "MIT", 0, "", 1, "MIT"),
+        (mit[: mit.index("\n\n")], None, 0, "", 0, ""),
+        ("word " * 200_000, None, 0, "", 0, ""),
+    ]
+    docs = spark.createDataFrame([(i, t[0], i, "x") for i, t in enumerate(texts)], "doc_id long, text string, c int, digest string")
     got = {r.doc_id: tuple(r)[1:] for r in license_scan.license_scan(docs).collect()}
-    assert got == {1: ("Apache-2.0", 1, "Apache-2.0"), 2: ("MIT", 1, "MIT"), 3: (None, 2, "all-rights-reserved"), 4: (None, 0, ""), 5: (None, 0, ""), 6: (None, 0, "")}
+    assert {i: got[i][:3] for i in got if i != 8} == {i: t[1:4] for i, t in enumerate(texts) if i != 8}
+    assert {i: got[i][3:] for i in got if i != 8} == {i: t[4:] for i, t in enumerate(texts) if i != 8}
+    assert got[8][0] == "MIT" and got[8][4] == "MIT"
+    assert license_scan.license_scan(empty).count() == 0
