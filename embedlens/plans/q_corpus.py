@@ -413,12 +413,12 @@ def file_inventory(spark, sf_dir):
     return found.withColumn("file", F.regexp_extract("file", r"file=0*(\d+)/", 1).cast("long"))
 
 
-@query(f"SELECT doc_id, lang FROM documents WHERE doc_id // {FILE} IN (SELECT DISTINCT doc_id // {FILE} AS f FROM documents ORDER BY f LIMIT 3 OFFSET 2)")
+@query(f"SELECT doc_id, lang FROM documents WHERE doc_id // {FILE} IN (SELECT DISTINCT doc_id // {FILE} AS f FROM documents ORDER BY f LIMIT 2 OFFSET 1)")
 def file_range(spark, sf_dir):
-    """The range is the feature: files number 2, 3 and 4."""
+    """The range is the feature: files number 1 and 2."""
     d, path = doc_files(spark, sf_dir, "files", "doc_id", "lang")
     d.write.partitionBy("file").parquet(path)
-    return M.file_range(spark.read.parquet(path), 2, 5).select("doc_id", "lang")
+    return M.file_range(spark.read.parquet(path), 1, 3).select("doc_id", "lang")
 
 
 @query("SELECT coalesce(lang, 'none') AS shard, count(*) AS rows FROM documents GROUP BY 1")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedlens.functions import columns as C
+from embedlens.functions import encode
 from embedlens.functions.encode import encode_with, named
 from embedlens.operators import contrastive, moments, neardup, patches, retrieval, runs, sampling, tiling, vectors
 from embedlens.plans import q_corpus, q_streams
@@ -505,3 +506,59 @@ def test_running_best_takes_a_batch_in_any_order(spark, tmp_path):
     stream = S.file_stream(spark, source, spark.read.parquet(source).schema)
     got = S.to_files(S.running_best_stream(stream, "run_id", "step", "value"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert got.count() == 25_000
+
+
+def test_file_inventory_range_and_archive(spark, tmp_path):
+    rows = spark.range(250).select("id", F.lpad(F.floor(F.col("id") / 50).cast("string"), 4, "0").alias("file"))
+    path = f"{tmp_path}/files"
+    rows.repartition("file").write.partitionBy("file").parquet(path)
+    found = M.file_inventory(spark.read.parquet(path)).orderBy("start").collect()
+    assert [(r.rows, r.start, r.stop) for r in found] == [(50, 50 * i, 50 * i + 50) for i in range(5)]
+    part = M.file_range(spark.read.parquet(path), 1, 3)
+    assert sorted(r.id for r in part.select("id").collect()) == list(range(50, 150))
+    assert M.file_range(spark.read.parquet(path), 7, 9).count() == 0
+    archive = f"{tmp_path}/archive"
+    assert len(M.archive_shards(spark, path, archive)) == 5 and M.archive_shards(spark, path, archive) == []
+    assert spark.read.parquet(archive).count() == 250
+
+
+def test_names_of_encoders_and_saliencies(spark):
+    df = spark.createDataFrame([(1, "Abba"), (2, None), (3, "")], "id long, text string")
+    got = {r.id: r.embedding for r in encode.encode_by_name(df, "id", "text", "letters").collect()}
+    assert got[1][:2] == pytest.approx([0.5**0.5] * 2) and set(got[2]) == {0.0} == set(got[3])
+    with pytest.raises(KeyError):
+        encode.encode_by_name(df, "id", "text", "nothing")
+    with pytest.raises(KeyError):
+        patches.saliency_by_name(df, "nothing")
+
+
+def test_blanked_and_broken_images(spark):
+    image = lambda o, h, w, data: (o, h, w, 3, 16, bytearray(data))
+    rows = [(image("a", 10, 4, bytes(range(120))),), (image("b", 1, 1, b"abc"),), (image("c", 2, 2, b"short"),)]
+    df = spark.createDataFrame(rows, "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    got = {r.origin: bytes(r.data) for r in tiling.blank_images(df, 0.25).select("image.*").collect()}
+    assert got["a"] == b"\xff" * 36 + bytes(range(36, 120)) and got["b"] == b"abc"  # round(2.5) is 3, as halves go up
+    assert {r.origin: r.hash is None for r in tiling.image_hash(df).collect()} == {"a": False, "b": False, "c": True}
+
+
+def test_late_scores_of_large_pages(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, t, rng.standard_normal(4).tolist()) for i in range(24) for t in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "crop_id long, page_id long, token_id long, t array<double>")
+    tokens = {i: np.array([t for c, _, _, t in rows if c == i]) for i in range(24)}
+    want = {(q, p): sum(max((tokens[q][j] @ tokens[c].T).max() for c in range(24) if c % 3 == p and c != q) for j in range(len(tokens[q]))) for q in range(24) for p in range(3)}
+    for whole in (1024, 2):
+        got = {(r.q, r.page_id): r.score for r in retrieval.late_scores(df, block=5, whole=whole).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_erasure_scores(spark):
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((40, 5)), rng.standard_normal((40, 5))
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, z))], "crop_id long, x array<double>, z array<double>")
+    got = {}
+    for r in moments.delta_scores(df, "crop_id", 2).collect():
+        got[r.crop_id, r.r] = r.z
+    d = (x - z) - (x - z).mean(0)
+    u, s, _ = np.linalg.svd(d, full_matrices=False)
+    assert np.allclose(np.abs([[got[i, r] for r in range(2)] for i in range(40)]), np.abs(u[:, :2] * s[:2]))
