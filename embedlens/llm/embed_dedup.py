@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.llm.components import connected_components
-from embedlens.llm.shared import Scratch
+from embedlens.llm.shared import Scratch, tidy
 
 K = 12
 TREES = 6
@@ -152,7 +152,7 @@ def _best(table: pa.Table, keep: int, threshold: float):
 
 def _grouped(rows: DataFrame, f, names: list[str], schema: str) -> DataFrame:
     """``rows`` has (g, id, unit, ...); groups are bounded by construction."""
-    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(_groups(f, names), schema)
+    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(tidy(_groups(f, names)), schema)
 
 
 def _top(links: DataFrame, keep: int) -> DataFrame:
@@ -312,7 +312,7 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.98, keep: int =
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "vectors")
     source = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = scratch.stash(source.mapInArrow(_usable, "vec_id long, label long, key binary, unit binary"), "rows")
+    rows = scratch.stash(source.mapInArrow(tidy(_usable), "vec_id long, label long, key binary, unit binary"), "rows")
     nodes = rows.where("key is not null").groupBy("label", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.bool_or(F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))).alias("asked"), F.first("unit").alias("unit"))
     nodes = scratch.stash(nodes.select(F.xxhash64("label", F.length("unit")).alias("space"), F.xxhash64("label", "key").alias("id"), "unit", "copies", "label", "key", "least", "asked"), "nodes")
     counts, components = link_counts(nodes, scratch, threshold, keep, report=report)

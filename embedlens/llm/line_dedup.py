@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedlens.llm.shared import Scratch, fresh, over_texts
+from embedlens.llm.shared import Scratch, fresh, over_texts, tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
 LINES = "h1 long, h2 long, doc_id long, rid long, pos int"
@@ -187,7 +187,7 @@ def dropped_lines(lines: DataFrame, scratch: Scratch, min_docs: int = 5) -> tupl
     """(doc_id, rid, pos): the positions that a document loses, and the written runs they come from; ``lines`` has a row for each long
     enough line."""
     order = [F.asc("h1"), F.asc("h2"), F.desc_nulls_last("doc_id"), F.asc("rid")]
-    runs = lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos").mapInArrow(_stream(min_docs, RUN_ROWS), RUNS)
+    runs = lines.repartitionByRange(*order).sortWithinPartitions(*order, "pos").mapInArrow(tidy(_stream(min_docs, RUN_ROWS)), RUNS)
     runs = scratch.stash(runs, "runs")
     ends = F.count_distinct(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))))
     total = runs.where("edge = 2").groupBy("h1", "h2").agg((F.sum("docs") + ends).alias("all_docs"), F.max("doc_id").alias("kept_in")).where(F.col("all_docs") >= min_docs)
@@ -216,7 +216,7 @@ def bitmaps(documents: DataFrame, scratch: Scratch, min_chars: int = 40, min_doc
     gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("rid").alias("gone_rid"), "gone")
     docs = lines.where("h1 is null").select("doc_id", "rid", F.col("pos").cast("long").alias("n_lines"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_doc"]) & (docs["rid"] == gone["gone_rid"]), "left")
-    found = joined.select("doc_id", "rid", "n_lines", "gone").mapInArrow(_bitmaps, "doc_id long, rid long, n_lines long, n_dropped long, keep binary")
+    found = joined.select("doc_id", "rid", "n_lines", "gone").mapInArrow(tidy(_bitmaps), "doc_id long, rid long, n_lines long, n_dropped long, keep binary")
     found = scratch.stash(found, "bitmaps")
     scratch.drop(lines, runs)
     return found

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.llm import textnp
-from embedlens.llm.shared import Scratch, doc_crc, slices, text_buffer
+from embedlens.llm.shared import Scratch, doc_crc, remembered, slices, text_buffer, tidy
 
 U = np.uint64
 DIM = 48
@@ -40,10 +40,9 @@ HOT_WORDS = 1 << 20
 ROUNDS = 2
 BATCH, NOISE, RATE = 4096, 128, 0.15
 #: Bytes of text of which a task takes the distinct triples at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Tasks that are averaged at once, and pieces that parameters are averaged in.
 FAN, SHARDS = 16, 8
-_tables: dict = {}
 
 
 def _words(part: pa.RecordBatch) -> tuple[textnp.Words, np.ndarray]:
@@ -168,9 +167,13 @@ class LogBilinear:
         """A1 + b, A2 (natural logs), and log normalisers of all contexts."""
         q1, q2, r, b = self.p
         a1, a2 = q1 @ r.T + b, q2 @ r.T
-        m1, m2 = a1.max(1, keepdims=True), a2.max(1, keepdims=True)
-        z = np.log(np.exp(a1 - m1).astype(np.float64) @ np.exp(a2 - m2).astype(np.float64).T) + m1 + m2.T
-        return a1, a2, z.astype(np.float32)
+        m2, z = a2.max(1, keepdims=True), np.empty((self.size, self.size), np.float32)
+        e2 = np.exp(a2 - m2).T
+        for i in range(0, self.size, 256):
+            some = a1[i : i + 256]
+            m1 = some.max(1, keepdims=True)
+            z[i : i + 256] = np.log(np.exp(some - m1) @ e2) + m1 + m2.T
+        return a1, a2, z
 
     def train(self, code: np.ndarray, weight: np.ndarray, state: list, rng) -> None:
         """One pass over (w-2, w-1, w) triples, packed base ``size``, with their counts; AdaGrad steps."""
@@ -187,32 +190,28 @@ class LogBilinear:
             rw, rn = r[w], r[noise]
             s = (context * rw).sum(1) + b[w] - log_noise[w]
             t = context @ rn.T + (b[noise] - log_noise[noise])[None, :]
-            gs = m / (1 + np.exp(np.clip(s, -60, 60)))  # weight * (1 - sigmoid)
-            gt = -m[:, None] / (1 + np.exp(np.clip(-t, -60, 60)))
+            with np.errstate(over="ignore"):  # then the share is 0
+                gs = m / (1 + np.exp(s))  # weight * (1 - sigmoid)
+                gt = -m[:, None] / (1 + np.exp(-t))
             g_context = gs[:, None] * rw + gt @ rn
             scale = np.float32(1 / m.sum())
-            for c, q, h in ((c1, q1, state[0]), (c2, q2, state[1])):
-                g = _scatter(c, g_context, k) * scale
-                h += g * g
-                q += RATE * g / np.sqrt(h + 1e-8)
-            g_r = _scatter(w, gs[:, None] * context, k)
-            np.add.at(g_r, noise, gt.T @ context)
-            g_r *= scale
-            state[2] += g_r * g_r
-            r += RATE * g_r / np.sqrt(state[2] + 1e-8)
+            for c, g, q, h in ((c1, g_context, q1, state[0]), (c2, g_context, q2, state[1]), (np.concatenate([w, noise]), np.concatenate([gs[:, None] * context, gt.T @ context]), r, state[2])):
+                rows, g = _summed(c, g)  # only rows that the batch touches
+                g *= scale
+                square = h[rows] + g * g
+                h[rows] = square
+                q[rows] += RATE * g / np.sqrt(square + 1e-8)
             g_b = (np.bincount(w, gs, k) + np.bincount(noise, gt.sum(0), k)).astype(np.float32) * scale
             state[3] += g_b * g_b
             b += 0.2 * RATE * g_b / np.sqrt(state[3] + 1e-8)
 
 
-def _scatter(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
-    """Rows of ``g`` summed by ``at``, which is below ``size``."""
+def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``at``, and for each the sum of its rows of ``g``."""
     order = np.argsort(at, kind="stable")
     keys = at[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    out = np.zeros((size, g.shape[1]), np.float32)
-    out[keys[first]] = np.add.reduceat(g[order], first, axis=0)
-    return out
+    return keys[first], np.add.reduceat(g[order], first, axis=0)
 
 
 def _mean(table: pa.Table) -> pa.Table:
@@ -255,7 +254,7 @@ def fit(source: DataFrame, vocabulary: Vocabulary, broadcast, scratch: Scratch,
                 shards = np.array_split(mine.parameters.astype(np.float32), SHARDS)
                 yield pa.RecordBatch.from_arrays([pa.array([part_no] * SHARDS, pa.int32()), pa.array(range(SHARDS), pa.int32()), pa.array([float(seen)] * SHARDS), pa.array([x.tobytes() for x in shards], pa.binary())], names=["part", "shard", "weight", "parameters"])
 
-        parts = scratch.stash(source.mapInArrow(task, "part int, shard int, weight double, parameters binary"), "parameters")
+        parts = scratch.stash(source.mapInArrow(tidy(task), "part int, shard int, weight double, parameters binary"), "parameters")
         found = sorted(averaged(parts).collect(), key=lambda r: r.shard)  # one set of parameters
         if not found:
             break
@@ -266,7 +265,7 @@ def fit(source: DataFrame, vocabulary: Vocabulary, broadcast, scratch: Scratch,
 
 def count_words(source: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, ending, c) of every word of ``source(text)``."""
-    rows = source.mapInArrow(_word_counts, "h long, ending int, c long")
+    rows = source.mapInArrow(tidy(_word_counts), "h long, ending int, c long")
     return scratch.stash(rows.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")), "counts")
 
 
@@ -307,12 +306,13 @@ def score(documents: DataFrame, rounds: int = ROUNDS, report: dict | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        if key not in _tables:
-            _tables.clear()
+        tables = remembered("tables")
+        if key not in tables:
+            tables.clear()
             m = LogBilinear(v.mass)
             m.parameters = parameters.value
-            _tables[key] = m.tables()
-        a1, a2, z = _tables[key]
+            tables[key] = m.tables()
+        a1, a2, z = tables[key]
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch):
@@ -345,7 +345,7 @@ def score(documents: DataFrame, rounds: int = ROUNDS, report: dict | None = None
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(at[1].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf.astype(np.int64))]),
                 ], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "unseen", "h", "tf"])
 
-    rows = source.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, unseen double, h long, tf long")
+    rows = source.mapInArrow(tidy(run, "tables"), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, unseen double, h long, tf long")
     z, n = float(np.log10(vocabulary.z)), F.lit(vocabulary.n).cast("long").alias("train_tokens")
     if vocabulary.complete:  # no word's count is left to join
         return rows.select("doc_id", "held_out", "n_tokens", "n_known", n, (F.col("base") - F.col("n_tokens") * z).alias("base_score"), F.col("lm").alias("score"))

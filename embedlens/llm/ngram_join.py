@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from embedlens.llm import textnp
 from embedlens.llm.components import connected_components
-from embedlens.llm.shared import Scratch, fresh, over_texts, power_of_two, shuffle_partitions, slices, text_buffer
+from embedlens.llm.shared import Scratch, fresh, over_texts, power_of_two, shuffle_partitions, slices, text_buffer, tidy
 
 U = np.uint64
 #: Buckets of at most so many sets give all their pairs at once.
@@ -323,7 +323,7 @@ def jaccard_components(sets: DataFrame, scratch: Scratch, percent: int) -> DataF
     candidates = pairs.union(stars).distinct()
     with_b = candidates.join(packed.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t")), "b")
     both = with_b.join(packed.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
-    links = scratch.stash(both.select("a", "b", "s", "t").mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = scratch.stash(both.select("a", "b", "s", "t").mapInArrow(tidy(_verify(percent)), "a long, b long"), "links")
     components = connected_components(links, scratch)
     scratch.drop(links)
 
@@ -348,7 +348,7 @@ def jaccard_components(sets: DataFrame, scratch: Scratch, percent: int) -> DataF
     left = others.join(grid, ["cluster", "bracket"]).select("cluster", "bracket", "doc_id", "component", cut("xs", 1).alias("x"), upto("ys").alias("y"), F.lit(0).alias("side"))
     right = members.join(grid, ["cluster", "bracket"]).select("cluster", "bracket", "doc_id", "component", upto("xs").alias("x"), cut("ys", 2).alias("y"), F.lit(1).alias("side"))
     rows = left.unionByName(right).select(F.xxhash64("cluster", "bracket", "x", "y").alias("g"), "side", "doc_id", "component").join(packed, "doc_id")
-    more = rows.repartition("g").sortWithinPartitions("g", "side").select("g", "side", "doc_id", "component", "tokens").mapInArrow(_compare_blocks(percent), "a long, b long")
+    more = rows.repartition("g").sortWithinPartitions("g", "side").select("g", "side", "doc_id", "component", "tokens").mapInArrow(tidy(_compare_blocks(percent)), "a long, b long")
     more = scratch.stash(more, "more")
     scratch.drop(members, rest, clusters)
     if more.isEmpty():
@@ -368,12 +368,12 @@ def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> D
     scratch = Scratch(spark, "ngrams")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bucket_bits = _bucket_bits(spark)
-    counted = source.mapInArrow(_count_tokens(shingle, bucket_bits), "bucket int, ones binary, many binary, counts binary")
+    counted = source.mapInArrow(tidy(_count_tokens(shingle, bucket_bits)), "bucket int, ones binary, many binary, counts binary")
     repeated = scratch.stash(counted.groupBy("bucket").applyInArrow(_repeated, "bucket int, keys binary, df binary"), "repeated")
     most = repeated.agg(F.max(F.length("df") / 4)).first()[0] or 0
     block_bits = min(FILTER_BITS >> bucket_bits, max(1 << 12, power_of_two(int(most) * 16)))
     both = np.zeros((2, (block_bits << bucket_bits) // 8), np.uint8)
-    for row in repeated.mapInArrow(_filters(block_bits), "bucket int, shared binary, frequent binary").toLocalIterator():  # FILTER_BITS bits twice at most
+    for row in repeated.mapInArrow(tidy(_filters(block_bits)), "bucket int, shared binary, frequent binary").toLocalIterator():  # FILTER_BITS bits twice at most
         for i, raw in enumerate((row.shared, row.frequent)):
             both[i, row.bucket * (block_bits // 8) : (row.bucket + 1) * (block_bits // 8)] = np.frombuffer(raw, np.uint8)
     scratch.drop(repeated)

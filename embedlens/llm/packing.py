@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedlens.llm.shared import Scratch, slices, text_buffer
+from embedlens.llm.shared import Scratch, slices, text_buffer, tidy
 from embedlens.llm.tokens import encoder
 
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, rank long, at long"
@@ -106,7 +106,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
     if longest < 1 or (max_docs is not None and max_docs < 1):
         raise ValueError("a sequence must hold a piece")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = scratch.stash(source.mapInArrow(_pieces(tokenizer, end_id, longest), PIECES), "pieces")
+    pieces = scratch.stash(source.mapInArrow(tidy(_pieces(tokenizer, end_id, longest), "units"), PIECES), "pieces")
     cells = scratch.stash(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "cells")
     # at most max_tokens rows come to the driver
     counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -131,4 +131,4 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int
             columns = [batch.column(c) for c in ("doc_id", "piece", "start")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(length), batch.column("ids_crc32"), pa.array(row[:, 4] + turn), pa.array(row[:, 5] + copy * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "before").mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "before").mapInArrow(tidy(deal), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

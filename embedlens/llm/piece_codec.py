@@ -6,7 +6,7 @@ follow the last token of the prefix before it, which a remembered pair-compatibi
 work is linear in the text, with no queue of merges.
 
 Texts are cut where no piece has the two characters side by side (before spaces, around newlines, ...): no merge can reach across
-such a place. A worker remembers the units between cuts by 64-bit hash, so a frequent word is encoded once.
+such a place. A worker remembers the units between cuts by 64-bit hash and compares their bytes, so a frequent word is encoded once.
 
 Defined cases: null or empty text has no ids and decodes to the empty text. U+2581 in a text counts as a space, as in the library.
 Characters without a piece become byte pieces. Every input row gives one row, also where doc_ids repeat or are null.
@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.llm import textnp
-from embedlens.llm.shared import over_texts
+from embedlens.llm.shared import over_texts, remembered, tidy
 
 SPACE = "▁"
 #: Units that a worker remembers; at this count it starts anew. Only speed depends on it.
 MEMORY = 600_000
 U = np.uint64
-_codecs: dict = {}
 
 
 class PieceCodec:
@@ -136,7 +135,16 @@ class PieceCodec:
         return b"".join([self.bytes[i] for i in ids])
 
     def _reset(self) -> None:
-        self.keys, self.slots, self.texts, self.decoded, self.sizes = np.zeros(0, U), np.zeros(0, np.int64), [], [], np.zeros(0, np.int64)
+        self.keys, self.slots, self.texts, self.decoded, self.raw, self.sizes = np.zeros(0, U), np.zeros(0, np.int64), [], [], [], np.zeros(0, np.int64)
+
+    def _add(self, unit: bytes) -> int:
+        """Encodes a unit and remembers it; its place."""
+        ids = self.encode_unit(unit.decode().replace(" ", SPACE))
+        self.texts.append((",".join(map(str, ids)) + ",").encode())
+        self.decoded.append(self.decode_unit(ids))
+        self.raw.append(unit)
+        self._new.append(len(ids))
+        return len(self.raw) - 1
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each unit, and the first unit of each text."""
@@ -158,20 +166,21 @@ class PieceCodec:
         keys, one, inverse = np.unique(textnp.span_hash(data, start, end), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self._new: list[int] = []
         if not known.all():
-            sizes = []
-            for a, b in zip(start[one[~known]].tolist(), end[one[~known]].tolist()):
-                ids = self.encode_unit(joined[a:b].decode().replace(" ", SPACE))
-                sizes.append(len(ids))
-                self.texts.append((",".join(map(str, ids)) + ",").encode())
-                self.decoded.append(self.decode_unit(ids))
-            new = keys[~known]
-            slots = len(self.sizes) + np.arange(len(new))
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-            place = np.searchsorted(self.keys, new)
-            self.keys, self.slots = np.insert(self.keys, place, new), np.insert(self.slots, place, slots)
+            slots = np.array([self._add(joined[a:b]) for a, b in zip(start[one[~known]].tolist(), end[one[~known]].tolist())], np.int64)
+            place = np.searchsorted(self.keys, keys[~known])
+            self.keys, self.slots = np.insert(self.keys, place, keys[~known]), np.insert(self.slots, place, slots)
             at = np.searchsorted(self.keys, keys)
         slots = (self.slots[at] if len(self.keys) else at)[inverse]
+        # every unit against the first of its hash here, and that one against what is remembered; a unit with another's hash is added apart
+        size, alike = end - start, one[inverse]
+        wrong = size != size[alike]
+        wrong[~wrong] = ~textnp.equal_spans(data, start[~wrong], data, start[alike[~wrong]], size[~wrong])
+        off = np.array([joined[a:b] != self.raw[i] for a, b, i in zip(start[one].tolist(), end[one].tolist(), slots[one].tolist())], bool)
+        for i in np.flatnonzero(wrong | off[inverse]).tolist() if len(slots) else ():
+            slots[i] = self._add(joined[start[i] : end[i]])
+        self.sizes = np.concatenate([self.sizes, np.array(self._new, np.int64)])
         total = np.concatenate([[0], np.cumsum(self.sizes[slots])])
         counts, ids_sha, text_sha = [], [], []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -195,9 +204,10 @@ class PieceCodec:
 
 def codec(model_file: str) -> PieceCodec:
     """One for each worker process."""
-    if model_file not in _codecs:
-        _codecs[model_file] = PieceCodec(model_file)
-    return _codecs[model_file]
+    codecs = remembered("pieces")
+    if model_file not in codecs:
+        codecs[model_file] = PieceCodec(model_file)
+    return codecs[model_file]
 
 
 def encode(documents: DataFrame, model_file: str) -> DataFrame:
@@ -207,7 +217,7 @@ def encode(documents: DataFrame, model_file: str) -> DataFrame:
         c = codec(model_file)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over_texts(run), "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over_texts(run, owner="pieces"), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -218,7 +228,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.decode(i or []) for i in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run, "pieces"), "doc_id long, text string")
 
 
 def round_trip(documents: DataFrame, model_file: str) -> DataFrame:
@@ -228,4 +238,4 @@ def round_trip(documents: DataFrame, model_file: str) -> DataFrame:
         n, ids, text = codec(model_file).digests(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over_texts(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(over_texts(run, owner="pieces"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,6 @@ Columns of any other names are left alone.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embedlens.llm import textnp
-from embedlens.llm.shared import Scratch, fresh, slices, text_buffer
+from embedlens.llm.shared import Scratch, fresh, slices, text_buffer, tidy
 
 U = np.uint64
 SYMBOLS = b"#*$%&|<>"
@@ -44,7 +43,6 @@ SLICE = 1 << 20
 BITS = 21
 TRIGRAM, BIGRAM, UNIGRAM, BACK2, BACK1, UNSEEN = range(6)
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang_key long, chars long, log_perplexity double"
-_models: dict = {}
 
 
 def base_counts(col: pa.Array) -> dict[str, np.ndarray]:
@@ -52,11 +50,11 @@ def base_counts(col: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = text_buffer(col)
     w = textnp.words(data, offsets, lower=False)
     n_words = np.diff(w.first)
-    points = textnp.code_points(data)
-    chars = np.concatenate([[0], np.cumsum(points[w.end] - points[w.start])])
+    inner = np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)  # of a character's bytes all but the first; none is white space
+    chars = np.concatenate([[0], np.cumsum(w.end - w.start)])
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
-    symbols = np.concatenate([[0], np.cumsum(symbol[data])])
+    symbols = np.searchsorted(np.flatnonzero(symbol[data]), offsets)
     at, h = textnp.windows(w, 5)
     doc = w.doc()[at]
     _, inverse, count = np.unique(textnp.mix(h + doc.astype(U) * U(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
@@ -70,7 +68,7 @@ def base_counts(col: pa.Array) -> dict[str, np.ndarray]:
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         lines = [x for x in raw[a:b].split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
         dup.append(len(lines) - len(set(lines)))
-    return {"n_words": n_words, "word_chars": chars[w.first[1:]] - chars[w.first[:-1]], "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]], "n_dup_lines": np.array(dup, np.int64), "n_repeat_words": covered[w.first[1:]] - covered[w.first[:-1]]}
+    return {"n_words": n_words, "word_chars": chars[w.first[1:]] - chars[w.first[:-1]] - np.diff(inner), "n_symbols": np.diff(symbols), "n_dup_lines": np.array(dup, np.int64), "n_repeat_words": covered[w.first[1:]] - covered[w.first[:-1]]}
 
 
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
@@ -107,21 +105,22 @@ def _distinct(two: np.ndarray, one: np.ndarray, now: np.ndarray) -> tuple[np.nda
     return np.unique(packed, return_inverse=True, return_counts=True)
 
 
-def trigrams(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of rows sorted by lang_key, for each language: (lang_key, distinct trigrams, their counts, each trigram's place among them, its
-    text). The two characters before a text's start are spaces."""
+def trigrams(part: pa.RecordBatch, block: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows sorted by lang_key, for each language and ``block`` characters: (lang_key, distinct trigrams, their counts, each trigram's
+    place among them, its text). The two characters before a text's start are spaces."""
     points, doc = characters(part.column("text"))
     lang = part.column("lang_key").to_numpy()
-    one, two = np.full(len(points), 32, np.uint32), np.full(len(points), 32, np.uint32)
-    same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-    one[1:][same1] = points[:-1][same1]
-    two[2:][same2] = points[:-2][same2]
     starts = np.flatnonzero(np.concatenate([[True], lang[1:] != lang[:-1]]))
     at = np.searchsorted(doc, [*starts, len(lang)])
-    for i, a, b in zip(starts, at[:-1], at[1:]):
-        if a < b:
-            grams, place, count = _distinct(two[a:b], one[a:b], points[a:b])
-            yield int(lang[i]), grams, count, place, doc[a:b]
+    for i, first, end in zip(starts, at[:-1].tolist(), at[1:].tolist()):
+        for a in range(first, end, block):
+            b, low = min(a + block, end), max(a - 2, 0)
+            pad = 2 - (a - low)
+            p = np.concatenate([np.full(pad, 32, np.uint32), points[low:b]])
+            d = np.concatenate([np.full(pad, -1, np.int32), doc[low:b]])
+            two, one = np.where(d[:-2] == d[2:], p[:-2], np.uint32(32)), np.where(d[1:-1] == d[2:], p[1:-1], np.uint32(32))
+            grams, place, count = _distinct(two, one, p[2:])
+            yield int(lang[i]), grams, count, place, d[2:]
 
 
 def _sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +261,7 @@ def _with_language(documents: DataFrame, name: str) -> DataFrame:
 def fit_model(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """The entries of ``kneser_ney`` over all texts."""
     source = _with_language(documents.select("lang", "text").where("text is not null"), "lang_key").select("lang_key", "text")
-    counts = source.mapInArrow(_count, "lang_key long, gram long, n long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(tidy(_count), "lang_key long, gram long, n long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
     counts = scratch.stash(counts, "counts")
     model = kneser_ney(counts, scratch)
     scratch.drop(counts)
@@ -288,14 +287,14 @@ def scored(documents: DataFrame, scratch: Scratch, limit: int = MODEL_ENTRIES, g
 
     source = _with_language(documents, lang_key)
     if entries.count() <= limit:
-        key, shared = uuid.uuid4().hex, documents.sparkSession.sparkContext.broadcast(Model.of(entries.toArrow()))
+        shared = documents.sparkSession.sparkContext.broadcast(Model.of(entries.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in by_language(batch):
                     yield judged_rows(part, shared.value)
 
-        return source.mapInArrow(run, schema), result
+        return source.mapInArrow(tidy(run), schema), result
 
     sizes = source.groupBy(lang_key).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / group_texts)).cast("long").alias(salt))
     packed = entries.groupBy("lang_key", F.pmod(F.xxhash64("gram"), F.lit(64)).alias("cut")).agg(F.collect_list(F.struct("kind", "gram", "value")).alias(table))
@@ -328,7 +327,7 @@ def scored(documents: DataFrame, scratch: Scratch, limit: int = MODEL_ENTRIES, g
                 for part in by_language(batch.slice(a, b - a)):
                     yield judged_rows(part, model)
 
-    return both.mapInArrow(run_dealt, schema), result
+    return both.mapInArrow(tidy(run_dealt), schema), result
 
 
 def bands(passed: DataFrame, spread: float) -> DataFrame:

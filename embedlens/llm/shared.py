@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,15 +91,43 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema], schema=schema)
 
 
-def over_texts(f: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES):
-    """A mapInArrow function that applies ``f`` to bounded slices."""
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str | None) -> dict:
+    """What ``owner`` keeps in this worker from task to task; what others keep goes, as workers serve one operator after another."""
+    for other in [x for x in _remembered if x != owner]:
+        del _remembered[other]
+    return {} if owner is None else _remembered.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None):
+    """A mapInArrow function: ``f`` in a worker that holds nothing of other operators before, and no freed memory after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(owner)
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def over_texts(f: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES, owner: str | None = None):
+    """A mapInArrow function that applies ``f`` to bounded slices; see ``tidy``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=limit):
                 yield f(part)
 
-    return run
+    return tidy(run, owner)
 
 
 def lower_az(c: Column | str) -> Column:

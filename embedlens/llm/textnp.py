@@ -115,6 +115,21 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(out)
 
 
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``a[a_start:a_start + size]`` and ``b[b_start:b_start + size]`` hold the same bytes, for each span."""
+    out, each = np.ones(len(size), bool), max(1, PASS)
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(size):  # about a pass of bytes at a time
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + each, "right")))
+        n = size[i:j]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = a[np.repeat(a_start[i:j], n) + inner] != b[np.repeat(b_start[i:j], n) + inner]
+        out[i + np.repeat(np.arange(j - i), n)[differ]] = False
+        i = j
+    return out
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """Code points before each byte, with the total last."""
     out = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)

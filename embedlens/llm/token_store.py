@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedlens.llm.shared import Scratch, shuffle_partitions, slices, text_buffer
+from embedlens.llm.shared import Scratch, shuffle_partitions, slices, text_buffer, tidy
 from embedlens.llm.tokens import encoder
 
 MAGIC = b"WMX2"
@@ -238,7 +238,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int, bi
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     n = shuffle_partitions(documents.sparkSession)
     ordered = source.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")  # a frequent id is dealt by its texts
-    ordered.select("doc_id", "text").mapInArrow(run, FILES).write.option("compression", "uncompressed").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(tidy(run, "units"), FILES).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_store(spark, path: str) -> DataFrame:
@@ -259,7 +259,7 @@ def read_store(spark, path: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), part, np.int32)), pa.array(np.full(len(docs), shard, np.int32)), pa.array(docs, pa.int64()), pa.array(ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "shard", "payload").mapInArrow(tidy(run), "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(base, ["part", "shard"]).select("doc_id", (F.col("part_start") + F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

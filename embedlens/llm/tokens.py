@@ -1,9 +1,9 @@
 """Exact encoding with the tokenizers library, each distinct unit of text encoded once in a worker.
 
 Both vocabularies cut texts at places that don't depend on what stands further away: at white space, and between a letter or digit and
-a mark after it. Texts are cut there in numpy, units are known by 64-bit hash, prefix and length, new ones are encoded together by the
-library, and ids are gathered with numpy. Texts in which such places are in doubt (byte-level BPE keeps white space, so runs of it,
-rare kinds of it, and special tokens) go to the library whole.
+a mark after it. Texts are cut there in numpy, units are found by 64-bit hash, their prefixes and bytes are compared, new ones are
+encoded together by the library, and ids are gathered with numpy. Texts in which such places are in doubt (byte-level BPE keeps white
+space, so runs of it, rare kinds of it, and special tokens) or a unit has another's hash go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ import os
 import numpy as np
 
 from embedlens.llm import textnp
+from embedlens.llm.shared import remembered
 
 #: Units that a worker remembers; at this count it starts anew. Only speed depends on it.
-MEMORY = 1_500_000
+MEMORY = 600_000
 U = np.uint64
 _RARE = np.zeros(256, dtype=bool)
 _RARE[[0, 9, 11, 12, 13, *range(0x1C, 0x20)]] = True
 #: UTF-8 of white space beyond ASCII: fixed values.
 _WIDE = [c.encode() for c in "\x85\xa0                　"]
-_encoders: dict = {}
 
 
 def _find(data: np.ndarray, pattern: bytes) -> np.ndarray:
@@ -48,6 +48,8 @@ class UnitEncoder:
     def _reset(self) -> None:
         self.keys, self.slots = np.zeros(0, U), np.zeros(0, np.int64)
         self.starts, self.sizes, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        #: the units' bytes as they stand in texts, and their prefixes
+        self.texts, self.text_starts, self.text_sizes, self.prefixes, self.text_used = np.zeros(1 << 16, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), 0
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -80,10 +82,18 @@ class UnitEncoder:
             out += [ids[x + 1 : y] for x, y in zip(cut, cut[1:])]
         return out
 
-    def _learn(self, keys: np.ndarray, units: list[str], newline: np.ndarray) -> None:
-        ids = self._encode_new(units)
+    def _learn(self, keys: np.ndarray, raw: list[bytes], prefix: np.ndarray) -> None:
+        ids = self._encode_new([(" " if p == 1 else "") + x.decode() for x, p in zip(raw, prefix.tolist())])
+        newline = prefix == 2
         if newline.any():
             ids = [np.concatenate([[self.mark_id], x]) if line else x for x, line in zip(ids, newline)]
+        whole, each = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        while self.text_used + len(whole) > len(self.texts):
+            self.texts = np.concatenate([self.texts, np.zeros_like(self.texts)])
+        self.texts[self.text_used : self.text_used + len(whole)] = whole
+        self.text_starts = np.concatenate([self.text_starts, self.text_used + np.cumsum(each) - each])
+        self.text_sizes, self.prefixes = np.concatenate([self.text_sizes, each]), np.concatenate([self.prefixes, prefix.astype(np.int8)])
+        self.text_used += len(whole)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate(ids).astype(np.uint32)
         while self.used + len(flat) > len(self.flat):
@@ -96,6 +106,33 @@ class UnitEncoder:
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
 
+    def _slots(self, data: np.ndarray, offsets: np.ndarray, w: textnp.Words, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where this encoder has each unit of the texts that aren't odd; and the texts with a unit that isn't what its hash says."""
+        usable = ~np.repeat(odd, np.diff(w.first))
+        h, start, end, doc = w.hash[usable], w.start[usable], w.end[usable], w.doc()[usable]
+        prefix, low = np.zeros(len(h), np.int8), textnp._LOWER[data] if self.kind == "word" else data
+        if self.kind == "byte" and len(h):
+            before = np.where((start > 0) & ~np.isin(start, offsets), data[np.maximum(start, 1) - 1], 0)
+            prefix = np.where(before == 32, 1, np.where(before == 10, 2, 0)).astype(np.int8)
+            h = textnp.mix(h + prefix.astype(U) * U(0xC2B2AE3D27D4EB4F))
+        keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            raw, new = low.tobytes(), one[~known]
+            self._learn(keys[~known], [raw[x:y] for x, y in zip(start[new].tolist(), end[new].tolist())], prefix[new])
+            at = np.searchsorted(self.keys, keys)
+        slots = self.slots[at] if len(self.keys) else at
+        # every unit against the first of its hash here, and that one against what is remembered
+        size, first = end - start, one[inverse]
+        wrong = (size != size[first]) | (prefix != prefix[first])
+        wrong[~wrong] = ~textnp.equal_spans(low, start[~wrong], low, start[first[~wrong]], size[~wrong])
+        off = (size[one] != self.text_sizes[slots]) | (prefix[one] != self.prefixes[slots])
+        off[~off] = ~textnp.equal_spans(low, start[one[~off]], self.texts, self.text_starts[slots[~off]], size[one[~off]])
+        clash = np.zeros(len(odd), bool)
+        clash[doc[wrong | off[inverse]]] = True
+        return slots[inverse], clash
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, tail: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``tail``, and the count of each with its tail."""
         n = len(offsets) - 1
@@ -103,25 +140,12 @@ class UnitEncoder:
             self._reset()
         odd = self._odd(data, offsets)
         w = textnp.words(data, offsets, lower=self.kind == "word", cut_marks=True)
+        slots, clash = self._slots(data, offsets, w, odd)
+        if clash.any():  # a unit with another's hash
+            odd |= clash
+            slots = slots[~np.repeat(clash, np.where(odd & ~clash, 0, np.diff(w.first)))]
         counts = np.diff(w.first)
         counts[odd] = 0
-        usable = ~np.repeat(odd, np.diff(w.first))
-        h, start, end = w.hash[usable], w.start[usable], w.end[usable]
-        if self.kind == "byte":
-            before = np.where(start > 0, data[np.maximum(start, 1) - 1], 0) if len(data) else start
-            before = np.where(np.isin(start, offsets), 0, before)
-            prefix = np.where(before == 32, 1, np.where(before == 10, 2, 0))
-            h = textnp.mix(h + prefix.astype(U) * U(0xC2B2AE3D27D4EB4F))
-        keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        if not known.all():
-            a, b = start[one[~known]], end[one[~known]]
-            lead = prefix[one[~known]] if self.kind == "byte" else np.zeros(len(a), np.int64)
-            raw = data.tobytes()
-            self._learn(keys[~known], [(" " if p == 1 else "") + raw[x:y].decode() for x, y, p in zip(a.tolist(), b.tolist(), lead.tolist())], lead == 2)
-            at = np.searchsorted(self.keys, keys)
-        slots = (self.slots[at] if len(self.keys) else at)[inverse]
         sizes = self.sizes[slots]
         total = np.concatenate([[0], np.cumsum(sizes)])
         doc_at = np.concatenate([[0], np.cumsum(counts)])
@@ -143,6 +167,7 @@ class UnitEncoder:
 
 def encoder(path: str, kind: str) -> UnitEncoder:
     """One for each worker process."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = UnitEncoder(path, kind)
-    return _encoders[path, kind]
+    encoders = remembered("units")
+    if (path, kind) not in encoders:
+        encoders[path, kind] = UnitEncoder(path, kind)
+    return encoders[path, kind]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedlens.llm import textnp
-from embedlens.llm.shared import Scratch, doc_crc, over_texts, text_buffer
+from embedlens.llm.shared import Scratch, doc_crc, over_texts, text_buffer, tidy
 
 U = np.uint64
 MAX_ROWS = 20_000
@@ -195,12 +195,12 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int =
         one = F.min_by(F.struct("toxic", "features"), F.xxhash64("features")).alias("one")
         sample = scratch.stash(sample.groupBy("doc_id").agg(one).select("doc_id", "one.*"), "sets")
     bits = np.zeros((1 << RANGE_BITS, (1 << hash_bits) // 8 >> RANGE_BITS), np.uint8)
-    counted = sample.select("features").mapInArrow(_ranges(hash_bits), "range int, features binary, counts binary")
+    counted = sample.select("features").mapInArrow(tidy(_ranges(hash_bits)), "range int, features binary, counts binary")
     for r in counted.groupBy("range").applyInArrow(_kept_range(hash_bits, min_docs), "range int, bits binary").toLocalIterator():  # 2**hash_bits bits in all
         bits[r.range] = np.frombuffer(r.bits, np.uint8)
     bitmap = spark.sparkContext.broadcast(bits.reshape(-1))
-    kept = sample.mapInArrow(_only(bitmap), sample.schema).repartition(1).sortWithinPartitions("doc_id")
-    found = kept.mapInArrow(_trained(bitmap, alpha, beta, l1, l2, epochs, positive, seed), "ids binary, weights binary, bias double").collect()
+    kept = sample.mapInArrow(tidy(_only(bitmap)), sample.schema).repartition(1).sortWithinPartitions("doc_id")
+    found = kept.mapInArrow(tidy(_trained(bitmap, alpha, beta, l1, l2, epochs, positive, seed)), "ids binary, weights binary, bias double").collect()
     scratch.drop(sample)
     if not found:
         return np.zeros(0, U), np.zeros(0), 0.0

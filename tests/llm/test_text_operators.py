@@ -166,6 +166,30 @@ def test_units_encode_as_the_library(rows, name, kind):
             assert ids[a:b].tolist() == [*e.library.encode(text or "", add_special_tokens=False).ids, 9]
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_units_with_one_hash_are_told_apart(monkeypatch, name, kind):
+    """With a hash of three values nearly all units clash, in a slice and with what is remembered; ids are the library's all the same."""
+    import pyarrow as pa
+
+    from embedlens.llm.shared import text_buffer
+
+    real = textnp.span_hash
+    monkeypatch.setattr(textnp, "span_hash", lambda *a: real(*a) % np.uint64(3))
+    texts = ["one two three", "two", "three one", "four\nfive four", "", None, "one"]
+    e = UnitEncoder(public_tokenizers.path(name), kind)
+    for part in (texts, texts[::-1], texts[:1]):
+        ids, n = e.encode(*text_buffer(pa.array(part, pa.string())), 9)
+        at = np.cumsum(n)
+        for text, a, b in zip(part, at - n, at):
+            assert ids[a:b].tolist() == [*e.library.encode(text or "", add_special_tokens=False).ids, 9]
+    c = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    for part in (texts, texts[::-1]):
+        counts, ids, decoded = c.digests(part)
+        for text, n, i, d in zip(part, counts, ids, decoded):
+            want = c.encode(text)
+            assert (n, i, d) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+
+
 def test_token_store(spark, documents, rows, empty):
     from tokenizers import Tokenizer
 
