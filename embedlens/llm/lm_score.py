@@ -255,6 +255,7 @@ def fit(source: DataFrame, vocabulary: Vocabulary, broadcast, scratch: Scratch,
                 yield pa.RecordBatch.from_arrays([pa.array([part_no] * SHARDS, pa.int32()), pa.array(range(SHARDS), pa.int32()), pa.array([float(seen)] * SHARDS), pa.array([x.tobytes() for x in shards], pa.binary())], names=["part", "shard", "weight", "parameters"])
 
         parts = scratch.stash(source.mapInArrow(tidy(task), "part int, shard int, weight double, parameters binary"), "parameters")
+        start.destroy()
         found = sorted(averaged(parts).collect(), key=lambda r: r.shard)  # one set of parameters
         if not found:
             break

@@ -379,6 +379,7 @@ def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> D
     scratch.drop(repeated)
     shared, frequent = (spark.sparkContext.broadcast(x) for x in both)
     sets = scratch.stash(source.mapInArrow(_sets(shingle, percent, shared, frequent, bucket_bits, block_bits), "doc_id long, n long, h1 long, h2 long, sigs array<long>, tokens binary, own long"), "sets")
+    shared.destroy(), frequent.destroy()
     reps = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.stash(reps, "reps")
     chosen = sets.where("sigs is not null").join(reps, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["doc_id", "h1", "h2"])

@@ -16,7 +16,7 @@ from embedlens.llm import textnp
 from embedlens.llm.shared import remembered
 
 #: Units that a worker remembers; at this count it starts anew. Only speed depends on it.
-MEMORY = 600_000
+MEMORY = 300_000
 U = np.uint64
 _RARE = np.zeros(256, dtype=bool)
 _RARE[[0, 9, 11, 12, 13, *range(0x1C, 0x20)]] = True

@@ -202,6 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, max_rows: int =
     kept = sample.mapInArrow(tidy(_only(bitmap)), sample.schema).repartition(1).sortWithinPartitions("doc_id")
     found = kept.mapInArrow(tidy(_trained(bitmap, alpha, beta, l1, l2, epochs, positive, seed)), "ids binary, weights binary, bias double").collect()
     scratch.drop(sample)
+    bitmap.destroy()
     if not found:
         return np.zeros(0, U), np.zeros(0), 0.0
     return np.frombuffer(bytes(found[0].ids), np.int64).astype(U), np.frombuffer(bytes(found[0].weights)), found[0].bias
