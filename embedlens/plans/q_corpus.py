@@ -11,7 +11,7 @@ from embedlens.operators import patches, sampling, tiling
 from embedlens.plans import bindings as B
 from embedlens.plans.registry import query
 from embedlens.sources import manifest as M
-from embedlens.sources.shared import shared_folder
+from embedlens.sources.shared import shared_folder, spread
 
 DOC = "doc AS (SELECT doc_id AS idx, doc_id::VARCHAR AS docid, source AS title, lang, text, n_chars FROM documents)"
 MANIFEST_COLUMNS = "idx, docid, title, text_path, image_path, image_sha256"
@@ -189,7 +189,7 @@ STRIP = "',.;:!?\"''()[]'"
 
 @query(f"SELECT doc_id, pos, word FROM (SELECT doc_id, pos - 1 AS pos, trim(lower(ws[pos]), {STRIP}) AS word FROM (SELECT doc_id, ws, unnest(range(1, least(len(ws), 256) + 1)) AS pos FROM (SELECT doc_id, {WORDS} AS ws FROM documents))) WHERE word <> ''")
 def word_table(spark, sf_dir):
-    return patches.word_table(docs(spark, sf_dir), "doc_id", "text")
+    return patches.word_table(spread(docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text")
 
 
 @query("SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 32), ''), 'run') AS slug FROM pages")
@@ -294,12 +294,12 @@ SELECT doc_id, start, md5(chunk) AS chunk FROM (SELECT * FROM kept UNION ALL SEL
 
 @query(_tile_sql(0.83))
 def tile_text(spark, sf_dir):
-    return tiling.tile_text(docs(spark, sf_dir), "doc_id", "text", 500, min_ratio=0.83).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
+    return tiling.tile_text(spread(docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", 500, min_ratio=0.83).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
 
 
 @query(_tile_sql(0.0))
 def tile_text_all(spark, sf_dir):
-    return tiling.tile_text(docs(spark, sf_dir), "doc_id", "text", 500, min_ratio=0.0).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
+    return tiling.tile_text(spread(docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", 500, min_ratio=0.0).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
 
 
 def page_rasters(spark, sf_dir):

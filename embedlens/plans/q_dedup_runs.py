@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from embedlens.operators import neardup, runs
 from embedlens.plans import bindings as B
 from embedlens.plans.registry import query
+from embedlens.sources.shared import spread
 
 
 def texts(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 SIM = f"""

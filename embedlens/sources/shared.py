@@ -23,6 +23,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: A table of fewer bytes than this for each core may have all its rows in one split (one row group).
+SPLIT_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table for work that is dear per row: a small one is dealt over all cores, which moves ``SPLIT_BYTES`` a core at most; any
+    other is left as its splits are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once and read again."""
     path = shared_folder(df.sparkSession, name)
