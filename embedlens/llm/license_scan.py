@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embedlens.llm.shared import lower_az
+from embedlens.llm.shared import Scratch, lower_az
 
 # Known notices and licence texts, in the words of their public sources.
 KNOWN = [
@@ -93,22 +93,26 @@ def license_scan(documents: DataFrame, known: list[tuple[str, str]] | DataFrame
     table = table.where(F.size("ps") > 0).select("license_id", F.sha2(F.element_at("ps", 1), 256).alias("head"), F.size("ps").alias("n"), F.sha2(spelled(F.array_join("ps", " ")), 256).alias("digest"))
     entries = table.collect()  # a row a known text; one text may be known with other passages
     table = F.broadcast(spark.createDataFrame([(r["digest"], r["license_id"]) for r in entries], "digest string, license_id string").groupBy("digest").agg(F.min("license_id").alias("license_id")))
-    heads = F.array(*[F.lit(h) for h in sorted({r["head"] for r in entries})]).cast("array<string>")
-    lengths = F.array(*[F.lit(n) for n in sorted({r["n"] for r in entries})]).cast("array<int>")
+    literal = lambda values, kind: F.array(*map(F.lit, sorted(values))).cast(f"array<{kind}>")
+    heads, lengths, digests = literal({r["head"] for r in entries}, "string"), literal({r["n"] for r in entries}, "int"), literal({r["digest"] for r in entries}, "string")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.coalesce("text", F.lit(""))).alias("c"))
-
-    def found(units: DataFrame, name: str) -> DataFrame:
-        hits = units.join(table, "digest").groupBy("doc_id")
-        return hits.agg(F.count("*").alias(f"n_license_{name}s"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias(f"{name}_licenses")).withColumnRenamed("doc_id", f"{name}_doc")
-
-    lines = source.select("doc_id", F.explode(F.split("c", "\n")).alias("line")).where("line <> ''").select("doc_id", F.sha2(spelled(F.col("line")), 256).alias("digest"))
+    source = source.select("doc_id", "c", passages(F.col("c")).alias("ps"))
+    known_only = lambda units: F.filter(units, lambda x: F.array_contains(digests, x))
+    lines = F.transform(F.filter(F.split("c", "\n"), lambda x: x != ""), lambda x: F.sha2(spelled(x), 256))
     # windows of as many passages as a known text has are only digested from a passage on that is a known text's first
-    ps = source.select("doc_id", passages(F.col("c")).alias("ps"))
     starts = F.filter(F.transform("ps", lambda p, i: F.when(F.array_contains(heads, F.sha2(p, 256)), i + 1)), lambda i: i.isNotNull())
-    windows = ps.select("doc_id", "ps", F.explode(starts).alias("i")).select("doc_id", "ps", "i", F.explode(lengths).alias("n")).where(F.col("i") + F.col("n") - 1 <= F.size("ps"))
-    windows = windows.select("doc_id", F.sha2(spelled(F.array_join(F.slice("ps", F.col("i"), F.col("n")), " ")), 256).alias("digest"))
-    whole = source.select("doc_id", F.sha2(spelled(F.col("c")), 256).alias("digest")).join(table, "digest", "left").select("doc_id", "license_id")
-    by_line, by_passage = found(lines, "line"), found(windows, "passage")
+    ends = lambda i: F.filter(lengths, lambda n: i + n - 1 <= F.size("ps"))
+    windows = F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda n: F.sha2(spelled(F.array_join(F.slice("ps", i, n), " ")), 256))))
+    # texts are worked off once; what is known of them is written, and joined to its names
+    rows = source.select("doc_id", F.sha2(spelled(F.col("c")), 256).alias("digest"), known_only(lines).alias("line"), known_only(windows).alias("passage"))
+    rows = Scratch(spark, "licenses").stash(rows, "rows")
+
+    def found(name: str) -> DataFrame:
+        hits = rows.select("doc_id", F.explode(name).alias("digest")).join(table, "digest").groupBy("doc_id")
+        return hits.agg(F.count("*").alias(f"n_license_{name}s"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias(f"{name}_licenses")).withColumnRenamed("doc_id", f"{name}_doc")
+
+    whole = rows.select("doc_id", "digest").join(table, "digest", "left").select("doc_id", "license_id")
+    by_line, by_passage = found("line"), found("passage")
     both = whole.join(by_line, F.col("doc_id") == F.col("line_doc"), "left").join(by_passage, F.col("doc_id") == F.col("passage_doc"), "left")
     counted = lambda name: (F.coalesce(f"n_license_{name}s", F.lit(0)).cast("long").alias(f"n_license_{name}s"), F.coalesce(f"{name}_licenses", F.lit("")).alias(f"{name}_licenses"))
     return both.select("doc_id", "license_id", *counted("line"), *counted("passage"))
