@@ -63,25 +63,29 @@ COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 
 
 def canonical_lines(c: Column) -> Column:
-    """A text in canonical form but for spellings, its lines still apart: A-Z lower-cased, copyright taken out, all else that is not a
-    letter a-z, a digit or a newline one space."""
+    """A text's lines in canonical form but for spellings, empty ones too: A-Z lower-cased, copyright taken out, all else that is not a
+    letter a-z or a digit one space, none at a line's ends."""
     c = F.regexp_replace(lower_az(c), MENTION, "copyr $1")
     c = F.regexp_replace(F.regexp_replace(c, CLAUSE, "$2"), COPYRIGHT, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9\n]+", " "), " *\n *", "\n"))
+    return F.transform(F.split(F.regexp_replace(c, "[^a-z0-9\n]+", " "), "\n"), lambda x: F.trim(x))
 
 
 def spelled(c: Column) -> Column:
-    """One unit of canonical words on one line, equivalent spellings made one."""
-    c = F.concat(F.lit(" "), F.regexp_replace(c, "[ \n]+", " "), F.lit(" "))
+    """One unit of canonical words, equivalent spellings made one."""
+    c = F.concat(F.lit(" "), c, F.lit(" "))
     for old, new in SPELLINGS:
         c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(F.regexp_replace(c, " +", " "))
+    return F.trim(c)
 
 
-def passages(c: Column) -> Column:
-    """The runs of non-empty lines of ``canonical_lines``, each as one unit."""
-    runs = F.split(F.regexp_replace(c, "\n\n+", "\x01"), "\x01")
-    return F.filter(F.transform(runs, spelled), lambda x: x != "")
+def whole_text(lines: Column) -> Column:
+    return spelled(F.array_join(F.filter(lines, lambda x: x != ""), " "))
+
+
+def passages(lines: Column) -> Column:
+    """The runs of non-empty lines, each as one unit."""
+    runs = F.split(F.array_join(lines, "\n"), "\n\n+")
+    return F.filter(F.transform(runs, lambda x: spelled(F.trim(F.replace(x, F.lit("\n"), F.lit(" "))))), lambda x: x != "")
 
 
 def license_scan(documents: DataFrame, known: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
@@ -98,13 +102,13 @@ def license_scan(documents: DataFrame, known: list[tuple[str, str]] | DataFrame
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), canonical_lines(F.coalesce("text", F.lit(""))).alias("c"))
     source = source.select("doc_id", "c", passages(F.col("c")).alias("ps"))
     known_only = lambda units: F.filter(units, lambda x: F.array_contains(digests, x))
-    lines = F.transform(F.filter(F.split("c", "\n"), lambda x: x != ""), lambda x: F.sha2(spelled(x), 256))
+    lines = F.transform(F.filter("c", lambda x: x != ""), lambda x: F.sha2(spelled(x), 256))
     # windows of as many passages as a known text has are only digested from a passage on that is a known text's first
     starts = F.filter(F.transform("ps", lambda p, i: F.when(F.array_contains(heads, F.sha2(p, 256)), i + 1)), lambda i: i.isNotNull())
     ends = lambda i: F.filter(lengths, lambda n: i + n - 1 <= F.size("ps"))
     windows = F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda n: F.sha2(spelled(F.array_join(F.slice("ps", i, n), " ")), 256))))
     # texts are worked off once; what is known of them is written, and joined to its names
-    rows = source.select("doc_id", F.sha2(spelled(F.col("c")), 256).alias("digest"), known_only(lines).alias("line"), known_only(windows).alias("passage"))
+    rows = source.select("doc_id", F.sha2(whole_text(F.col("c")), 256).alias("digest"), known_only(lines).alias("line"), known_only(windows).alias("passage"))
     rows = Scratch(spark, "licenses").stash(rows, "rows")
 
     def found(name: str) -> DataFrame:
