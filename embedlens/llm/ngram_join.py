@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from embedlens.llm import textnp
 from embedlens.llm.components import connected_components
@@ -213,6 +214,11 @@ def signatures(tokens: np.ndarray, cls: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _digest(tokens: np.ndarray) -> list[int]:
+    """128 bits of a set, as two longs."""
+    return np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist()
+
+
 def _sets(shingle: int, percent: int, shared, frequent, bucket_bits: int, block_bits: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = textnp.shingle_sets(textnp.words(*text_buffer(batch.column("text"))), shingle)
@@ -224,9 +230,9 @@ def _sets(shingle: int, percent: int, shared, frequent, bucket_bits: int, block_
             if not len(s):
                 h1.append(None), h2.append(None), sigs.append(None), packed.append(None), own.append(0)
                 continue
-            d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+            d = _digest(s)
             found = signatures(s, cls[at[i] : at[i + 1]], percent)
-            h1.append(int(d[0])), h2.append(int(d[1]))
+            h1.append(d[0]), h2.append(d[1])
             sigs.append(found.view(np.int64) if len(found) else None)
             packed.append(s.tobytes() if len(found) else None)
             own.append(int(np.count_nonzero(cls[at[i] : at[i + 1]] == 0)))
@@ -361,11 +367,13 @@ def jaccard_components(sets: DataFrame, scratch: Scratch, percent: int) -> DataF
     return whole
 
 
-def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _linked_sets(documents: DataFrame, shingle: int, percent: int, scratch: Scratch, by_text: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, h1, h2) of every row, and (h1, h2, component) of every distinct set.
+
+    A set's node is the smallest doc_id that has it, so that an id's sets count as one document; with ``by_text`` a number of its own.
+    """
     spark = documents.sparkSession
     _brackets(percent)  # raises here rather than in a task
-    scratch = Scratch(spark, "ngrams")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bucket_bits = _bucket_bits(spark)
     counted = source.mapInArrow(tidy(_count_tokens(shingle, bucket_bits)), "bucket int, ones binary, many binary, counts binary")
@@ -380,28 +388,56 @@ def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> D
     shared, frequent = (spark.sparkContext.broadcast(x) for x in both)
     sets = scratch.stash(source.mapInArrow(_sets(shingle, percent, shared, frequent, bucket_bits, block_bits), "doc_id long, n long, h1 long, h2 long, sigs array<long>, tokens binary, own long"), "sets")
     shared.destroy(), frequent.destroy()
-    reps = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.stash(reps, "reps")
-    chosen = sets.where("sigs is not null").join(reps, ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["doc_id", "h1", "h2"])
-    chosen = scratch.stash(chosen.select("doc_id", "n", "sigs", "tokens", "own"), "chosen")
+    reps = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))
+    # the numbers hold once the table is written
+    reps = scratch.stash(reps.withColumn("node", F.monotonically_increasing_id() if by_text else F.col("doc")), "reps")
+    chosen = sets.where("sigs is not null").join(reps, ["h1", "h2"]).where("doc_id = doc").dropDuplicates(["doc_id", "h1", "h2"])
+    chosen = scratch.stash(chosen.select(F.col("node").alias("doc_id"), "n", "sigs", "tokens", "own"), "chosen")
     ids = scratch.stash(sets.select("doc_id", "n", "h1", "h2"), "ids")
     scratch.drop(sets)
     components = jaccard_components(chosen, scratch, percent)
     scratch.drop(chosen)
+    return ids, reps.join(components, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+
+
+def ngram_groups(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    ids, labels = _linked_sets(documents, shingle, percent, Scratch(documents.sparkSession, "ngrams"), by_text=False)
     # a doc_id with several sets can be linked through each of them
-    labels = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = ids.join(labels, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` whose doc_id is the smallest of its group; of rows that share a doc_id one stays."""
+    """One row of each group of linked texts: of those with the smallest doc_id the one with the smallest set digest.
+
+    Rows are told apart by doc_id and set, so rows that share a doc_id go only where their texts are linked or have equal sets; of rows
+    that are alike in both, the one with the smallest hash of its columns stays. Rows without a doc_id, and texts without words, stay.
+    """
     names = documents.columns
-    id_, group, rows, gone = fresh(names, "id", "group", "rows", "gone")
-    groups = ngram_groups(documents, shingle, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.min("component_id").alias(group), F.count("*").alias(rows))
+    id_, again_, h1, h2, x1, x2 = fresh(names, "id", "again", "h1", "h2", "x1", "x2")
     scratch = Scratch(documents.sparkSession, "groups")
-    special = scratch.stash(groups.where((F.col(id_) != F.col(group)) | (F.col(rows) > 1)).select(id_, (F.col(id_) != F.col(group)).alias(gone)), "special")
+    ids, labels = _linked_sets(documents, shingle, percent, scratch, by_text=True)
+    labelled = ids.where("doc_id is not null").join(labels, ["h1", "h2"], "left").groupBy("doc_id", "h1", "h2").agg(F.first("component").alias("component"), F.count("*").alias("n"))
+    labelled = scratch.stash(labelled, "labelled")
+    first = labelled.where("h1 is not null").groupBy("component").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("first"))
+    stays = scratch.stash(first.select("first.*"), "stays")
+    rows = labelled.join(stays.withColumn("stay", F.lit(1)), ["doc_id", "h1", "h2"], "left").groupBy("doc_id").agg(F.sum("n").alias("n"), F.max(F.col("stay").isNull() & F.col("h1").isNotNull()).alias("gone"))
+    special = scratch.stash(rows.where("n > 1 or gone").select(F.col("doc_id").alias(id_), (F.col("n") > 1).alias(again_)), "special")
     small = special.count() <= BROADCAST_ROWS  # then no text is shuffled
     marked = documents.join(F.broadcast(special) if small else special, documents["doc_id"] == special[id_], "left")
     plain = marked.where(F.col(id_).isNull()).select(*names)
-    return plain.unionByName(marked.where(~F.col(gone)).select(*names).dropDuplicates(["doc_id"]))
+    if special.where(again_).isEmpty():
+        return plain
+
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_digest(s) if len(s) else (None, None) for s in textnp.shingle_sets(textnp.words(*text_buffer(batch.column(text_at))), shingle)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([d[i] for d in found], pa.int64()) for i in (0, 1))], names=[*names, h1, h2])
+
+    text_at, schema = names.index("text"), documents.schema
+    again = marked.where(again_).select(*names).mapInArrow(over_texts(digests), StructType([*schema.fields, *(StructField(h, LongType()) for h in (h1, h2))]))
+    wordless = again.where(F.col(h1).isNull()).select(*names)
+    held = again.join(stays.toDF(id_, x1, x2), (F.col("doc_id") == F.col(id_)) & (F.col(h1) == F.col(x1)) & (F.col(h2) == F.col(x2)), "left_semi")
+    hashed = [f.name for f in schema.fields if "map<" not in f.dataType.simpleString()]
+    one = held.groupBy("doc_id", h1, h2).agg(F.min_by(F.struct(*names), F.xxhash64(*hashed)).alias(again_)).select(f"{again_}.*")
+    return plain.unionByName(wordless).unionByName(one)

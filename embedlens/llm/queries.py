@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from embedlens.llm import embed_dedup, license_scan, line_dedup, lm_score, ngram_join, packing, piece_codec, quality, token_store, toxicity
+from embedlens.llm import binary_pack, embed_dedup, license_scan, line_dedup, lm_score, ngram_join, packing, piece_codec, quality, term_search, token_store, toxicity, turn_repair
 from embedlens.llm.shared import read
 
 
@@ -52,8 +52,21 @@ def op10_quality_rules(spark, sf_dir):
     return quality.judged(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_token_store, op4_lm_scoring, op5_toxicity, op6_license_scan, op7_best_fit_packing, op8_embedding_near_dedup, op9_sentencepiece_codec, op10_quality_rules)
-}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL}
+def op11_power_of_two_packing(spark, sf_dir):
+    return binary_pack.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, max_tokens=2048)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return turn_repair.repair(turn_repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return term_search.search(read(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=10)
+
+
+OPERATORS = (
+    op1_line_dedup, op2_ngram_jaccard_join, op3_token_store, op4_lm_scoring, op5_toxicity, op6_license_scan, op7_best_fit_packing,
+    op8_embedding_near_dedup, op9_sentencepiece_codec, op10_quality_rules, op11_power_of_two_packing, op12_conversation_repair, op13_ranked_search,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL, "op13_ranked_search": term_search.SQL}

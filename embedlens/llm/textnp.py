@@ -1,9 +1,10 @@
 """Words and word hashes of many texts at once, in numpy over the UTF-8 bytes.
 
-A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``. Hashes are 64 bits: a polynomial over the bytes, then a mixer.
+A word is a run of bytes other than ``[\\x20\\x09-\\x0D]``. Hashes are 64 bits. Spans of up to 8 bytes are their own bytes and length, mixed
+by a bijection, so no two of them share a hash; longer ones are hashed by xxh3.
 
 Bytes are worked on in passes of about ``PASS``, cut at white space, so what a pass needs besides the words is bounded however long a text
-is; a single word longer than that is hashed in parts. Empty data has no words.
+is. Empty data has no words.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 PASS = 1 << 19
-BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -23,8 +24,10 @@ _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, dtype=bool)
 _MARK[33:127] = ~_ALNUM[33:127]
+#: Every ASCII byte but letters and digits.
+NOT_ALNUM = ~_ALNUM & (np.arange(256) < 128)
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
-_powers = [np.ones(1, U), np.ones(1, U)]
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            step = np.full(size, base, U)
-            step[0] = 1
-            _powers[i] = np.cumprod(step)
-    return _powers[0], _powers[1]
-
-
 @dataclass
 class Words:
     """``hash``, byte ``start`` and ``end`` of each word; ``first[d]:first[d+1]`` are those of text d."""
@@ -57,13 +50,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks: bool = False) -> Words:
-    """``cut_marks`` also cuts between an ASCII letter or digit and an ASCII mark that follows it."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks: bool = False, gaps: np.ndarray = _SPACE) -> Words:
+    """``cut_marks`` also cuts between an ASCII letter or digit and an ASCII mark that follows it; ``gaps`` tells which bytes no word has."""
     found, a = [], 0
     while a < len(data):
-        b = _space_after(data, a + PASS)
+        b = _gap_after(data, a + PASS, gaps)
         piece, inner = data[a:b], offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b)] - a
-        inside = ~_SPACE[piece]
+        inside = ~gaps[piece]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         ends[:-1] &= ~inside[1:]
@@ -80,10 +73,10 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks:
     return Words(h, start, end, np.searchsorted(start, offsets))
 
 
-def _space_after(data: np.ndarray, at: int) -> int:
-    """The first place from ``at`` on with white space, or the end."""
+def _gap_after(data: np.ndarray, at: int, gaps: np.ndarray) -> int:
+    """The first place from ``at`` on with a byte that no word has, or the end."""
     while at < len(data):
-        space = _SPACE[data[at : at + 4096]]
+        space = gaps[data[at : at + 4096]]
         if space.any():
             return at + int(space.argmax())
         at += 4096
@@ -91,28 +84,20 @@ def _space_after(data: np.ndarray, at: int) -> int:
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each ``data[start:end]``; spans ascend."""
-    up, down = _power_tables(2 * PASS + 1)
-    out, i = np.zeros(len(start), U), 0
-    while i < len(start):
-        j = int(np.searchsorted(end, start[i] + 2 * PASS, "right"))
-        if j <= i:  # a span longer than a pass
-            total, size = 0, int(end[i] - start[i])
-            for at in range(0, size, 2 * PASS):
-                part = data[start[i] + at : min(end[i], start[i] + at + 2 * PASS)].astype(U) + U(1)
-                total += pow(BASE, at, 1 << 64) * int((part * up[: len(part)]).sum(dtype=U))
-            out[i] = U((total + size) & (1 << 64) - 1)
-            i += 1
-            continue
-        first, a, b = start[i], start[i:j] - start[i], end[i:j] - start[i]
-        value = data[first : first + int(b[-1])].astype(U)
-        value += U(1)
-        value *= up[: len(value)]
-        sums = np.zeros(len(value) + 1, U)
-        np.cumsum(value, out=sums[1:])
-        out[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(U)
-        i = j
-    return mix(out)
+    """Hash of each ``data[start:end]``."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    from_each = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    size = (end - start).astype(np.int64)
+    value = from_each[start] & _FIRST_BYTES[np.minimum(size, 8)]
+    value |= np.where(size < 8, size, 0).astype(U) << U(56)
+    out = mix(value)
+    # eight bytes that look like fewer with their count
+    long = np.flatnonzero((size > 8) | ((size == 8) & (value >> U(56) < U(8))))
+    if len(long):
+        raw, digest = padded.tobytes(), xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((digest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())), U, len(long))
+    return out
 
 
 def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
