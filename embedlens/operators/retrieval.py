@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embedlens.functions import columns as C
+from embedlens.operators import late
 from embedlens.operators.vectors import _matrix, blocked, topk
 from embedlens.sources.shared import written
 
@@ -186,66 +187,12 @@ def recall_paired(a: DataFrame, b: DataFrame, ks=KS) -> DataFrame:
     return recalls(ranks, ks).crossJoin(means.select(F.round("d", 6).alias("diag_mean"), F.round("o", 6).alias("off_mean"), F.round(F.col("d") - F.col("o"), 6).alias("gap")))
 
 
-def late_scores(tokens: DataFrame, block: int = 256, whole: int = 1024) -> DataFrame:
-    """(q, page_id, score, own): sum over the query's tokens of the best token of the page; of its own page its own tokens don't count.
-
-    Best token for each (query token, crop), then the best crop of a page other than the query: leaving one out is a filter. Blocks of
-    queries meet blocks of pages. A page lies whole in one block, so a block's scores are final; only pages of more than ``whole`` crops
-    are dealt over blocks, and their best is sent for each query token.
-    """
-    packed = tokens.groupBy("crop_id", "page_id").agg(F.array_sort(F.collect_list(F.struct("token_id", "t"))).alias("c")).select("crop_id", "page_id", F.flatten(F.transform("c", lambda x: x["t"])).alias("t"), F.size("c").alias("m"))
-    packed = written(packed, "late")
-    pages = packed.groupBy("page_id").agg(F.count("*").alias("crops")).select(F.col("page_id").alias("page"), (F.col("crops") > whole).alias("split"))
-    n = max(1, -(-packed.count() // block))
-    cut = lambda c: F.pmod(F.xxhash64(c, F.lit(n)), F.lit(n)).cast("int")
-    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = packed.select("crop_id", "page_id", "t", "m", F.lit(False).alias("split"), cut("crop_id").alias("x"), all_blocks.alias("y"), F.lit(0).alias("side"))
-    d = packed.join(pages, packed["page_id"].eqNullSafe(pages["page"])).select("crop_id", "page_id", "t", "m", "split", F.when(F.col("split"), cut("crop_id")).otherwise(cut("page_id")).alias("y"))
-    d = d.select("crop_id", "page_id", "t", "m", "split", all_blocks.alias("x"), "y", F.lit(1).alias("side"))
-
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["side"] == 0].sort_values("crop_id"), frame[frame["side"] == 1].sort_values(["page_id", "crop_id"])
-        if a.empty or b.empty:
-            return pd.DataFrame()
-        ta, tb = (np.concatenate([np.array(t, np.float64).reshape(m, -1) for t, m in zip(x["t"], x["m"])]) for x in (a, b))
-        at = np.concatenate([[0], np.cumsum(b["m"].to_numpy())[:-1]])
-        crop_best = np.maximum.reduceat(ta @ tb.T, at, axis=1)
-        m = a["m"].to_numpy()
-        qi, qp = np.repeat(a["crop_id"].to_numpy(), m), np.repeat(a["page_id"].to_numpy(), m)
-        crop_best[qi[:, None] == b["crop_id"].to_numpy()[None, :]] = -np.inf
-        page, first = np.unique(b["page_id"].to_numpy(), return_index=True)
-        top = np.maximum.reduceat(crop_best, first, axis=1)
-        split = b["split"].to_numpy()[first]
-        scores = np.add.reduceat(top[:, ~split], np.concatenate([[0], np.cumsum(m)[:-1]]), axis=0)
-        frames = []
-        for qs, ps, toks, values in ((a["crop_id"].to_numpy(), a["page_id"].to_numpy(), np.full(len(a), -1), scores), (qi, qp, np.concatenate([np.arange(k) for k in m]), top[:, split])):
-            p = page[~split] if values is scores else page[split]
-            frames.append(pd.DataFrame({"q": np.repeat(qs, len(p)), "tok": np.repeat(toks, len(p)), "q_page": np.repeat(ps, len(p)), "page_id": np.tile(p, len(qs)), "best": values.reshape(-1)}))
-        return pd.concat(frames)
-
-    cells = q.unionByName(d).groupBy("x", "y").applyInPandas(best, "q long, tok long, q_page long, page_id long, best double")
-    cells = written(cells, "late")
-    top = cells.where("tok >= 0").groupBy("q", "q_page", "page_id", "tok").agg(F.max("best").alias("best"))
-    final = cells.where("tok < 0").select("q", "q_page", "page_id", F.col("best").alias("score")).unionByName(top.groupBy("q", "q_page", "page_id").agg(F.sum("best").alias("score")))
-    return final.select("q", "q_page", "page_id", "score", (F.col("q_page") == F.col("page_id")).alias("own"))
-
-
-def _eligible_late(tokens: DataFrame) -> DataFrame:
-    scores = late_scores(tokens)
-    n = tokens.select("crop_id", "page_id").distinct().groupBy(F.col("page_id").alias("q_page")).agg(F.count("*").alias("n")).where("n > 1").select("q_page")
-    return scores.join(n, "q_page", "left_semi").withColumn("score9", F.round("score", 9))
-
-
 def late_interaction(tokens: DataFrame, ks=(1, 5)) -> DataFrame:
-    s = _eligible_late(tokens)
-    mine = s.where("own").select("q", F.col("score9").alias("mine"), "q_page")
-    ahead = s.where("not own").join(mine.select("q", "mine"), "q").where((F.col("score9") > F.col("mine")) | ((F.col("score9") == F.col("mine")) & (F.col("page_id") < F.col("q_page")))).groupBy("q").agg(F.count("*").alias("ahead"))
-    return recalls(mine.join(ahead, "q", "left").select((F.coalesce("ahead", F.lit(0)) + 1).alias("rank")), ks)
+    return recalls(late.pages_ahead(tokens).select((F.col("ahead") + 1).alias("rank")), ks)
 
 
 def late_sanity(tokens: DataFrame) -> DataFrame:
-    a = _eligible_late(tokens).groupBy().agg(F.avg(F.when(F.col("own"), F.col("score"))).alias("own"), F.avg(F.when(~F.col("own"), F.col("score"))).alias("other"))
-    return a.select(F.round("own", 6).alias("own_mean"), F.round("other", 6).alias("other_mean"), F.round(F.col("own") - F.col("other"), 6).alias("gap"))
+    return late.mean_scores(tokens)
 
 
 def sim_decompose(crops: DataFrame, parts: dict[str, tuple[int, int]]) -> DataFrame:

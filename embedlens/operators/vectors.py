@@ -1,4 +1,4 @@
-"""Similarity joins in blocks: all pairs are computed, only what is asked for is sent."""
+"""Similarity joins: nearest neighbours by a broadcast gallery or by cells, and all pairs in blocks of which only what is asked for is sent."""
 
 from __future__ import annotations
 
@@ -7,36 +7,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from embedlens.operators.cells import matrix as _matrix
+from embedlens.operators.cells import best_of, topk_in_cells
+
 #: Rows of one side in a block; a pair of blocks is one matrix product of bounded size.
 BLOCK = 2048
 #: A gallery of at most so many numbers is broadcast instead (64 MB of doubles).
 BROADCAST_NUMBERS = 8_000_000
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array(col.tolist(), np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
-
-
-def _best(q_ids, q, g_ids, g, k: int, exclude_self: bool) -> pd.DataFrame:
-    """Each query's best k of a gallery block: rounded cosine descending, id ascending."""
-    s = np.round(q @ g.T, 9)
-    if exclude_self:
-        s[q_ids[:, None] == g_ids[None, :]] = -np.inf
-    k = min(k, s.shape[1])
-    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k else np.zeros(len(s))
-    row, at = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # the k best of each row and what ties with the last
-    sim = s[row, at]
-    order = np.lexsort((g_ids[at], -sim, row))
-    row, at, sim = row[order], at[order], sim[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    best = place < k
-    return pd.DataFrame({"q": q_ids[row[best]], "id": g_ids[at[best]], "sim": sim[best]})
-
-
 def topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = True, limit: int = BROADCAST_NUMBERS) -> DataFrame:
     """(q, id, sim, rank): the k most similar gallery rows of each query; both sides are (id long, v array<double>) of unit vectors.
 
-    The gallery is broadcast if its measured size is within ``limit`` numbers; beyond it, blocks of both sides meet in pairs.
+    The gallery is broadcast if its measured size is within ``limit`` numbers; beyond it, it lies in cells, and queries visit the blocks
+    that can hold one of their k best (exact; see ``cells``).
     """
     spark = queries.sparkSession
     size = gallery.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -50,11 +34,11 @@ def topk(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = Tr
                 for a in range(0, len(f), 512):
                     part = f.iloc[a : a + 512]
                     if len(ids):
-                        yield _best(part["id"].to_numpy(), _matrix(part["v"]), ids, g, k, exclude_self)
+                        yield best_of(part["id"].to_numpy(), _matrix(part["v"]), ids, g, k, exclude_self)
 
         found = queries.select("id", "v").mapInPandas(run, "q long, id long, sim double")
     else:
-        found = blocked(queries, gallery, lambda qi, q, gi, g: _best(qi, q, gi, g, k, exclude_self), "q long, id long, sim double")
+        found = topk_in_cells(queries, gallery, k, exclude_self)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

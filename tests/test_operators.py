@@ -235,18 +235,6 @@ def test_macro_and_micro_means_differ(spark, rng):
     assert micro.pos_mean == pytest.approx(np.mean([x[0] @ x[1], x[0] @ x[2], x[0] @ x[3], x[5] @ x[6]]), abs=1e-6)
 
 
-def test_late_interaction_leaves_the_query_out(spark, rng):
-    t, groups = unit(rng.standard_normal((7, 3, 4))), [0, 0, 1, 1, 1, 2, 0]
-    rows = [(i, groups[i], k, [float(c) for c in t[i, k]]) for i in range(7) for k in range(3)]
-    scores = retrieval.late_scores(spark.createDataFrame(rows, "crop_id long, page_id long, token_id long, t array<double>"))
-    got = {(r.q, r.page_id): r.score for r in scores.collect()}
-    for q in range(7):
-        for p in set(groups):
-            bank = [t[j] for j in range(7) if groups[j] == p and j != q]
-            want = (t[q] @ np.concatenate(bank).T).max(1).sum() if bank else -math.inf
-            assert got[q, p] == pytest.approx(want)
-
-
 # --- contrastive batches
 
 
@@ -541,17 +529,6 @@ def test_blanked_and_broken_images(spark):
     assert {r.origin: r.hash is None for r in tiling.image_hash(df).collect()} == {"a": False, "b": False, "c": True}
 
 
-def test_late_scores_of_large_pages(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, i % 3, t, rng.standard_normal(4).tolist()) for i in range(24) for t in range(1 + i % 3)]
-    df = spark.createDataFrame(rows, "crop_id long, page_id long, token_id long, t array<double>")
-    tokens = {i: np.array([t for c, _, _, t in rows if c == i]) for i in range(24)}
-    want = {(q, p): sum(max((tokens[q][j] @ tokens[c].T).max() for c in range(24) if c % 3 == p and c != q) for j in range(len(tokens[q]))) for q in range(24) for p in range(3)}
-    for whole in (1024, 2):
-        got = {(r.q, r.page_id): r.score for r in retrieval.late_scores(df, block=5, whole=whole).collect()}
-        assert got == pytest.approx(want)
-
-
 def test_erasure_scores(spark):
     rng = np.random.default_rng(5)
     x, z = rng.standard_normal((40, 5)), rng.standard_normal((40, 5))
