@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from embedlens.plans import bindings as B
 from embedlens.plans.q_corpus import folder
 from embedlens.plans.registry import query
+from embedlens.streaming import keyed, states
 from embedlens.streaming import streams as S
 
 
@@ -37,7 +38,7 @@ def stream_ingest(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     stream, checkpoint = landed(e, spark, "upsert", "event_id")
-    return spark.read.schema(e.schema).parquet(S.upsert(stream, folder(spark, "upserted"), checkpoint, "user_id", "event_id"))
+    return keyed.upsert(stream, folder(spark, "upserted"), checkpoint, "user_id", "event_id").read()
 
 
 @query(B.with_ctes("log", "SELECT run_id, count(*) AS rows, max(step) AS last_step, arg_max(value, step) AS last_value, round(sum(value), 2) AS total_value FROM log GROUP BY run_id"))
@@ -52,15 +53,14 @@ def stream_best(spark, sf_dir):
     m = B.metrics(spark, sf_dir).where("event_type = 'purchase'").select("run_id", "step", "value")
     # a run is in one file, so in one batch
     stream, checkpoint = streamed(m.repartition("run_id").sortWithinPartitions("run_id", "step"), spark, "best", folder(spark, "best"))
-    return S.to_files(S.running_best_stream(stream, "run_id", "step", "value"), folder(spark, "improvements"), checkpoint)
+    return states.to_files(states.running_best(stream, "run_id", "step", "value"), folder(spark, "improvements"), checkpoint).where("not late").select("run_id", "step", "value")
 
 
 @query("SELECT event_id, user_id, value FROM events")
 def stream_dedup(spark, sf_dir):
-    """All events land twice; each is kept once. The watermark allows for the order in which the files have really landed."""
+    """All events land twice; each is kept once, in whatever order the files come."""
     e = B.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
     path = folder(spark, "dedup")
     stream, checkpoint = streamed(e.union(e).repartitionByRange(4, "ts", "event_id").sortWithinPartitions("ts", "event_id"), spark, "dedup", path)
-    late = S.lateness(spark.read.schema(e.schema).parquet(path), "ts")
-    delay = f"{max(3600, math.ceil(late) + 1)} seconds"
-    return S.to_files(S.deduplicated(stream, "event_id", "ts", delay), folder(spark, "deduplicated"), checkpoint).select("event_id", "user_id", "value")
+    # a key is kept for a day of running time
+    return states.deduplicated(stream, "event_id", "ts", folder(spark, "deduplicated"), folder(spark, "late"), checkpoint, keep=86_400).select("event_id", "user_id", "value")

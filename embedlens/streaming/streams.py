@@ -1,18 +1,11 @@
-"""Structured Streaming forms: ingest, upsert, live roll-up, running best, bounded dedupe."""
+"""Structured Streaming forms: ingest, live roll-up, snapshots."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embedlens.sources.manifest import latest_by_key
-
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -29,31 +22,10 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> str:
-    """Last write wins by ``key`` and ``order``. Each batch writes snapshot ``path/v<batch>`` from the one before, so that a replayed
-    batch writes the same files again. Returns the last snapshot's path."""
-    spark = stream.sparkSession
-    schema = stream.schema
-
-    def write(batch: DataFrame, number: int) -> None:
-        before = [v for v in _versions(spark, path) if v < number]
-        both = batch if not before else batch.unionByName(spark.read.schema(schema).parquet(f"{path}/v{before[-1]}"))
-        latest_by_key(both, key, F.col(order)).select(*schema.names).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return f"{path}/v{_versions(spark, path)[-1]}"
-
-
 def rolled_up(stream: DataFrame, run: str, step: str, value: str) -> DataFrame:
     return stream.groupBy(run).agg(F.count("*").alias("rows"), F.max(step).alias("last_step"), F.max_by(value, step).alias("last_value"), F.round(F.sum(value), 2).alias("total_value"))
 
 
-def to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Appends the stream's rows to Parquet files under ``path`` up to its end, and reads them; no row passes through the driver."""
-    ingest(stream, path, checkpoint)
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
-
-
 def snapshot(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """The whole result after the last batch; each batch writes snapshot ``path/v<batch>``, which a replayed batch writes again."""
     spark = stream.sparkSession
@@ -64,40 +36,3 @@ def snapshot(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     found = _versions(spark, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/v{found[-1]}") if found else spark.createDataFrame([], stream.schema)
-
-
-def running_best_stream(stream: DataFrame, run: str, step: str, value: str) -> DataFrame:
-    """(run, step, value) whenever a value beats all that its run has had; one double of state for each run. A run's batches must come
-    in order of steps; within a batch its rows may come in any order."""
-
-    def f(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else -1.0
-        rows = pd.concat([x[[step, value]] for x in frames]).sort_values(step, kind="stable")
-        top = rows[value].astype(float).fillna(float("-inf")).cummax().clip(lower=best)
-        better = rows[top > top.shift(fill_value=best)]
-        state.update((float(top.iloc[-1]) if len(top) else best,))
-        yield pd.DataFrame({run: [key[0]] * len(better), step: better[step], value: better[value].astype(float)})
-
-    kinds = dict(stream.dtypes)
-    return stream.groupBy(run).applyInPandasWithState(f, f"{run} {kinds[run]}, {step} {kinds[step]}, {value} double", "best double", "append", "NoTimeout")
-
-
-def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """First row of each key; keys are forgotten after ``delay`` of event time."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-
-
-def lateness(files: DataFrame, time: str) -> float:
-    """Seconds by which a row's time can be behind what came before it, when ``files`` are streamed as Spark's file source takes them: by
-    modification time, in any order where that is equal."""
-    meta = F.col("_metadata")
-    spans = files.groupBy(meta["file_path"].alias("file"), meta["file_modification_time"].alias("at")).agg(F.min(F.unix_micros(time)).alias("low"), F.max(F.unix_micros(time)).alias("high"))
-    spans = sorted((r["at"], r["low"], r["high"]) for r in spans.collect() if r["low"] is not None)  # a row a file
-    late, before = 0, []
-    for _, same in groupby(spans, lambda r: r[0]):
-        same = list(same)
-        highs = before + [high for _, _, high in same if len(same) > 1]
-        if highs:
-            late = max(late, max(highs) - min(low for _, low, _ in same))
-        before = [max(before + [high for _, _, high in same])]
-    return late / 1e6
