@@ -7,7 +7,7 @@ marks don't count) that is as long as a known text, since licences stand wrapped
 known table is small, so it is broadcast.
 
 Defined cases: null or empty text matches nothing. A text that is nothing but copyright lines has the empty canonical form, which
-matches nothing. Every input row gives one row; line and passage counts are those of all rows with its doc_id (null doc_ids: none).
+matches nothing. Every input row gives one row with its own counts, whether its doc_id is null or repeated or not.
 """
 
 from __future__ import annotations
@@ -109,15 +109,14 @@ def license_scan(documents: DataFrame, known: list[tuple[str, str]] | DataFrame
     windows = F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda n: F.sha2(spelled(F.array_join(F.slice("ps", i, n), " ")), 256))))
     # texts are worked off once; what is known of them is written, and joined to its names
     rows = source.select("doc_id", F.sha2(whole_text(F.col("c")), 256).alias("digest"), known_only(lines).alias("line"), known_only(windows).alias("passage"))
-    rows = Scratch(spark, "licenses").stash(rows, "rows")
+    rows = Scratch(spark, "licenses").stash(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # numbers hold once written
 
     def found(name: str) -> DataFrame:
-        hits = rows.select("doc_id", F.explode(name).alias("digest")).join(table, "digest").groupBy("doc_id")
-        return hits.agg(F.count("*").alias(f"n_license_{name}s"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias(f"{name}_licenses")).withColumnRenamed("doc_id", f"{name}_doc")
+        hits = rows.select("row", F.explode(name).alias("digest")).join(table, "digest").groupBy("row")
+        return hits.agg(F.count("*").alias(f"n_license_{name}s"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias(f"{name}_licenses"))
 
-    whole = rows.select("doc_id", "digest").join(table, "digest", "left").select("doc_id", "license_id")
-    by_line, by_passage = found("line"), found("passage")
-    both = whole.join(by_line, F.col("doc_id") == F.col("line_doc"), "left").join(by_passage, F.col("doc_id") == F.col("passage_doc"), "left")
+    whole = rows.select("row", "doc_id", "digest").join(table, "digest", "left").select("row", "doc_id", "license_id")
+    both = whole.join(found("line"), "row", "left").join(found("passage"), "row", "left")
     counted = lambda name: (F.coalesce(f"n_license_{name}s", F.lit(0)).cast("long").alias(f"n_license_{name}s"), F.coalesce(f"{name}_licenses", F.lit("")).alias(f"{name}_licenses"))
     return both.select("doc_id", "license_id", *counted("line"), *counted("passage"))
 

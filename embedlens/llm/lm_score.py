@@ -272,9 +272,10 @@ def count_words(source: DataFrame, scratch: Scratch) -> DataFrame:
 
 def vocabulary_of(counts: DataFrame, docs: int) -> tuple[Vocabulary, int]:
     """The vocabulary, and the least count of a word that is broadcast."""
-    # the least count at which the words fit HOT_WORDS: from at most 65,536 rows
-    least, room, complete = 1 << 16, HOT_WORDS, True
-    sizes = [(r.c, r.n) for r in counts.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("n")).collect()]
+    # the least count at which the words fit HOT_WORDS: one row for each count below 65,536, and one for each power of two from there
+    least, room, complete = 1 << 62, HOT_WORDS, True
+    power = F.expr("shiftleft(1L, length(bin(c)) - 1)")
+    sizes = [(r.c, r.n) for r in counts.groupBy(F.when(F.col("c") < 1 << 16, F.col("c")).otherwise(power).alias("c")).agg(F.count("*").alias("n")).collect()]
     for c, n in sorted(sizes, reverse=True):
         if n > room:
             complete = False

@@ -301,7 +301,7 @@ def scored(documents: DataFrame, scratch: Scratch, limit: int = MODEL_ENTRIES, g
     packed = packed.join(sizes.select(F.col(lang_key).alias("lang_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(salt) - 1)).alias(salt)), "lang_key")
     packed = packed.select(F.col("lang_key").alias(lang_key), salt, table)
     texts = source.join(F.broadcast(sizes.withColumnRenamed(salt, salt + "n")) if sizes.count() <= 100_000 else sizes.withColumnRenamed(salt, salt + "n"), lang_key)
-    texts = texts.withColumn(salt, F.pmod(F.xxhash64("text", F.rand(7)), F.col(salt + "n"))).drop(salt + "n")
+    texts = texts.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.col(salt + "n"))).drop(salt + "n")
     both = texts.unionByName(packed, allowMissingColumns=True).repartition(lang_key, salt).sortWithinPartitions(lang_key, salt, F.col(table).isNull())
 
     def run_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -340,6 +340,12 @@ def test_words_and_windows():
     assert w.hash[0] == textnp.words(np.frombuffer(b"aB", np.uint8), np.array([0, 2])).hash[0]
 
 
+def test_licenses_of_rows_without_or_with_a_shared_id(spark):
+    rows = [(None, "x\nLicensed under the MIT License."), (None, "y"), (1, "Released under the MIT License.\nz"), (1, "plain"), (1, "plain")]
+    got = many(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {(None, None, 1, "MIT", 0, ""): 1, (None, None, 0, "", 0, ""): 1, (1, None, 1, "MIT", 0, ""): 1, (1, None, 0, "", 0, ""): 2}
+
+
 def test_license_forms(spark, empty):
     mit = next(t for i, t in license_scan.KNOWN if i == "MIT" and "\n\n" in t)
     wrapped = "\n".join("// " + line for p in mit.split("\n\n") for line in [*re.findall(r".{1,60}(?: |$)", p), ""])
