@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,48 +15,117 @@ from embedlens.operators.vectors import _matrix, topk
 from embedlens.sources.shared import written
 
 
+#: Partial matrices are added on the driver up to so many bytes; beyond, tasks add them in a tree of this many branches.
+DRIVER_BYTES, FAN = 1 << 28, 8
+#: Bytes of a stripe of a partial matrix: what one row of a shuffle holds.
+STRIPE = 4 << 20
+#: Rows that one product takes.
+ROWS = 4096
+
+
 @dataclass
 class Moments:
+    """Count, means, and products of what is left of the vectors without their means."""
+
     n: int
-    sx: np.ndarray
-    sz: np.ndarray
-    xx: np.ndarray
-    xz: np.ndarray
-    zz: np.ndarray
+    mean_x: np.ndarray
+    mean_z: np.ndarray
+    cxx: np.ndarray
+    cxz: np.ndarray
+    czz: np.ndarray
+
+    def centred(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.cxx, self.cxz, self.czz
 
     @property
-    def mean_x(self):
-        return self.sx / self.n
+    def xx(self) -> np.ndarray:
+        return self.cxx + self.n * np.outer(self.mean_x, self.mean_x)
 
     @property
-    def mean_z(self):
-        return self.sz / self.n
+    def xz(self) -> np.ndarray:
+        return self.cxz + self.n * np.outer(self.mean_x, self.mean_z)
+
+
+def _added(n: float, mean: np.ndarray, m: np.ndarray, k: float, other: np.ndarray, more: np.ndarray, rows: slice = slice(None)) -> tuple[float, np.ndarray, np.ndarray]:
+    """Two sets' counts, means and centred products (of the rows ``rows`` of the matrix) together (Chan, Golub and LeVeque, 1983)."""
+    if not n or not k:
+        return (k, other, more) if not n else (n, mean, m)
+    delta = other - mean
+    return n + k, mean + delta * (k / (n + k)), m + more + np.outer(delta[rows], delta) * (n * k / (n + k))
 
-    def centred(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.xx - np.outer(self.sx, self.mean_x), self.xz - np.outer(self.sx, self.mean_z), self.zz - np.outer(self.sz, self.mean_z)
+
+def _merged(frame: pd.DataFrame, width: int, each: int) -> pd.DataFrame:
+    """Partials of one stripe, added one after another."""
+    stripe = int(frame["stripe"].iloc[0])
+    rows = slice(stripe * each, min((stripe + 1) * each, width))
+    n, mean, m = 0.0, np.zeros(width), np.zeros((rows.stop - rows.start, width))
+    for k, other, block in zip(frame["n"], frame["mean"], frame["block"]):
+        n, mean, m = _added(n, mean, m, k, np.frombuffer(other), np.frombuffer(block).reshape(-1, width), rows)
+    return pd.DataFrame({"part": frame["part"].iloc[:1], "stripe": [stripe], "n": [n], "mean": [mean.tobytes()], "block": [m.tobytes()]})
 
 
 def moments(df: DataFrame, x: str = "x", z: str = "z") -> Moments:
-    """Sums and products of the vectors x and z: each task sends one partial matrix, Spark adds them by cell."""
+    """Means and centred products of the vectors x and z. Each task sends one packed partial matrix, in stripes; they are added pairwise
+    about their own means, so a large common offset costs no digits, in a tree of tasks where they are many."""
     sizes = df.select(F.size(x).alias("a"), F.size(z).alias("b")).first()
     if sizes is None:
         raise ValueError("no rows")
-    a, b = sizes
+    a, width = sizes.a, sizes.a + sizes.b
+    each = max(1, STRIPE // (8 * width))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((1 + a + b, 1 + a + b))
+        n, mean, m = 0.0, np.zeros(width), np.zeros((width, width))
         for f in frames:
-            if len(f):
-                y = np.concatenate([np.ones((len(f), 1)), _matrix(f[x]), _matrix(f[z])], 1)
-                total += y.T @ y
-        yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+            for i in range(0, len(f), ROWS):
+                y = np.concatenate([_matrix(f[c].iloc[i : i + ROWS]) for c in (x, z)], 1)
+                centre = y.mean(0)
+                n, mean, m = _added(n, mean, m, float(len(y)), centre, (y - centre).T @ (y - centre))
+        if n:
+            for stripe in range(-(-width // each)):
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "stripe": [stripe], "n": [n], "mean": [mean.tobytes()], "block": [m[stripe * each : (stripe + 1) * each].tobytes()]})
+
+    schema = "part int, stripe int, n double, mean binary, block binary"
+    parts = _few(written(df.select(x, z).mapInPandas(run, schema), "moments"), lambda f: _merged(f, width, each), schema)
+    found = parts.toPandas()
+    stripes = [_merged(f, width, each).iloc[0] for _, f in found.groupby("stripe")]
+    mean, m = np.frombuffer(stripes[0]["mean"]), np.concatenate([np.frombuffer(r["block"]).reshape(-1, width) for r in stripes])
+    return Moments(round(stripes[0]["n"]), mean[:a], mean[a:], m[:a, :a], m[:a, a:], m[a:, a:])
+
+
+def _few(parts: DataFrame, merge, schema: str) -> DataFrame:
+    """The written partials (part, stripe, ..., block), added in tasks until they are few enough for the driver."""
+    while True:
+        size = parts.agg(F.sum(F.length("block")).alias("bytes"), F.count_distinct("part").alias("parts")).first()
+        if size.parts <= 1 or size.bytes <= DRIVER_BYTES:
+            return parts
+        grouped = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+        parts = written(grouped.groupBy("part", "stripe").applyInPandas(merge, schema), "moments")
+
+
+def triangle(df: DataFrame, v: str, mean: np.ndarray) -> np.ndarray:
+    """R of the QR decomposition of the rows ``v - mean``, by tasks and a tree (TSQR: Demmel et al., 2012): its singular values are the
+    rows' to full precision, where products would square them."""
+    width = len(mean)
+    sent = df.sparkSession.sparkContext.broadcast(mean)
+    r_of = lambda *blocks: np.linalg.qr(np.concatenate(blocks), mode="r")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.zeros((0, width))
+        for f in frames:
+            for i in range(0, len(f), ROWS):
+                r = r_of(r, _matrix(f[v].iloc[i : i + ROWS]) - sent.value)
+        if len(r):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "stripe": [0], "block": [r.tobytes()]})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        r = np.zeros((0, width))
+        for block in frame["block"]:
+            r = r_of(r, np.frombuffer(block).reshape(-1, width))
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "stripe": [0], "block": [r.tobytes()]})
 
-    parts = df.select(x, z).mapInPandas(run, "i int, row array<double>")
-    rows = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # (1 + a + b)**2
-    m = np.zeros((1 + a + b, 1 + a + b))
-    for r in rows:
-        m[r.i, r.j] = r.x
-    return Moments(round(m[0, 0]), m[0, 1 : 1 + a], m[0, 1 + a :], m[1 : 1 + a, 1 : 1 + a], m[1 : 1 + a, 1 + a :], m[1 + a :, 1 + a :])
+    schema = "part int, stripe int, block binary"
+    parts = _few(written(df.select(v).mapInPandas(run, schema), "triangle"), merge, schema).orderBy("part").toPandas()
+    return np.frombuffer(merge(parts)["block"].iloc[0]).reshape(-1, width) if len(parts) else np.zeros((0, width))
 
 
 def paired(a: DataFrame, b: DataFrame, key: str = "crop_id") -> DataFrame:
@@ -67,31 +137,37 @@ def hsic_biased(df: DataFrame) -> float | None:
     return float((m.centred()[1] ** 2).sum() / (m.n - 1) ** 2) if m.n > 1 else None
 
 
-def _unbiased(n, cross, sum_ab, sx, sy, sa, sb, t3) -> float | None:
+def _unbiased(n, cross, sum_ab, sa, sb) -> float | None:
+    """Debiased HSIC of linear kernels, from centred products and sums over rows of squared norms a, b and of a b. It doesn't change with
+    the vectors' offset, and without one the sums of a row's similarities are what its own norm is, negated."""
     if n <= 3:
         return None
-    t1, k, l_ = (cross**2).sum() - sum_ab, sx @ sx - sa, sy @ sy - sb
-    return float((t1 + k * l_ / ((n - 1) * (n - 2)) - 2 * t3 / (n - 2)) / (n * (n - 3)))
+    return float(((cross**2).sum() - sum_ab + sa * sb / ((n - 1) * (n - 2)) - 2 * sum_ab / (n - 2)) / (n * (n - 3)))
 
 
 def hsic_unbiased_all(df: DataFrame) -> dict[str, float | None]:
     """Debiased HSIC of (x, z), (x, x), (z, z), from moments and one more scan with the sums."""
     m = moments(df)
-    sx, sz = df.sparkSession.sparkContext.broadcast(m.sx), df.sparkSession.sparkContext.broadcast(m.sz)
-    names = ("ab", "aa", "bb", "a", "b", "t_ab", "t_aa", "t_bb")
+    s = _norm_sums(df, ["x", "z"], [m.mean_x, m.mean_z])
+    return {"xz": _unbiased(m.n, m.cxz, s[1, 2], s[0, 1], s[0, 2]), "xx": _unbiased(m.n, m.cxx, s[1, 1], s[0, 1], s[0, 1]), "zz": _unbiased(m.n, m.czz, s[2, 2], s[0, 2], s[0, 2])}
+
+
+def _norm_sums(df: DataFrame, names: list[str], means: list[np.ndarray]) -> np.ndarray:
+    """Sums over rows of products of (1, squared norms of the centred vectors ``names``)."""
+    sent, e = df.sparkSession.sparkContext.broadcast(means), 1 + len(names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(names))
+        total = np.zeros((e, e))
         for f in frames:
             if len(f):
-                x, z = _matrix(f["x"]), _matrix(f["z"])
-                a, b = (x * x).sum(1), (z * z).sum(1)
-                u, v = x @ sx.value - a, z @ sz.value - b
-                total += [(a * b).sum(), (a * a).sum(), (b * b).sum(), a.sum(), b.sum(), (u * v).sum(), (u * u).sum(), (v * v).sum()]
-        yield pd.DataFrame([total], columns=names)
+                y = np.stack([np.ones(len(f)), *(((_matrix(f[c]) - m) ** 2).sum(1) for c, m in zip(names, sent.value))], 1)
+                total += y.T @ y
+        yield pd.DataFrame({"i": np.repeat(np.arange(e), e), "j": np.tile(np.arange(e), e), "x": total.reshape(-1)})
 
-    s = df.select("x", "z").mapInPandas(run, ", ".join(f"{n} double" for n in names)).groupBy().agg(*[F.sum(n).alias(n) for n in names]).first()
-    return {"xz": _unbiased(m.n, m.xz, s.ab, m.sx, m.sz, s.a, s.b, s.t_ab), "xx": _unbiased(m.n, m.xx, s.aa, m.sx, m.sx, s.a, s.a, s.t_aa), "zz": _unbiased(m.n, m.zz, s.bb, m.sz, m.sz, s.b, s.b, s.t_bb)}
+    s = np.zeros((e, e))
+    for r in df.select(*names).mapInPandas(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():  # (1 + names)**2
+        s[r.i, r.j] = r.x
+    return s
 
 
 def cka(df: DataFrame) -> float | None:
@@ -147,26 +223,10 @@ def cka_all(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | No
     m = moments(df.select(F.concat(*names).alias("x"), F.array(F.lit(0.0)).alias("z")))
     at = np.cumsum([0, *(sizes[c] for c in names)])
     span = {c: slice(at[i], at[i + 1]) for i, c in enumerate(names)}
-    shared = df.sparkSession.sparkContext.broadcast([m.sx[span[c]] for c in names])
-    e = len(names)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2 * e + 1, 2 * e + 1))
-        for f in frames:
-            if len(f):
-                parts = [_matrix(f[c]) for c in names]
-                a = [(x * x).sum(1) for x in parts]
-                y = np.stack([np.ones(len(f)), *a, *(x @ s - q for x, s, q in zip(parts, shared.value, a))], 1)
-                total += y.T @ y
-        yield pd.DataFrame({"i": np.repeat(np.arange(2 * e + 1), 2 * e + 1), "j": np.tile(np.arange(2 * e + 1), 2 * e + 1), "x": total.reshape(-1)})
-
-    s = np.zeros((2 * e + 1, 2 * e + 1))
-    for r in df.select(*names).mapInPandas(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():  # (2 e + 1)**2
-        s[r.i, r.j] = r.x
+    e, s = len(names), _norm_sums(df, names, [m.mean_x[span[c]] for c in names])
 
     def hsic(i: int, j: int) -> float | None:
-        a, b = span[names[i]], span[names[j]]
-        return _unbiased(m.n, m.xx[a, b], s[1 + i, 1 + j], m.sx[a], m.sx[b], s[0, 1 + i], s[0, 1 + j], s[1 + e + i, 1 + e + j])
+        return _unbiased(m.n, m.cxx[span[names[i]], span[names[j]]], s[1 + i, 1 + j], s[0, 1 + i], s[0, 1 + j])
 
     own = [hsic(i, i) for i in range(e)]
     out = {}
@@ -221,21 +281,32 @@ def fit_eraser(m: Moments, ridge: float = 1e-6, tol: float = 1e-8) -> Eraser:
     return Eraser((white @ (np.eye(len(xx)) - u @ u.T) @ back), m.mean_x)
 
 
+def _delta_directions(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Mean of the paired differences x - z, their principal directions as columns, shares of variance, and the differences as v."""
+    delta = df.withColumn("v", F.zip_with("x", "z", lambda a, b: a - b))
+    first = delta.select(F.size("v").alias("d")).first()
+    if first is None:
+        raise ValueError("no rows")
+    cells = delta.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()  # d rows
+    mean = np.zeros(first.d)
+    for r in cells:
+        mean[r.i] = r.x
+    _, values, rows = np.linalg.svd(triangle(delta, "v", mean), full_matrices=True)
+    share = np.zeros(first.d)
+    share[: len(values)] = values**2 / max((values**2).sum(), 1e-300)
+    return mean, rows.T, share, delta
+
+
 def delta_pca(df: DataFrame, rank: int) -> tuple[np.ndarray, np.ndarray]:
     """Principal directions of paired differences x - z, and their shares of variance."""
-    m = moments(df.select(F.zip_with("x", "z", lambda a, b: a - b).alias("x"), F.array(F.lit(0.0)).alias("z")))
-    values, vectors = np.linalg.eigh(m.centred()[0])
-    order = np.argsort(-values)[:rank]
-    return vectors[:, order], values[order] / max(values.sum(), 1e-300)
+    _, directions, share, _ = _delta_directions(df)
+    return directions[:, :rank], share[:rank]
 
 
 def delta_scores(df: DataFrame, key: str, rank: int | None = None) -> DataFrame:
     """(key, r, z): each row's centred difference x - z on the first principal directions, as rows; the directions are broadcast."""
-    m = moments(df.select(F.zip_with("x", "z", lambda a, b: a - b).alias("x"), F.array(F.lit(0.0)).alias("z")))
-    values, vectors = np.linalg.eigh(m.centred()[0])
-    directions = vectors[:, np.argsort(-values)[: rank or len(values)]]
-    delta = df.select(key, F.zip_with("x", "z", lambda a, b: a - b).alias("v"))
-    found = apply_matrix(delta, directions, before=m.mean_x, normalise=False)
+    mean, directions, _, delta = _delta_directions(df)
+    found = apply_matrix(delta.select(key, "v"), directions[:, : rank or len(mean)], before=mean, normalise=False)
     return found.select(key, F.posexplode("v").alias("r", "z"))
 
 
@@ -247,7 +318,7 @@ def delta_erasers(df: DataFrame, ranks: list[int], ridge: float = 1e-6) -> dict[
     out = {}
     for rank in ranks:
         v = vectors[:, np.argsort(-values)[:rank]]
-        out[rank] = fit_eraser(Moments(m.n, m.sx, np.zeros(rank), m.xx, xd @ v, v.T @ dd @ v), ridge)
+        out[rank] = fit_eraser(Moments(m.n, m.mean_x, np.zeros(rank), m.cxx, xd @ v, v.T @ dd @ v), ridge)
     return out
 
 
