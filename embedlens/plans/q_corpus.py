@@ -11,6 +11,7 @@ from embedlens.operators import patches, sampling, tiling
 from embedlens.plans import bindings as B
 from embedlens.plans.registry import query
 from embedlens.sources import manifest as M
+from embedlens.sources import merkle
 from embedlens.sources.shared import shared_folder, spread
 
 DOC = "doc AS (SELECT doc_id AS idx, doc_id::VARCHAR AS docid, source AS title, lang, text, n_chars FROM documents)"
@@ -119,15 +120,21 @@ def merge_shards(spark, sf_dir):
 @query(MANIFEST_SQL)
 def manifest_write(spark, sf_dir):
     m = manifest(spark, sf_dir)
-    return spark.read.schema(m.schema).parquet(M.manifest_write(m, folder(spark, "corpus"), "v1"))
+    path = folder(spark, "corpus")
+    M.manifest_write(m, path, "v1", "idx", dataset="documents")
+    return M.manifest_read(spark, path, "v1", "idx", m.schema)
 
 
-DIGEST = "sha256(concat(doc_id::VARCHAR, chr(31), coalesce(source, ''), chr(31), coalesce(lang, ''), chr(31), sha256(text)))"
+DIGEST = "sha256(to_json({'doc_id': doc_id, 'source': source, 'lang': lang, 'text_sha256': sha256(text)}))"
+
+
+def digested():
+    return F.col("doc_id"), F.col("source"), F.col("lang"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
 
 
 @query(f"SELECT doc_id, {DIGEST} AS digest FROM documents")
 def row_digest(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", M.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    return docs(spark, sf_dir).select("doc_id", M.row_digest(*digested()).alias("digest"))
 
 
 @query(f"""
@@ -140,6 +147,34 @@ def corpus_fingerprint(spark, sf_dir):
     return M.corpus_fingerprint(row_digest(spark, sf_dir), "doc_id", "digest")
 
 
+MERKLE = f"""
+WITH r AS (SELECT doc_id, {DIGEST} AS d FROM documents),
+b AS (SELECT 0 AS level, doc_id // 100 AS node, sha256(string_agg(d, '' ORDER BY doc_id)) AS digest, count(*) AS rows FROM r GROUP BY 2),
+t AS (SELECT 1 AS level, node // 100 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest, sum(rows)::BIGINT AS rows FROM b GROUP BY 2),
+u AS (SELECT 2 AS level, node // 100 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest, sum(rows)::BIGINT AS rows FROM t WHERE (SELECT max(node) FROM t) > 0 GROUP BY 2)
+SELECT * FROM b UNION ALL SELECT * FROM t WHERE (SELECT max(node) FROM b) > 0 UNION ALL SELECT * FROM u
+"""
+
+
+@query(MERKLE)
+def merkle_tree(spark, sf_dir):
+    """The stored tree over all documents, a hundred a node."""
+    return merkle.tree(merkle.leaves(docs(spark, sf_dir), "doc_id", *digested()), size=100)
+
+
+@query("SELECT d.doc_id AS idx, l.toxic = 1 AS altered FROM documents d JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id WHERE d.doc_id % 3 = 0 AND (l.toxic = 1 OR d.lang = 'de')")
+def merkle_diff(spark, sf_dir):
+    """A copy in which some labelled documents have an empty source for null, and others are gone, compared by its tree."""
+    d = docs(spark, sf_dir).withColumn("source", F.lit(None).cast("string"))
+    toxic = B.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    hit = F.col("toxic").isNotNull() & (F.col("doc_id") % 3 == 0)
+    copy = d.join(toxic, "doc_id", "left").where(~F.coalesce(hit & (F.col("toxic") != 1) & (F.col("lang") == "de"), F.lit(False)))
+    copy = copy.withColumn("source", F.when(hit & (F.col("toxic") == 1), F.lit("")).otherwise(F.col("source"))).drop("toxic")
+    a, b = (merkle.tree(merkle.leaves(x, "doc_id"), size=100) for x in (d, copy))
+    found = merkle.changed_rows(d, copy, "doc_id", a, b, size=100)
+    return found.select("idx", F.col("right").isNotNull().alias("altered"))
+
+
 @query("SELECT d.doc_id, sha256(d.text) AS stored, sha256(CASE WHEN l.toxic = 1 THEN d.text || '!' ELSE d.text END) AS actual FROM documents d JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id WHERE l.toxic = 1")
 def verify_digests(spark, sf_dir):
     """Texts of toxic documents are tampered with; just these must be found."""
@@ -426,6 +461,6 @@ def archive_shards(spark, sf_dir):
     """Shards merged into a new version, then moved to the archive, where they are counted."""
     path, archive = folder(spark, "shards"), folder(spark, "archive")
     docs(spark, sf_dir).select("doc_id", F.coalesce("lang", F.lit("none")).alias("shard")).write.partitionBy("shard").parquet(path)
-    M.manifest_write(spark.read.parquet(path), folder(spark, "corpus"), "v2")
+    M.manifest_write(spark.read.parquet(path), folder(spark, "corpus"), "v2", "doc_id")
     M.archive_shards(spark, path, archive)
     return spark.read.parquet(archive).groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count("*").alias("rows"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,8 +105,8 @@ def merge_shards(existing: DataFrame, shards: list[DataFrame], idx: str) -> Data
 
 
 def canonical_row(*columns: Column) -> Column:
-    """One string for a row; the unit separator can't occur in cells that are clean text."""
-    return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    """One string for a row: a JSON object with the columns' names; null, an empty string and a number's digits as text all differ."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 def row_digest(*columns: Column) -> Column:
@@ -123,12 +127,52 @@ def verify_digests(blobs: DataFrame, manifest: DataFrame, key: str, content: str
     return manifest.select(key, F.col(stored).alias("stored")).join(actual, key, "left").where("actual is null or actual <> stored")
 
 
-def manifest_write(df: DataFrame, path: str, version: str) -> str:
-    """Writes rows and a one-row header under a new version; the commit protocol makes each all or nothing."""
-    rows = f"{path}/{version}/rows"
-    df.write.mode("overwrite").parquet(rows)
-    written = df.sparkSession.read.schema(df.schema).parquet(rows)
-    written.groupBy().agg(F.count("*").alias("num_rows")).withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(f"{path}/{version}/header")
+HEADER = "dataset string, revision string, prefetched_at string, version string, num_rows long, rows string, fingerprint string"
+
+
+def manifest_write(df: DataFrame, path: str, version: str, idx: str, dataset: str = "", revision: str | None = None, prefetched_at: str | None = None) -> str:
+    """Writes rows under a new name, then publishes the header that names them, with provenance, the number of rows and their fingerprint.
+
+    The header is one file, written aside and renamed over what was there, so a reader sees the old manifest or the new one, never rows of
+    one with the header of the other. Returns the rows' folder.
+    """
+    spark = df.sparkSession
+    rows = f"{path}/{version}/rows-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(rows)
+    found = _fingerprint(spark.read.schema(df.schema).parquet(rows), idx)
+    stamp = prefetched_at or datetime.now(timezone.utc).isoformat(timespec="seconds")
+    header = {"dataset": dataset, "revision": revision, "prefetched_at": stamp, "version": version, "num_rows": found[1], "rows": rows.rsplit("/", 1)[1], "fingerprint": found[0]}
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/header.json")
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/.header-{uuid.uuid4().hex[:12]}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = at.getFileSystem(conf).create(aside, True)
+    out.write(bytearray(json.dumps(header).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.getFileSystem(conf).getUri(), conf).rename(aside, at, over)
+    return rows
+
+
+def _fingerprint(df: DataFrame, idx: str) -> tuple[str | None, int]:
+    digests = df.select(idx, row_digest(*[F.col(c) for c in df.columns]).alias("_digest"))
+    one = corpus_fingerprint(digests, idx, "_digest").first()
+    return (one.fingerprint, one.num_rows or 0) if one.num_rows else (None, 0)
+
+
+def manifest_header(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """The published header: one row."""
+    return spark.read.schema(HEADER).json(f"{path}/{version}/header.json")
+
+
+def manifest_read(spark: SparkSession, path: str, version: str, idx: str, schema: T.StructType | None = None, verify: bool = True) -> DataFrame:
+    """The rows that the published header names; raises where they aren't those it was published with."""
+    header = manifest_header(spark, path, version).first()
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.parquet(f"{path}/{version}/{header['rows']}")
+    if verify and (found := _fingerprint(rows, idx)) != (header.fingerprint, header.num_rows):
+        raise ValueError(f"manifest {version}: {found[1]} rows with fingerprint {found[0]}, published were {header.num_rows} with {header.fingerprint}")
     return rows
 
 
