@@ -69,4 +69,4 @@ OPERATORS = (
     op8_embedding_near_dedup, op9_sentencepiece_codec, op10_quality_rules, op11_power_of_two_packing, op12_conversation_repair, op13_ranked_search,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL, "op13_ranked_search": term_search.SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL, "op12_conversation_repair": turn_repair.SQL, "op13_ranked_search": term_search.SQL}

@@ -313,3 +313,44 @@ def repair(turns: DataFrame, emit: str = "report") -> DataFrame:
     kind = turns.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, " + ("position long, turn long, role string, text string, edit string" if emit == "turns" else REPORT)
     return rows.mapInArrow(tidy(_streamed(to_arrow_type(turns.schema["conv_id"].dataType), emit), "turns"), schema)
+
+
+#: The same rows in SQL: CRC32 by bits, then for every turn the least (cost, audit) of each state of the grammar.
+SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS h FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM hashed, (VALUES (0), (1)) v(copy) WHERE h <> 0 AND (copy = 0 OR h = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+turns AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+states AS (
+  SELECT conv_id, 0::BIGINT AS pos, s.state, {'cost': s.cost, 'audit': s.audit, 'lines': s.lines} AS least
+  FROM counted, (VALUES (0, 0::BIGINT, '', ''), (2, 5::BIGINT, 'I', chr(10) || 'user:'), (3, 10::BIGINT, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) s(state, cost, audit, lines)
+  UNION ALL
+  SELECT conv_id, pos, CASE WHEN k = 0 THEN state WHEN (state = 2) = (k = 1) THEN 3 ELSE 2 END AS state,
+    min({'cost': cost + 5 * k, 'audit': audit || repeat('I', k::INTEGER), 'lines': lines || CASE WHEN k = 0 THEN '' WHEN state = 2 THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' END || CASE WHEN k < 2 THEN '' WHEN state = 2 THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END}) AS least
+  FROM (
+    SELECT conv_id, pos, e.state AS state, e.cost AS cost, e.audit AS audit, e.lines AS lines FROM (
+      SELECT t.conv_id, t.pos, unnest([
+        {'state': s.state, 'cost': least.cost + 2, 'audit': least.audit || 'D', 'lines': least.lines},
+        CASE WHEN fault IN ('', 'truncated') AND (i = CASE WHEN s.state = 2 THEN 'a' ELSE 'u' END OR (i = 's' AND s.state = 0)) THEN
+          {'state': CASE i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'cost': least.cost + CASE fault WHEN '' THEN 0 ELSE 5 END, 'audit': least.audit || 'K', 'lines': least.lines || chr(10) || role || ':' || text} END,
+        CASE WHEN fault IN ('', 'truncated') THEN
+          {'state': CASE WHEN s.state = 2 THEN 3 ELSE 2 END, 'cost': least.cost + CASE fault WHEN '' THEN 1 ELSE 6 END, 'audit': least.audit || 'R', 'lines': least.lines || chr(10) || CASE WHEN s.state = 2 THEN 'assistant' ELSE 'user' END || ':' || text} END]) AS e
+      FROM states s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.pos = s.pos + 1) WHERE e IS NOT NULL), range(3) r(k)
+  GROUP BY 1, 2, 3),
+best AS (SELECT s.conv_id, min(least) AS least FROM states s JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = c.n WHERE s.state IN (0, 3) GROUP BY s.conv_id)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(least.cost, 0) AS cost, coalesce(least.audit, '') AS audit, sha256(coalesce(substr(least.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM g.conv_id
+"""

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from embedlens.llm import turn_repair
@@ -178,3 +179,17 @@ def test_every_given_conversation(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
     got = {r.conv_id: tuple(r)[1:] for r in turn_repair.repair(turn_repair.damage(table)).collect()}
     assert got == want([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_sql(spark):
+    """The SQL form over the given rows and over hard ones."""
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rng = random.Random(12)
+    rows = [(1000 + c, t if t % 4 else None, *x) for c in range(60) for t, x in enumerate(random_turns(rng, rng.randrange(1, 9)))] + [(None, None, None, None), (2000, 1, None, "x.")]
+    both = table.union(spark.createDataFrame(rows, SCHEMA))
+    con = duckdb.connect()
+    con.register("conversations", both.toArrow())
+    found = con.sql(turn_repair.SQL)
+    got = turn_repair.repair(turn_repair.damage(both))
+    assert found.columns == got.columns
+    assert {tuple(r) for r in got.collect()} == set(found.fetchall())
