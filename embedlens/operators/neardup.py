@@ -49,13 +49,15 @@ def _blocks(n: int, t: int, bits: int) -> int:
 
 
 def hamming_pairs(hashes: DataFrame, key: str, t: int = 6, bits: int = BITS) -> DataFrame:
-    """(a, b, distance): all pairs a < b within distance t.
+    """(a, b, distance, pairs): of every two distinct hashes within distance t the smallest ids that have them (a < b), and of every hash
+    that several ids have its smallest one (a = b, distance 0); ``pairs`` is how many pairs of ids the row stands for. ``hash_members`` has
+    the ids behind each, so a hash that n ids share costs n rows, not their square.
 
     Equal hashes are one value first, so a frequent hash is no hot key. Hashes are cut into m blocks; two within t agree in m - t of them
     (pigeonhole), so they meet under the mask of those blocks, and are verified. ``m`` follows the number of distinct hashes, so that keys
     get longer (up to 24 bits) as there are more of them.
     """
-    values = hashes.select("hash").distinct()
+    values = hash_classes(hashes, key)
     m = _blocks(values.count(), t, bits)
     edges = [round(i * bits / m) for i in range(m + 1)]
     cells = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
@@ -64,9 +66,21 @@ def hamming_pairs(hashes: DataFrame, key: str, t: int = 6, bits: int = BITS) ->
     left, right = keyed.withColumnRenamed("hash", "x"), keyed.withColumnRenamed("hash", "y")
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long")
     near = left.join(right, ["mask", "value"]).where("x < y").where(distance <= t).select("x", "y").distinct().withColumn("distance", distance)
-    same = hashes.groupBy(F.col("hash").alias("x")).agg(F.count("*").alias("n")).where("n > 1").select("x", F.col("x").alias("y"), F.lit(0).cast("long").alias("distance"))
-    p, q = hashes.select(F.col("hash").alias("x"), F.col(key).alias("p")), hashes.select(F.col("hash").alias("y"), F.col(key).alias("q"))
-    return near.unionByName(same).join(p, "x").join(q, "y").where("p <> q and (x <> y or p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+    x, y = (values.select(F.col("hash").alias(h), F.col("rep").alias(f"rep_{h}"), F.col("n").alias(f"n_{h}")) for h in ("x", "y"))
+    near = near.join(x, "x").join(y, "y").select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"), "distance", (F.col("n_x") * F.col("n_y")).alias("pairs"))
+    same = values.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).cast("long").alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    return near.unionByName(same)
+
+
+def hash_classes(hashes: DataFrame, key: str) -> DataFrame:
+    """(hash, rep, n): each hash with the smallest id that has it, and how many have; written."""
+    return written(hashes.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min(key).alias("rep"), F.count("*").alias("n")), "classes")
+
+
+def hash_members(hashes: DataFrame, key: str) -> DataFrame:
+    """(key, rep): the smallest id with the same hash, for every id that has one."""
+    hashes = written(hashes.select(key, "hash"), "hashes")
+    return hashes.join(hash_classes(hashes, key), "hash").select(key, "rep")
 
 
 def leader_clusters(hashes: DataFrame, key: str, t: int = 6, max_rounds: int = 1000) -> DataFrame:

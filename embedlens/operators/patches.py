@@ -22,6 +22,7 @@ def ot_assign(scores: DataFrame, clusters: int, patches: int, dustbin: float, it
 
     bin_rows = scores.select("item", "patch").distinct().select("item", "patch", F.lit(clusters).alias("cluster"), F.lit(float(dustbin)).alias("score"))
     out = scores.select("item", "patch", F.col("cluster").cast("int").alias("cluster"), F.col("score").cast("double").alias("score")).unionByName(bin_rows).withColumn("m", F.col("score"))
+    out = out.repartition("item")  # all windows below lie within an item
     mass = F.when(F.col("cluster") == clusters, F.lit(math.log(patches - clusters))).otherwise(F.lit(0.0))
     for _ in range(iterations):
         out = out.withColumn("m", F.col("m") - log_sum_exp(F.col("m"), "item", "cluster") + mass)
@@ -112,9 +113,10 @@ def region_mean(cells: DataFrame, boxes: DataFrame) -> DataFrame:
 MARKS = ",.;:!?\"'()[]"
 
 
-def word_table(df: DataFrame, key: str, text: str, cap: int = 256) -> DataFrame:
-    """(key, pos, word): the first ``cap`` words, lower-cased, marks stripped at both ends; emptied words are left out."""
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \\t\\n\\r\\x0b\\f]+", " "), " "), lambda w: w != ""), 1, cap)
+def word_table(df: DataFrame, key: str, text: str, cap: int | None = None) -> DataFrame:
+    """(key, pos, word): all words (the first ``cap``, if that is given), lower-cased, marks stripped at both ends; emptied words are left out."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \\t\\n\\r\\x0b\\f]+", " "), " "), lambda w: w != "")
+    words = words if cap is None else F.slice(words, 1, cap)
     t = df.select(key, F.posexplode(words).alias("pos", "w"))
     return t.select(key, F.col("pos").cast("long").alias("pos"), F.btrim(F.lower("w"), F.lit(MARKS)).alias("word")).where("word <> ''")
 

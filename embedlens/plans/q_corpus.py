@@ -222,7 +222,7 @@ WORDS = "list_filter(string_split(regexp_replace(coalesce(text, ''), '[ \\t\\n\\
 STRIP = "',.;:!?\"''()[]'"
 
 
-@query(f"SELECT doc_id, pos, word FROM (SELECT doc_id, pos - 1 AS pos, trim(lower(ws[pos]), {STRIP}) AS word FROM (SELECT doc_id, ws, unnest(range(1, least(len(ws), 256) + 1)) AS pos FROM (SELECT doc_id, {WORDS} AS ws FROM documents))) WHERE word <> ''")
+@query(f"SELECT doc_id, pos, word FROM (SELECT doc_id, pos - 1 AS pos, trim(lower(ws[pos]), {STRIP}) AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT doc_id, {WORDS} AS ws FROM documents))) WHERE word <> ''")
 def word_table(spark, sf_dir):
     return patches.word_table(spread(docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text")
 

@@ -32,14 +32,21 @@ def simhash(spark, sf_dir):
     return hashes(spark, sf_dir)
 
 
-PAIRS = "pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.hash, b.hash))::BIGINT AS distance FROM sim a JOIN sim b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.hash, b.hash)) <= 6)"
+CLASSES = "cls AS (SELECT hash, min(doc_id) AS rep, count(*) AS n FROM sim GROUP BY hash)"
 
 
-@query("WITH" + SIM + ", " + PAIRS + " SELECT a, b, distance FROM pairs")
+@query("WITH" + SIM + f""", {CLASSES}
+SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, bit_count(xor(x.hash, y.hash))::BIGINT AS distance, x.n * y.n AS pairs FROM cls x JOIN cls y ON x.hash < y.hash WHERE bit_count(xor(x.hash, y.hash)) <= 6
+UNION ALL SELECT rep, rep, 0, n * (n - 1) // 2 FROM cls WHERE n > 1""")
 def hamming_pairs(spark, sf_dir):
     return neardup.hamming_pairs(hashes(spark, sf_dir), "doc_id")
 
 
+@query("WITH" + SIM + f", {CLASSES} SELECT doc_id, rep FROM sim JOIN cls USING (hash)")
+def hash_members(spark, sf_dir):
+    return neardup.hash_members(hashes(spark, sf_dir), "doc_id")
+
+
 # the sequential definition: representatives so far are carried along in id order
 LEADERS = "WITH RECURSIVE " + SIM.strip() + """,
 o AS (SELECT doc_id, hash, row_number() OVER (ORDER BY doc_id) AS i FROM sim),

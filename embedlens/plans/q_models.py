@@ -264,7 +264,7 @@ def region_mean(spark, sf_dir):
     return patches.region_mean(cells, boxes)
 
 
-WORDS_SQL = f"wt AS (SELECT {{k}}, pos, word FROM (SELECT {{k}}, pos - 1 AS pos, trim(lower(ws[pos]), {STRIP}) AS word FROM (SELECT {{k}}, ws, unnest(range(1, least(len(ws), 256) + 1)) AS pos FROM (SELECT {{k}}, {WORDS} AS ws FROM {{t}}))) WHERE word <> '')"
+WORDS_SQL = f"wt AS (SELECT {{k}}, pos, word FROM (SELECT {{k}}, pos - 1 AS pos, trim(lower(ws[pos]), {STRIP}) AS word FROM (SELECT {{k}}, ws, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT {{k}}, {WORDS} AS ws FROM {{t}}))) WHERE word <> '')"
 FIRST = "fw AS (SELECT doc_id, word, arg_min(pos * 1.0::DOUBLE / 256, pos) AS value FROM wt GROUP BY doc_id, word)"
 
 
@@ -288,7 +288,7 @@ def matched_words(spark, sf_dir):
     """Words of a benchmark item (dealt to every document by its id) that the document also has."""
     bench = B.table(spark, sf_dir, "benchmark")
     n = bench.count()
-    words = patches.word_table(bench, "item_id", "text", cap=1_000_000).select("item_id", "word").distinct()
+    words = patches.word_table(bench, "item_id", "text").select("item_id", "word").distinct()
     boxes = B.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("item_id")).join(words, "item_id").select("doc_id", "word")
     return patches.matched_words(boxes, first_values(spark, sf_dir), "doc_id").withColumn("value", F.round("value", 6))
 

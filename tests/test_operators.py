@@ -382,8 +382,11 @@ def test_leaders_are_the_sequential_loop(spark, rng):
     df = spark.createDataFrame(hashes, "id long, hash long")
     got = {r.id: (r.rep, r.cluster_id) for r in neardup.leader_clusters(df, "id").collect()}
     assert got == leaders(hashes, 6)
-    pairs = {(r.a, r.b): r.distance for r in neardup.hamming_pairs(df, "id").collect()}
-    assert pairs == {(i, j): (g ^ h).bit_count() for i, g in hashes for j, h in hashes if i < j and (g ^ h).bit_count() <= 6}
+    pairs = {(r.a, r.b): (r.distance, r.pairs) for r in neardup.hamming_pairs(df, "id").collect()}
+    ids = {h: [i for i, g in hashes if g == h] for _, h in hashes}
+    want = {tuple(sorted((min(ids[g]), min(ids[h])))): ((g ^ h).bit_count(), len(ids[g]) * len(ids[h])) for g in ids for h in ids if g < h and (g ^ h).bit_count() <= 6}
+    assert pairs == want | {(min(x), min(x)): (0, len(x) * (len(x) - 1) // 2) for x in ids.values() if len(x) > 1}
+    assert {(r.id, r.rep) for r in neardup.hash_members(df, "id").collect()} == {(i, min(ids[h])) for i, h in hashes}
     assert sum(r.members for r in neardup.cluster_histogram(neardup.leader_clusters(df, "id")).collect()) == len(hashes)
 
 
