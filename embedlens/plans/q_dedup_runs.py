@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from embedlens.operators import neardup, runs
 from embedlens.plans import bindings as B
 from embedlens.plans.registry import query
-from embedlens.sources.shared import spread
+from embedlens.sources import logs as L
+from embedlens.sources.shared import shared_folder, spread
 
 
 def texts(spark, sf_dir):
@@ -211,6 +212,38 @@ def last_with(spark, sf_dir):
     return runs.last_with(m, "run_id", "step", "value")
 
 
+def logs_of(spark, sf_dir):
+    """The metrics log written as one JSON-lines file a run, and read again: purchases are evaluation rows, errors rows with a loss, views
+    rows with a rate, others have a step only."""
+    path = shared_folder(spark, "logs")
+    row = F.when(F.col("event_type") == "purchase", F.to_json(F.struct(F.col("step").alias("eval_step"), F.struct(F.col("value").alias("recall_10")).alias("scores"))))
+    row = row.when(F.col("event_type") == "error", F.to_json(F.struct("step", F.col("value").alias("loss")))).when(F.col("event_type") == "view", F.to_json(F.struct("step", F.col("value").alias("lr"))))
+    L.write_logs(B.metrics(spark, sf_dir), path, "run_id", "step", row.otherwise(F.to_json(F.struct("step"))))
+    return L.read_logs(spark, path)
+
+
+@query(B.with_ctes("log", "SELECT run_id, step, value AS recall FROM log WHERE event_type = 'purchase' AND value IS NOT NULL"))
+def log_eval_curve(spark, sf_dir):
+    return L.series(logs_of(spark, sf_dir), "$.eval_step", recall="$.scores.recall_10")
+
+
+@query(B.with_ctes("log", "SELECT run_id, step, value AS loss FROM log WHERE event_type = 'error' AND value IS NOT NULL"))
+def log_sparse_series(spark, sf_dir):
+    return L.series(logs_of(spark, sf_dir), "$.step", loss="$.loss")
+
+
+@query(B.with_ctes("log", "SELECT run_id, max(step) AS step, arg_max(value, step) AS value FROM log WHERE event_type = 'view' AND value IS NOT NULL GROUP BY run_id"))
+def log_last_with(spark, sf_dir):
+    return L.last_with(logs_of(spark, sf_dir), "$.step", "$.lr")
+
+
+@query(B.with_ctes("log", """, f AS (
+  SELECT run_id, unnest(CASE event_type WHEN 'purchase' THEN ['eval_step', 'scores'] WHEN 'error' THEN CASE WHEN value IS NULL THEN ['step'] ELSE ['step', 'loss'] END WHEN 'view' THEN CASE WHEN value IS NULL THEN ['step'] ELSE ['step', 'lr'] END ELSE ['step'] END) AS field FROM log)
+SELECT field, count(*) AS rows, count(DISTINCT run_id) AS runs FROM f GROUP BY field""").replace("\n, f AS", ", f AS"))
+def log_fields(spark, sf_dir):
+    return L.fields_of(logs_of(spark, sf_dir))
+
+
 @query("WITH " + RUNS + ", " + B.CTE["log"] + """,
 l AS (SELECT run_id, max(step) AS step, arg_max(value, step) AS value FROM log WHERE value IS NOT NULL GROUP BY run_id),
 b AS (SELECT run_id, kind, result FROM (SELECT user_id AS run_id, event_type AS kind, round(max(value), 6) AS result, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END) AS r FROM events WHERE event_type IN ('purchase', 'click') GROUP BY user_id, event_type) WHERE r = 1)
