@@ -3,17 +3,59 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from embedlens.sources.shared import written
+
+
+#: Rows of a group that one task ranks; groups beyond it are ranked by ranges.
+GROUP_ROWS = 1_000_000
+
+
+def _largest(df: DataFrame, *keys: str) -> int:
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def ranked_values(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, value, n, before): every distinct value of a group (nulls first) with its rows and the rows of smaller ones.
+
+    Equal values are counted before the shuffle. Values are dealt by ranges of (keys, value), so a group is ranked in as many tasks as it
+    needs; what lies in earlier ranges is added from one row for each range and group in it.
+    """
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    # written once: range bounds are sampled anew in each execution, and both uses must see the same partitions
+    parts = written(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranks")
+    ends = Window.partitionBy(*keys).orderBy("_part")
+    sums = parts.groupBy("_part", *keys).agg(F.sum("n").alias("_n")).select("_part", *[F.col(k).alias(f"_{k}") for k in keys], (F.sum("_n").over(ends) - F.col("_n")).alias("_earlier"))
+    inside = F.sum("n").over(Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    same = reduce(lambda a, b: a & b, [parts[k].eqNullSafe(sums[f"_{k}"]) for k in keys], parts["_part"] == sums["_part"])
+    return parts.withColumn("_inside", inside).join(sums, same).select(*keys, value, "n", (F.col("_inside") + F.col("_earlier")).alias("before"))
+
 
 def average_rank(df: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
-    """Adds the rank of ``value`` within ``keys``; ties share their mean rank."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / 2)
+    """Adds the rank of ``value`` within ``keys``; ties share their mean rank. Groups of more than ``GROUP_ROWS`` rows are ranked by ranges."""
+    if _largest(df, *keys) <= GROUP_ROWS:
+        w = Window.partitionBy(*keys)
+        return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / 2)
+    ranks = ranked_values(df, value, *keys).select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, value)], (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(ranks[f"_of_{c}"]) for c in (*keys, value)])
+    return df.join(ranks, same).select(*df.columns, name)
+
+
+def medians(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, median): exact; the one or two middle values of each group, by their ranks."""
+    cells = ranked_values(df.where(F.col(value).isNotNull()), value, group)
+    totals = cells.groupBy(F.col(group).alias("_g")).agg(F.sum("n").alias("_total"))
+    both = cells.join(totals, cells[group].eqNullSafe(totals["_g"]))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.ceil((F.col("_total") + 1) / 2)
+    holds = lambda r: (F.col("before") < r) & (r <= F.col("before") + F.col("n"))
+    middle = both.where(holds(low) | holds(high)).groupBy(group)
+    return middle.agg(((F.min(value) + F.max(value)) / 2).alias("median"))
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str, least: int = 2) -> DataFrame:
@@ -58,8 +100,14 @@ def student_tail(r: np.ndarray, v: np.ndarray, nodes: int = 200) -> np.ndarray:
 
 
 def rho_summary(rhos: DataFrame, group: str, rho: str = "rho") -> DataFrame:
-    """mean, median, population deviation, count; groups without rho are left out."""
-    return rhos.where(F.col(rho).isNotNull()).groupBy(group).agg(F.round(F.avg(rho), 6).alias("mean"), F.round(F.median(rho), 6).alias("median"), F.round(F.stddev_pop(rho), 6).alias("std"), F.count("*").alias("n"))
+    """mean, median, population deviation, count; groups without rho are left out. Medians of large groups come from ranks by ranges."""
+    found = rhos.where(F.col(rho).isNotNull())
+    columns = [F.round(F.avg(rho), 6).alias("mean"), F.round(F.stddev_pop(rho), 6).alias("std"), F.count("*").alias("n")]
+    if _largest(found, group) <= GROUP_ROWS:
+        return found.groupBy(group).agg(columns[0], F.round(F.median(rho), 6).alias("median"), *columns[1:])
+    middle = medians(found, rho, group).withColumnRenamed(group, "_group")
+    rest = found.groupBy(group).agg(*columns)
+    return rest.join(middle, rest[group].eqNullSafe(middle["_group"])).select(group, "mean", F.round("median", 6).alias("median"), "std", "n")
 
 
 def latest_run(runs: DataFrame, configs: DataFrame, pattern: str) -> DataFrame:
