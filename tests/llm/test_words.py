@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 
-from embedlens.llm import lm_score, ngram_join, quality, textnp, toxicity
+from embedlens.llm import lm_score, ngram_join, quality, textnp, tokens, toxicity
 
 SCHEMA = "doc_id long, text string"
 THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
@@ -73,3 +73,20 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, d), (5, a), (5, b), (7, c), (9, ""), (9, ""), (None, a)])
     assert ngram_join.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_units_that_are_forgotten_are_learnt_again(monkeypatch):
+    import public_tokenizers
+
+    rng = random.Random(4)
+    words = [f"w{i}é" for i in range(300)]
+    for kind, file in (("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")):
+        monkeypatch.setattr(tokens, "MEMORY", 60)
+        e = tokens.UnitEncoder(public_tokenizers.path(file), kind)
+        for _ in range(40):
+            texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(300)], k=rng.randrange(30))) for _ in range(4)]
+            data, sizes = "".join(texts).encode(), [len(t.encode()) for t in texts]
+            ids, lengths = e.encode(np.frombuffer(data, np.uint8), np.cumsum([0, *sizes]), 7)
+            want = [[*e.library.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+            assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(x) for x in want]
+        assert len(e.keys) == len(e.uses) == len(e.slots) < 300
