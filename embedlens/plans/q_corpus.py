@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embedlens.functions import columns as C
+from embedlens.functions import tables
 from embedlens.functions.encode import encode_by_name
 from embedlens.functions.encode import hash_encode as _hash_encode
 from embedlens.operators import patches, sampling, tiling
@@ -337,6 +338,21 @@ def tile_text_all(spark, sf_dir):
     return tiling.tile_text(spread(docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", 500, min_ratio=0.0).withColumn("chunk", F.md5(F.col("chunk").cast("binary")))
 
 
+@query(_tile_sql(0.83))
+def tile_text_lateral(spark, sf_dir):
+    """The same tiles by a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, start, md5(chunk) AS chunk FROM {docs}, LATERAL text_tiles(text, 500, 0.0D, 0.83D)", docs=spread(docs(spark, sf_dir).select("doc_id", "text")))
+
+
+@query("SELECT user_id, event_id, value, place FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS place FROM events) WHERE place <= 3")
+def first_rows(spark, sf_dir):
+    """Each user's three highest events by a table function over a partitioned table."""
+    tables.register(spark)
+    e = B.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return spark.sql("SELECT * FROM first_rows(TABLE(SELECT * FROM {events}) PARTITION BY user_id ORDER BY (value DESC NULLS LAST, event_id), 3)", events=e)
+
+
 def page_rasters(spark, sf_dir):
     """Images 64 pixels wide drawn from the pages' bytes: as many rows as hold them all, the last one filled up with zeros."""
     p = B.table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("b"))
