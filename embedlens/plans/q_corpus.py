@@ -11,8 +11,8 @@ from embedlens.functions.encode import hash_encode as _hash_encode
 from embedlens.operators import patches, sampling, tiling
 from embedlens.plans import bindings as B
 from embedlens.plans.registry import query
+from embedlens.sources import cache, merkle
 from embedlens.sources import manifest as M
-from embedlens.sources import merkle
 from embedlens.sources.shared import shared_folder, spread
 
 DOC = "doc AS (SELECT doc_id AS idx, doc_id::VARCHAR AS docid, source AS title, lang, text, n_chars FROM documents)"
@@ -188,7 +188,7 @@ def verify_digests(spark, sf_dir):
 
 @query(B.with_ctes("vec", "SELECT crop_id, page_id, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM vec"))
 def descriptor_cache(spark, sf_dir):
-    cached = M.descriptor_cache(B.crops(spark, sf_dir), folder(spark, "descriptors"))
+    cached = cache.bucketed(B.crops(spark, sf_dir), "crop_id", folder(spark, "descriptors"))
     return cached.select("crop_id", "page_id", F.round(C.norm(F.col("v")), 6).alias("norm"))
 
 

@@ -191,12 +191,6 @@ def archive_shards(spark: SparkSession, path: str, archive: str) -> list[str]:
     return sorted(moved)
 
 
-def descriptor_cache(df: DataFrame, path: str) -> DataFrame:
-    """Writes descriptors once; later analyses read the files."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def report_sink(df: DataFrame, path: str, form: str = "json") -> None:
     """A report's few rows as one file."""
     out = df.coalesce(1).write.mode("overwrite")
