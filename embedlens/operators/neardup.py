@@ -62,10 +62,13 @@ def hamming_pairs(hashes: DataFrame, key: str, t: int = 6, bits: int = BITS) ->
     edges = [round(i * bits / m) for i in range(m + 1)]
     cells = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     masks = [sum(cells[i] for i in c) for c in combinations(range(m), m - t)]
-    keyed = values.select("hash", F.posexplode(F.array(*[F.col("hash").bitwiseAND(F.lit(x)) for x in masks])).alias("mask", "value"))
+    # one long a mask; masks that share a key by chance only bring candidates, which are verified
+    keyed = values.select("hash", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("hash").bitwiseAND(F.lit(x))) for i, x in enumerate(masks)])).alias("at"))
     left, right = keyed.withColumnRenamed("hash", "x"), keyed.withColumnRenamed("hash", "y")
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long")
-    near = left.join(right, ["mask", "value"]).where("x < y").where(distance <= t).select("x", "y").distinct().withColumn("distance", distance)
+    # Spark takes an exploded side for as large as the table it is made of, and would broadcast a row for each hash and mask
+    met = left.join(right.hint("merge"), "at").where("x < y").where(distance <= t)
+    near = met.select("x", "y").distinct().withColumn("distance", distance)
     x, y = (values.select(F.col("hash").alias(h), F.col("rep").alias(f"rep_{h}"), F.col("n").alias(f"n_{h}")) for h in ("x", "y"))
     near = near.join(x, "x").join(y, "y").select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"), "distance", (F.col("n_x") * F.col("n_y")).alias("pairs"))
     same = values.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).cast("long").alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs"))
