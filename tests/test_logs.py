@@ -28,3 +28,26 @@ def test_written_logs_keep_their_order(spark, tmp_path):
         steps = [int(x[5:-1]) for x in file.read_text().split()]
         assert steps == sorted(steps) and len(steps) == 100
     assert L.series(L.read_logs(spark, str(tmp_path / "logs")), "$.s").count() == 300
+
+
+def test_packed_logs_have_the_rows_of_logs_a_run_in_few_files(spark, tmp_path):
+    rows = spark.range(900).select(F.when(F.col("id") % 300 != 5, F.col("id") % 300 - 7).alias("r"), (900 - F.col("id")).alias("s"))
+    line = F.when(F.col("s") % 7 == 0, F.lit("no\tjson")).when(F.col("s") % 11 == 0, F.lit(" ")).otherwise(F.to_json(F.struct("s", F.lit("a\tb").alias("note"))))
+    L.write_logs(rows, str(tmp_path / "one"), "r", "s", line)
+    L.pack_logs(rows, str(tmp_path / "packed"), "r", "s", line)
+    want, got = ([(r.run_id, r.j) for r in logs.selectExpr("run_id", "to_json(row) as j").orderBy("run_id", "j").collect()] for logs in (L.read_logs(spark, str(tmp_path / "one")), L.read_packed(spark, str(tmp_path / "packed"))))
+    assert got == want and len(got) > 800
+    assert len(list((tmp_path / "packed").glob("*.txt"))) <= 4
+    seen = {}
+    for file in (tmp_path / "packed").glob("*.txt"):
+        for line in file.read_text().splitlines():
+            run, text = line.split("\t", 1)
+            assert seen.setdefault(run, file) == file
+
+
+def test_queries_of_logs_write_no_file_a_run(spark, tmp_path):
+    from embedlens.plans import q_dedup_runs
+
+    spark.range(5000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id % 1000 as user_id", "'view' as event_type", "id / 2 as value").write.parquet(f"{tmp_path}/events.parquet")
+    logs = q_dedup_runs.logs_of(spark, str(tmp_path))
+    assert logs.count() == 5000 and len(logs.inputFiles()) <= 8
