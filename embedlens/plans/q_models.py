@@ -269,8 +269,8 @@ FIRST = "fw AS (SELECT doc_id, word, arg_min(pos * 1.0::DOUBLE / 256, pos) AS va
 
 
 def first_values(spark, sf_dir):
-    w = patches.word_table(B.table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("value", F.col("pos") / 256)
-    return patches.first_word_value(w, "doc_id")
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts are sent, not a row for each word
+    return patches.first_word_value(patches.word_table(docs, "doc_id", "text").withColumn("value", F.col("pos") / 256), "doc_id")
 
 
 @query("WITH " + WORDS_SQL.format(k="doc_id", t="documents") + ", " + FIRST + " SELECT doc_id, word, round(value, 6) AS value FROM fw")
@@ -290,7 +290,9 @@ def matched_words(spark, sf_dir):
     n = bench.count()
     words = patches.word_table(bench, "item_id", "text").select("item_id", "word").distinct()
     boxes = B.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("item_id")).join(words, "item_id").select("doc_id", "word")
-    return patches.matched_words(boxes, first_values(spark, sf_dir), "doc_id").withColumn("value", F.round("value", 6))
+    found = patches.word_table(B.table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("item_id", F.col("doc_id") % n)
+    asked = found.join(words, ["item_id", "word"], "left_semi").withColumn("value", F.col("pos") / 256)  # before anything is sent
+    return patches.matched_words(boxes, patches.first_word_value(asked, "doc_id"), "doc_id").withColumn("value", F.round("value", 6))
 
 
 _VOC = "list_distinct(list_filter(string_split(lower(regexp_replace(coalesce({0}, ''), '[ \\t\\n\\r\\x0b\\f]+', ' ', 'g')), ' '), lambda w: w <> ''))"
