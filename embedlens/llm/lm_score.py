@@ -176,42 +176,72 @@ class LogBilinear:
         return a1, a2, z
 
     def train(self, code: np.ndarray, weight: np.ndarray, state: list, rng) -> None:
-        """One pass over (w-2, w-1, w) triples, packed base ``size``, with their counts; AdaGrad steps."""
+        """One pass over (w-2, w-1, w) triples, packed base ``size``, with their counts; AdaGrad steps. Large results of a batch go into the
+        same memory for all batches."""
         q1, q2, r, b = self.p
         cumulative, k = np.cumsum(self.share), self.size
         log_noise = np.log(NOISE * self.share).astype(np.float32)
         order = rng.permutation(len(code))
         for a in range(0, len(order), BATCH):
-            pick = order[a : a + BATCH]
-            w, c1, c2 = code[pick] % k, code[pick] // k % k, code[pick] // k**2
-            m = weight[pick].astype(np.float32)
+            order[a : a + BATCH].sort()  # so w-2 are sorted
+        code, weight = code[order], weight[order].astype(np.float32)
+        pairs = code // k
+        all_w, all_c2 = code - pairs * k, pairs // k
+        all_c1 = pairs - all_c2 * k
+        most = min(BATCH, len(code))
+        room = [np.empty((most + more, width), np.float32) for more, width in ((0, DIM + 1), (0, DIM), (0, DIM), (NOISE, DIM), (NOISE, DIM), (0, NOISE))]
+        rn = np.empty((NOISE, DIM + 1), np.float32)  # with the biases, which meet a 1 in the context
+        for a in range(0, len(code), BATCH):
+            w, c1, c2, m = (x[a : a + BATCH] for x in (all_w, all_c1, all_c2, weight))
+            n = len(w)
+            context, rw, g, gr, held, t = (x[: n + more] for x, more in zip(room, (0, 0, 0, NOISE, NOISE, 0)))
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), k - 1)
-            context = q1[c1] + q2[c2]
-            rw, rn = r[w], r[noise]
-            s = (context * rw).sum(1) + b[w] - log_noise[w]
-            t = context @ rn.T + (b[noise] - log_noise[noise])[None, :]
+            np.add(_taken(q1, c1, rw), _taken(q2, c2, g), out=context[:, :DIM])
+            context[:, DIM] = 1
+            _taken(r, w, rw)
+            rn[:, :DIM], rn[:, DIM] = r[noise], b[noise] - log_noise[noise]
             with np.errstate(over="ignore"):  # then the share is 0
-                gs = m / (1 + np.exp(s))  # weight * (1 - sigmoid)
-                gt = -m[:, None] / (1 + np.exp(-t))
-            g_context = gs[:, None] * rw + gt @ rn
+                gs = m / (1 + np.exp(np.einsum("ij,ij->i", context[:, :DIM], rw) + (b[w] - log_noise[w])))  # weight * (1 - sigmoid)
+                np.exp(np.matmul(context, -rn.T, out=t), out=t)
+            t += 1
+            np.divide(-m[:, None], t, out=t)
+            np.matmul(t, rn[:, :DIM], out=g)
+            g_noise = t.T @ context
+            rw *= gs[:, None]
+            g += rw
+            np.multiply(context[:, :DIM], gs[:, None], out=gr[:n])
+            gr[n:] = g_noise[:, :DIM]
             scale = np.float32(1 / m.sum())
-            for c, g, q, h in ((c1, g_context, q1, state[0]), (c2, g_context, q2, state[1]), (np.concatenate([w, noise]), np.concatenate([gs[:, None] * context, gt.T @ context]), r, state[2])):
-                rows, g = _summed(c, g)  # only rows that the batch touches
-                g *= scale
-                square = h[rows] + g * g
+            for c, x, q, h in ((c1, g, q1, state[0]), (c2, g, q2, state[1]), (np.concatenate([w, noise]), gr, r, state[2])):
+                rows, x = _summed(c, x, k, held[: len(c)])  # only rows that the batch touches
+                x *= scale
+                square = x * x
+                square += h[rows]
                 h[rows] = square
-                q[rows] += RATE * g / np.sqrt(square + 1e-8)
-            g_b = (np.bincount(w, gs, k) + np.bincount(noise, gt.sum(0), k)).astype(np.float32) * scale
+                square += np.float32(1e-8)
+                np.sqrt(square, out=square)
+                x *= np.float32(RATE)
+                x /= square
+                x += q[rows]
+                q[rows] = x
+            g_b = (np.bincount(w, gs, k) + np.bincount(noise, g_noise[:, DIM], k)).astype(np.float32) * scale
             state[3] += g_b * g_b
             b += 0.2 * RATE * g_b / np.sqrt(state[3] + 1e-8)
 
 
-def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of ``at``, and for each the sum of its rows of ``g``."""
-    order = np.argsort(at, kind="stable")
-    keys = at[order]
+def _taken(x: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows of ``x``; ``at`` is inside its bounds."""
+    return np.take(x, at, axis=0, out=out, mode="clip")
+
+
+def _summed(at: np.ndarray, g: np.ndarray, k: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``at``, all below ``k``, and for each the sum of its rows of ``g``; ``room`` has the shape of ``g``."""
+    keys = at
+    if (at[1:] < at[:-1]).any():
+        order = np.argsort(at.astype(np.uint16) if k <= 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
+        keys, g = at[order], _taken(g, order, room)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(g[order], first, axis=0)
+    return keys[first], np.add.reduceat(g.view(np.complex64), first, axis=0).view(np.float32)  # two columns at once
 
 
 def _mean(table: pa.Table) -> pa.Table:
@@ -232,8 +262,17 @@ def averaged(parts: DataFrame, fan: int = FAN) -> DataFrame:
 
 
 def fit(source: DataFrame, vocabulary: Vocabulary, broadcast, scratch: Scratch, rounds: int) -> LogBilinear:
-    """The model of the rows of ``source(text)``."""
+    """The model of the rows of ``source(text)``. Its tokens' classes are written once, for all rounds."""
     model, spark = LogBilinear(vocabulary.mass), source.sparkSession
+    kind = np.uint16 if vocabulary.size <= 1 << 16 else np.int32
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=SLICE):
+                _, c, _, first = tokens(part, broadcast.value)
+                yield pa.RecordBatch.from_arrays([pa.array([c.astype(kind).tobytes()], pa.binary()), pa.array([first.astype(np.int64).tobytes()], pa.binary())], names=["c", "first"])
+
+    coded = scratch.stash(source.mapInArrow(tidy(classes), "c binary, first binary"), "classes")
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(model.parameters)
 
@@ -244,8 +283,8 @@ def fit(source: DataFrame, vocabulary: Vocabulary, broadcast, scratch: Scratch,
             state = [np.zeros_like(x) for x in mine.p]
             rng, seen = np.random.default_rng([turn, part_no]), 0
             for batch in batches:
-                for part in slices(batch, limit=SLICE):
-                    _, c, _, first = tokens(part, v)
+                for c, first in zip(*(batch.column(x) for x in ("c", "first"))):
+                    c, first = np.frombuffer(c.as_buffer(), kind).astype(np.int64), np.frombuffer(first.as_buffer(), np.int64)
                     one, two = contexts(c, first, v.end)
                     code, weight = np.unique((two * v.size + one) * v.size + c, return_counts=True)
                     mine.train(code, weight, state, rng)
@@ -254,13 +293,14 @@ def fit(source: DataFrame, vocabulary: Vocabulary, broadcast, scratch: Scratch,
                 shards = np.array_split(mine.parameters.astype(np.float32), SHARDS)
                 yield pa.RecordBatch.from_arrays([pa.array([part_no] * SHARDS, pa.int32()), pa.array(range(SHARDS), pa.int32()), pa.array([float(seen)] * SHARDS), pa.array([x.tobytes() for x in shards], pa.binary())], names=["part", "shard", "weight", "parameters"])
 
-        parts = scratch.stash(source.mapInArrow(tidy(task), "part int, shard int, weight double, parameters binary"), "parameters")
+        parts = scratch.stash(coded.mapInArrow(tidy(task), "part int, shard int, weight double, parameters binary"), "parameters")
         start.destroy()
         found = sorted(averaged(parts).collect(), key=lambda r: r.shard)  # one set of parameters
         if not found:
             break
         model.parameters = np.concatenate([np.frombuffer(bytes(r.parameters), np.float32) for r in found])
         scratch.drop(parts)
+    scratch.drop(coded)
     return model
 
 
@@ -333,18 +373,20 @@ def score(documents: DataFrame, rounds: int = ROUNDS, report: dict | None = None
                 rows = uid + np.arange(n)
                 uid += n
                 rare = np.flatnonzero(~hot)
-                at, place, tf = np.unique(np.stack([doc[rare].astype(U), h[rare]]), axis=1, return_inverse=True, return_counts=True) if len(rare) else (np.zeros((2, 0), U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                words, word = np.unique(h[rare], return_inverse=True)
+                at, place, tf = np.unique(doc[rare] * max(len(words), 1) + word, return_inverse=True, return_counts=True)
+                at, word = np.divmod(at, max(len(words), 1))
                 m = len(tf)
                 both = lambda x, y, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind) if y is None else pa.array(y, kind)])
                 word_sum = lambda x: np.bincount(place, x[rare], m)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([rows, rows[at[0].astype(np.int64)]])),
+                    pa.array(np.concatenate([rows, rows[at]])),
                     pa.concat_arrays([part.column("doc_id"), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([part.column("held_out"), pa.nulls(m, pa.bool_())]),
                     both(np.diff(first), None, pa.int64()), both(sum_by(hot & (k > 0)).astype(np.int64), None, pa.int64()), both(sum_by(log_c), None, pa.float64()),
                     both(sum_by(np.where(hot, lm, 0.0)) if v.n else np.zeros(n), word_sum(known), pa.float64()),
                     both(np.zeros(n), word_sum(unseen), pa.float64()),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(at[1].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf.astype(np.int64))]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(words[word].view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf.astype(np.int64))]),
                 ], names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "unseen", "h", "tf"])
 
     rows = source.mapInArrow(tidy(run, "tables"), "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, unseen double, h long, tf long")
