@@ -388,6 +388,7 @@ def _linked_sets(documents: DataFrame, shingle: int, percent: int, scratch: Scra
     shared, frequent = (spark.sparkContext.broadcast(x) for x in both)
     sets = scratch.stash(source.mapInArrow(_sets(shingle, percent, shared, frequent, bucket_bits, block_bits), "doc_id long, n long, h1 long, h2 long, sigs array<long>, tokens binary, own long"), "sets")
     shared.destroy(), frequent.destroy()
+    del both
     reps = sets.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))
     # the numbers hold once the table is written
     reps = scratch.stash(reps.withColumn("node", F.monotonically_increasing_id() if by_text else F.col("doc")), "reps")

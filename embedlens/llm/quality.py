@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embedlens.llm import textnp
-from embedlens.llm.shared import Scratch, fresh, slices, text_buffer, tidy
+from embedlens.llm.shared import Scratch, fresh, release, slices, text_buffer, tidy
 
 U = np.uint64
 SYMBOLS = b"#*$%&|<>"
@@ -288,6 +288,7 @@ def scored(documents: DataFrame, scratch: Scratch, limit: int = MODEL_ENTRIES, g
     source = _with_language(documents, lang_key)
     if entries.count() <= limit:
         shared = documents.sparkSession.sparkContext.broadcast(Model.of(entries.toArrow()))
+        release(documents.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

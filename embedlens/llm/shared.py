@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,9 +56,10 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Removes tables that nothing reads any more: what was made of them is written."""
+        """Removes tables that nothing reads any more: what was made of them is written. What the driver holds of their jobs goes too."""
         for df in tables:
             self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._embedlens_path), True)
+        release(self.spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,6 +112,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Returns what finished jobs hold in the driver. Spark removes their broadcasts and shuffle files once the driver's JVM has collected
+    their plans; left to itself, it lets its heap grow to the limit first."""
+    gc.collect()
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None):
     """A mapInArrow function: ``f`` in a worker that holds nothing of other operators before, and no freed memory after."""
 
