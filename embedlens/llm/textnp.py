@@ -16,6 +16,7 @@ import xxhash
 
 U = np.uint64
 PASS = 1 << 19
+SHORT = 64  # bytes of a span that is compared, or hashed, eight bytes at a time
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -50,8 +51,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks: bool = False, gaps: np.ndarray = _SPACE) -> Words:
-    """``cut_marks`` also cuts between an ASCII letter or digit and an ASCII mark that follows it; ``gaps`` tells which bytes no word has."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks: bool = False, gaps: np.ndarray = _SPACE, quick: bool = False) -> Words:
+    """``cut_marks`` also cuts between an ASCII letter or digit and an ASCII mark that follows it; ``gaps`` tells which bytes no word has;
+    ``quick`` is as in ``span_hash``."""
     found, a = [], 0
     while a < len(data):
         b = _gap_after(data, a + PASS, gaps)
@@ -67,7 +69,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, cut_marks:
         begins[inner] = inside[inner]
         ends[inner - 1] = inside[inner - 1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        found.append((span_hash(_LOWER[piece] if lower else piece, start, end), start + a, end + a))
+        found.append((span_hash(_LOWER[piece] if lower else piece, start, end, *[quick] * quick), start + a, end + a))
         a = b
     h, start, end = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
     return Words(h, start, end, np.searchsorted(start, offsets))
@@ -83,8 +85,9 @@ def _gap_after(data: np.ndarray, at: int, gaps: np.ndarray) -> int:
     return len(data)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each ``data[start:end]``."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, quick: bool = False) -> np.ndarray:
+    """Hash of each ``data[start:end]``. ``quick``: spans of 9 to ``SHORT`` bytes are hashed in numpy, eight bytes at a time, not by xxh3; for
+    those who compare the spans themselves."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     from_each = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
@@ -94,6 +97,13 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     out = mix(value)
     # eight bytes that look like fewer with their count
     long = np.flatnonzero((size > 8) | ((size == 8) & (value >> U(56) < U(8))))
+    if quick:
+        some = long[(size[long] > 8) & (size[long] <= SHORT)]
+        out[some] = size[some].astype(U)
+        for j in range(0, int(size[some].max(initial=0)), 8):
+            some = some[size[some] > j]
+            out[some] = mix(out[some] * _STEPS[0] + (from_each[start[some] + j] & _FIRST_BYTES[np.minimum(size[some] - j, 8)]))
+        long = long[(size[long] <= 8) | (size[long] > SHORT)]
     if len(long):
         raw, digest = padded.tobytes(), xxhash.xxh3_64_intdigest
         out[long] = np.fromiter((digest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())), U, len(long))
@@ -102,6 +112,28 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ``a[a_start:a_start + size]`` and ``b[b_start:b_start + size]`` hold the same bytes, for each span."""
+    out, at = np.ones(len(size), bool), np.flatnonzero((size > 0) & (size <= SHORT))
+    for j in range(0, SHORT, 8):  # eight bytes of each at a time
+        at = at[size[at] > j] if j else at
+        if not len(at):
+            break
+        out[at] &= (_eight(a, a_start[at] + j) ^ _eight(b, b_start[at] + j)) & _FIRST_BYTES[np.minimum(size[at] - j, 8)] == 0
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        out[long] = _equal_long(a, a_start[long], b, b_start[long], size[long])
+    return out
+
+
+def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, with zeros beyond the end."""
+    data = np.ascontiguousarray(data if len(data) >= 8 else np.append(data, np.zeros(8, np.uint8)))
+    last = len(data) - 8
+    from_each = np.ndarray((last + 1,), "<u8", buffer=data, strides=(1,))
+    beyond = np.maximum(at - last, 0)
+    return from_each[at - beyond] >> (8 * beyond).astype(U)
+
+
+def _equal_long(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     out, each = np.ones(len(size), bool), max(1, PASS)
     ends = np.cumsum(size)
     i = 0

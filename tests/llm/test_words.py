@@ -90,3 +90,40 @@ def test_units_that_are_forgotten_are_learnt_again(monkeypatch):
             want = [[*e.library.encode(t, add_special_tokens=False).ids, 7] for t in texts]
             assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(x) for x in want]
         assert len(e.keys) == len(e.uses) == len(e.slots) < 300
+
+
+def test_units_of_letters_skip_the_search_for_words(monkeypatch):
+    """They go to the library's model as they are; all others, and what stands around them, give the library's ids as before."""
+    import public_tokenizers
+
+    texts = ["Some words, don't they? été Ünder ÀÖØöøÿ", "a×b c÷d ×÷ x× ÷y é× naïve, naïve-té", "first\nnext line\nété\n×", "ñ", "", "ªº µm ſ Ǆ", "it's l'été (paren) 12ab ab12 a1b2", "word " * 70 + "end", "Ġ Ċ Ā Ã Ã©"]
+    texts += [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}é{chr(0xC0 + i % 64)}" for i in range(k)) for k in (63, 64, 65, 129, 700)]
+    data, offsets = "".join(texts).encode(), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    e, searched, all_new = tokens.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"), "byte"), [], []
+    encode_new, learn = e._encode_new, e._learn
+    monkeypatch.setattr(e, "_encode_new", lambda new: searched.extend(new) or encode_new(new))
+    monkeypatch.setattr(e, "_learn", lambda keys, raw, prefix: all_new.extend(raw) or learn(keys, raw, prefix))
+    want = [[*e.library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    for _ in range(2):
+        ids, lengths = e.encode(np.frombuffer(data, np.uint8), offsets, 0)
+        assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(x) for x in want]
+    letters = {c.encode() for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº"}
+    assert len(all_new) > 600 and 0 < len(searched) < 60
+    assert not any(all(c.encode() in letters for c in unit.strip()) for unit in searched)
+
+
+def test_equal_spans_and_quick_hashes_at_all_sizes():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200):
+        a = rng.integers(0, 256, size + 5).astype(np.uint8)
+        b = np.append(rng.integers(0, 256, 3).astype(np.uint8), a[5:])  # the span ends with the data
+        at, n = (np.array([5]), np.array([3])), np.array([size])
+        assert textnp.equal_spans(a, at[0], b, at[1], n).tolist() == [True]
+        one = textnp.span_hash(a, at[0], at[0] + n, True)
+        assert one == textnp.span_hash(b, at[1], at[1] + n, True)
+        for i in range(size):
+            other = b.copy()
+            other[3 + i] ^= 1
+            assert textnp.equal_spans(a, at[0], other, at[1], n).tolist() == [False]
+            assert one != textnp.span_hash(other, at[1], at[1] + n, True)
+    assert len(textnp.equal_spans(a, n[:0], b, n[:0], n[:0])) == 0
